@@ -97,7 +97,7 @@ def _hypergeometric(rng: random.Random, good: int, pool: int, draws: int) -> int
 
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    block: int = 64, shards: int = 64, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 17, rows_a_bucket: int = 20_000, keep: Sequence[str] = (),
+    block: int = 64, shards: int = 64, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 17, rows_a_bucket: int = 5_000, keep: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces). documents has a row per input row: _row, id, the columns of keep, _k (its source), size, source_size,
     target, taken. pieces has a row per document and taken block part: _row, _round, _from, _upto, _shard, _slot (word places in the

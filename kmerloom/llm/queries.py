@@ -12,6 +12,7 @@ from .mixing import mix
 from .packing import pack
 from .quality import quality_rules
 from .secrets import secret_scan
+from .toxicity import toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -35,7 +40,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op4_packing, op9_quality_rules, op10_mixing)
+    f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op4_packing, op6_toxicity, op9_quality_rules, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
