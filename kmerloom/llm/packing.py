@@ -8,9 +8,8 @@ is no shuffle, and a sequence is never short except the last.
 
 from __future__ import annotations
 
-import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,76 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-
-#: Words whose ids a worker remembers; beyond that it begins anew.
-REMEMBERED = 400_000
-_encoders: dict[str, Callable[[str], bytes]] = {}
-
-
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-def encoder(path: str) -> Callable[[str], bytes]:
-    """text -> its ids as little-endian unsigned 16-bit numbers, by the tokenizer in the file at path.
-
-    The tokenizer must split at white space and fold ASCII case, as word_bpe_49k.json does; then the ids of a
-    text are those of its words in a row, and each worker looks up a word only once. A text in which a special
-    token could be spelled is encoded in one piece.
-    """
-    if path in _encoders:
-        return _encoders[path]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    assert tokenizer.get_vocab_size() <= 1 << 16
-    known: dict[bytes, bytes] = {}
-
-    def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def of(word: bytes) -> bytes:
-        ids = known.get(word)
-        if ids is None:
-            if word[-1:] in b".,;:!?" and len(word) > 1 and word[-2:-1].isalnum():
-                ids = of(word[:-1]) + of(word[-1:])
-            else:
-                ids = whole(word.decode())
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known[word] = ids
-        return ids
-
-    def encode(text: str) -> bytes:
-        data = text.encode()
-        if b"<|" in data:
-            return whole(text)
-        words = data.lower().split()
-        got = list(map(known.get, words))
-        return b"".join(got if None not in got else [ids or of(word) for ids, word in zip(got, words, strict=True)])
-
-    _encoders[path] = encode
-    return encode
-
+from .tokens import default_tokenizer, word_encoder
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
     """A row per input row: id, _part, _at (ids before it in its partition), ids (binary, 16 bits each, the end included), n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u2").tobytes()
+        encoder, part, at = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                some = batch.slice(lo, 1000)
-                ids = [encode(text.as_py() or "") + end for text in some.column(1)]
-                n = np.array([len(x) // 2 for x in ids], np.int64)
-                before = at + np.cumsum(n) - n
-                at += int(n.sum())
-                parts = pa.array(np.full(len(n), part, np.int32))
-                yield pa.RecordBatch.from_arrays([some.column(0), parts, pa.array(before), pa.array(ids, pa.binary()), pa.array(n)], names=[id_col, "_part", "_at", "ids", "n"])
+            for lo in range(0, batch.num_rows, 2000):
+                some = batch.slice(lo, 2000)
+                ids, bounds = encoder.encode(some.column(1), end_id)
+                n = np.diff(bounds)
+                raw = pa.BinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(2 * bounds), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + bounds[:-1]), raw.cast(pa.binary()), pa.array(n)], names=[id_col, "_part", "_at", "ids", "n"])
+                at += len(ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, _part int, _at long, ids binary, n long")
