@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .lm import lm_score
 from .mixing import mix
 from .packing import pack
 from .quality import quality_rules
@@ -31,6 +32,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -40,7 +45,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op4_packing, op6_toxicity, op9_quality_rules, op10_mixing)
+    f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op4_packing, op6_toxicity, op8_lm_scoring, op9_quality_rules, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {

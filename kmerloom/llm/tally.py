@@ -9,7 +9,7 @@ corpus does. The chunk's texts and its answers then meet in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +52,7 @@ def chunk_count(docs: DataFrame, text_col: str, chunk_bytes: int) -> int:
 def tallied(
     docs: DataFrame, id_col: str, text_col: str, chunks: int,
     ask: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
-    use: Callable[[pa.Table, np.ndarray, tuple[int, int]], Iterator[pa.RecordBatch] | pa.Table],
+    use: Callable[[pa.Table, np.ndarray, tuple[int, int]], pa.Table],
     schema: str, answer: type = np.uint32, shrink: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """use(texts, answers, (distinct, total)) for each chunk of docs, as a DataFrame of schema.
