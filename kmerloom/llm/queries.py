@@ -10,6 +10,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .lm import lm_score
 from .mixing import mix
+from .ngram_join import ngram_join
 from .packing import pack
 from .quality import quality_rules
 from .secrets import secret_scan
@@ -24,6 +25,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(documents(spark, sf_dir), width=4, percent=85)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -45,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op4_packing, op6_toxicity, op8_lm_scoring, op9_quality_rules, op10_mixing)
+    f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_ngram_jaccard_join, op4_packing, op6_toxicity, op8_lm_scoring, op9_quality_rules, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
