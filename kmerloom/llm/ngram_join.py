@@ -136,7 +136,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return state
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 3, chunk_bytes: int = 24 << 20) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 3, chunk_bytes: int = 8 << 20) -> DataFrame:
     """A row per input row: id, n_shingles, component_id, class_id.
 
     Words are runs without the six ASCII white-space characters, ASCII case folded. Two rows link if 100 *

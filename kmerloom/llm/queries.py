@@ -12,8 +12,10 @@ from .lm import lm_score
 from .mixing import mix
 from .ngram_join import ngram_join
 from .packing import pack
+from .pii import replace_pii
 from .quality import quality_rules
 from .secrets import secret_scan
+from .token_counts import token_counts
 from .toxicity import toxicity
 
 
@@ -33,10 +35,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(documents(spark, sf_dir))
 
@@ -50,7 +60,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_ngram_jaccard_join, op4_packing, op6_toxicity, op8_lm_scoring, op9_quality_rules, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_secret_scan, op3_ngram_jaccard_join, op4_packing, op5_pii_surrogates,
+        op6_toxicity, op7_token_counts, op8_lm_scoring, op9_quality_rules, op10_mixing,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -64,9 +64,11 @@ def tallied(
     """
     dealt = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int").alias("_chunk")).repartition(chunks, "_chunk")
 
+    ranges = max(1, chunks // 4)
+
     def asking(table: pa.Table) -> pa.Table:
         keys, counts = ask(table)
-        at = ranges_of(keys, chunks)
+        at = ranges_of(keys, ranges)
         chunk = table.column("_chunk")[0].as_py()
         rows = [(k, chunk, packed_keys(keys[a:b]), packed(counts[a:b].astype(np.uint32))) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["_range", "_chunk", "_keys", "_counts"])
@@ -96,5 +98,5 @@ def tallied(
         return use(texts, whole, (sum(answers.column("_distinct").to_pylist()), sum(answers.column("_total").to_pylist())))
 
     asked = dealt.groupBy("_chunk").applyInArrow(asking, "_range int, _chunk int, _keys binary, _counts binary")
-    answered = asked.repartition(chunks, "_range").groupBy("_range").applyInArrow(answering, "_chunk int, _range int, _answers binary, _distinct long, _total long")
+    answered = asked.repartition(ranges, "_range").groupBy("_range").applyInArrow(answering, "_chunk int, _range int, _answers binary, _distinct long, _total long")
     return dealt.groupBy("_chunk").cogroup(answered.repartition(chunks, "_chunk").groupBy("_chunk")).applyInArrow(using, schema)

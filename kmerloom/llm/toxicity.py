@@ -130,61 +130,87 @@ class Model:
 def train(sample: Iterable[tuple[int, str]], max_features: int = 20_000, least: int = 4) -> Model:
     """A model from (label, text) rows; with no row, or none of a class, the fixed lexicon alone makes it up."""
     labels, surface, words = [], [], []
-    seen: dict[str, list[int]] = {}
     copies: set[tuple] = set()
+    buckets = np.zeros((2, 1 << 22), np.int32)  # rows by class of the features with each hash: a first, bounded count
+    places: dict[bytes, np.ndarray] = {}
+
+    def place_of(word: bytes) -> np.ndarray:
+        if (got := places.get(word)) is None:
+            if len(places) > 100_000:
+                places.clear()
+            places[word] = got = np.array([zlib.crc32(f.encode()) & 0x3FFFFF for f in word_features(word)], np.int32)
+        return got
+
     for label, text in sample:
-        found: dict[str, int] = {}
         own = distinct_words(text)
         least_hashes = (label, *nsmallest(4, map(zlib.crc32, own)))
         if own and least_hashes in copies:  # copies and near copies would pass off their chance words as evidence
             continue
         copies.add(least_hashes)
-        for w in own:
-            for f in word_features(w):
-                found[f] = found.get(f, 0) + 1
-        for f in found:
-            seen.setdefault(f, [0, 0])[label] += 1
+        if own:
+            buckets[label][np.unique(np.concatenate([place_of(w) for w in own]))] += 1
         labels.append(label)
         surface.append(shout(text))
-        words.append(list(found.items()))
+        words.append(b" ".join(own))
     y = np.array(labels, np.int64)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
         return Model(dict.fromkeys(LEXICON, 6.0), -3.0)
+
+    def evidence(a0: int, a1: int) -> float:
+        """Signed root of the likelihood-ratio statistic of a feature in a0 and a1 rows of the classes."""
+        e1 = (a0 + a1) * n1 / len(y)
+        g = 2 * sum(a * math.log(a / e) for a, e in ((a1, e1), (a0, a0 + a1 - e1)) if a)
+        return math.copysign(math.sqrt(max(g, 0.0)), a1 - e1)
+
+    strong = np.zeros(buckets.shape[1], bool)
+    for k in np.flatnonzero(buckets.sum(0) >= least):
+        strong[k] = abs(evidence(int(buckets[0][k]), int(buckets[1][k]))) >= 4
+    strong_words: dict[bytes, list[str]] = {}
+    seen: dict[str, list[int]] = {}
+    found_in: list[dict[str, int]] = []
+    for label, joined in zip(labels, words, strict=True):
+        found: dict[str, int] = {}
+        for w in joined.split():
+            if strong[place_of(w)].any():
+                if w not in strong_words:
+                    strong_words[w] = word_features(w)
+                for f in strong_words[w]:
+                    found[f] = found.get(f, 0) + 1
+        for f in found:
+            seen.setdefault(f, [0, 0])[label] += 1
+        found_in.append(found)
+    del words
     top: dict[str, int] = {}  # of a beginning: the rows of class 1 that its commonest word accounts for
     for f, (_, a1) in seen.items():
         if not f.endswith("*") and a1:
             for k in BEGINNINGS:
                 if len(f) > k:
                     top[f"{f[:k]}*"] = max(top.get(f"{f[:k]}*", 0), a1)
-    strength = {}  # signed root of the likelihood-ratio statistic
-    for f, (a0, a1) in seen.items():
-        if a0 + a1 >= least and 10 * top.get(f, 0) <= 7 * a1:  # a beginning that is one word says nothing about others
-            e1 = (a0 + a1) * n1 / len(y)
-            g = 2 * sum(a * math.log(a / e) for a, e in ((a1, e1), (a0, a0 + a1 - e1)) if a)
-            strength[f] = math.copysign(math.sqrt(max(g, 0.0)), a1 - e1)
+    # a beginning that is one word says nothing about others
+    strength = {f: evidence(*a) for f, a in seen.items() if sum(a) >= least and 10 * top.get(f, 0) <= 7 * a[1]}
     precise = {f for f, z in strength.items() if z >= 5.5 and seen[f][1] * n0 > 9 * (seen[f][0] + 0.5) * n1}
-    chosen = sorted((f for f, z in strength.items() if abs(z) >= 5), key=lambda f: (-abs(strength[f]), f))[:max_features]
+    chosen = sorted(precise, key=lambda f: (-strength[f], f))[:max_features]
     place = {f: k for k, f in enumerate(chosen)}
     # voters: the fixed lexicon; strong learned features dealt to voters by kind and parity; the surface pattern; the label
-    voter_of = {f: 1 + 2 * (len(f) - 4 if f.endswith("*") else 4) + place[f] % 2 for f in chosen if f in precise}
+    voter_of = {f: 1 + 2 * (len(f) - 4 if f.endswith("*") else 4) + place[f] % 2 for f in chosen}
     votes = np.zeros((len(y), 3 + 2 * 8), np.int8)
     rows = []
-    for k, found in enumerate(words):
-        if any(f in LEXICON for f, _ in found):
+    for k, found in enumerate(found_in):
+        if any(f in LEXICON for f in found):
             votes[k, 0] = 1
-        hit = {voter_of[f] for f, _ in found if f in voter_of}
+        hit = {voter_of[f] for f in found if f in voter_of}
         votes[k, 1 : votes.shape[1] - 2] = -1 if not hit else 0
         for v in hit:
             votes[k, v] = 1
-        rows.append(np.array([place[f] for f, c in found for _ in range(min(c, 3)) if f in place], np.int64))
+        rows.append(np.array([place[f] for f, c in found.items() for _ in range(min(c, 3)) if f in place], np.int64))
     votes[:, -2] = surface
     votes[:, -1] = 2 * y - 1
     used = [v for v in range(votes.shape[1]) if len(np.unique(votes[:, v])) > 1]
     q, _, _ = label_model(votes[:, used], prior=n1 / len(y), sure=len(used) - 1)
     weight = np.where(y == 1, 0.5 * len(y) / n1, 0.5 * len(y) / n0) ** 0.5
     theta, bias = _linear(rows, q, len(chosen), weight)
-    weights = {f: float(t) for f, t in zip(chosen, theta, strict=True) if abs(t) > 1e-3}
+    weights = {f: float(t) for f, t in zip(chosen, theta, strict=True) if t > 0.05}
     return Model({f: weights.get(f, 0.0) + (4.0 if f in LEXICON and f not in place else 0.0) for f in {*weights, *LEXICON}}, bias)
 
 
@@ -202,7 +228,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    folds: int = 5, most_labelled: tuple[int, int] = (8_000, 6_000), threshold: float = 0.5,
+    folds: int = 5, most_labelled: tuple[int, int] = (6_000, 4_000), threshold: float = 0.5,
 ) -> DataFrame:
     """A row per row of docs: id, held_out, score, predicted.
 
