@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITESPACE, Scratch, dense_names
@@ -46,17 +46,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.translate(text, WHITESPACE, "").cast("binary").alias("_bytes"),
     )
     cut = F.transform(F.sequence(F.lit(0), n_blocks - 1), block)
-    head = scratch.save(
-        base.select("_row", "_id", "_length", F.sha2("_bytes", 256).alias("_sha"), F.transform(cut, lambda b: hash_of(b)).alias("_hashes")),
-        "head",
-    )
+
+    def heads(rows: DataFrame, table: str) -> DataFrame:
+        return scratch.save(rows.select("_row", "_id", "_length", F.sha2("_bytes", 256).alias("_sha"), F.transform(cut, lambda b: hash_of(b)).alias("_hashes")), table)
+
+    head = heads(base, "head")
     contents = base.select(F.explode(cut).alias("_block")).select(hash_of(F.col("_block")).alias("_hash"), "_block").distinct()
     hashes = scratch.save(contents.groupBy("_hash").agg(F.count(F.lit(1)).alias("_contents")), "hashes")
     shared = hashes.where("_contents > 1").select("_hash")
     names = dense_names(scratch, hashes, ["_hash"], "_name", "names0")
+    if clash := bool(shared.head(1)):  # their contents are needed again, under the same row numbers
+        base = scratch.save(base, "base")
+        head = heads(base, "head2")
     items = head.select("_row", F.size("_hashes").alias("_left"), F.posexplode("_hashes").alias("_pos", "_hash"))
     named = items.join(names, "_hash").select("_row", "_left", "_pos", "_name")
-    if shared.head(1):  # blocks with different contents behind one hash: named by content, below zero
+    if clash:  # blocks with different contents behind one hash: named by content, below zero
         ranks = dense_names(scratch, contents.join(shared, "_hash", "left_semi"), ["_hash", "_block"], "_rank", "shared")
         own = base.select("_row", F.posexplode(cut).alias("_pos", "_block")).withColumn("_hash", hash_of(F.col("_block"))).join(ranks, ["_hash", "_block"])
         named = (
@@ -93,3 +97,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("_level").alias("level"),
         F.col("_name").alias("name"),
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns.
+
+    Rows are found again by id, text and length; where rows agree in all of these, one of them stays.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = exact_dedup(docs, id_col, text_col)
+    alike = found.join(found.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")))
+    kept = alike.groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("_rows"))
+    rows = docs.withColumn("_key", F.sha2(F.translate(text, WHITESPACE, "").cast("binary"), 256)).withColumn("_n", F.length(text))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")))
+    single = rows.where("_rows = 1")
+    several = rows.where("_rows > 1").withColumn("_place", F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.desc("_n"), F.xxhash64(text)))).where("_place = 1")
+    return single.select(*docs.columns).unionByName(several.select(*docs.columns))

@@ -211,3 +211,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"),
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the smallest of their component; ids are expected to be unique."""
+    found = ngram_join(docs, id_col, text_col, width, percent)
+    dropped = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
+    return docs.join(dropped, F.col(id_col) == F.col("_id"), "left_anti")

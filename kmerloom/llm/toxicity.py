@@ -248,3 +248,16 @@ def toxicity(
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col, (crc_bucket(id_col, folds) == 0).alias("_held")).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, most_labelled: tuple[int, int] = (6_000, 4_000), threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose toxicity score is under the threshold."""
+    model = train(labelled_sample(docs, labels, id_col, text_col, label_col, folds, most_labelled))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([score(text.as_py() or "") < threshold for text in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
