@@ -7,11 +7,13 @@ a corpus, never enter it, and a class with too many of them has no partner and i
 
 Two relations between sets keep the work far from all pairs of a list:
 
-* Index skipping. Lists are cut into blocks by set size; blocks whose sizes cannot meet are never joined, and
-  within them two entries meet only if their positions leave room for the required overlap.
+* Index skipping. Lists are cut into blocks by set size. A pair is sought in the list of the first shingle that
+  it shares, where at most n - position shingles of either set can be shared; so an entry's position bounds the size of
+  its partners, and the blocks beyond that are never joined.
 * Answer skipping. In rounds, every class is first compared with one leader among those that it shares a list
-  with; linked classes share a label, and a list within one label is done. What is left is compared pair by pair,
-  except where the answers of a leader decide it: |Y and Z| <= |X and Z| + |Y| - |X and Y| for Y's leader X.
+  with; linked classes share a label, and a list within one label is done. In other lists only the members outside
+  the commonest label look for partners, except where the answers of a leader X already decide it: of shingles
+  that are not a class's alone, |Y and Z| <= |X and Z| + |Y| - |X and Y|.
 
 So a group of near copies costs as many comparisons as it has members, and no link between components is lost.
 """
@@ -104,13 +106,28 @@ def _enough(overlap: Column, a: Column, b: Column, percent: int) -> Column:
     return overlap * (100 + percent) >= (a + b) * percent
 
 
-def _can_meet(x: str, y: str, percent: int) -> Column:
+def _may_link(x: str, y: str, percent: int) -> Column:
     """Whether list entries x and y (n, pos) leave room for the required overlap, by their sizes and positions."""
     nx, ny, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
     most = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & _enough(most, nx, ny, percent)
 
 
+def _least_partner(percent: int) -> Column:
+    return F.ceil(F.col("n") * percent / 100)
+
+
+def _largest_partner(percent: int) -> Column:
+    """The largest set that an entry (n, pos) can link with if its shingle is the first that they share: then at most n - pos are shared."""
+    left = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")
+    return F.least(left, F.floor(F.col("n") * 100 / percent))
+
+
+def _band(size: Column) -> Column:
+    """The block of a list that holds sets of this size; blocks are a fiftieth wide."""
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(1.02))).cast("int")
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with na, nb and the size of their intersection."""
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -156,20 +173,21 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for cls, n, alone, tokens in zip(*(batch.column(k) for k in range(4)), strict=True):
                 n, alone = n.as_py(), alone.as_py()
                 for k, token in enumerate(tokens.values[: max(0, n - (percent * n + 99) // 100 + 1 - alone)].to_pylist()):
-                    out.append((token, cls.as_py(), n, alone + k))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["token", "cls", "n", "pos"])
+                    out.append((token, cls.as_py(), n, alone + k, 16 * alone // n))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["token", "cls", "n", "pos", "apart"])
 
-    entries = sets.select("cls", "n", "alone", "tokens").mapInArrow(prefixes, "token long, cls binary, n long, pos long")
+    entries = sets.select("cls", "n", "alone", "tokens").mapInArrow(prefixes, "token long, cls binary, n long, pos long, apart long")
     index = scratch.save(entries, "index")
     labels = scratch.save(index.select("cls").distinct().withColumn("label", F.col("cls")), "labels")
     answers = []
     for r in range(rounds):
         named = index.join(labels, "cls")
-        first = F.min(F.struct(F.xxhash64("cls", F.lit(r)).alias("order"), "cls", "n", "pos", "label"))
+        first = F.min(F.struct("apart", F.xxhash64("cls", F.lit(r)).alias("order"), "cls", "n", "pos", "label"))  # the least edited leads
         leaders = scratch.save(named.groupBy("token").agg(first.alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token", "h.*"), f"leaders{r}")
-        near = named.alias("x").join(leaders.alias("h"), "token").where((F.col("x.label") != F.col("h.label")) & _can_meet("x", "h", percent))
-        pairs = near.groupBy(F.col("x.cls").alias("b")).agg(F.min(F.struct("h.order", F.col("h.cls").alias("a"))).alias("s")).select(F.col("s.a").alias("a"), "b")
+        near = named.alias("x").join(leaders.alias("h"), "token").where((F.col("x.label") != F.col("h.label")) & _may_link("x", "h", percent))
+        pairs = near.groupBy(F.col("x.cls").alias("b")).agg(F.min(F.struct("h.apart", "h.order", F.col("h.cls").alias("a"))).alias("s")).select(F.col("s.a").alias("a"), "b")
         compared = scratch.save(_overlaps(pairs, sets), f"compared{r}")
         answers.append(compared)
         linked = compared.where(_enough(F.col("overlap"), F.col("na"), F.col("nb"), percent))
@@ -179,18 +197,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for more in answers[1:]:
         known = known.unionByName(more)
     named = index.join(labels, "cls")
-    open_lists = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
-    rest = scratch.save(named.join(open_lists, "token").withColumn("band", band), "rest")
-    small = rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls")))
+    commonest = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("members")).groupBy("token").agg(F.max(F.struct("members", F.col("label").alias("top"))).alias("m"), F.count(F.lit(1)).alias("labels"))
+    tops = scratch.save(commonest.where("labels > 1").select("token", "m.top"), "tops")
+    rest = named.join(tops, "token").select("token", "cls", "n", "pos", "label", (F.col("label") == F.col("top")).alias("common"), _largest_partner(percent).alias("cap"))
+    rest = scratch.save(rest.where(F.col("cap") >= _least_partner(percent)).withColumn("band", _band(F.col("n"))), "rest")
+    seeking = rest.where("not common").withColumn("band", F.explode(F.sequence(_band(_least_partner(percent)), _band(F.col("cap")))))
+    fits = (F.col("y.n") <= F.col("x.cap")) & (F.col("x.n") <= F.col("y.cap")) & _enough(F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")), F.col("x.n"), F.col("y.n"), percent)
     pairs = (
-        small.alias("x")
+        seeking.alias("x")
         .join(rest.alias("y"), ["token", "band"])
-        .where(ordered & (F.col("x.label") != F.col("y.label")) & _can_meet("x", "y", percent))
+        .where((F.col("x.label") != F.col("y.label")) & fits & (F.col("y.common") | (F.col("x.cls") < F.col("y.cls"))))
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         .distinct()
     )
+    pairs = scratch.save(pairs, "pairs")
     either = known.select("a", "b", "overlap").union(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap")).distinct()
     leader = known.where(_enough(F.col("overlap"), F.col("na"), F.col("nb"), percent)).groupBy("b").agg(F.max(F.struct("overlap", "a")).alias("s"))
     via = leader.select(F.col("b").alias("a"), F.col("s.a").alias("x"), F.col("s.overlap").alias("with_x"))
