@@ -1 +1,18 @@
-"""A Spark-native engine for sequence sketches and distances."""
+"""A Spark-native engine for sequence sketches and distances.
+
+read_sequences -> sketch -> triangle, dist or three; see the README for the whole.
+"""
+
+from .functions.params import SketchParams
+from .operators.distance import all_pairs, dist, linked_pairs, measured, three, triangle
+from .operators.kmers import kmers, kmers_by_columns
+from .operators.mutants import mutate
+from .operators.sketch import Sketches, nested, pooled_sketch, sketch
+from .plans.reports import info
+from .sources.sequences import read_sequences
+from .sources.store import read_sketches, read_store, resolve_inputs, write_store
+
+__all__ = [
+    "SketchParams", "Sketches", "all_pairs", "dist", "info", "kmers", "kmers_by_columns", "linked_pairs", "measured", "mutate", "nested",
+    "pooled_sketch", "read_sequences", "read_sketches", "read_store", "resolve_inputs", "sketch", "three", "triangle", "write_store",
+]
