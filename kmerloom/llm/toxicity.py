@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, first_by_hash
 
 # Plain insults that vote by themselves.
 LEXICON = frozenset(
@@ -219,7 +219,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (crc_bucket(id_col, folds) != 0)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     drawn = None
     for c in (0, 1):
-        part = usable.where(F.col("_y") == c).orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(most[c])
+        part = first_by_hash(usable.where(F.col("_y") == c).withColumn("_hash", F.xxhash64("_id", F.lit(11))), "_hash", most[c], "_id").drop("_hash")
         drawn = part if drawn is None else drawn.unionByName(part)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), "_id")  # at most sum(most) rows
     words = F.concat_ws(" ", F.array_distinct(F.split(F.lower(F.coalesce("_text", F.lit(""))), r"[\s]+")))
