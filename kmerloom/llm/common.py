@@ -102,3 +102,8 @@ def first_by_hash(df: DataFrame, hash_col: str, most: int, *then: str) -> DataFr
     if n > 4 * most and cut.count() < most:
         cut = df
     return cut.orderBy(key, *then).limit(most)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one, so that their names can't clash with an operator's own; select("_all.*") gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all")

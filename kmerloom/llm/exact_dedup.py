@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, Scratch, dense_names
+from .common import WHITESPACE, Scratch, dense_names, whole_row
 
 #: Stands for the missing right neighbour of a last, odd block; no name is negative that far.
 _NO_RIGHT = -(1 << 62)
@@ -106,10 +106,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = exact_dedup(docs, id_col, text_col)
-    alike = found.join(found.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")))
-    kept = alike.groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("_rows"))
-    rows = docs.withColumn("_key", F.sha2(F.translate(text, WHITESPACE, "").cast("binary"), 256)).withColumn("_n", F.length(text))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")))
-    single = rows.where("_rows = 1")
-    several = rows.where("_rows > 1").withColumn("_place", F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.desc("_n"), F.xxhash64(text)))).where("_place = 1")
-    return single.select(*docs.columns).unionByName(several.select(*docs.columns))
+    found = found.select(F.col(id_col).alias("_i"), F.col("text_sha256").alias("_s"), "kept")
+    best = found.where("kept").select(F.col("_i").alias("_id"), F.col("_s").alias("_sha"))
+    kept = found.join(best, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha"))).groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("_rows"))
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("_i"), F.sha2(F.translate(text, WHITESPACE, "").cast("binary"), 256).alias("_s"), F.length(text).alias("_n"), F.xxhash64(text).alias("_h"))
+    rows = rows.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")))
+    first = Window.partitionBy("_id", "_sha").orderBy(F.desc("_n"), "_h")
+    several = rows.where("_rows > 1").withColumn("_place", F.row_number().over(first)).where("_place = 1")
+    return rows.where("_rows = 1").select("_all.*").unionByName(several.select("_all.*"))

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -97,10 +97,10 @@ def _hypergeometric(rng: random.Random, good: int, pool: int, draws: int) -> int
 
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    block: int = 64, shards: int = 64, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 17, rows_a_bucket: int = 5_000, keep: Sequence[str] = (),
+    block: int = 64, shards: int = 64, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 17, rows_a_bucket: int = 5_000, whole: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces). documents has a row per input row: _row, id, the columns of keep, _k (its source), size, source_size,
-    target, taken. pieces has a row per document and taken block part: _row, _round, _from, _upto, _shard, _slot (word places in the
+    """(documents, pieces). documents has a row per input row: _row, id, _k (its source), size, source_size, target, taken, and with whole
+    _all, its columns. pieces has a row per document and taken block part: _row, _round, _from, _upto, _shard, _slot (word places in the
     document).
 
     A null text has no words, a null source is a source of its own that comes last, a null id sorts first, repeated
@@ -119,7 +119,7 @@ def mixed(
             F.col(source_col).alias("_source"),
             F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
             F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).cast("int").alias("_bucket"),
-            *(F.col(c).alias(f"_keep_{c}") for c in keep),
+            *([whole_row(docs)] if whole else []),
         ),
         "sized",
     )
@@ -170,7 +170,7 @@ def mixed(
     )
     pieces = scratch.save(pieces, "pieces")
     taken = pieces.groupBy("_row").agg(F.sum(F.col("_upto") - F.col("_from")).alias("taken"))
-    documents = sized.join(source, sized["_source"].eqNullSafe(source["_source"])).select("_row", F.col("_id").alias(id_col), *(F.col(f"_keep_{c}").alias(c) for c in keep), "_k", "size", "source_size", "target")
+    documents = sized.join(source, sized["_source"].eqNullSafe(source["_source"])).select("_row", F.col("_id").alias(id_col), *(["_all"] if whole else []), "_k", "size", "source_size", "target")
     return documents.join(taken, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0))), pieces
 
 
@@ -186,16 +186,15 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     A round that takes a whole document repeats its text as it stands; a part is its taken words in order,
     joined by spaces. Documents of which nothing is taken go. length_col, where docs has it, is the new length.
     """
-    others = [c for c in docs.columns if c not in (id_col, source_col)]
-    documents, pieces = mixed(docs, id_col, text_col, source_col, keep=[*others, source_col], **options)
+    documents, pieces = mixed(docs, id_col, text_col, source_col, whole=True, **options)
     rounds = pieces.groupBy("_row", "_round").agg(
         F.sum(F.col("_upto") - F.col("_from")).alias("_words"), F.array_sort(F.collect_list(F.struct("_from", "_upto"))).alias("_spans")
     )
-    rows = rounds.join(documents.select("_row", id_col, source_col, *others, "size"), "_row")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    rows = rounds.join(documents.select("_row", "_all", "size"), "_row")
+    old = F.col("_all").getField(text_col)
+    words = F.regexp_extract_all(old, F.lit(WORD), F.lit(0))
     part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["_from"] + 1).cast("int"), (s["_upto"] - s["_from"]).cast("int")))), " ")
-    text = F.when(F.col("_words") == F.col("size"), F.col(text_col)).otherwise(part)
-    out = rows.withColumn("_text", text).drop(text_col).withColumnRenamed("_text", text_col)
+    new = {text_col: F.when(F.col("_words") == F.col("size"), old).otherwise(part)}
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
+        new[length_col] = F.length(new[text_col]).cast(docs.schema[length_col].dataType)
+    return rows.select(*(new.get(c, F.col("_all").getField(c)).alias(c) for c in docs.columns))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, whole_row
 from .tally import chunk_count, tallied
 from .words import hashed_words, mix64
 
@@ -237,4 +237,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs, with all their columns, whose id is the smallest of their component; ids are expected to be unique."""
     found = ngram_join(docs, id_col, text_col, width, percent)
     dropped = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_id"), "left_anti")
+    return docs.select(whole_row(docs), F.col(id_col).alias("_i")).join(dropped, F.col("_i") == F.col("_id"), "left_anti").select("_all.*")
