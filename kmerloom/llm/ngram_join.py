@@ -58,7 +58,8 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
 
 def _with_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, chunk_bytes: int) -> DataFrame:
     """A row per input row: _id, n (its set's size), cls (its set's 128-bit name, null without words), and, where it is its chunk's
-    first row of a class that can have partners, alone (its shingles that no other chunk or class has) and tokens (the others, rarest first)."""
+    first row of a class that can have partners, alone (its shingles that no other chunk or class has), apart (those at most a quarter as
+    common as its median one: how far it is edited from what it was copied from) and tokens (all but alone, rarest first)."""
     chunks = chunk_count(docs, text_col, chunk_bytes)
     bits = min(64, 8 * -(-(max(1, chunks * chunk_bytes).bit_length() + 7) // 8))
     high = np.uint64(((1 << bits) - 1) << (64 - bits))  # keys for counting: enough bits that few shingles share one; they only set the order
@@ -81,6 +82,7 @@ def _with_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
         flat = np.concatenate([sets[k] for k in own] or [np.zeros(0, np.uint64)])
         level = answers[np.searchsorted(np.unique(flat & high), flat & high)] if len(flat) else answers[:0]
         alone: list[int | None] = [None] * len(sets)
+        apart: list[int | None] = [None] * len(sets)
         tokens: list[np.ndarray | None] = [None] * len(sets)
         at = 0
         for k in own:
@@ -91,14 +93,15 @@ def _with_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
             m = int(shared.sum())
             if 100 * m >= percent * len(s):
                 alone[k] = len(s) - m
+                apart[k] = int((of + 8 < np.median(of)).sum())
                 tokens[k] = s[shared][np.argsort(of[shared], kind="stable")].view(np.int64)
         return pa.table(
-            [table.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(alone, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
-            ["_id", "n", "cls", "alone", "tokens"],
+            [table.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(alone, pa.int64()), pa.array(apart, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
+            ["_id", "n", "cls", "alone", "apart", "tokens"],
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return tallied(docs, id_col, text_col, chunks, ask, use, f"_id {kind}, n long, cls binary, alone long, tokens array<long>", np.uint8, rarity)
+    return tallied(docs, id_col, text_col, chunks, ask, use, f"_id {kind}, n long, cls binary, alone long, apart long, tokens array<long>", np.uint8, rarity)
 
 
 def _enough(overlap: Column, a: Column, b: Column, percent: int) -> Column:
@@ -165,20 +168,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     rows = scratch.save(_with_sets(docs, id_col, text_col, width, percent, chunk_bytes), "rows")
-    sets = scratch.save(rows.where("tokens is not null").select("cls", "n", "alone", "tokens").dropDuplicates(["cls"]), "sets")
+    sets = scratch.save(rows.where("tokens is not null").select("cls", "n", "alone", "apart", "tokens").dropDuplicates(["cls"]), "sets")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for cls, n, alone, tokens in zip(*(batch.column(k) for k in range(4)), strict=True):
-                n, alone = n.as_py(), alone.as_py()
+            for cls, n, alone, apart, tokens in zip(*(batch.column(k) for k in range(5)), strict=True):
+                n, alone, apart = n.as_py(), alone.as_py(), apart.as_py()
                 for k, token in enumerate(tokens.values[: max(0, n - (percent * n + 99) // 100 + 1 - alone)].to_pylist()):
-                    out.append((token, cls.as_py(), n, alone + k, 16 * alone // n))
+                    out.append((token, cls.as_py(), n, alone + k, apart))
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["token", "cls", "n", "pos", "apart"])
 
-    entries = sets.select("cls", "n", "alone", "tokens").mapInArrow(prefixes, "token long, cls binary, n long, pos long, apart long")
+    entries = sets.select("cls", "n", "alone", "apart", "tokens").mapInArrow(prefixes, "token long, cls binary, n long, pos long, apart long")
     index = scratch.save(entries, "index")
     labels = scratch.save(index.select("cls").distinct().withColumn("label", F.col("cls")), "labels")
     answers = []
