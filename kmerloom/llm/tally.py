@@ -9,6 +9,8 @@ corpus does. The chunk's texts and its answers then meet in one task.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +19,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_lean = False
+
+
+def lean_memory() -> None:
+    """In a worker: hand large freed blocks back to the system at once, so that its size is what it uses and not what it once used."""
+    global _lean
+    if not _lean:
+        _lean = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
 
 def packed(values: np.ndarray) -> bytes:
     """Integers as zstd over their bytes by place."""
@@ -64,9 +78,10 @@ def tallied(
     """
     dealt = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int").alias("_chunk")).repartition(chunks, "_chunk")
 
-    ranges = max(1, chunks // 4)
+    ranges = max(1, chunks // 2)
 
     def asking(table: pa.Table) -> pa.Table:
+        lean_memory()
         keys, counts = ask(table)
         at = ranges_of(keys, ranges)
         chunk = table.column("_chunk")[0].as_py()
@@ -74,17 +89,27 @@ def tallied(
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["_range", "_chunk", "_keys", "_counts"])
 
     def answering(table: pa.Table) -> pa.Table:
+        lean_memory()
         askers = table.column("_chunk").to_pylist()
         keys = [unpacked_keys(x.as_py()) for x in table.column("_keys")]
         counts = [unpacked(x.as_py(), np.uint32) for x in table.column("_counts")]
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
-        shrunk = (shrink(total) if shrink else total).astype(answer)
-        known, everything = int((total > 0).sum()), int(total.sum())
-        at, out = 0, []
-        for x in keys:
-            out.append(packed(shrunk[place[at : at + len(x)]]))
-            at += len(x)
+        parts: list[list[np.ndarray]] = [[] for _ in keys]
+        known = everything = 0
+        pieces = max(1, sum(map(len, keys)) >> 20)  # a part of the range at a time: sorting takes several times its size
+        top = max((int(k[-1]) for k in keys if len(k)), default=0)
+        low = min((int(k[0]) for k in keys if len(k)), default=0)
+        edges = np.array([low + (top + 1 - low) * k // pieces for k in range(1, pieces)], np.uint64)
+        bounds = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k in keys]
+        for p in range(pieces):
+            some = [k[b[p] : b[p + 1]] for k, b in zip(keys, bounds, strict=True)]
+            distinct, place = np.unique(np.concatenate(some), return_inverse=True)
+            total = np.bincount(place, np.concatenate([c[b[p] : b[p + 1]] for c, b in zip(counts, bounds, strict=True)]), len(distinct)).astype(np.int64)
+            shrunk = (shrink(total) if shrink else total).astype(answer)
+            known, everything, at = known + int((total > 0).sum()), everything + int(total.sum()), 0
+            for x, part in zip(some, parts, strict=True):
+                part.append(shrunk[place[at : at + len(x)]])
+                at += len(x)
+        out = [packed(np.concatenate(part)) for part in parts]
         n = len(askers)
         return pa.table(
             [pa.array(askers, pa.int32()), table.column("_range"), pa.array(out, pa.binary()), pa.array([known] * n, pa.int64()), pa.array([everything] * n, pa.int64())],
@@ -92,6 +117,7 @@ def tallied(
         )
 
     def using(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        lean_memory()
         order = np.argsort(answers.column("_range").to_numpy())
         got = answers.column("_answers").to_pylist()
         whole = np.concatenate([unpacked(got[k], answer) for k in order])
