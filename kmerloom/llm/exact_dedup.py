@@ -88,6 +88,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop("head", *(f"{x}{k}" for k in range((longest - 1).bit_length() + 1) for x in ("names", "level")))
     best = F.min(F.struct((-F.col("_length")).alias("l"), F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     groups = rows.groupBy("_level", "_name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("_best"))
+    groups = scratch.save(groups, "groups")  # so that the join below has the rows of a large group dealt over several tasks
     return rows.join(groups, ["_level", "_name"]).select(
         F.col("_id").alias(id_col),
         F.col("_best.id").alias("keep_id"),

@@ -140,14 +140,16 @@ def surrogates(scratch: Scratch, entities: DataFrame, key: str) -> DataFrame:
             return settled
 
 
-def replace_pii(docs: DataFrame, key: str = "kmerloom", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per input row: id, text (with surrogates), n_entities, and entities, an array of (kind, entity, surrogate) in the order of the text.
+def replace_pii(docs: DataFrame, key: str = "kmerloom", id_col: str = "doc_id", text_col: str = "text", with_originals: bool = False) -> DataFrame:
+    """A row per input row: id, text (with surrogates), n_entities, and entities, an array of (kind, surrogate) in the order of the text;
+    with_originals adds what each stands for, for audits only.
 
     Texts without entities stay as they are; a null text stays null with no entities; null ids stay null; repeated
     rows get the same surrogates; an empty table gives an empty result; other columns are not read.
     Only texts with entities are shuffled. key: whoever has it can tell which surrogate an entity gets.
     """
     scratch = Scratch(docs.sparkSession, "pii")
+    fields = ("kind", "entity", "surrogate") if with_originals else ("kind", "surrogate")
     pattern = "|".join(f"(?:{p})" for p in KINDS.values())
     text = F.col(text_col)
     some = F.rlike(text, F.lit("[0-9@]|" + "|".join((MALE + "|" + FEMALE).split("|"))))
@@ -164,8 +166,8 @@ def replace_pii(docs: DataFrame, key: str = "kmerloom", id_col: str = "doc_id",
     table = surrogates(scratch, each, key)
     named = each.join(table, ["kind", "entity"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "kind", "entity", "surrogate"))).alias("_e"))
     new = F.array_join(F.zip_with("_parts", "_e", lambda part, e: F.concat(part, F.coalesce(e["surrogate"], F.lit("")))), "")
-    entities = F.transform("_e", lambda e: F.struct(e["kind"].alias("kind"), e["entity"].alias("entity"), e["surrogate"].alias("surrogate")))
+    entities = F.transform("_e", lambda e: F.struct(*(e[f].alias(f) for f in fields)))
     changed = with_any.join(named, "_row").select(id_col, new.alias(text_col), F.size("_e").cast("long").alias("n_entities"), entities.alias("entities"))
-    none = F.array().cast("array<struct<kind:string,entity:string,surrogate:string>>")
+    none = F.array().cast(f"array<struct<{','.join(f'{f}:string' for f in fields)}>>")
     same = base.where(F.coalesce(F.size("_found"), F.lit(0)) <= 0).select(id_col, text_col, F.lit(0).cast("long").alias("n_entities"), none.alias("entities"))
     return changed.unionByName(same)

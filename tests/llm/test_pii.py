@@ -17,7 +17,7 @@ def luhn(s):
 
 
 def test_surrogates_of_a_text(frame):
-    (r,) = replace_pii(frame([(1, TEXT)])).collect()
+    (r,) = replace_pii(frame([(1, TEXT)]), with_originals=True).collect()
     found = [(e["kind"], e["entity"], e["surrogate"]) for e in r["entities"]]
     assert [k for k, _, _ in found] == ["name", "email", "email", "name", "phone", "ip", "card", "card", "ssn", "iban", "name", "name"]
     of = {e: s for _, e, s in found}
@@ -36,6 +36,8 @@ def test_surrogates_of_a_text(frame):
 
     assert of["Mr. Smith"].split()[1] in GIVEN["m", "latin"] and of["Mrs. Anna Kovács"].split()[1] in GIVEN["f", "latin"] and of["г-жа Петрова"].split()[1] in GIVEN["f", "cyrillic"]
     assert "v1.2.3.4.5 stays, 3.14 too" in r["text"]
+    (plain,) = replace_pii(frame([(1, TEXT)])).collect()
+    assert plain["text"] == r["text"] and not any(e in str(plain) for e in of)
 
 
 def test_same_entity_same_surrogate_and_keys_differ(frame):
