@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from kmerloom.llm.quality import COUNTS, counts_of, fit, pattern_of, posterior, quality_rules, votes
+from kmerloom.llm.quality import COUNTS, RULES, counts_of, fit, pattern_of, posterior, quality_rules, votes
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -50,7 +50,7 @@ def test_em_finds_accuracies():
     y = rng.random(5000) < 0.8
     right = (0.95, 0.9, 0.85, 0.8)
     v = np.stack([np.where(rng.random(5000) < p, y, ~y) * 2 - 1 for p in right], 1)
-    share, p = fit(Counter(pattern_of(tuple(r)) for r in v.tolist()), n_rules=4)
-    assert abs(share - 0.8) < 0.04 and abs(p[1][0, 2] - 0.95) < 0.03
+    share, p = fit(Counter(pattern_of(tuple(r)) for r in v.tolist()), rules="abcd", kinds=["abcd"])
+    assert abs(share[-1] - 0.8) < 0.04 and abs(p[1][0, 2] - 0.95) < 0.03
     assert ((posterior(v + 1, share, p) > 0.5) == y).mean() > 0.95
-    assert len(votes(counts_of(""))) == 8
+    assert len(votes(counts_of(""))) == len(RULES)
