@@ -129,7 +129,7 @@ def resolve_inputs(spark: SparkSession, paths: list[str], params: SketchParams =
     stored, first_k = None, None
     loaded: set[str] = set()
     if likely:
-        rows = read_sketches(spark, *likely, mode="PERMISSIVE").withColumn("_path", F.regexp_replace("path", "^file:/*", "/"))
+        rows = read_sketches(spark, *dict.fromkeys(likely), mode="PERMISSIVE").withColumn("_path", F.regexp_replace("path", "^file:/*", "/"))
         heads = rows.select("_path", "k").collect()  # a row per input file
         loaded = {r["_path"] for r in heads}
         for p in likely:
