@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formula
-from .sketch import Sketches
+from .sketch import Sketches, named
 
 MOMENTS = ("inter", "uni", "sum_su", "sum_su2", "sum_si", "sum_si2")
 
@@ -23,36 +23,33 @@ def _meta(side: str, meta: DataFrame) -> DataFrame:
     return meta.select(*(F.col(c).alias(f"{c}_{side}") for c in ("idx", "name", "k", "n", "sum_s", "sum_s2")))
 
 
-def shared_moments(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-    """(name_a, name_b, inter and sums of least and largest simplicities) of pairs that share a hash.
+def shared_moments(hashes: DataFrame) -> DataFrame:
+    """(hi, lo, inter and sums of least and largest simplicities) of pairs of names, hi > lo, that share a hash.
 
-    ordered: left and right are the same hashes with idx, and a pair has a.idx > b.idx.
+    Names are ordered as such and not as inputs, so that hashes need no join with the names before they meet.
     """
-    a = left.select("hash", *(F.col(c).alias(f"{c}_a") for c in left.columns if c != "hash"))
-    b = right.select("hash", *(F.col(c).alias(f"{c}_b") for c in right.columns if c != "hash"))
-    joined = a.join(b, "hash")
-    if ordered:
-        joined = joined.where(F.col("idx_a") > F.col("idx_b"))
+    hashes = named(hashes)
+    a = hashes.select("hash", F.col("name").alias("hi"), F.col("s").alias("s_a"))
+    b = hashes.select("hash", F.col("name").alias("lo"), F.col("s").alias("s_b"))
     low, high = F.least("s_a", "s_b").cast("long"), F.greatest("s_a", "s_b").cast("long")
-    return joined.groupBy("name_a", "name_b").agg(
+    return a.join(b, "hash").where("hi > lo").groupBy("hi", "lo").agg(
         F.count(F.lit(1)).alias("inter"), F.sum(low).alias("low"), F.sum(low * low).alias("low2"), F.sum(high).alias("sum_si"), F.sum(high * high).alias("sum_si2")
     )
 
 
-def with_union(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """Pairs (of _meta columns of both sides) with their MOMENTS; pairs of different k have none at all."""
-    zero = F.lit(0).cast("long")
+def with_union(pairs: DataFrame) -> DataFrame:
+    """MOMENTS of pairs (_meta columns of both sides and shared_moments' sums, null without a shared hash); none if their k differ."""
     same = (F.col("k_a") == F.col("k_b")) & (F.col("k_a") > 0)
-    got = pairs.join(shared, ["name_a", "name_b"], "left").na.fill(0, ["inter", "low", "low2", "sum_si", "sum_si2"])
+    shared = {c: F.coalesce(c, F.lit(0)) for c in ("inter", "low", "low2", "sum_si", "sum_si2")}
 
     def of(c: Column) -> Column:
-        return F.when(same, c).otherwise(zero)
+        return F.when(same, c).otherwise(F.lit(0)).cast("long")
 
-    return got.select(
+    return pairs.select(
         "idx_a", "idx_b", "name_a", "name_b", F.col("k_a").alias("k"), same.alias("comparable"),
-        of(F.col("inter")).alias("inter"), of(F.col("n_a") + F.col("n_b") - F.col("inter")).alias("uni"),
-        of(F.col("sum_s_a") + F.col("sum_s_b") - F.col("low")).alias("sum_su"), of(F.col("sum_s2_a") + F.col("sum_s2_b") - F.col("low2")).alias("sum_su2"),
-        of(F.col("sum_si")).alias("sum_si"), of(F.col("sum_si2")).alias("sum_si2"),
+        of(shared["inter"]).alias("inter"), of(F.col("n_a") + F.col("n_b") - shared["inter"]).alias("uni"),
+        of(F.col("sum_s_a") + F.col("sum_s_b") - shared["low"]).alias("sum_su"), of(F.col("sum_s2_a") + F.col("sum_s2_b") - shared["low2"]).alias("sum_su2"),
+        of(shared["sum_si"]).alias("sum_si"), of(shared["sum_si2"]).alias("sum_si2"),
     )
 
 
@@ -76,19 +73,21 @@ def _checked(sketches: Sketches, strict: bool) -> None:
 def all_pairs(sketches: Sketches, strict: bool = False) -> DataFrame:
     """Moments of every pair with a.idx > b.idx, also of pairs that share nothing. Its size is the square of the number of names."""
     _checked(sketches, strict)
-    placed = sketches.hashes.join(sketches.meta.select("idx", "name", "k"), "name")
-    shared = shared_moments(placed, placed, ordered=True)
     pairs = _meta("a", sketches.meta).join(_meta("b", sketches.meta), F.col("idx_a") > F.col("idx_b"))
-    return with_union(pairs, shared)
+    pairs = pairs.withColumns({"hi": F.greatest("name_a", "name_b"), "lo": F.least("name_a", "name_b")})
+    return with_union(pairs.join(shared_moments(sketches.hashes), ["hi", "lo"], "left"))
 
 
 def linked_pairs(sketches: Sketches, strict: bool = False) -> DataFrame:
     """Moments of the pairs with a.idx > b.idx that share a hash; grows with what is shared, not with the square of the names."""
     _checked(sketches, strict)
-    placed = sketches.hashes.join(sketches.meta.select("idx", "name", "k"), "name")
-    shared = shared_moments(placed, placed, ordered=True)
-    pairs = shared.select("name_a", "name_b").join(_meta("a", sketches.meta), "name_a").join(_meta("b", sketches.meta), "name_b")
-    return with_union(pairs, shared)
+    names = [f.name for f in sketches.meta.schema if f.name in ("idx", "name", "k", "n", "sum_s", "sum_s2")]
+    meta = sketches.meta.select("name", F.struct(*names).alias("m"))
+    found = shared_moments(sketches.hashes)
+    found = found.join(meta.select(F.col("name").alias("hi"), F.col("m").alias("x")), "hi").join(meta.select(F.col("name").alias("lo"), F.col("m").alias("y")), "lo")
+    first = F.col("x.idx") > F.col("y.idx")
+    sides = found.select("*", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
+    return with_union(sides.select("inter", "low", "low2", "sum_si", "sum_si2", *(F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in names)))
 
 
 def triangle(sketches: Sketches, jukes_cantor: bool = False, strict: bool = False) -> DataFrame:

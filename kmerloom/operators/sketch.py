@@ -28,10 +28,15 @@ def distinct_hashes(found: DataFrame, min_count: int = 0) -> DataFrame:
     return found.groupBy("name", "hash").agg(F.min("s").alias("s"))
 
 
+def named(hashes: DataFrame) -> DataFrame:
+    """The rows that can meet in joins. Every user of hashes asks for the same rows, so that one plan computes them once."""
+    return hashes.where(F.col("name").isNotNull() & F.col("hash").isNotNull())
+
+
 def totals(names: DataFrame, hashes: DataFrame, params: SketchParams) -> DataFrame:
     """The meta table of names (idx, name)."""
     s = F.col("s").cast("long")
-    sums = hashes.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(s).alias("sum_s"), F.sum(s * s).alias("sum_s2"))
+    sums = named(hashes).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(s).alias("sum_s"), F.sum(s * s).alias("sum_s2"))
     kept = names.join(sums, "name", "left")
     fixed = [
         F.lit(params.k).alias("k"), F.lit(str(params.scale)).alias("scale"),

@@ -51,9 +51,16 @@ def _bases(col: str = "text") -> Column:
     return F.translate(col, SOURCE, BASES)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly if its files make fewer tasks than there are cores: the k-mer kernel is bound by CPU."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(name, seq) of the documents, dealt out evenly: the k-mer kernel is bound by CPU and files may be few."""
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), _bases().alias("seq")).repartition(spark.sparkContext.defaultParallelism)
+    """(name, seq) of the documents."""
+    rows = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(F.col("doc_id").cast("string").alias("name"), _bases().alias("seq"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
