@@ -105,7 +105,7 @@ def mixed(
 
     A null text has no words, a null source is a source of its own that comes last, a null id sorts first, repeated
     rows are documents each, and an empty table gives empty results. The order of words within a source is by
-    bucket (a hash of the id) and then id; sums per bucket give each bucket's place, so no source meets in one
+    bucket (a hash of id and text) and then id; sums per bucket give each bucket's place, so no source meets in one
     task. Only a row per source and the draws (shards times sources) pass through the driver.
     """
     spark = docs.sparkSession
@@ -118,7 +118,7 @@ def mixed(
             F.col(id_col).alias("_id"),
             F.col(source_col).alias("_source"),
             F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).cast("int").alias("_bucket"),
+            F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(buckets)).cast("int").alias("_bucket"),
             *([whole_row(docs)] if whole else []),
         ),
         "sized",

@@ -61,7 +61,7 @@ def _with_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     first row of a class that can have partners, alone (its shingles that no other chunk or class has), apart (those at most a quarter as
     common as its median one: how far it is edited from what it was copied from) and tokens (all but alone, rarest first)."""
     chunks = chunk_count(docs, text_col, chunk_bytes)
-    bits = min(64, 8 * -(-(max(1, chunks * chunk_bytes).bit_length() + 7) // 8))
+    bits = min(64, 8 * -(-(max(1, chunks * max(chunks, chunk_bytes)).bit_length() + 7) // 8))
     high = np.uint64(((1 << bits) - 1) << (64 - bits))  # keys for counting: enough bits that few shingles share one; they only set the order
 
     def classes(table: pa.Table) -> tuple[list[np.ndarray], list[bytes | None], list[int]]:

@@ -1,6 +1,6 @@
 """Corpus-wide counts of keys, asked for and answered chunk by chunk.
 
-Documents are dealt by a hash of their id into chunks of bounded size. Each chunk asks for the keys that it
+Documents are dealt by a hash of id and text into chunks of bounded size. Each chunk asks for the keys that it
 has, once each, with its own counts: sorted, cut into key ranges, delta-coded and packed. Each key range adds
 up what all chunks have and answers every chunk in the order in which it asked. So a key that a third of all
 documents have costs one entry per chunk, no count is broadcast, and what crosses the network grows as the
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -59,8 +60,10 @@ def ranges_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def chunk_count(docs: DataFrame, text_col: str, chunk_bytes: int) -> int:
+    """How many chunks to deal docs into: of chunk_bytes of text each, or more where the corpus is so large that what a chunk
+    sends to a key range would fall under about a kilobyte (then chunks grow as the root of the corpus)."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(1, -(-total // chunk_bytes))
+    return max(1, -(-total // max(chunk_bytes, math.isqrt(total << 10))))
 
 
 def tallied(
@@ -76,7 +79,7 @@ def tallied(
     number of distinct keys with a count, and the sum of all counts. Both must see the same keys for the same
     rows in any order.
     """
-    dealt = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int").alias("_chunk")).repartition(chunks, "_chunk")
+    dealt = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("_chunk")).repartition(chunks, "_chunk")
 
     ranges = max(1, chunks // 2)
 
