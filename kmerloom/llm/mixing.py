@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Slots are made in runs of so many, so that no row carries more at once.
+_RUN = 8192
 
 
 def targets_of(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> list[tuple[str | None, int, float]]:
@@ -149,8 +151,9 @@ def mixed(
     slot = F.col("_j") % F.col("_n")
     index = ((slot.cast("decimal(18,0)") * F.col("_step").cast("decimal(18,0)") + F.col("_shift").cast("decimal(18,0)")).cast(wide) % F.col("_n").cast(wide)).cast("long")
     slots = (
-        draws.repartition(F.col("_shard"), F.col("_k"))
-        .select("_shard", "_k", F.explode(F.sequence(F.col("_begin"), F.col("_begin") + F.col("_count") - 1)).alias("_j"))
+        draws.select("_shard", "_k", (F.col("_begin") + F.col("_count") - 1).alias("_end"), F.explode(F.sequence(F.col("_begin"), F.col("_begin") + F.col("_count") - 1, F.lit(_RUN).cast("long"))).alias("_lo"))
+        .repartition("_shard", "_k", "_lo")
+        .select("_shard", "_k", F.explode(F.sequence("_lo", F.least(F.col("_lo") + (_RUN - 1), F.col("_end")))).alias("_j"))
         .join(source, "_k")
         .select(
             "_shard", "_k", F.col("_j").alias("_slot"), F.floor(F.col("_j") / F.col("_n")).cast("long").alias("_round"), index.alias("_index"),
