@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import string
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,25 +12,28 @@ def mutate(records: DataFrame, rate: float, seed: int = 42, indels: bool = True,
     """(name, seq, n_changed, true_d): floor(length * rate) distinct positions of each sequence changed.
 
     A changed base becomes one of the three others nine times of ten, and else a random base comes before it or it goes,
-    evenly; without indels always another base. Positions are those with the smallest hashes of (name, position, seed); the order of
-    equal hashes is by position. Sequences are handled by base, so long ones spread over tasks until put together again. Letters
-    other than ACGT become A, C, G or T when changed.
+    evenly; without indels always another base. Positions are those with the smallest digests of (name, position, seed); choices come
+    from later digits of the same digest. Letters other than ACGT become A, C, G or T when changed. Bases are ranked within
+    buckets of digests, and counts per bucket say which buckets are in, so a long sequence spreads over tasks until it is put together again.
     """
-    base = records.select(F.col(name_col).alias("name"), F.upper(seq_col).alias("seq"))
+    base = records.select(F.col(name_col).alias("name"), F.translate(seq_col, string.ascii_lowercase, string.ascii_uppercase).alias("seq"))  # ASCII alone, so that no letter becomes two
     each = base.select("name", F.length("seq").alias("n"), F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("pos", "base"))
-    wanted = F.floor(F.col("n") * F.lit(rate)).cast("long")
-    hashed = F.xxhash64("name", "pos", F.lit(seed))
-    ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(hashed, "pos")))
+    each = each.withColumn("digest", F.md5(F.concat_ws(":", "name", "pos", F.lit(seed)).cast("binary"))).withColumn("bucket", F.substring("digest", 1, 3))
+    sums = each.groupBy("name", "n", "bucket").agg(F.count(F.lit(1)).alias("c"))  # at most 4096 buckets a name
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = sums.select("name", "bucket", (F.floor(F.col("n") * F.lit(rate)) - before).alias("room"))
+    place = F.row_number().over(Window.partitionBy("name", "bucket").orderBy("digest", "pos"))
 
-    def draw(salt: int, n: int):  # noqa: ANN202
-        return F.pmod(F.xxhash64("name", "pos", F.lit(seed), F.lit(salt)), F.lit(n))
+    def draw(first: int, n: int) -> Column:
+        return (F.conv(F.substring("digest", first, 8), 16, 10).cast("long") % n).cast("int")
 
     letters = F.array(*map(F.lit, "ACGT"))
-    other = F.element_at(F.array_except(letters, F.array("base")), (draw(1, 3) + 1).cast("int"))
-    extra = F.element_at(letters, (draw(2, 4) + 1).cast("int"))
-    kind = draw(3, 20) if indels else F.lit(0)
+    other = F.element_at(F.array_except(letters, F.array("base")), draw(25, 3) + 1)
+    extra = F.element_at(letters, draw(9, 4) + 1)
+    kind = draw(17, 20) if indels else F.lit(0)
     changed = F.when(kind < 18, other).when(kind == 18, F.concat(extra, F.col("base"))).otherwise(F.lit(""))
-    written = ranked.withColumn("chosen", F.col("place") <= wanted).withColumn("out", F.when(F.col("chosen"), changed).otherwise(F.col("base")))
+    ranked = each.withColumn("place", place).join(room, ["name", "bucket"])
+    written = ranked.withColumn("chosen", F.col("place") <= F.col("room")).withColumn("out", F.when(F.col("chosen"), changed).otherwise(F.col("base")))
     blocks = written.groupBy("name", "n", F.floor(F.col("pos") / block).alias("block")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("part"), F.sum(F.col("chosen").cast("long")).alias("c")
     )

@@ -202,7 +202,11 @@ def name_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", E.name_stem(path).alias("stem"), E.short_stem(path).alias("short_stem"))
 
 
-@query(None)
+@query(f"""WITH q AS ({_sql_seq(*_ITEM)}), b AS (SELECT name, CAST(length(seq) AS BIGINT) AS n, pos, substring(seq, pos + 1, 1) AS base, md5(concat_ws(':', name, pos, 42)) AS g
+        FROM (SELECT name, seq, CAST(unnest(range(0, length(seq))) AS INTEGER) AS pos FROM q)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY g, pos) <= floor(n * 0.1) AS chosen FROM b),
+    o AS (SELECT *, CASE WHEN chosen THEN list_filter(['A', 'C', 'G', 'T'], lambda x: x <> base)[CAST(CAST('0x' || substring(g, 25, 8) AS BIGINT) % 3 AS INTEGER) + 1] ELSE base END AS w FROM r)
+    SELECT name, string_agg(w, '' ORDER BY pos) AS seq, CAST(sum(CAST(chosen AS INTEGER)) AS BIGINT) AS n_changed, CAST(sum(CAST(chosen AS INTEGER)) AS DOUBLE) / n AS true_d FROM o GROUP BY name, n""")
 def mutate_snp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutate(_items(spark, sf_dir), 0.1, indels=False)
 
