@@ -8,7 +8,6 @@ driver sees only the counts of vote patterns, of which there are at most 3 to th
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from operator import eq
 
@@ -23,7 +22,7 @@ SYMBOLS = b"#*$%&|<>"
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_upper", "n_letters", "n_symbol_words", "n_marks", "n_stutters")
 RULES = ("length", "word_length", "symbols", "symbol_words", "dup_lines", "repeats", "case", "letters", "line_ends", "marks", "stutters")
-_SYMBOL_WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]*[#*$%&|<>][^ \t\n\x0b\x0c\r]*")
+_AS_ONE = bytes(35 if b in SYMBOLS else b for b in range(256))
 
 
 def repeated_words(words: list[bytes], size: int = 5) -> int:
@@ -75,7 +74,7 @@ def counts_of(text: str) -> tuple[int, ...]:
         ended,
         upper,
         letters,
-        len(_SYMBOL_WORD.findall(data)) if symbols else 0,
+        sum(b"#" in w for w in data.translate(_AS_ONE).split()) if symbols else 0,
         text.count("!") + text.count("?"),
         sum(map(eq, words, words[1:])),
     )

@@ -29,6 +29,14 @@ def test_counts(odd_rows):
         assert counts_of(t or "")[:5] == naive(t)
 
 
+def test_long_words_take_linear_time():
+    import time
+
+    began = time.monotonic()
+    assert counts_of("# " + "x" * 1_000_000 + " a|b")[9] == 2
+    assert time.monotonic() - began < 5
+
+
 def test_verdicts(frame, odd_rows):
     rng = random.Random(2)
     good = [" ".join(rng.choices([f"word{k}" for k in range(400)], k=80)) + "." for _ in range(60)]
