@@ -99,7 +99,7 @@ def _hypergeometric(rng: random.Random, good: int, pool: int, draws: int) -> int
 
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    block: int = 64, shards: int = 64, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 17, rows_a_bucket: int = 5_000, whole: bool = False,
+    block: int = 64, shards: int = 64, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 17, rows_a_bucket: int = 1_000, whole: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces). documents has a row per input row: _row, id, _k (its source), size, source_size, target, taken, and with whole
     _all, its columns. pieces has a row per document and taken block part: _row, _round, _from, _upto, _shard, _slot (word places in the
@@ -113,7 +113,7 @@ def mixed(
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     n_rows = docs.count()
-    buckets = max(1, -(-n_rows // rows_a_bucket))
+    buckets = max(1, -(-n_rows // max(rows_a_bucket, math.isqrt(n_rows))))  # a bucket and a source's row of buckets both grow as the root at most
     sized = scratch.save(
         docs.select(
             F.monotonically_increasing_id().alias("_row"),
