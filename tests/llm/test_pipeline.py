@@ -30,6 +30,18 @@ def test_stages_on_a_small_corpus(spark, frame, tmp_path):
     assert {r["doc_id"] for r in packed} == seen[3][1] and max(r["sequence_id"] for r in packed) >= 0
 
 
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_stages_on_odd_rows_and_none(spark, frame, odd_rows, tmp_path, rows):
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = frame(odd_rows if rows == "odd" else [], clash=True)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count() and (rows == "odd") == (packed.count() > 0)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_over_whole_tables(spark, name):
