@@ -68,14 +68,14 @@ def chunk_count(docs: DataFrame, text_col: str, chunk_bytes: int) -> int:
 
 def tallied(
     docs: DataFrame, id_col: str, text_col: str, chunks: int,
-    ask: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
-    use: Callable[[pa.Table, np.ndarray, tuple[int, int]], pa.Table],
+    ask: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, bytes | None]],
+    use: Callable[[pa.Table, np.ndarray, tuple[int, int], bytes | None], pa.Table],
     schema: str, answer: type = np.uint32, shrink: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
-    """use(texts, answers, (distinct, total)) for each chunk of docs, as a DataFrame of schema.
+    """use(texts, answers, (distinct, total), note) for each chunk of docs, as a DataFrame of schema.
 
     texts: the chunk's rows (id, text). ask(texts) gives the chunk's sorted distinct keys and its counts of them
-    (0 to ask only); use gets the corpus-wide counts in the same order, shrunk by shrink to the type answer, the
+    (0 to ask only), and a note to itself, or None, that use gets; use also gets the corpus-wide counts in the same order, shrunk by shrink to the type answer, the
     number of distinct keys with a count, and the sum of all counts. Both must see the same keys for the same
     rows in any order.
     """
@@ -85,14 +85,19 @@ def tallied(
 
     def asking(table: pa.Table) -> pa.Table:
         lean_memory()
-        keys, counts = ask(table)
+        keys, counts, note = ask(table)
         at = ranges_of(keys, ranges)
         chunk = table.column("_chunk")[0].as_py()
         rows = [(k, chunk, packed_keys(keys[a:b]), packed(counts[a:b].astype(np.uint32))) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+        if note is not None:
+            rows.append((-1 - chunk, chunk, note, b""))  # a range of its own, which passes it on
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["_range", "_chunk", "_keys", "_counts"])
 
     def answering(table: pa.Table) -> pa.Table:
         lean_memory()
+        if table.column("_range")[0].as_py() < 0:
+            zero = pa.array([0] * table.num_rows, pa.int64())
+            return pa.table([table.column("_chunk"), table.column("_range"), table.column("_keys"), zero, zero], ["_chunk", "_range", "_answers", "_distinct", "_total"])
         askers = table.column("_chunk").to_pylist()
         keys = [unpacked_keys(x.as_py()) for x in table.column("_keys")]
         counts = [unpacked(x.as_py(), np.uint32) for x in table.column("_counts")]
@@ -121,10 +126,12 @@ def tallied(
 
     def using(texts: pa.Table, answers: pa.Table) -> pa.Table:
         lean_memory()
-        order = np.argsort(answers.column("_range").to_numpy())
+        places = answers.column("_range").to_numpy()
+        order = np.argsort(places)
         got = answers.column("_answers").to_pylist()
-        whole = np.concatenate([unpacked(got[k], answer) for k in order])
-        return use(texts, whole, (sum(answers.column("_distinct").to_pylist()), sum(answers.column("_total").to_pylist())))
+        whole = np.concatenate([unpacked(got[k], answer) for k in order if places[k] >= 0])
+        note = next((got[k] for k in order if places[k] < 0), None)
+        return use(texts, whole, (sum(answers.column("_distinct").to_pylist()), sum(answers.column("_total").to_pylist())), note)
 
     asked = dealt.groupBy("_chunk").applyInArrow(asking, "_range int, _chunk int, _keys binary, _counts binary")
     answered = asked.repartition(ranges, "_range").groupBy("_range").applyInArrow(answering, "_chunk int, _range int, _answers binary, _distinct long, _total long")

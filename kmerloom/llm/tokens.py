@@ -59,7 +59,7 @@ class WordEncoder:
             got: list = []
             for lo in range(0, len(new), 20_000):
                 words = [bytes(raw[starts[k] : ends[k]]).lower().decode() for k in new[lo : lo + 20_000]]
-                got += [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+                got += [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             count = np.fromiter(map(len, got), np.int64, len(got))
             begin = len(self.pool) + np.cumsum(count) - count
             self.pool = np.append(self.pool, np.fromiter((x for ids in got for x in ids), np.uint16, int(count.sum())))

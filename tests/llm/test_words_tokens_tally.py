@@ -59,10 +59,11 @@ def test_tally_counts_everything(frame, chunks):
 
     def keys_of(table):
         words = [w for t in table.column("_text").to_pylist() for w in t.split()]
-        return np.unique(np.array([hash(("k", int(w[1:]))) % (1 << 64) for w in words], np.uint64), return_counts=True)
+        return *np.unique(np.array([hash(("k", int(w[1:]))) % (1 << 64) for w in words], np.uint64), return_counts=True), str(table.num_rows).encode()
 
-    def use(table, answers, everything):
-        keys, _ = keys_of(table)
+    def use(table, answers, everything, note):
+        keys, _, _ = keys_of(table)
+        assert note == str(table.num_rows).encode()
         return pa.table([pa.array(keys.view(np.int64)), pa.array(answers.astype(np.int64)), pa.array([everything[0]] * len(keys)), pa.array([everything[1]] * len(keys))], ["k", "c", "d", "t"])
 
     got = {(r["k"], r["c"], r["d"], r["t"]) for r in tallied(frame(rows), "doc_id", "text", chunks, keys_of, use, "k long, c long, d long, t long").collect()}
