@@ -30,7 +30,9 @@ def lean_memory() -> None:
         _lean = True
         pa.set_memory_pool(pa.system_memory_pool())
         with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: chunk-sized arrays go back at once, a batch's are used again
+            libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
 
 
 def packed(values: np.ndarray) -> bytes:
