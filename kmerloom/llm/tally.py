@@ -72,13 +72,13 @@ def tallied(
     docs: DataFrame, id_col: str, text_col: str, chunks: int,
     ask: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, bytes | None]],
     use: Callable[[pa.Table, np.ndarray, tuple[int, int], bytes | None], pa.Table],
-    schema: str, answer: type = np.uint32, shrink: Callable[[np.ndarray], np.ndarray] | None = None,
+    schema: str, answer: type = np.uint64, shrink: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """use(texts, answers, (distinct, total), note) for each chunk of docs, as a DataFrame of schema.
 
     texts: the chunk's rows (id, text). ask(texts) gives the chunk's sorted distinct keys and its counts of them
-    (0 to ask only), and a note to itself, or None, that use gets; use also gets the corpus-wide counts in the same order, shrunk by shrink to the type answer, the
-    number of distinct keys with a count, and the sum of all counts. Both must see the same keys for the same
+    (0 to ask only), and a note to itself, or None, that use gets; use also gets the corpus-wide counts in the same order, shrunk by shrink to the type answer (whole counts
+    need 64 bits: a chunk's own fit in 32, the corpus's do not), the number of distinct keys with a count, and the sum of all counts. Both must see the same keys for the same
     rows in any order.
     """
     dealt = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("_chunk")).repartition(chunks, "_chunk")

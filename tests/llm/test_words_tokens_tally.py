@@ -72,3 +72,14 @@ def test_tally_counts_everything(frame, chunks):
     want = Counter(w for _, t in rows for w in (t or "").split())
     assert sorted(c for _, c, _, _ in got) == sorted(want.values())
     assert {(d, t) for _, _, d, t in got} == {(len(want), sum(want.values()))}
+
+
+def test_tally_counts_beyond_32_bits(frame):
+    most = (1 << 32) - 1
+
+    def use(table, answers, everything, note):
+        return pa.table([pa.array(answers.astype(np.int64)), pa.array([everything[1]])], ["c", "t"])
+
+    rows = [(i, f"text {i}") for i in range(40)]
+    got = tallied(frame(rows), "doc_id", "text", 5, lambda table: (np.array([7], np.uint64), np.array([most]), None), use, "c long, t long").collect()
+    assert len(got) > 1 and {(r["c"], r["t"]) for r in got} == {(most * len(got),) * 2}
