@@ -8,21 +8,25 @@ words never seen are one.
 Texts are scored in overlapping windows: every token is scored once, in the window that shows it the most
 context, with the attention of many windows done as one masked batch.
 
-Word counts for the base score and subword counts for the model come from all training documents by way of
-tally: nothing of the corpus is broadcast, and what crosses the network follows the corpus.
+The model learns from every place of every training document, in groups of chunks side by side whose changes are
+averaged; classes come from neighbours counted over all of them. Word counts for the base score and subword counts
+come by way of tally: nothing of the corpus is broadcast, and what crosses the network follows the corpus.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, first_by_hash
-from .tally import chunk_count, packed, tallied, unpacked
+from .common import Scratch
+from .tally import chunk_count, lean_memory, packed, tallied, unpacked
 from .tokens import default_tokenizer, ragged, word_encoder
 from .words import hashed_words, mix64
 
@@ -66,19 +70,21 @@ class Attention:
         a = q @ k.transpose(0, 2, 1)
         a *= w**-0.5
         a += self.mask[:t, :t]
-        a -= a.max(2, keepdims=True)
+        a -= largest(a)
         np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
+        a /= (a.reshape(-1, t) @ np.ones(t, a.dtype)).reshape(n, t, 1)
         c = a @ v
         h = e + (c.reshape(-1, w) @ p["out"]).reshape(n, t, w)
         u = np.maximum(h.reshape(-1, w) @ p["up"], 0)
         g = h.reshape(-1, w) + u @ p["down"]
         z = g @ p["top"]
         z += p["bias"]
-        z -= z.max(1, keepdims=True)
+        z -= largest(z)
         s = np.exp(z)
-        z -= np.log(s.sum(1, keepdims=True))
-        return z, (e, q, k, v, a, c, h, u, g)
+        total = (s @ np.ones(s.shape[1], s.dtype))[:, None]
+        z -= np.log(total)
+        s /= total
+        return z, (e, q, k, v, a, c, h, u, g, s)
 
     def log_of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """forward()'s log probabilities of the classes y (n, window) alone, in fewer passes.
@@ -110,13 +116,15 @@ class Attention:
         return got - np.log(z @ np.ones(z.shape[1], np.float32))
 
     def backward(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, kept: tuple) -> dict[str, np.ndarray]:
+        """Gradients of the mean loss; places whose class is below 0 have none."""
         p, w = self.p, self.width
-        e, q, k, v, a, c, h, u, g = kept
+        e, q, k, v, a, c, h, u, g, s = kept
         n, t = x.shape
-        d = np.exp(z)
+        d = s.copy()
         d[np.arange(len(d)), y.reshape(-1)] -= 1
-        d /= len(d)
-        grad = {"top": g.T @ d, "bias": d.sum(0)}
+        d[y.reshape(-1) < 0] = 0
+        d /= max(1, int((y >= 0).sum()))
+        grad = {"top": g.T @ d, "bias": np.ones(len(d), d.dtype) @ d}
         dg = d @ p["top"].T
         grad["down"] = u.T @ dg
         du = (dg @ p["down"].T) * (u > 0)
@@ -125,36 +133,41 @@ class Attention:
         grad["out"] = c.reshape(-1, w).T @ dh
         dc = (dh @ p["out"].T).reshape(n, t, w)
         dv, da = a.transpose(0, 2, 1) @ dc, dc @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * w**-0.5
+        ds = a * (da - np.einsum("ijk,ijk->ij", da, a)[..., None]) * a.dtype.type(w**-0.5)
         dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], 2).reshape(-1, 3 * w)
         grad["qkv"] = e.reshape(-1, w).T @ dqkv
         de = (dh + dqkv @ p["qkv"].T).reshape(n, t, w)
         grad["place"] = np.zeros_like(p["place"])
         grad["place"][:t] = de.sum(0)
-        ids, inverse = np.unique(x.reshape(-1), return_inverse=True)
-        rows = np.zeros((len(ids), w), np.float32)
-        np.add.at(rows, inverse, de.reshape(-1, w))
-        grad["embed"] = (ids, rows)
+        flat = x.reshape(-1).astype(np.uint16) if len(p["embed"]) <= 1 << 16 else x.reshape(-1)  # 16 bits sort in linear time
+        order = np.argsort(flat, kind="stable")
+        at = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))
+        ids = x.reshape(-1)[order[at]]
+        grad["embed"] = (ids, np.add.reduceat(de.reshape(-1, w)[order], at))
         return grad
 
-    def train(self, ids: np.ndarray, steps: int = 500, batch: int = 96, rate: float = 4e-3, seed: int = 6) -> None:
-        """Adam on random windows of a row of ids (texts with their ends)."""
+    def train(self, x: np.ndarray, y: np.ndarray, least_steps: int = 1, rate: float = 4e-3, batch: int = 96, seed: int = 6) -> None:
+        """Adam over all windows x and the ids y that follow (below 0: none), in random order, as often as least_steps need, once at least."""
         rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(x) for k, x in self.p.items()}
-        s = {k: np.zeros_like(x) for k, x in self.p.items()}
-        spots = np.arange(self.window + 1)
-        for step in range(1, steps + 1 if len(ids) > self.window + 1 else 1):
-            rows = ids[rng.integers(0, len(ids) - self.window - 1, batch)[:, None] + spots]
-            x, y = rows[:, :-1], self.class_of[rows[:, 1:]]
-            z, kept = self.forward(x)
+        m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        a_pass = -(-len(x) // batch)
+        steps = a_pass * max(1, -(-least_steps // max(1, a_pass)))
+        for step in range(1, steps + 1):
+            if (step - 1) % a_pass == 0:
+                order = rng.permutation(len(x))
+            at = order[(step - 1) % a_pass * batch :][:batch]
+            inputs, ids = x[at], y[at]
+            classes = np.where(ids < 0, -1, self.class_of[ids])
+            z, kept = self.forward(inputs)
             now = rate * min(1.0, step / 30) * (1 - 0.9 * step / steps)
-            for name, g in self.backward(x, y, z, kept).items():
+            for name, g in self.backward(inputs, classes, z, kept).items():
                 at = slice(None)
                 if name == "embed":
                     at, g = g
-                m[name][at] = 0.9 * m[name][at] + 0.1 * g
-                s[name][at] = 0.98 * s[name][at] + 0.02 * g * g
-                self.p[name][at] -= now * m[name][at] / (np.sqrt(s[name][at]) + 1e-7)
+                m[name][at] = mean = 0.9 * m[name][at] + 0.1 * g
+                s[name][at] = square = 0.98 * s[name][at] + 0.02 * g * g
+                self.p[name][at] -= now * mean / (np.sqrt(square) + 1e-7)
 
     def class_log10(self, ids: np.ndarray, bounds: np.ndarray, stride: int = 24, batch: int = 128) -> np.ndarray:
         """log10 P(class) of every id, given the ids before it in its row (rows: bounds[k] to bounds[k + 1], none empty).
@@ -185,20 +198,42 @@ class Attention:
         return out / np.float32(np.log(10))
 
 
-def classes_of(ids: np.ndarray, n_ids: int, n_classes: int = 64, seed: int = 7) -> np.ndarray:
-    """A class for each id: k-means over what stands before and after it in a row of ids; ids not seen share class 0."""
-    count = np.bincount(ids, minlength=n_ids)
+def largest(x: np.ndarray) -> np.ndarray:
+    """x.max(-1, keepdims=True), by halves, which is several times as fast on short rows."""
+    while x.shape[-1] > 1:
+        half = x.shape[-1] // 2
+        top = np.maximum(x[..., :half], x[..., half : 2 * half])
+        x = np.maximum(top, x[..., -1:]) if x.shape[-1] % 2 else top
+    return x
+
+
+def hubs_of(count: np.ndarray) -> np.ndarray:
+    """The place of each id among the 128 commonest, or -1."""
     hubs = np.argsort(-count, kind="stable")[:128]
-    hub = np.full(n_ids, -1)
+    hub = np.full(len(count), -1)
     hub[hubs] = np.arange(len(hubs))
+    return hub
+
+
+def neighbours(before: np.ndarray, after: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    """A place in a table of 256 columns an id for each neighbour that is a hub: those after an id, then those before it."""
+    right, left = hub[after] >= 0, hub[before] >= 0
+    return np.concatenate([before[right] * 256 + hub[after[right]], after[left] * 256 + hub[before[left]] + 128])
+
+
+def classes_of(ids: np.ndarray, n_ids: int, n_classes: int = 64, seed: int = 7) -> np.ndarray:
+    """A class for each id by its neighbours in a row of ids."""
+    count = np.bincount(ids, minlength=n_ids)
+    table = np.bincount(neighbours(ids[:-1], ids[1:], hubs_of(count)), minlength=n_ids * 256).reshape(n_ids, 256)
+    return classes_by(count, table.astype(np.float32), n_classes, seed)
+
+
+def classes_by(count: np.ndarray, table: np.ndarray, n_classes: int = 64, seed: int = 7) -> np.ndarray:
+    """A class for each id: k-means over what stands before and after it (table, as of neighbours()); ids not seen share class 0."""
     seen = np.flatnonzero(count)
-    place = np.full(n_ids, -1)
-    place[seen] = np.arange(len(seen))
-    table = np.zeros((len(seen), 256), np.float32)
-    for side, (a, b) in enumerate(((ids[:-1], ids[1:]), (ids[1:], ids[:-1]))):
-        ok = hub[b] >= 0
-        np.add.at(table, (place[a[ok]], hub[b[ok]] + 128 * side), 1)
-    table = np.sqrt(table / np.maximum(table.sum(1, keepdims=True), 1))
+    table = table[seen]
+    table /= np.maximum(table.sum(1, keepdims=True), 1)
+    np.sqrt(table, out=table)
     table = np.hstack([table, 0.15 * np.log1p(count[seen])[:, None].astype(np.float32)])
     rng = np.random.default_rng(seed)
     weight = np.sqrt(count[seen]).astype(np.float32)
@@ -207,25 +242,150 @@ def classes_of(ids: np.ndarray, n_ids: int, n_classes: int = 64, seed: int = 7)
     of = np.zeros(len(seen), np.int64)
     for _ in range(8 if k else 0):
         of = np.argmax(table @ centre.T - 0.5 * (centre**2).sum(1), 1)
-        total = np.zeros_like(centre)
-        np.add.at(total, of, table * weight[:, None])
-        mass = np.bincount(of, weight, k)
-        centre = np.where(mass[:, None] > 0, total / np.maximum(mass, 1e-9)[:, None], centre).astype(np.float32)
-    out = np.zeros(n_ids, np.int64)
+        for c in range(k):
+            own = np.flatnonzero(of == c)
+            if len(own):
+                centre[c] = weight[own] @ table[own] / weight[own].sum()
+    out = np.zeros(len(count), np.int64)
     out[seen] = of + 1
     return out
 
 
-def _training_ids(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int, tokenizer: str, most_docs: int, most_bytes: int) -> np.ndarray:
-    """Ids of the training texts of at most most_bytes among the first most_docs by a hash of the id."""
-    hashed = F.xxhash64(F.col(id_col), F.lit(3))
-    usable = docs.where(crc_bucket(id_col, folds) != fold)
-    drawn = first_by_hash(usable.select(hashed.alias("h")), "h", most_docs).distinct()  # from the ids alone
-    rows = usable.select(hashed.alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(drawn), "h")  # most_docs rows
-    rows = rows.where(F.octet_length("t") <= most_bytes)
-    texts = [r["t"] for r in rows.orderBy("h", "t").limit(most_docs).collect()]  # at most most_docs * most_bytes
-    ids, _ = word_encoder(tokenizer).encode(pa.array(texts, pa.string()), _end_id(tokenizer))
-    return ids.astype(np.int64)
+def joined(*parts: bytes) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def parted(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def training_rows(note: bytes, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds) of a chunk's training texts, whole, each with its end, in an order that follows from the texts alone."""
+    count, spread, place, n, train, *_ = parted(note)
+    size = np.append(unpacked(count, np.uint32).astype(np.int64), 1)
+    pool, n, train = np.append(unpacked(spread, np.uint16), np.uint16(end_id)), unpacked(n, np.uint32).astype(np.int64), np.frombuffer(train, bool)
+    own = np.insert(unpacked(place, np.uint32).astype(np.int64), np.cumsum(n), len(size) - 1)[np.repeat(train, n + 1)]
+    ids, bounds = ragged(pool, (np.cumsum(size) - size)[own], size[own], np.concatenate([[0], np.cumsum(n[train] + 1)]))
+    order = np.argsort([xxhash.xxh3_64_intdigest(ids[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], kind="stable")
+    n = np.diff(bounds)[order]
+    ids, bounds = ragged(ids, bounds[:-1][order], n, np.arange(len(n) + 1))
+    return ids.astype(np.int64), bounds
+
+
+def training_windows(ids: np.ndarray, bounds: np.ndarray, start: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): every id once in y, with the inputs of its row before it in x; y is -1 beyond a row's end."""
+    inputs = np.empty(len(ids), np.int64)
+    inputs[1:] = ids[:-1]
+    inputs[bounds[:-1]] = start
+    per_row = -(-np.diff(bounds) // window)
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+    at = (bounds[row] + k * window)[:, None] + np.arange(window)
+    inside = at < bounds[row + 1][:, None]
+    at = np.minimum(at, max(0, len(ids) - 1))
+    return inputs[at].astype(np.int32), np.where(inside, ids[at], -1).astype(np.int32)
+
+
+def summed(parts: DataFrame) -> list[np.ndarray]:
+    """Per slice (_slice 0, 1, ...), the sum of its parts (_part, _sum: float64, packed), always in the same order; no parts: no slices."""
+
+    def add(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("_part").to_numpy())
+        total = np.float64(0)
+        for k in order:
+            total = total + unpacked(table.column("_sum")[int(k)].as_py(), np.float64)
+        return pa.table([table.column("_slice")[:1], pa.array([packed(total)], pa.binary())], ["_slice", "_sum"])
+
+    rows = parts.groupBy("_slice").applyInArrow(add, "_slice int, _sum binary").collect()  # of the size of a model or a table of neighbours
+    return [unpacked(r["_sum"], np.float64) for r in sorted(rows)]
+
+
+#: Slices that a sum over the corpus is cut into, and chunks that are learned in one go.
+_SLICES, _TOGETHER = 16, 2
+
+
+def learned(notes: DataFrame, chunks: int, n_ids: int, steps: int) -> Attention:
+    """A model from all training texts, by the chunks' notes (_chunk, _note).
+
+    Classes come from neighbours counted over all chunks. The first group of chunks is learned from the start, in steps
+    steps or more; then, in a few rounds, each other group goes on from the model so far with all its windows, once,
+    and the changes are averaged: an id's vector by how often the groups have it, all else by windows.
+    """
+    end_id, spark = n_ids - 1, notes.sparkSession
+    slices = [n_ids * k // _SLICES for k in range(_SLICES + 1)]
+    kinds = "_slice int, _part int, _sum binary"
+
+    def sliced(part: int, vectors: list[np.ndarray]) -> pa.RecordBatch:
+        n = len(vectors)
+        columns = [pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([packed(v.astype(np.float64)) for v in vectors], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["_slice", "_part", "_sum"])
+
+    def all_counts(of: Callable[[np.ndarray, np.ndarray], np.ndarray], columns: int) -> list[np.ndarray]:
+        """Counts of all places in a table of columns an id that of(ids, bounds) gives, by slices of ids."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lean_memory()
+            total = np.zeros(n_ids * columns, np.uint32)
+            for batch in batches:
+                for note in batch.column(0):
+                    np.add.at(total, of(*training_rows(note.as_py(), end_id)), np.uint32(1))
+            yield sliced(0, [total[a * columns : b * columns] for a, b in zip(slices[:-1], slices[1:], strict=True)])
+
+        return summed(notes.select("_note").mapInArrow(count, kinds))
+
+    got = all_counts(lambda ids, bounds: ids, 1)
+    count = np.concatenate(got) if got else np.zeros(n_ids)
+    hub = hubs_of(count)
+    table = np.zeros((n_ids, 256), np.float32)
+    for a, b, part in zip(slices[:-1], slices[1:], all_counts(lambda ids, bounds: neighbours(np.append(end_id, ids)[:-1], ids, hub), 256), strict=False):
+        table[a:b] = part.reshape(-1, 256)
+    model = Attention(n_ids, 64, classes_by(count, table))
+    del table
+    dense = [k for k in model.p if k != "embed"]
+    groups = -(-chunks // _TOGETHER)
+    rounds = max(1, min(8, (groups - 1) // 24)) if groups > 1 else 0
+
+    def learn(r: int) -> list[np.ndarray]:
+        """Sums over the groups of round r: slices of changes of ids' vectors and their weights, then of all else."""
+        shared = spark.sparkContext.broadcast(model)  # a model of fixed size
+
+        def work(table: pa.Table) -> pa.Table:
+            lean_memory()
+            group = table.column("_group")[0].as_py()
+            mine: Attention = copy.deepcopy(shared.value)
+            some = []
+            for k in np.argsort(table.column("_chunk").to_numpy()):
+                some.append(training_windows(*training_rows(table.column("_note")[int(k)].as_py(), end_id), n_ids, mine.window))
+            x, y = (np.concatenate(side) for side in zip(*some, strict=True))
+            was = {k: v.copy() for k, v in mine.p.items()}
+            mine.train(x, y, *((steps, 4e-3) if r == 0 else (1, 1e-3)), seed=6 + group)
+            weight = np.bincount(x.reshape(-1), minlength=n_ids + 1)
+            ids = np.hstack([(mine.p["embed"] - was["embed"]) * weight[:, None], weight[:, None]])
+            rest = np.append(np.concatenate([(mine.p[k] - was[k]).reshape(-1) for k in dense]) * np.float64(len(x)), len(x))
+            return pa.Table.from_batches([sliced(group, [*(part.reshape(-1) for part in np.array_split(ids, _SLICES)), rest])])
+
+        group = F.floor(F.col("_chunk") / _TOGETHER).cast("int")
+        mine = group == 0 if r == 0 else (group > 0) & (F.pmod(group, F.lit(rounds)) == r - 1)
+        parts = notes.where(mine).withColumn("_group", group).repartition(8 * max(1, groups // max(1, rounds)), "_group")  # few groups meet in a task
+        return summed(parts.groupBy("_group").applyInArrow(work, kinds))
+
+    for r in range(rounds + 1):
+        *ids, rest = learn(r) or (None,)
+        if rest is None:
+            continue
+        ids = np.concatenate(ids).reshape(n_ids + 1, -1)
+        model.p["embed"] = (model.p["embed"] + ids[:, :-1] / np.maximum(ids[:, -1:], 1)).astype(np.float32)
+        at, rest = 0, rest[:-1] / max(1, rest[-1])
+        for k in dense:
+            p = model.p[k]
+            model.p[k] = (p + rest[at : at + p.size].reshape(p.shape)).astype(np.float32)
+            at += p.size
+    return model
 
 
 def _end_id(tokenizer: str) -> int:
@@ -234,27 +394,25 @@ def _end_id(tokenizer: str) -> int:
 
 def lm_score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, tokenizer: str | None = None,
-    most_docs: int = 1500, most_bytes: int = 20_000, steps: int = 1500, chunk_bytes: int = 8 << 20,
+    steps: int = 1500, chunk_bytes: int = 8 << 20,
 ) -> DataFrame:
     """A row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Training rows are those whose crc32(id as text) mod folds is not fold; the attention layers learn from at
-    most most_docs of them, word and subword counts from all. n_tokens counts words (ASCII case folded) and
+    Training rows are those whose crc32(id as text) mod folds is not fold; the attention layers and the classes of subwords learn
+    from all of them, whole (steps: the least training steps on a small corpus), as word and subword counts do. n_tokens counts words (ASCII case folded) and
     one end a text; base_score is their add-one unigram log10 probability, score the model's log10 probability of the text's
     subwords and its end. A null text is the empty text (one token, its end); a null id counts as the empty
     text in the fold and stays null; repeated rows count and are scored each; an empty table gives an empty
     result. Texts are scored whole.
     """
     path = tokenizer or default_tokenizer()
-    ids = _training_ids(docs, id_col, text_col, folds, fold, path, most_docs, most_bytes)
     n_ids = word_encoder(path).size
     end_id = n_ids - 1
-    model = Attention(n_ids, 64, classes_of(ids, n_ids))
-    model.train(ids, steps)
     subword_keys = _subword_keys(n_ids)
     chunks = chunk_count(docs, text_col, chunk_bytes)
     kind = docs.schema[id_col].dataType
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a model of fixed size
+    scratch, shared = Scratch(docs.sparkSession, "lm"), None
+    others = np.concatenate([[_END], subword_keys])
 
     def is_held(ids: pa.ChunkedArray) -> np.ndarray:
         return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % folds == fold for x in ids.to_pylist()], bool)
@@ -280,20 +438,27 @@ def lm_score(
         keys = np.concatenate([distinct, [_END], subword_keys])
         counts = np.concatenate([own, [int(train.sum())], subword, heads])
         order = np.argsort(keys)
-        note = packed(count.astype(np.uint32)), packed(spread)  # so that use needs no tokenizer
-        return keys[order], counts[order], len(note[0]).to_bytes(8, "little") + note[0] + note[1]
-
-    def use(table: pa.Table, answers: np.ndarray, everything: tuple[int, int], note: bytes) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([("_id", table.schema.field("_id").type)])) as writer:
+            writer.write_table(table.select(["_id"]))
+        note = joined(  # so that neither training nor use needs texts or a tokenizer
+            packed(count.astype(np.uint32)), packed(spread), packed(place.astype(np.uint32)), packed(np.diff(first).astype(np.uint32)),
+            train.tobytes(), np.packbits(order >= len(distinct)).tobytes(), sink.getvalue().to_pybytes(),
+        )
+        return keys[order], counts[order], note
+
+    def use(_: None, answers: np.ndarray, everything: tuple[int, int], note: bytes) -> pa.Table:
         all_keys, all_counts = everything
-        distinct, place, first, *_ = split(table)
-        cut = 8 + int.from_bytes(note[:8], "little")
-        count, pool = unpacked(note[8:cut], np.uint32).astype(np.int64), np.append(unpacked(note[cut:], np.uint16), np.uint16(end_id))
+        count, pool, place, n, _, other, ids = parted(note)
+        table = pa.ipc.open_stream(ids).read_all()
+        count, pool = unpacked(count, np.uint32).astype(np.int64), np.append(unpacked(pool, np.uint16), np.uint16(end_id))
+        place, first = unpacked(place, np.uint32).astype(np.int64), np.concatenate([[0], np.cumsum(unpacked(n, np.uint32), dtype=np.int64)])
         begin = np.cumsum(count) - count
-        keys = np.concatenate([distinct, [_END], subword_keys])
-        back = np.empty(len(keys), np.int64)
-        back[np.argsort(keys)] = np.arange(len(keys))
-        answers = answers.astype(np.int64)[back]
-        word, end, (subword, heads) = answers[: len(distinct)], int(answers[len(distinct)]), answers[len(distinct) + 1 :].reshape(2, n_ids)
+        other = np.unpackbits(np.frombuffer(other, np.uint8), count=len(answers)).astype(bool)
+        answers = answers.astype(np.int64)
+        word, rest = answers[~other], np.empty(len(others), np.int64)
+        rest[np.argsort(others)] = answers[other]
+        end, (subword, heads) = int(rest[0]), rest[1:].reshape(2, n_ids)
         vocabulary, tokens = all_keys - int((subword > 0).sum() + (heads > 0).sum()), all_counts - int(subword.sum() + heads.sum())
         n = np.diff(first)
         known = sums(word > 0, place, first) + (end > 0)
@@ -331,9 +496,16 @@ def lm_score(
         columns = [pa.array(is_held(table.column("_id"))), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)]
         return pa.table([table.column("_id"), *columns], [id_col, *names])
 
+    def between(answered: DataFrame) -> DataFrame:
+        nonlocal shared
+        saved = scratch.save(answered, "answered")
+        model = learned(saved.where("_range < 0").select("_chunk", F.col("_answers").alias("_note")), chunks, n_ids, steps)
+        shared = docs.sparkSession.sparkContext.broadcast(model)  # a model of fixed size
+        return saved
+
     names = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     schema = f"`{id_col}` {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return tallied(docs, id_col, text_col, chunks, ask, use, schema)
+    return tallied(docs, id_col, text_col, chunks, ask, use, schema, between=between)
 
 
 def sums(of_distinct: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -71,8 +71,8 @@ def chunk_count(docs: DataFrame, text_col: str, chunk_bytes: int) -> int:
 def tallied(
     docs: DataFrame, id_col: str, text_col: str, chunks: int,
     ask: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, bytes | None]],
-    use: Callable[[pa.Table, np.ndarray, tuple[int, int], bytes | None], pa.Table],
-    schema: str, answer: type = np.uint64, shrink: Callable[[np.ndarray], np.ndarray] | None = None,
+    use: Callable[[pa.Table | None, np.ndarray, tuple[int, int], bytes | None], pa.Table],
+    schema: str, answer: type = np.uint64, shrink: Callable[[np.ndarray], np.ndarray] | None = None, between: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """use(texts, answers, (distinct, total), note) for each chunk of docs, as a DataFrame of schema.
 
@@ -80,6 +80,9 @@ def tallied(
     (0 to ask only), and a note to itself, or None, that use gets; use also gets the corpus-wide counts in the same order, shrunk by shrink to the type answer (whole counts
     need 64 bits: a chunk's own fit in 32, the corpus's do not), the number of distinct keys with a count, and the sum of all counts. Both must see the same keys for the same
     rows in any order.
+
+    between gets the answers and notes (_chunk, _range, below 0 for a note, _answers, _distinct, _total) before use is planned, and
+    gives them back, saved. Then texts don't travel again: use gets None for them, and its note has to say what it needs.
     """
     dealt = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("_chunk")).repartition(chunks, "_chunk")
 
@@ -126,7 +129,7 @@ def tallied(
             ["_chunk", "_range", "_answers", "_distinct", "_total"],
         )
 
-    def using(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def using(texts: pa.Table | None, answers: pa.Table) -> pa.Table:
         lean_memory()
         places = answers.column("_range").to_numpy()
         order = np.argsort(places)
@@ -137,4 +140,6 @@ def tallied(
 
     asked = dealt.groupBy("_chunk").applyInArrow(asking, "_range int, _chunk int, _keys binary, _counts binary")
     answered = asked.repartition(ranges, "_range").groupBy("_range").applyInArrow(answering, "_chunk int, _range int, _answers binary, _distinct long, _total long")
+    if between is not None:
+        return between(answered).repartition(chunks, "_chunk").groupBy("_chunk").applyInArrow(lambda answers: using(None, answers), schema)
     return dealt.groupBy("_chunk").cogroup(answered.repartition(chunks, "_chunk").groupBy("_chunk")).applyInArrow(using, schema)

@@ -103,3 +103,33 @@ def test_each_token_once_and_causally():
 def test_classes():
     of = classes_of(np.array([1, 2, 1, 3, 1, 2]), 10)
     assert of[0] == 0 and (of[[1, 2, 3]] > 0).all() and classes_of(np.zeros(0, np.int64), 4).tolist() == [0] * 4
+
+
+def test_windows_have_every_training_id_once():
+    from kmerloom.llm.lm import training_windows
+
+    ids = np.arange(100, 175)
+    bounds = np.array([0, 1, 33, 75])
+    x, y = training_windows(ids, bounds, 999, 32)
+    assert sorted(y[y >= 0].tolist()) == ids.tolist()
+    for inputs, follow in zip(x, y, strict=True):
+        for a, b in zip(inputs, follow, strict=True):
+            assert b < 0 or a == (999 if b - 100 in bounds else b - 1)
+
+
+@pytest.mark.parametrize("chunk", [8 << 20, 30_000])
+def test_long_and_late_texts_are_learned(frame, chunk):
+    rng = random.Random(4)
+    many = [(k, f"short {k}") for k in range(1600)]
+    follow = {k: (7 * k + 3) % 31 for k in range(31)}
+
+    def long(n):  # beyond the 20,000 bytes that once were the longest text to learn from; only long texts have these words
+        w, out = rng.randrange(31), []
+        for _ in range(n):
+            out.append(f"word{chr(97 + w % 26)}{w}")
+            w = follow[w] if rng.random() < 0.9 else rng.randrange(31)
+        return " ".join(out)
+
+    ids = [k for k in range(5000, 5200) if not held(k)][:12] + [k for k in range(5000, 5200) if held(k)][:2]
+    out = [r for r in lm_score(frame(many + [(k, long(4000)) for k in ids]), steps=400, chunk_bytes=chunk).collect() if r["held_out"] and r["doc_id"] >= 5000]
+    assert len(out) == 2 and sum(r["score"] - r["base_score"] for r in out) > 0.5 * sum(r["n_tokens"] for r in out)
