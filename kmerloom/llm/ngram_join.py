@@ -16,6 +16,7 @@ Two relations between sets keep the work far from all pairs of a list:
   that are not a class's alone, |Y and Z| <= |X and Z| + |Y| - |X and Y|.
 
 So a group of near copies costs as many comparisons as it has members, and no link between components is lost.
+Numbers of links are asked for apart: they need every pair of classes that link, and only index skipping is of use for them.
 """
 
 from __future__ import annotations
@@ -156,33 +157,8 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return state
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 3, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """A row per input row: id, n_shingles, component_id, class_id.
-
-    Words are runs without the six ASCII white-space characters, ASCII case folded. Two rows link if 100 *
-    intersection >= percent * union of their shingle sets; component_id is the smallest id that links reach, class_id
-    the smallest id with the same set. Shingles are compared as 64-bit hashes. Null and empty texts, and texts of
-    white space, have no shingles and link with nothing, also among each other: their component_id is their id. Null ids are passed
-    over in the smallest id (null if there is no other); repeated rows are members of the same class; an empty table
-    gives an empty result; other columns are not read. Texts are used whole.
-    """
-    scratch = Scratch(docs.sparkSession, "ngram-join")
-    rows = scratch.save(_with_sets(docs, id_col, text_col, width, percent, chunk_bytes), "rows")
-    sets = scratch.save(rows.where("tokens is not null").select("cls", "n", "alone", "apart", "tokens").dropDuplicates(["cls"]), "sets")
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for cls, n, alone, apart, tokens in zip(*(batch.column(k) for k in range(5)), strict=True):
-                n, alone, apart = n.as_py(), alone.as_py(), apart.as_py()
-                for k, token in enumerate(tokens.values[: max(0, n - (percent * n + 99) // 100 + 1 - alone)].to_pylist()):
-                    out.append((token, cls.as_py(), n, alone + k, apart))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["token", "cls", "n", "pos", "apart"])
-
-    entries = sets.select("cls", "n", "alone", "apart", "tokens").mapInArrow(prefixes, "token long, cls binary, n long, pos long, apart long")
-    index = scratch.save(entries, "index")
+def _needed_links(scratch: Scratch, index: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """Links (a, b) between classes, as many as components need."""
     labels = scratch.save(index.select("cls").distinct().withColumn("label", F.col("cls")), "labels")
     answers = []
     for r in range(rounds):
@@ -221,18 +197,66 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     decided = decided.where(~_enough(F.col("x_b") + F.col("na") - F.col("with_x"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     rejected = either.select("a", "b").union(decided)
     compared = scratch.save(_overlaps(pairs.select("a", "b").join(rejected, ["a", "b"], "left_anti"), sets), "compared")
-    links = known.unionByName(compared).where(_enough(F.col("overlap"), F.col("na"), F.col("nb"), percent))
-    roots = components(scratch, scratch.save(links.select("a", "b"), "links"))
-    classes = scratch.save(rows.where("cls is not null").groupBy("cls").agg(F.min("_id").alias("class_id")), "classes")
+    return known.unionByName(compared).where(_enough(F.col("overlap"), F.col("na"), F.col("nb"), percent))
+
+
+def _all_links(scratch: Scratch, index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every link (a, b) between two classes, once. There are as many rows as links, so a group of near copies may have its square."""
+    entries = scratch.save(index.withColumn("cap", _largest_partner(percent)).where(F.col("cap") >= _least_partner(percent)).withColumn("band", _band(F.col("n"))), "entries")
+    seeking = entries.withColumn("band", F.explode(F.sequence(_band(_least_partner(percent)), _band(F.col("cap")))))
+    fits = (F.col("y.n") <= F.col("x.cap")) & (F.col("x.n") <= F.col("y.cap")) & _enough(F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")), F.col("x.n"), F.col("y.n"), percent)
+    pairs = seeking.alias("x").join(entries.alias("y"), ["token", "band"]).where(fits & (F.col("x.cls") < F.col("y.cls")))
+    pairs = scratch.save(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), "pairs")
+    return _overlaps(pairs, sets).where(_enough(F.col("overlap"), F.col("na"), F.col("nb"), percent))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 3, chunk_bytes: int = 8 << 20, links: bool = False) -> DataFrame:
+    """A row per input row: id, n_shingles, component_id, class_id; with links also n_links, the number of other rows that it links with.
+
+    Words are runs without the six ASCII white-space characters, ASCII case folded. Two rows link if 100 *
+    intersection >= percent * union of their shingle sets; component_id is the smallest id that links reach, class_id
+    the smallest id with the same set. Shingles are compared as 64-bit hashes. Null and empty texts, and texts of
+    white space, have no shingles and link with nothing, also among each other: their component_id is their id. Null ids are passed
+    over in the smallest id (null if there is no other); repeated rows are members of the same class; an empty table
+    gives an empty result; other columns are not read. Texts are used whole.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    rows = scratch.save(_with_sets(docs, id_col, text_col, width, percent, chunk_bytes), "rows")
+    sets = scratch.save(rows.where("tokens is not null").select("cls", "n", "alone", "apart", "tokens").dropDuplicates(["cls"]), "sets")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for cls, n, alone, apart, tokens in zip(*(batch.column(k) for k in range(5)), strict=True):
+                n, alone, apart = n.as_py(), alone.as_py(), apart.as_py()
+                for k, token in enumerate(tokens.values[: max(0, n - (percent * n + 99) // 100 + 1 - alone)].to_pylist()):
+                    out.append((token, cls.as_py(), n, alone + k, apart))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["token", "cls", "n", "pos", "apart"])
+
+    entries = sets.select("cls", "n", "alone", "apart", "tokens").mapInArrow(prefixes, "token long, cls binary, n long, pos long, apart long")
+    index = scratch.save(entries, "index")
+    found = _all_links(scratch, index, sets, percent) if links else _needed_links(scratch, index, sets, percent, rounds)
+    linked = scratch.save(found.select("a", "b"), "links")
+    roots = components(scratch, linked)
+    classes = scratch.save(rows.where("cls is not null").groupBy("cls").agg(F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("members")), "classes")
     named = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = scratch.save(named.select("cls", "root", "class_id"), "named")
+    if links:
+        both = linked.union(linked.select("b", "a"))
+        others = both.join(classes.select(F.col("cls").alias("b"), F.col("members").alias("others")), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("others").alias("others"))
+        named = named.join(others, "cls", "left").withColumn("n_links", F.col("members") - 1 + F.coalesce("others", F.lit(0)))
+    else:
+        named = named.withColumn("n_links", F.lit(None).cast("long"))
+    named = scratch.save(named.select("cls", "root", "class_id", "n_links"), "named")
     groups = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    of_class = scratch.save(named.join(groups, "root").select("cls", "class_id", "component_id"), "of_class")
-    scratch.drop("index", "sets", "rest", "compared", "links", "both", "classes", "labels")
+    of_class = scratch.save(named.join(groups, "root").select("cls", "class_id", "component_id", "n_links"), "of_class")
+    scratch.drop("index", "sets", "rest", "compared", "links", "entries", "pairs", "both", "classes", "labels")
     return rows.select("_id", "n", "cls").join(of_class, "cls", "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"),
+        *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []),
     )
 
 

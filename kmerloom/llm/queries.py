@@ -28,7 +28,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(documents(spark, sf_dir), width=4, percent=85)
+    return ngram_join(documents(spark, sf_dir), width=4, percent=85, links=True)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

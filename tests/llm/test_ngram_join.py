@@ -85,3 +85,14 @@ def test_one_of_each(frame):
     kept = one_of_each(frame(rows, clash=True))
     assert kept.columns == frame([], clash=True).columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute(rows, 5, 80)})
+
+
+@pytest.mark.parametrize(("seed", "w", "percent"), [(1, 4, 85), (4, 2, 60)])
+def test_every_link_is_counted(frame, odd_rows, seed, w, percent):
+    rows = corpus(seed)
+    rows += [(2000 + k, t) for k, (_, t) in enumerate(rows[:10])] + [(3000 + k, t) for k, (_, t) in enumerate(odd_rows)]
+    got = ngram_join(frame(rows), width=w, percent=percent, chunk_bytes=3000, links=True)
+    assert result(got) == brute(rows, w, percent)
+    sets = {i: shingles(t, w) for i, t in rows}
+    want = {i: sum(j != i and bool(a & b) and 100 * len(a & b) >= percent * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    assert {r["doc_id"]: r["n_links"] for r in got.collect()} == want and max(want.values()) > 5
