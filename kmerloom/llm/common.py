@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,19 @@ from pyspark.sql import functions as F
 WHITESPACE = " \t\n\x0b\x0c\r"
 
 _own_roots: dict[str, str] = {}
+_lean = False
+
+
+def lean_memory() -> None:
+    """In a worker: hand large freed blocks back to the system at once, so that its size is what it uses and not what it once used."""
+    global _lean
+    if not _lean:
+        _lean = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: chunk-sized arrays go back at once, a batch's are used again
+            libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +39,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or an own folder where it is unset (tests)."""
+    """The shared folder for cut lineage: spark.checkpoint.dir, or an own folder where it is unset and all runs on this machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="kmerloom-")

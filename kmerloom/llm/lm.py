@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
-from .tally import chunk_count, lean_memory, packed, tallied, unpacked
+from .common import Scratch, lean_memory
+from .tally import chunk_count, packed, tallied, unpacked
 from .tokens import default_tokenizer, ragged, word_encoder
 from .words import hashed_words, mix64
 
@@ -429,7 +429,7 @@ def lm_score(
         begin, count = encoder.look_up(distinct, starts, ends, data)
         train = ~is_held(table.column("_id"))
         own = np.bincount(place, np.repeat(train, np.diff(first)).astype(float), len(distinct)).astype(np.int64)
-        spread, at = ragged(encoder.pool, begin, count, np.arange(len(distinct) + 1))
+        spread, at = ragged(encoder.pool.part(), begin, count, np.arange(len(distinct) + 1))
         subword = np.bincount(spread, np.repeat(own, np.diff(at)).astype(float), n_ids).astype(np.int64)
         subword[end_id] += int(train.sum())
         some = at[1:] > at[:-1]

@@ -17,17 +17,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean_memory
 from .tokens import default_tokenizer, word_encoder
+from .words import parts_of
+
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
     """A row per input row: id, _part, _at (ids before it in its partition), ids (binary, 16 bits each, the end included), n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         encoder, part, at = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                some = batch.slice(lo, 2000)
+            for some in parts_of(batch, 1):
                 ids, bounds = encoder.encode(some.column(1), end_id)
                 n = np.diff(bounds)
                 raw = pa.BinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(2 * bounds), pa.py_buffer(ids)])
@@ -56,6 +58,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for batch in batches:
             source, numbers, ids = [], [], []
             for k, (data, at) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):

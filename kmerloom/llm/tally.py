@@ -9,8 +9,6 @@ corpus does. The chunk's texts and its answers then meet in one task.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import math
 from collections.abc import Callable
 
@@ -20,19 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_lean = False
-
-
-def lean_memory() -> None:
-    """In a worker: hand large freed blocks back to the system at once, so that its size is what it uses and not what it once used."""
-    global _lean
-    if not _lean:
-        _lean = True
-        pa.set_memory_pool(pa.system_memory_pool())
-        with contextlib.suppress(OSError, AttributeError):
-            libc = ctypes.CDLL("libc.so.6")
-            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: chunk-sized arrays go back at once, a batch's are used again
-            libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+from .common import lean_memory
 
 
 def packed(values: np.ndarray) -> bytes:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .words import hashed_words
+from .words import Eights, hashed_words, same_words
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -19,71 +19,146 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Growing:
+    """An array that is added to, in room that doubles."""
+
+    def __init__(self, kind: type | str):
+        self.whole, self.n = np.zeros(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n + 2 > len(self.whole):
+            self.whole = np.concatenate([self.whole[: self.n], np.zeros(max(self.n // 2, n + 2 - self.n + 1024), self.whole.dtype)])
+        self.whole[self.n : n] = values
+        self.n = n
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        return self.whole[places]
+
+    def part(self) -> np.ndarray:
+        return self.whole[: self.n]
+
+
 class WordEncoder:
     """Encodes by a tokenizer that splits at white space and folds ASCII case, as word_bpe_49k.json does.
 
-    The ids of a text are then those of its words in a row. Words are known by their 64-bit hash in sorted
-    arrays of a few bytes a word; beyond most words a worker begins anew. Texts in which a special token could
-    be spelled ("<|") are encoded in one piece.
+    The ids of a text are then those of its words in a row. Words are known by their 64-bit hash, and their bytes are
+    compared before their ids are used, in sorted arrays of some 40 bytes a word; beyond most words a worker
+    begins anew. Texts in which a special token could be spelled ("<|") are encoded in one piece.
     """
 
-    def __init__(self, path: str, most: int = 3_000_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.size = self.tokenizer.get_vocab_size()
         assert self.size <= 1 << 16
+        self.ends = np.zeros(self.size, bool)  # tokens that end a run of letters, a digit or a run of marks
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
         self._forget()
 
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint16)
+        self.entry = np.zeros(0, np.uint32)  # of each known hash: its place in what follows
+        self.begin, self.count, self.pool = Growing(np.uint32), Growing(np.uint32), Growing(np.uint16)
+        self.letters_at, self.letters_n, self.letters = Growing(np.uint32), Growing(np.uint32), Growing("<u8")
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, how many each word has)."""
+        runs = np.array([1 if w.isalpha() else 2 if w[-1:] in ".,;:!?" and w[:-1].isalpha() else 0 for w in map(str.lower, words)], np.int64)
+        if not self.ends.any():
+            runs[:] = 0
+        plain, count, parts = np.flatnonzero(runs), np.zeros(len(words), np.int64), {}
+        joined = self.whole(" ".join([words[k] for k in plain.tolist()]))
+        stops = np.flatnonzero(self.ends[joined])
+        if len(stops) != runs.sum():  # a letter that the tokenizer cuts otherwise
+            plain, joined, stops = plain[:0], joined[:0], stops[:0]
+        upto = stops[np.cumsum(runs[plain]) - 1] + 1
+        count[plain] = np.diff(upto, prepend=0)
+        single = np.ones(len(words), bool)
+        single[plain] = False
+        others = np.flatnonzero(single)
+        for k, e in zip(others.tolist(), self.tokenizer.encode_batch_fast([words[k] for k in others.tolist()], add_special_tokens=False), strict=True):
+            parts[k] = e.ids
+            count[k] = len(e.ids)
+        if not parts:
+            return joined, count
+        ids = np.empty(int(count.sum()), np.uint16)
+        own = np.repeat(single, count)
+        ids[~own] = joined
+        ids[own] = np.fromiter((x for k in others.tolist() for x in parts[k]), np.uint16, int(own.sum()))
+        return ids, count
+
     def look_up(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begin, count) in pool of each of some distinct words, given sorted by hash; unknown ones are encoded first."""
         at = np.searchsorted(self.known, hashes)
         found = np.zeros(len(hashes), bool)
         inside = at < len(self.known)
         found[inside] = self.known[at[inside]] == hashes[inside]
-        if not found.all():
-            if len(self.known) + len(hashes) > self.most and len(self.known):
+        eights, sizes = Eights(data), ends - starts
+        some = np.flatnonzero(found)
+        entry = self.entry[at[some]]
+        same = self.letters_n.of(entry) == sizes[some]
+        some, entry = some[same], entry[same]
+        stored = Eights.over(self.letters.whole)
+        right = np.zeros(len(hashes), bool)
+        right[some] = same_words(eights, starts[some], stored, self.letters_at.of(entry).astype(np.int64) << 3, sizes[some])
+        if not right.all():
+            new = np.flatnonzero(~right)
+            if len(self.begin) + len(new) > self.most and len(self.begin):
                 self._forget()
                 return self.look_up(hashes, starts, ends, data)
-            new = np.flatnonzero(~found)
             raw = data.tobytes() if len(new) > 1000 else data
-            got: list = []
-            for lo in range(0, len(new), 20_000):
-                words = [bytes(raw[starts[k] : ends[k]]).lower().decode() for k in new[lo : lo + 20_000]]
-                got += [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            count = np.fromiter(map(len, got), np.int64, len(got))
-            begin = len(self.pool) + np.cumsum(count) - count
-            self.pool = np.append(self.pool, np.fromiter((x for ids in got for x in ids), np.uint16, int(count.sum())))
-            place = at[new]
-            self.known = np.insert(self.known, place, hashes[new])
-            self.begin, self.count = np.insert(self.begin, place, begin), np.insert(self.count, place, count)
+            first = len(self.begin)
+            for lo in range(0, len(new), 5_000):
+                words = [bytes(raw[starts[k] : ends[k]]).lower().decode() for k in new[lo : lo + 5_000].tolist()]
+                ids, count = self._ids_of(words)
+                self.begin.add(len(self.pool) + np.cumsum(count) - count)
+                self.count.add(count)
+                self.pool.add(ids)
+            size = sizes[new]
+            eight = (size + 7) >> 3
+            self.letters_at.add(len(self.letters) + np.cumsum(eight) - eight)
+            self.letters_n.add(size)
+            step = 8 * (np.arange(int(eight.sum())) - np.repeat(np.cumsum(eight) - eight, eight))
+            self.letters.add(eights.at(np.repeat(starts[new], eight) + step, np.repeat(size, eight) - step))
+            entries = np.arange(first, first + len(new), dtype=np.uint32)
+            clash = found[new]  # another word has the hash: this one takes its place
+            self.entry[at[new[clash]]] = entries[clash]
+            self.known = np.insert(self.known, at[new[~clash]], hashes[new[~clash]])
+            self.entry = np.insert(self.entry, at[new[~clash]], entries[~clash])
             at = np.searchsorted(self.known, hashes)
-        return self.begin[at], self.count[at]
+        entry = self.entry[at]
+        return self.begin.of(entry).astype(np.int64), self.count.of(entry).astype(np.int64)
 
     def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the column's ids end to end, end_id after each row's, and len(column) + 1 bounds in them."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         column = column.fill_null("")
-        odd = np.flatnonzero(pc.match_substring(column, "<|").to_numpy(zero_copy_only=False))
-        plain = column if not len(odd) else pc.if_else(pc.match_substring(column, "<|"), "", column)
+        special = pc.match_substring(column, "<|")
+        apart = special.to_numpy(zero_copy_only=False).copy()
+        plain = pc.if_else(special, "", column) if apart.any() else column
         hashes, starts, ends, first, data = hashed_words(plain)
         distinct, index, place = np.unique(hashes, return_index=True, return_inverse=True)
         begin, count = self.look_up(distinct, starts[index], ends[index], data)
-        ids, bounds = ragged(self.pool, begin[place], count[place], first)
-        if end_id is None and not len(odd):
-            return ids, bounds
-        rows = np.split(ids, bounds[1:-1]) if len(odd) else None
-        if rows is not None:
+        eights, sizes = Eights(data), ends - starts
+        same = sizes == sizes[index][place]
+        same[same] = same_words(eights, starts[same], eights, starts[index][place][same], sizes[same])
+        if not same.all():  # two words of this column share a hash
+            apart[np.searchsorted(first, np.flatnonzero(~same), "right") - 1] = True
+        ids, bounds = ragged(self.pool.part(), begin[place], count[place], first)
+        odd = np.flatnonzero(apart)
+        if len(odd):
+            rows = np.split(ids, bounds[1:-1])
             for k in odd:
                 rows[k] = self.whole(column[int(k)].as_py())
             ids = np.concatenate(rows).astype(np.uint16)

@@ -1,33 +1,33 @@
 """Words of a whole Arrow text column at once: their 64-bit hashes and where they stand, in numpy.
 
-A word is a run of bytes other than the six ASCII white-space characters. Its hash is a polynomial in an odd
-base over the ring of 64-bit integers with random coefficients per byte, taken from running sums, so that a
-column costs a few passes over its bytes and no Python step per word; a final mix spreads the bits.
+A word is a run of bytes other than the six ASCII white-space characters. Its bytes are taken eight at a time, and
+each eight go through a mix that depends on all before them, so a column costs a few passes over its words
+and no Python step per word. A seed that is drawn anew for a run makes collisions a matter of chance (2^-64 a pair of words);
+who can't live with that compares bytes by same_words.
 """
 
 from __future__ import annotations
 
+import secrets
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_COEFFICIENT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLDED = _COEFFICIENT.copy()
-_FOLDED[65:91] = _COEFFICIENT[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = {b: np.ones(1, np.uint64) for b in (_BASE, _BASE_INVERSE)}
+#: Words longer than this are hashed one at a time.
+_LONG = 256
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers[base]) < n:
-        steps = np.full(max(n, 1 << 21), base, np.uint64)
-        steps[0] = 1
-        with np.errstate(over="ignore"):
-            _powers[base] = np.multiply.accumulate(steps)
-    return _powers[base]
+def new_seed() -> int:
+    """A seed for the words of one run."""
+    return secrets.randbits(63)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -52,8 +52,53 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def hashed_words(column: pa.Array, fold: bool = True, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends, first, bytes) of the words of a text column, ASCII case folded if fold.
+def parts_of(batch: pa.RecordBatch | pa.Table, text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
+    """The batch in slices of at most so many bytes of text, or one row; text is the place of its column."""
+    column = batch.column(text)
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if batch.num_rows else []
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+class Eights:
+    """Bytes with room to read eight of them from any place."""
+
+    def __init__(self, data: np.ndarray):
+        self.whole = np.zeros((len(data) >> 3) + 2, "<u8")
+        self.whole.view(np.uint8)[: len(data)] = data
+
+    @classmethod
+    def over(cls, whole: np.ndarray) -> Eights:
+        """Over 64-bit integers that end in two to spare."""
+        self = cls.__new__(cls)
+        self.whole = whole
+        return self
+
+    def at(self, places: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The eight bytes at each place as an integer, with zeros where fewer are left."""
+        k, shift = places >> 3, ((places & 7) << 3).astype(np.uint64)
+        low = self.whole[k] >> shift
+        high = (self.whole[k + 1] << (np.uint64(63) - shift)) << np.uint64(1)
+        return (low | high) & _MASKS[np.minimum(left, 8)]
+
+
+def same_words(a: Eights, a_starts: np.ndarray, b: Eights, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the words of equal sizes at a_starts in a and at b_starts in b have the same bytes."""
+    same = np.ones(len(sizes), bool)
+    rest, done = np.arange(len(sizes)), 0
+    while len(rest):
+        left = sizes[rest] - done
+        same[rest] = equal = a.at(a_starts[rest] + done, left) == b.at(b_starts[rest] + done, left)
+        done += 8
+        rest = rest[equal & (left > 8)]
+    return same
+
+
+def hashed_words(column: pa.Array, fold: bool = True, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends, first, bytes) of the words of a text column, with their ASCII case folded if fold.
 
     starts and ends are places in bytes; words first[k] to first[k + 1] are those of row k.
     """
@@ -62,6 +107,8 @@ def hashed_words(column: pa.Array, fold: bool = True, block: int = 1 << 21) -> t
     if not n:
         none = np.zeros(0, np.int64)
         return none.view(np.uint64), none, none, np.zeros(len(bounds), np.int64), data
+    if fold:
+        data = _LOWER[data]
     gap = np.ones(n + 1, bool)  # gap[i]: no word goes on from byte i - 1 into byte i
     inside = ~_SPACE[data]
     gap[1:n] = ~inside[:-1]
@@ -71,17 +118,15 @@ def hashed_words(column: pa.Array, fold: bool = True, block: int = 1 << 21) -> t
     stop[:-1] = ~inside[1:] | gap[1:n]
     ends = np.flatnonzero(inside & stop) + 1
     first = np.searchsorted(starts, bounds)
-    table = _FOLDED if fold else _COEFFICIENT
-    hashes = np.empty(len(starts), np.uint64)
-    at = 0
+    sizes, eights = ends - starts, Eights(data)
     with np.errstate(over="ignore"):
-        while at < len(starts):
-            lo = int(starts[at])
-            upto = max(at + 1, int(np.searchsorted(starts, lo + block)))
-            hi = int(ends[upto - 1])
-            sums = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(table[data[lo:hi]] * _power(_BASE, hi - lo)[: hi - lo], out=sums[1:])
-            a, b = starts[at:upto] - lo, ends[at:upto] - lo
-            hashes[at:upto] = (sums[b] - sums[a]) * _power(_BASE_INVERSE, hi - lo)[a]
-            at = upto
-    return mix64(hashes), starts, ends, first, data
+        hashes = mix64(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        rest, done = np.flatnonzero(sizes <= _LONG), 0
+        while len(rest):
+            left = sizes[rest] - done
+            hashes[rest] = mix64((hashes[rest] ^ eights.at(starts[rest] + done, left)) * np.uint64(0xD6E8FEB86659FD93))
+            done += 8
+            rest = rest[left > 8]
+    for k in np.flatnonzero(sizes > _LONG).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
+    return hashes, starts, ends, first, data

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from kmerloom.llm.tally import packed, packed_keys, ranges_of, tallied, unpacked, unpacked_keys
 from kmerloom.llm.tokens import WordEncoder, default_tokenizer
-from kmerloom.llm.words import hashed_words
+from kmerloom.llm.words import hashed_words, parts_of
 
 texts = st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("aAbB \n\t é🙂.'<|"), max_size=40), st.text(max_size=30)), max_size=8)
 
@@ -15,23 +15,59 @@ def clean(rows):
     return [None if t is None else t.encode("utf-8", "ignore").decode() for t in rows]
 
 
+@pytest.fixture(scope="module")
+def encoder():
+    return WordEncoder(default_tokenizer(), most=200)
+
+
 @settings(max_examples=150, deadline=None)
-@given(texts, st.integers(1, 30))
-def test_words_and_hashes(rows, block):
-    rows = clean(rows)
-    hashes, starts, ends, first, data = hashed_words(pa.array(rows, pa.string()), block=block)
+@given(texts, st.integers(0, 2**63))
+def test_words_and_hashes(rows, seed):
+    rows = clean(rows) + ["x" * 300 + " " + "X" * 300 + " " + "x" * 301, "abcdefgh abcdefghi ABCDEFGH"]
+    hashes, starts, ends, first, data = hashed_words(pa.array(rows, pa.string()), seed=seed)
     want = [(t or "").encode().lower().split() for t in rows]
     assert [[bytes(data[a:b]).lower() for a, b in zip(starts[i:j], ends[i:j])] for i, j in zip(first[:-1], first[1:])] == want
     seen = {}
     for w, h in zip((w for ws in want for w in ws), hashes.tolist(), strict=True):
         assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
-    assert (hashes == hashed_words(pa.array(rows, pa.string()))[0]).all()
+    assert (hashes == hashed_words(pa.array(rows, pa.string()), seed=seed)[0]).all()
 
 
-@pytest.fixture(scope="module")
-def encoder():
-    return WordEncoder(default_tokenizer(), most=200)
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 250, 1024, 2048])
+def test_words_that_share_polynomials_do_not_share_hashes(encoder, n):
+    one, other = thue_morse(n), thue_morse(n, "b", "a")
+    hashes = hashed_words(pa.array([f"{one} {other}"]))[0]
+    assert hashes[0] != hashes[1]
+    ids, bounds = encoder.encode(pa.array([one, other]))
+    for k, t in enumerate((one, other)):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_ids_do_not_rest_on_hashes(monkeypatch):
+    def few(*args, **options):
+        hashes, *rest = hashed_words(*args, **options)
+        return hashes & np.uint64(7), *rest
+
+    monkeypatch.setattr("kmerloom.llm.tokens.hashed_words", few)
+    encoder = WordEncoder(default_tokenizer())
+    for rows in (["cat dog horse"], ["cow cat", "sheep, goat's dog", None, ""], ["ox ox", "longer-words-than-eight cat hen"]):
+        ids, bounds = encoder.encode(pa.array(rows, pa.string()))
+        for k, t in enumerate(rows):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+@given(texts, st.integers(1, 60))
+def test_parts_of_a_batch(rows, most):
+    rows = clean(rows)
+    table = pa.table([pa.array(range(len(rows))), pa.array(rows, pa.string())], ["k", "t"])
+    parts = list(parts_of(table, 1, most))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == rows
+    assert all(p.num_rows == 1 or sum(len((x or "").encode()) for x in p.column(1).to_pylist()) <= most for p in parts)
 
 
 @settings(max_examples=150, deadline=None)
