@@ -62,9 +62,10 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """df, written and read again; by: with a folder name/by=value for each value of that column, its last."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

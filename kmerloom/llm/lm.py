@@ -1,48 +1,44 @@
 """Language-model scoring: a causal self-attention model trained in numpy on subword ids.
 
 The model predicts the class of the next subword from the subwords before it by one causal self-attention layer
-and a small feed-forward layer; the subword within its class comes by its count in all training documents. A
-word's probability is a mixture of fixed shares: its subwords in a row; its first subword by the model and then
-the word among the words that begin so, by counts; and its add-one count alone, in which, as in the base score, all
-words never seen are one.
+and a small feed-forward layer; the subword within its class comes by its count in all training documents. The probability
+of a word mixes three distributions over words: its count; its first subword by the model and then the word among
+those that begin so, by counts; and its subwords in a row, each with the event that the word goes on or ends after it. So the
+probabilities of all words, and of the end of the text, add up to 1 at most. Words never seen have the last of the three alone,
+whose share is at least that of words seen once (Good and Turing's estimate of what is new).
 Texts are scored in overlapping windows: every token is scored once, in the window that shows it the most
 context, with the attention of many windows done as one masked batch.
 
-The model learns from every place of every training document, in groups of chunks side by side whose changes are
-averaged; classes come from neighbours counted over all of them. Word counts for the base score and subword counts
-come by way of tally: nothing of the corpus is broadcast, and what crosses the network follows the corpus.
+The model learns from every place of every training document: in rounds, each of about twice as many chunks as the one
+before, all chunks of a round go on from the model so far side by side, and their changes are averaged. Classes come from neighbours counted over
+all training documents. Word counts come by way of tally: nothing that grows with the corpus is broadcast, and what crosses
+the network follows the corpus.
 """
 
 from __future__ import annotations
 
 import copy
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, lean_memory
-from .tally import chunk_count, packed, tallied, unpacked
+from .tally import ASKED, answered, chunk_count, dealt, packed, question, ranges_for, unpacked, whole_answer
 from .tokens import default_tokenizer, ragged, word_encoder
-from .words import hashed_words, mix64
+from .words import hashed_words, new_seed
 
-#: Key of the end token in the tally of words; subword ids have keys of their own.
+#: Key of the end token in the tally of words.
 _END = np.uint64(0x5DEECE66D1CE4E5B)
-
-
-#: Shares of the word by its count, of the word by its count given its first subword, and of its subwords in a row.
+#: Shares of a word by its count, by its count given its first subword, and by its subwords in a row; the last grows where more is new.
 SHARES = (0.35, 0.45, 0.2)
 
 
-def _subword_keys(n: int) -> np.ndarray:
-    """Keys of n subwords, and of n first subwords of words, in the tally."""
-    return mix64(np.arange(2 * n, dtype=np.uint64) + np.uint64(1 << 40))
-
-
 class Attention:
     """Parameters and both passes of the model; x are windows of input ids, y the classes that follow."""
 
@@ -58,92 +54,91 @@ class Attention:
             "qkv": init(width, 3 * width), "out": init(width, width), "up": init(width, 2 * width), "down": init(2 * width, width),
             "top": init(width, n_classes), "bias": np.zeros(n_classes, np.float32),
         }
-        self.mask = np.triu(np.full((window, window), -1e9, np.float32), 1)
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Log probabilities of classes after each place of windows x (n, window), and what backward needs."""
-        p, w = self.p, self.width
-        n, t = x.shape
-        e = p["embed"][x] + p["place"][:t]
-        qkv = (e.reshape(-1, w) @ p["qkv"]).reshape(n, t, 3 * w)
-        q, k, v = qkv[..., :w], qkv[..., w : 2 * w], qkv[..., 2 * w :]
-        a = q @ k.transpose(0, 2, 1)
-        a *= w**-0.5
-        a += self.mask[:t, :t]
-        a -= largest(a)
-        np.exp(a, out=a)
-        a /= (a.reshape(-1, t) @ np.ones(t, a.dtype)).reshape(n, t, 1)
-        c = a @ v
-        h = e + (c.reshape(-1, w) @ p["out"]).reshape(n, t, w)
-        u = np.maximum(h.reshape(-1, w) @ p["up"], 0)
-        g = h.reshape(-1, w) + u @ p["down"]
-        z = g @ p["top"]
-        z += p["bias"]
-        z -= largest(z)
-        s = np.exp(z)
-        total = (s @ np.ones(s.shape[1], s.dtype))[:, None]
-        z -= np.log(total)
-        s /= total
-        return z, (e, q, k, v, a, c, h, u, g, s)
+    def ceiling(self, t: int) -> np.ndarray:
+        """The most that a place's attention to a place may be: exponents are held to 60, and none reaches ahead."""
+        return np.where(np.tri(t, dtype=bool), np.float32(60), np.float32(-1e9))
 
-    def log_of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """forward()'s log probabilities of the classes y (n, window) alone, in fewer passes.
+    def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Scores of the classes after each place of windows x (n, window), by row, and what backward needs.
 
-        Exponents are held to 60 instead of being shifted by their largest, sums are taken by matrix products, and the
-        attention is divided by its sum after it is applied.
+        Attention is divided by its sum after it is applied, and sums are taken by matrix products.
         """
         p, w = self.p, self.width
         n, t = x.shape
         e = p["embed"][x]
         e += p["place"][:t]
-        qkv = (e.reshape(-1, w) @ self.scaled_qkv).reshape(n, t, 3 * w)
-        with_one = np.ones((n, t, w + 1), np.float32)
-        with_one[..., :w] = qkv[..., 2 * w :]
+        flat = e.reshape(-1, w)
+        qkv = flat @ p["qkv"]
+        qkv[:, :w] *= e.dtype.type(w**-0.5)
+        qkv = qkv.reshape(n, t, 3 * w)
         a = qkv[..., :w] @ qkv[..., w : 2 * w].transpose(0, 2, 1)
-        np.minimum(a, self.ceiling[:t, :t], out=a)
+        np.minimum(a, self.ceiling(t), out=a)
         np.exp(a, out=a)
-        c = a @ with_one
-        h = e.reshape(-1, w)
-        h += (c[..., :w] / c[..., w:]).reshape(-1, w) @ p["out"]
+        with_one = np.ones((n, t, w + 1), e.dtype)
+        with_one[..., :w] = qkv[..., 2 * w :]
+        c = (a @ with_one).reshape(-1, w + 1)
+        share = 1 / c[:, w:]
+        c = c[:, :w] * share
+        h = flat + c @ p["out"]
         u = h @ p["up"]
         np.maximum(u, 0, out=u)
-        h += u @ p["down"]
-        z = h @ p["top"]
+        g = u @ p["down"]
+        g += h
+        z = g @ p["top"]
         z += p["bias"]
-        np.minimum(z, 60, out=z)
+        return np.minimum(z, 60, out=z), (flat, qkv, a, share, c, h, u, g)
+
+    def log_of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Log probabilities of the classes y (n, window) after the places of x, by row."""
+        z, _ = self.forward(x)
         got = z[np.arange(len(z)), y.reshape(-1)]
         np.exp(z, out=z)
-        return got - np.log(z @ np.ones(z.shape[1], np.float32))
+        return got - np.log(z @ np.ones(z.shape[1], z.dtype))
 
-    def backward(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, kept: tuple) -> dict[str, np.ndarray]:
-        """Gradients of the mean loss; places whose class is below 0 have none."""
+    def backward(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, kept: tuple) -> dict:
+        """Gradients of the mean loss, by z and kept as of forward (z is spent); places whose class is below 0 have none."""
         p, w = self.p, self.width
-        e, q, k, v, a, c, h, u, g, s = kept
+        flat, qkv, a, share, c, h, u, g = kept
         n, t = x.shape
-        d = s.copy()
-        d[np.arange(len(d)), y.reshape(-1)] -= 1
-        d[y.reshape(-1) < 0] = 0
-        d /= max(1, int((y >= 0).sum()))
-        grad = {"top": g.T @ d, "bias": np.ones(len(d), d.dtype) @ d}
-        dg = d @ p["top"].T
-        grad["down"] = u.T @ dg
-        du = (dg @ p["down"].T) * (u > 0)
-        grad["up"] = h.reshape(-1, w).T @ du
-        dh = dg + du @ p["up"].T
-        grad["out"] = c.reshape(-1, w).T @ dh
-        dc = (dh @ p["out"].T).reshape(n, t, w)
-        dv, da = a.transpose(0, 2, 1) @ dc, dc @ v.transpose(0, 2, 1)
-        ds = a * (da - np.einsum("ijk,ijk->ij", da, a)[..., None]) * a.dtype.type(w**-0.5)
-        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], 2).reshape(-1, 3 * w)
-        grad["qkv"] = e.reshape(-1, w).T @ dqkv
-        de = (dh + dqkv @ p["qkv"].T).reshape(n, t, w)
+        kind = flat.dtype.type
+        q, k, v = qkv[..., :w], qkv[..., w : 2 * w], qkv[..., 2 * w :]
+        y = y.reshape(-1)
+        s = np.exp(z, out=z)
+        total = s @ np.ones(s.shape[1], kind)
+        s[np.arange(len(s)), y] -= total
+        part = ((y >= 0) / max(1, int((y >= 0).sum())) / total).astype(kind)  # by row, s times this is the gradient
+        grad: dict = {"top": (g * part[:, None]).T @ s, "bias": part @ s}
+        dh = s @ np.ascontiguousarray(p["top"].T)
+        dh *= part[:, None]
+        grad["down"] = u.T @ dh
+        du = dh @ p["down"].T
+        du *= u > 0
+        grad["up"] = h.T @ du
+        dh += du @ p["up"].T
+        grad["out"] = c.T @ dh
+        dc = dh @ p["out"].T
+        dc *= share
+        own = (dc * c) @ np.ones(w, kind)
+        dc = dc.reshape(n, t, w)
+        dqkv = np.empty((n, t, 3 * w), kind)
+        np.matmul(a.transpose(0, 2, 1), dc, out=dqkv[..., 2 * w :])
+        da = dc @ v.transpose(0, 2, 1)
+        da -= own.reshape(n, t, 1)
+        da *= a
+        np.matmul(da, k, out=dqkv[..., :w])
+        np.matmul(da.transpose(0, 2, 1), q, out=dqkv[..., w : 2 * w])
+        dqkv = dqkv.reshape(-1, 3 * w)
+        dqkv[:, :w] *= kind(w**-0.5)
+        grad["qkv"] = flat.T @ dqkv
+        dh += dqkv @ p["qkv"].T
         grad["place"] = np.zeros_like(p["place"])
-        grad["place"][:t] = de.sum(0)
-        flat = x.reshape(-1).astype(np.uint16) if len(p["embed"]) <= 1 << 16 else x.reshape(-1)  # 16 bits sort in linear time
-        order = np.argsort(flat, kind="stable")
-        at = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))
-        ids = x.reshape(-1)[order[at]]
-        grad["embed"] = (ids, np.add.reduceat(de.reshape(-1, w)[order], at))
+        grad["place"][:t] = dh.reshape(n, t * w).sum(0).reshape(t, w)
+        ids = x.reshape(-1).astype(np.uint16) if len(p["embed"]) <= 1 << 16 else x.reshape(-1)  # 16 bits sort in linear time
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        grad["embed"] = (x.reshape(-1)[order[at]], np.add.reduceat(dh[order], at))
         return grad
 
     def train(self, x: np.ndarray, y: np.ndarray, least_steps: int = 1, rate: float = 4e-3, batch: int = 96, seed: int = 6) -> None:
@@ -159,9 +154,8 @@ class Attention:
             at = order[(step - 1) % a_pass * batch :][:batch]
             inputs, ids = x[at], y[at]
             classes = np.where(ids < 0, -1, self.class_of[ids])
-            z, kept = self.forward(inputs)
             now = rate * min(1.0, step / 30) * (1 - 0.9 * step / steps)
-            for name, g in self.backward(inputs, classes, z, kept).items():
+            for name, g in self.backward(inputs, classes, *self.forward(inputs)).items():
                 at = slice(None)
                 if name == "embed":
                     at, g = g
@@ -184,9 +178,6 @@ class Attention:
         row = np.repeat(np.arange(len(n)), per_row)
         k = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
         start, stop = bounds[row] + k * stride, bounds[row + 1]
-        self.scaled_qkv = self.p["qkv"].copy()
-        self.scaled_qkv[:, : self.width] *= self.width**-0.5
-        self.ceiling = np.where(self.mask < 0, np.float32(-1e9), np.float32(60))
         classes, out, spots = self.class_of[ids], np.empty(len(ids), np.float32), np.arange(w)
         for lo in range(0, len(row), batch):
             at = start[lo : lo + batch, None] + spots
@@ -198,13 +189,42 @@ class Attention:
         return out / np.float32(np.log(10))
 
 
-def largest(x: np.ndarray) -> np.ndarray:
-    """x.max(-1, keepdims=True), by halves, which is several times as fast on short rows."""
-    while x.shape[-1] > 1:
-        half = x.shape[-1] // 2
-        top = np.maximum(x[..., :half], x[..., half : 2 * half])
-        x = np.maximum(top, x[..., -1:]) if x.shape[-1] % 2 else top
-    return x
+class Words:
+    """Probabilities of words by the model and by what was counted over all training texts.
+
+    subword, heads and lasts count how often an id occurs, begins a word and ends one; tokens counts all words and ends, once
+    those that were seen once.
+    """
+
+    def __init__(self, model: Attention, subword: np.ndarray, heads: np.ndarray, lasts: np.ndarray, tokens: int, once: int):
+        self.model, self.heads, self.tokens = model, np.maximum(heads, 1), max(1, tokens)
+        last = min(0.5, max(SHARES[2], once / self.tokens))
+        self.shares = [(1 - last) * x / sum(SHARES[:2]) for x in SHARES[:2]] + [last]
+        self.empty = 1 / (tokens + 2)  # of the last share: words of which the tokenizer leaves nothing
+        mass = subword + 0.5
+        self.within = np.log10(mass / np.bincount(model.class_of, mass, model.n_classes)[model.class_of])
+        ends = (lasts + 0.5) / (subword + 1)
+        self.goes_on, self.stops = np.log10(1 - ends), np.log10(ends)
+        self.stops[-1] = 0.0  # the end of a text needs no other event
+
+    def log10(self, ids: np.ndarray, size: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """log10 probabilities of words: they have size ids each and were seen times; rows begin at words first[k] (the last bound included) and have an end, so some id."""
+        words = np.concatenate([[0], np.cumsum(size)])
+        each = self.model.class_log10(ids, words[first]) + self.within[ids]
+        full = np.flatnonzero(size)
+        stop = words[1:][full] - 1
+        event = self.goes_on[ids]
+        event[stop] = self.stops[ids[stop]]
+        total = np.concatenate([[0], np.cumsum(each + event)])
+        spelled = np.full(len(size), np.log10(self.empty))
+        spelled[full] = total[stop + 1] - total[words[:-1][full]] + np.log10(1 - self.empty)
+        seen = self.shares[0] * times / self.tokens
+        head = words[:-1][full]
+        seen[full] += self.shares[1] * 10 ** each[head] * times[full] / self.heads[ids[head]]
+        some = seen > 0
+        out = np.log10(self.shares[2]) + spelled
+        out[some] = np.log10(seen[some] + 10 ** out[some])
+        return out
 
 
 def hubs_of(count: np.ndarray) -> np.ndarray:
@@ -221,13 +241,6 @@ def neighbours(before: np.ndarray, after: np.ndarray, hub: np.ndarray) -> np.nda
     return np.concatenate([before[right] * 256 + hub[after[right]], after[left] * 256 + hub[before[left]] + 128])
 
 
-def classes_of(ids: np.ndarray, n_ids: int, n_classes: int = 64, seed: int = 7) -> np.ndarray:
-    """A class for each id by its neighbours in a row of ids."""
-    count = np.bincount(ids, minlength=n_ids)
-    table = np.bincount(neighbours(ids[:-1], ids[1:], hubs_of(count)), minlength=n_ids * 256).reshape(n_ids, 256)
-    return classes_by(count, table.astype(np.float32), n_classes, seed)
-
-
 def classes_by(count: np.ndarray, table: np.ndarray, n_classes: int = 64, seed: int = 7) -> np.ndarray:
     """A class for each id: k-means over what stands before and after it (table, as of neighbours()); ids not seen share class 0."""
     seen = np.flatnonzero(count)
@@ -291,90 +304,96 @@ def training_windows(ids: np.ndarray, bounds: np.ndarray, start: int, window: in
     return inputs[at].astype(np.int32), np.where(inside, ids[at], -1).astype(np.int32)
 
 
-def summed(parts: DataFrame) -> list[np.ndarray]:
-    """Per slice (_slice 0, 1, ...), the sum of its parts (_part, _sum: float64, packed), always in the same order; no parts: no slices."""
-
-    def add(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("_part").to_numpy())
-        total = np.float64(0)
-        for k in order:
-            total = total + unpacked(table.column("_sum")[int(k)].as_py(), np.float64)
-        return pa.table([table.column("_slice")[:1], pa.array([packed(total)], pa.binary())], ["_slice", "_sum"])
+#: Slices that a sum over the corpus is cut into, and parts that are added up in one go.
+_SLICES, _AT_ONCE = 16, 64
+_PARTS = "_slice int, _part int, _sum binary"
 
-    rows = parts.groupBy("_slice").applyInArrow(add, "_slice int, _sum binary").collect()  # of the size of a model or a table of neighbours
-    return [unpacked(r["_sum"], np.float64) for r in sorted(rows)]
 
+def sliced(part: int, vectors: list[np.ndarray]) -> pa.RecordBatch:
+    """A part of a sum, cut into vectors."""
+    n = len(vectors)
+    columns = [pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([packed(v.astype(np.float64)) for v in vectors], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["_slice", "_part", "_sum"])
 
-#: Slices that a sum over the corpus is cut into, and chunks that are learned in one go.
-_SLICES, _TOGETHER = 16, 2
 
+def summed(parts: DataFrame, n_parts: int) -> list[np.ndarray]:
+    """Per slice, the sum of its parts (parts numbered below n_parts), always in the same order, some at a time; no parts: no slices."""
 
-def learned(notes: DataFrame, chunks: int, n_ids: int, steps: int) -> Attention:
-    """A model from all training texts, by the chunks' notes (_chunk, _note).
+    def add(table: pa.Table) -> pa.Table:
+        lean_memory()
+        total: np.ndarray | float = 0.0
+        for k in np.argsort(table.column("_part").to_numpy()):
+            total = total + unpacked(table.column("_sum")[int(k)].as_py(), np.float64)
+        part = table.column("_part")[0].as_py() // _AT_ONCE
+        return pa.table([table.column("_slice")[:1], pa.array([part], pa.int32()), pa.array([packed(total)], pa.binary())], ["_slice", "_part", "_sum"])
 
-    Classes come from neighbours counted over all chunks. The first group of chunks is learned from the start, in steps
-    steps or more; then, in a few rounds, each other group goes on from the model so far with all its windows, once,
-    and the changes are averaged: an id's vector by how often the groups have it, all else by windows.
-    """
-    end_id, spark = n_ids - 1, notes.sparkSession
-    slices = [n_ids * k // _SLICES for k in range(_SLICES + 1)]
-    kinds = "_slice int, _part int, _sum binary"
+    while True:
+        parts = parts.groupBy("_slice", F.floor(F.col("_part") / _AT_ONCE)).applyInArrow(add, _PARTS)
+        if n_parts <= _AT_ONCE:
+            break
+        n_parts = -(-n_parts // _AT_ONCE)
+    return [unpacked(r["_sum"], np.float64) for r in sorted(parts.collect())]  # of the size of a model or a table of neighbours
 
-    def sliced(part: int, vectors: list[np.ndarray]) -> pa.RecordBatch:
-        n = len(vectors)
-        columns = [pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([packed(v.astype(np.float64)) for v in vectors], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["_slice", "_part", "_sum"])
 
-    def all_counts(of: Callable[[np.ndarray, np.ndarray], np.ndarray], columns: int) -> list[np.ndarray]:
-        """Counts of all places in a table of columns an id that of(ids, bounds) gives, by slices of ids."""
+def round_of(chunk: int) -> int:
+    """The round in which a chunk is learned: 0 the first chunk, 1 the next seven, and from then on as many as in all rounds before."""
+    return max(1, chunk.bit_length() - 2) if chunk else 0
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lean_memory()
-            total = np.zeros(n_ids * columns, np.uint32)
-            for batch in batches:
-                for note in batch.column(0):
-                    np.add.at(total, of(*training_rows(note.as_py(), end_id)), np.uint32(1))
-            yield sliced(0, [total[a * columns : b * columns] for a, b in zip(slices[:-1], slices[1:], strict=True)])
 
-        return summed(notes.select("_note").mapInArrow(count, kinds))
+def learned(asked: DataFrame, chunks: int, n_ids: int, steps: int, counts: np.ndarray) -> Attention:
+    """A model from all training texts, by the chunks' notes (_round, _note); counts: of all ids.
 
-    got = all_counts(lambda ids, bounds: ids, 1)
-    count = np.concatenate(got) if got else np.zeros(n_ids)
-    hub = hubs_of(count)
+    Classes come from neighbours counted over all chunks. The first chunk is learned from the start, in steps
+    steps or more; then, round by round, each chunk goes on from the model so far with all its windows, once,
+    and the changes are averaged: an id's vector by how often the chunks have it, all else by windows.
+    """
+    end_id, spark = n_ids - 1, asked.sparkSession
+    slices = [n_ids * k // _SLICES for k in range(_SLICES + 1)]
+    hub = hubs_of(counts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        total = np.zeros(n_ids * 256, np.uint32)
+        for batch in batches:
+            for note in batch.column(0):
+                ids, _ = training_rows(note.as_py(), end_id)
+                np.add.at(total, neighbours(np.append(end_id, ids)[:-1], ids, hub), np.uint32(1))
+        yield sliced(TaskContext.get().partitionId(), [total[a * 256 : b * 256] for a, b in zip(slices[:-1], slices[1:], strict=True)])
+
+    notes = [asked.where(F.col("_round") == r).select("_note") for r in range(round_of(chunks - 1) + 1)]
+    every = asked.where("_round >= 0").select("_note")
     table = np.zeros((n_ids, 256), np.float32)
-    for a, b, part in zip(slices[:-1], slices[1:], all_counts(lambda ids, bounds: neighbours(np.append(end_id, ids)[:-1], ids, hub), 256), strict=False):
+    got = summed(every.mapInArrow(count, _PARTS), every.rdd.getNumPartitions())
+    for a, b, part in zip(slices[:-1], slices[1:], got, strict=False):
         table[a:b] = part.reshape(-1, 256)
-    model = Attention(n_ids, 64, classes_by(count, table))
-    del table
+    model = Attention(n_ids, 64, classes_by(counts, table))
+    del table, got
     dense = [k for k in model.p if k != "embed"]
-    groups = -(-chunks // _TOGETHER)
-    rounds = max(1, min(8, (groups - 1) // 24)) if groups > 1 else 0
 
     def learn(r: int) -> list[np.ndarray]:
-        """Sums over the groups of round r: slices of changes of ids' vectors and their weights, then of all else."""
+        """Sums over the chunks of round r: slices of changes of ids' vectors and their weights, then of all else."""
         shared = spark.sparkContext.broadcast(model)  # a model of fixed size
 
-        def work(table: pa.Table) -> pa.Table:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lean_memory()
-            group = table.column("_group")[0].as_py()
-            mine: Attention = copy.deepcopy(shared.value)
-            some = []
-            for k in np.argsort(table.column("_chunk").to_numpy()):
-                some.append(training_windows(*training_rows(table.column("_note")[int(k)].as_py(), end_id), n_ids, mine.window))
-            x, y = (np.concatenate(side) for side in zip(*some, strict=True))
-            was = {k: v.copy() for k, v in mine.p.items()}
-            mine.train(x, y, *((steps, 4e-3) if r == 0 else (1, 1e-3)), seed=6 + group)
-            weight = np.bincount(x.reshape(-1), minlength=n_ids + 1)
-            ids = np.hstack([(mine.p["embed"] - was["embed"]) * weight[:, None], weight[:, None]])
-            rest = np.append(np.concatenate([(mine.p[k] - was[k]).reshape(-1) for k in dense]) * np.float64(len(x)), len(x))
-            return pa.Table.from_batches([sliced(group, [*(part.reshape(-1) for part in np.array_split(ids, _SLICES)), rest])])
-
-        group = F.floor(F.col("_chunk") / _TOGETHER).cast("int")
-        mine = group == 0 if r == 0 else (group > 0) & (F.pmod(group, F.lit(rounds)) == r - 1)
-        parts = notes.where(mine).withColumn("_group", group).repartition(8 * max(1, groups // max(1, rounds)), "_group")  # few groups meet in a task
-        return summed(parts.groupBy("_group").applyInArrow(work, kinds))
-
-    for r in range(rounds + 1):
+            was: Attention = shared.value
+            ids, rest = np.zeros((n_ids + 1, was.width + 1)), 0.0
+            for batch in batches:
+                for note in batch.column(0):
+                    mine = copy.deepcopy(was)
+                    x, y = training_windows(*training_rows(note.as_py(), end_id), n_ids, mine.window)
+                    mine.train(x, y, *((steps, 4e-3) if r == 0 else (1, 1.5e-3)))
+                    weight = np.bincount(x.reshape(-1), minlength=n_ids + 1)
+                    some = np.flatnonzero(weight)
+                    ids[some, :-1] += (mine.p["embed"][some] - was.p["embed"][some]) * weight[some, None]
+                    ids[some, -1] += weight[some]
+                    rest = rest + np.append(np.concatenate([(mine.p[k] - was.p[k]).reshape(-1) for k in dense]) * np.float64(len(x)), len(x))
+            if np.ndim(rest):
+                yield sliced(TaskContext.get().partitionId(), [*(part.reshape(-1) for part in np.array_split(ids.astype(np.float32), _SLICES)), rest])
+
+        return summed(notes[r].mapInArrow(work, _PARTS), notes[r].rdd.getNumPartitions())
+
+    for r in range(len(notes)):
         *ids, rest = learn(r) or (None,)
         if rest is None:
             continue
@@ -388,10 +407,6 @@ def learned(notes: DataFrame, chunks: int, n_ids: int, steps: int) -> Attention:
     return model
 
 
-def _end_id(tokenizer: str) -> int:
-    return word_encoder(tokenizer).size - 1
-
-
 def lm_score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, tokenizer: str | None = None,
     steps: int = 1500, chunk_bytes: int = 8 << 20,
@@ -399,116 +414,107 @@ def lm_score(
     """A row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training rows are those whose crc32(id as text) mod folds is not fold; the attention layers and the classes of subwords learn
-    from all of them, whole (steps: the least training steps on a small corpus), as word and subword counts do. n_tokens counts words (ASCII case folded) and
+    from all of them, whole (steps: the least training steps on the first chunk), as word and subword counts do. n_tokens counts words (ASCII case folded) and
     one end a text; base_score is their add-one unigram log10 probability, score the model's log10 probability of the text's
-    subwords and its end. A null text is the empty text (one token, its end); a null id counts as the empty
+    words and its end. A null text is the empty text (one token, its end); a null id counts as the empty
     text in the fold and stays null; repeated rows count and are scored each; an empty table gives an empty
     result. Texts are scored whole.
     """
     path = tokenizer or default_tokenizer()
     n_ids = word_encoder(path).size
-    end_id = n_ids - 1
-    subword_keys = _subword_keys(n_ids)
+    end_id, word_seed = n_ids - 1, new_seed()
     chunks = chunk_count(docs, text_col, chunk_bytes)
-    kind = docs.schema[id_col].dataType
-    scratch, shared = Scratch(docs.sparkSession, "lm"), None
-    others = np.concatenate([[_END], subword_keys])
+    kind = docs.schema[id_col].dataType.simpleString()
+    scratch = Scratch(docs.sparkSession, "lm")
+    ranges = ranges_for(chunks)
 
     def is_held(ids: pa.ChunkedArray) -> np.ndarray:
         return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % folds == fold for x in ids.to_pylist()], bool)
 
-    def split(table: pa.Table) -> tuple:
-        """(distinct word hashes, each word's place among them, rows' first words, and where the distinct words stand in the bytes)."""
-        hashes, starts, ends, first, data = hashed_words(table.column("_text").combine_chunks())
+    def asking(table: pa.Table) -> pa.Table:
+        lean_memory()
+        hashes, starts, ends, first, data = hashed_words(table.column("_text").combine_chunks(), seed=word_seed)
         distinct, index, place = np.unique(hashes, return_index=True, return_inverse=True)
-        return distinct, place, first, starts[index], ends[index], data
-
-    def ask(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bytes]:
-        distinct, place, first, starts, ends, data = split(table)
         encoder = word_encoder(path)
-        begin, count = encoder.look_up(distinct, starts, ends, data)
+        begin, count = encoder.look_up(distinct, starts[index], ends[index], data)
         train = ~is_held(table.column("_id"))
-        own = np.bincount(place, np.repeat(train, np.diff(first)).astype(float), len(distinct)).astype(np.int64)
+        own = np.bincount(place[np.repeat(train, np.diff(first))], minlength=len(distinct))
         spread, at = ragged(encoder.pool.part(), begin, count, np.arange(len(distinct) + 1))
-        subword = np.bincount(spread, np.repeat(own, np.diff(at)).astype(float), n_ids).astype(np.int64)
-        subword[end_id] += int(train.sum())
         some = at[1:] > at[:-1]
-        heads = np.bincount(spread[at[:-1][some]], own[some].astype(float), n_ids).astype(np.int64)
-        heads[end_id] += int(train.sum())
-        keys = np.concatenate([distinct, [_END], subword_keys])
-        counts = np.concatenate([own, [int(train.sum())], subword, heads])
-        order = np.argsort(keys)
+        texts = int(train.sum())
+        ids = [np.bincount(x, y.astype(float), n_ids) for x, y in ((spread, np.repeat(own, np.diff(at))), (spread[at[:-1][some]], own[some]), (spread[at[1:][some] - 1], own[some]))]
+        for x in ids:
+            x[end_id] += texts
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, pa.schema([("_id", table.schema.field("_id").type)])) as writer:
             writer.write_table(table.select(["_id"]))
+        end = int(np.searchsorted(distinct, _END))
         note = joined(  # so that neither training nor use needs texts or a tokenizer
-            packed(count.astype(np.uint32)), packed(spread), packed(place.astype(np.uint32)), packed(np.diff(first).astype(np.uint32)),
-            train.tobytes(), np.packbits(order >= len(distinct)).tobytes(), sink.getvalue().to_pybytes(),
-        )
-        return keys[order], counts[order], note
-
-    def use(_: None, answers: np.ndarray, everything: tuple[int, int], note: bytes) -> pa.Table:
-        all_keys, all_counts = everything
-        count, pool, place, n, _, other, ids = parted(note)
+            packed(count.astype(np.uint32)), packed(spread), packed(place.astype(np.uint32)), packed(np.diff(first).astype(np.uint32)), train.tobytes(), sink.getvalue().to_pybytes(), end.to_bytes(8, "little")
+        )
+        chunk = table.column("_chunk")[0].as_py()
+        rows = question(chunk, np.insert(distinct, end, _END), np.insert(own, end, texts), ranges)
+        rows = rows.append_column("_note", pa.nulls(ranges, pa.binary())).append_column("_ids", pa.nulls(ranges, pa.binary())).append_column("_round", pa.array([-1] * ranges, pa.int32()))
+        last = [[-1], [chunk], [None], [None], [note], [packed(np.concatenate(ids).astype(np.uint32))], [round_of(chunk)]]
+        return pa.concat_tables([rows, pa.table([pa.array(x, t) for x, t in zip(last, rows.schema.types, strict=True)], rows.column_names)])
+
+    asked = dealt(docs, id_col, text_col, chunks).groupBy("_chunk").applyInArrow(asking, f"{ASKED}, _note binary, _ids binary, _round int")
+    asked = scratch.save(asked, "asked", by="_round")
+    got = answered(asked.where("_round = -1").select("_range", "_chunk", "_keys", "_counts"), chunks)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | float = 0.0
+        for batch in batches:
+            for x in batch.column(0):
+                total = total + unpacked(x.as_py(), np.uint32).astype(np.float64)
+        if np.ndim(total):
+            yield sliced(TaskContext.get().partitionId(), [total])
+
+    of_chunks = asked.where("_round >= 0").select("_ids")
+    sums = summed(of_chunks.mapInArrow(add_up, _PARTS), of_chunks.rdd.getNumPartitions())
+    counts = sums[0].astype(np.int64).reshape(3, n_ids) if sums else np.zeros((3, n_ids), np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((learned(asked, chunks, n_ids, steps, counts[0]), counts))  # a model and a few counts an id
+
+    def use(notes: pa.Table, answers: pa.Table) -> pa.Table:
+        lean_memory()
+        whole, (n_words, once, tokens) = whole_answer(answers)
+        whole = whole.astype(np.int64)
+        count, pool, place, n, train, ids, at_end = parted(notes.column("_note")[0].as_py())
         table = pa.ipc.open_stream(ids).read_all()
-        count, pool = unpacked(count, np.uint32).astype(np.int64), np.append(unpacked(pool, np.uint16), np.uint16(end_id))
-        place, first = unpacked(place, np.uint32).astype(np.int64), np.concatenate([[0], np.cumsum(unpacked(n, np.uint32), dtype=np.int64)])
-        begin = np.cumsum(count) - count
-        other = np.unpackbits(np.frombuffer(other, np.uint8), count=len(answers)).astype(bool)
-        answers = answers.astype(np.int64)
-        word, rest = answers[~other], np.empty(len(others), np.int64)
-        rest[np.argsort(others)] = answers[other]
-        end, (subword, heads) = int(rest[0]), rest[1:].reshape(2, n_ids)
-        vocabulary, tokens = all_keys - int((subword > 0).sum() + (heads > 0).sum()), all_counts - int(subword.sum() + heads.sum())
+        count, pool, place = unpacked(count, np.uint32).astype(np.int64), unpacked(pool, np.uint16), unpacked(place, np.uint32).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(unpacked(n, np.uint32), dtype=np.int64)])
+        at_end = int.from_bytes(at_end, "little")
+        end, word = int(whole[at_end]), np.delete(whole, at_end)
+        attention, (subword, heads, lasts) = shared.value
+        words = Words(attention, subword, heads, lasts, tokens, once)
         n = np.diff(first)
-        known = sums(word > 0, place, first) + (end > 0)
-        logs = sums(np.log10(word + 1.0), place, first) + np.log10(end + 1.0)
-        attention: Attention = shared.value
-        mass = subword + 0.5
-        within = np.log10(mass / np.bincount(attention.class_of, mass, attention.n_classes)[attention.class_of]).astype(np.float32)
+        known = sums_of(word > 0, place, first) + (end > 0)
+        base = sums_of(np.log10(word + 1.0), place, first) + np.log10(end + 1.0) - (n + 1) * np.log10(tokens + n_words + 1)
+        pool = np.append(pool, np.uint16(end_id))
+        size, times = np.append(count, 1), np.append(word, end)  # the last stands for an end
+        begin = np.cumsum(size) - size
         score = np.empty(len(n))
         rows = np.arange(len(n))
-        sizes, begins, every = np.append(count, 1), np.append(begin, len(pool) - 1), np.append(word, end)  # the last stands for an end
-        while len(rows):  # some hundred thousand ids at a time
-            some = rows[: max(1, int(np.searchsorted(np.cumsum(n[rows]), 60_000)))]
+        while len(rows):  # some ten thousand words at a time
+            some = rows[: max(1, int(np.searchsorted(np.cumsum(n[rows]), 30_000)))]
             rows = rows[len(some) :]
-            a, b = first[some[0]], first[some[-1] + 1]
+            a = first[some[0]]
             at = first[some[0] : some[-1] + 2] - a
-            own = np.insert(place[a:b], at[1:], -1)
-            size = sizes[own]
-            ids, _ = ragged(pool, begins[own], size, at)
-            ids = ids.astype(np.int64)
-            words = np.concatenate([[0], np.cumsum(size)])
-            bounds = words[at + np.arange(len(at))]
-            each = (attention.class_log10(ids, bounds) + within[ids]).astype(np.float64)
-            total = np.concatenate([[0], np.cumsum(each)])
-            whole, some_ids = total[words[1:]] - total[words[:-1]], size > 0
-            head = np.minimum(words[:-1], len(ids) - 1)
-            times = every[own]
-            by_count = (times + 1) / (tokens + vocabulary + 1)
-            by_head = np.where(some_ids, 10 ** each[head] * times / np.maximum(heads[ids[head]], 1), 0)
-            mixed = SHARES[0] * by_count + SHARES[1] * by_head + SHARES[2] * np.where(some_ids, 10**whole, 0)
-            sure = np.log10(mixed)
-            at_word = at + np.arange(len(at))
-            sure = np.concatenate([[0], np.cumsum(sure)])
-            score[some] = sure[at_word[1:]] - sure[at_word[:-1]]
-        base = logs - (n + 1) * np.log10(tokens + vocabulary + 1)
-        columns = [pa.array(is_held(table.column("_id"))), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)]
+            own = np.insert(place[a : first[some[-1] + 1]], at[1:], len(size) - 1)
+            at = at + np.arange(len(at))
+            ids, _ = ragged(pool, begin[own], size[own], at)
+            sure = np.concatenate([[0], np.cumsum(words.log10(ids.astype(np.int64), size[own], at, times[own]))])
+            score[some] = sure[at[1:]] - sure[at[:-1]]
+        columns = [pa.array(~np.frombuffer(train, bool)), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)]
         return pa.table([table.column("_id"), *columns], [id_col, *names])
 
-    def between(answered: DataFrame) -> DataFrame:
-        nonlocal shared
-        saved = scratch.save(answered, "answered")
-        model = learned(saved.where("_range < 0").select("_chunk", F.col("_answers").alias("_note")), chunks, n_ids, steps)
-        shared = docs.sparkSession.sparkContext.broadcast(model)  # a model of fixed size
-        return saved
-
     names = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    schema = f"`{id_col}` {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return tallied(docs, id_col, text_col, chunks, ask, use, schema, between=between)
+    schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    notes = asked.where("_round >= 0").select("_chunk", "_note").repartition(chunks, "_chunk")
+    return notes.groupBy("_chunk").cogroup(got.repartition(chunks, "_chunk").groupBy("_chunk")).applyInArrow(use, schema)
 
 
-def sums(of_distinct: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+def sums_of(of_distinct: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per row, the sum of of_distinct over its words."""
     total = np.concatenate([[0], np.cumsum(of_distinct[place])])
     return total[first[1:]] - total[first[:-1]]

@@ -71,14 +71,14 @@ def _with_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
         seen: dict[bytes | None, int] = {None: -1}
         return sets, names, [k for k, x in enumerate(names) if seen.setdefault(x, k) == k]
 
-    def ask(table: pa.Table) -> tuple[np.ndarray, np.ndarray, None]:
+    def ask(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         sets, _, own = classes(table)
-        return *np.unique(np.concatenate([sets[k] for k in own] or [np.zeros(0, np.uint64)]) & high, return_counts=True), None
+        return np.unique(np.concatenate([sets[k] for k in own] or [np.zeros(0, np.uint64)]) & high, return_counts=True)
 
     def rarity(total: np.ndarray) -> np.ndarray:
         return np.minimum(255, np.ceil(4 * np.log2(np.maximum(total, 1))))
 
-    def use(table: pa.Table, answers: np.ndarray, _: tuple[int, int], __: bytes | None) -> pa.Table:
+    def use(table: pa.Table, answers: np.ndarray, _: tuple[int, int, int]) -> pa.Table:
         sets, names, own = classes(table)
         flat = np.concatenate([sets[k] for k in own] or [np.zeros(0, np.uint64)])
         level = answers[np.searchsorted(np.unique(flat & high), flat & high)] if len(flat) else answers[:0]

@@ -54,46 +54,42 @@ def chunk_count(docs: DataFrame, text_col: str, chunk_bytes: int) -> int:
     return max(1, -(-total // max(chunk_bytes, math.isqrt(total << 10))))
 
 
-def tallied(
-    docs: DataFrame, id_col: str, text_col: str, chunks: int,
-    ask: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, bytes | None]],
-    use: Callable[[pa.Table | None, np.ndarray, tuple[int, int], bytes | None], pa.Table],
-    schema: str, answer: type = np.uint64, shrink: Callable[[np.ndarray], np.ndarray] | None = None, between: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
-    """use(texts, answers, (distinct, total), note) for each chunk of docs, as a DataFrame of schema.
+def dealt(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> DataFrame:
+    """(_id, _text, _chunk): documents in chunks by a hash of id and text; a null text is empty."""
+    chunk = F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("_chunk")
+    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), chunk).repartition(chunks, "_chunk")
 
-    texts: the chunk's rows (id, text). ask(texts) gives the chunk's sorted distinct keys and its counts of them
-    (0 to ask only), and a note to itself, or None, that use gets; use also gets the corpus-wide counts in the same order, shrunk by shrink to the type answer (whole counts
-    need 64 bits: a chunk's own fit in 32, the corpus's do not), the number of distinct keys with a count, and the sum of all counts. Both must see the same keys for the same
-    rows in any order.
 
-    between gets the answers and notes (_chunk, _range, below 0 for a note, _answers, _distinct, _total) before use is planned, and
-    gives them back, saved. Then texts don't travel again: use gets None for them, and its note has to say what it needs.
-    """
-    dealt = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("_chunk")).repartition(chunks, "_chunk")
+ASKED = "_range int, _chunk int, _keys binary, _counts binary"
+ANSWERED = "_chunk int, _range int, _answers binary, _distinct long, _once long, _total long"
 
-    ranges = max(1, chunks // 2)
 
-    def asking(table: pa.Table) -> pa.Table:
-        lean_memory()
-        keys, counts, note = ask(table)
-        at = ranges_of(keys, ranges)
-        chunk = table.column("_chunk")[0].as_py()
-        rows = [(k, chunk, packed_keys(keys[a:b]), packed(counts[a:b].astype(np.uint32))) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
-        if note is not None:
-            rows.append((-1 - chunk, chunk, note, b""))  # a range of its own, which passes it on
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["_range", "_chunk", "_keys", "_counts"])
+def question(chunk: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.Table:
+    """What a chunk asks, a row per key range, as ASKED says; keys are sorted and distinct, counts fit in 32 bits (0 to ask only)."""
+    at = ranges_of(keys, ranges)
+    some = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    columns = [
+        pa.array(range(ranges), pa.int32()), pa.array([chunk] * ranges, pa.int32()),
+        pa.array([packed_keys(keys[a:b]) for a, b in some], pa.binary()), pa.array([packed(counts[a:b].astype(np.uint32)) for a, b in some], pa.binary()),
+    ]
+    return pa.table(columns, ["_range", "_chunk", "_keys", "_counts"])
+
+
+def ranges_for(chunks: int) -> int:
+    """How many key ranges chunks ask."""
+    return max(1, chunks // 2)
+
+
+def answered(asked: DataFrame, chunks: int, answer: type = np.uint64, shrink: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Every question's answer, as ANSWERED says: the corpus-wide counts of its keys in its order, shrunk by shrink to the type answer (whole counts
+    need 64 bits: a chunk's own fit in 32, the corpus's do not); and of the range, the distinct keys with a count, those counted once, and the sum of counts."""
 
     def answering(table: pa.Table) -> pa.Table:
         lean_memory()
-        if table.column("_range")[0].as_py() < 0:
-            zero = pa.array([0] * table.num_rows, pa.int64())
-            return pa.table([table.column("_chunk"), table.column("_range"), table.column("_keys"), zero, zero], ["_chunk", "_range", "_answers", "_distinct", "_total"])
-        askers = table.column("_chunk").to_pylist()
         keys = [unpacked_keys(x.as_py()) for x in table.column("_keys")]
         counts = [unpacked(x.as_py(), np.uint32) for x in table.column("_counts")]
         parts: list[list[np.ndarray]] = [[] for _ in keys]
-        known = everything = 0
+        known = once = everything = 0
         pieces = max(1, sum(map(len, keys)) >> 20)  # a part of the range at a time: sorting takes several times its size
         top = max((int(k[-1]) for k in keys if len(k)), default=0)
         low = min((int(k[0]) for k in keys if len(k)), default=0)
@@ -104,28 +100,43 @@ def tallied(
             distinct, place = np.unique(np.concatenate(some), return_inverse=True)
             total = np.bincount(place, np.concatenate([c[b[p] : b[p + 1]] for c, b in zip(counts, bounds, strict=True)]), len(distinct)).astype(np.int64)
             shrunk = (shrink(total) if shrink else total).astype(answer)
-            known, everything, at = known + int((total > 0).sum()), everything + int(total.sum()), 0
+            known, once, everything, at = known + int((total > 0).sum()), once + int((total == 1).sum()), everything + int(total.sum()), 0
             for x, part in zip(some, parts, strict=True):
                 part.append(shrunk[place[at : at + len(x)]])
                 at += len(x)
-        out = [packed(np.concatenate(part)) for part in parts]
-        n = len(askers)
-        return pa.table(
-            [pa.array(askers, pa.int32()), table.column("_range"), pa.array(out, pa.binary()), pa.array([known] * n, pa.int64()), pa.array([everything] * n, pa.int64())],
-            ["_chunk", "_range", "_answers", "_distinct", "_total"],
-        )
-
-    def using(texts: pa.Table | None, answers: pa.Table) -> pa.Table:
+        n = table.num_rows
+        columns = [table.column("_chunk"), table.column("_range"), pa.array([packed(np.concatenate(part)) for part in parts], pa.binary())]
+        return pa.table([*columns, *(pa.array([x] * n, pa.int64()) for x in (known, once, everything))], ["_chunk", "_range", "_answers", "_distinct", "_once", "_total"])
+
+    return asked.repartition(ranges_for(chunks), "_range").groupBy("_range").applyInArrow(answering, ANSWERED)
+
+
+def whole_answer(table: pa.Table, answer: type = np.uint64) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """A chunk's answers in the order of its keys; and of all keys, the distinct with a count, those counted once, and the sum of counts."""
+    order = np.argsort(table.column("_range").to_numpy())
+    got = table.column("_answers").to_pylist()
+    return np.concatenate([unpacked(got[k], answer) for k in order]), tuple(sum(table.column(c).to_pylist()) for c in ("_distinct", "_once", "_total"))
+
+
+def tallied(
+    docs: DataFrame, id_col: str, text_col: str, chunks: int,
+    ask: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], use: Callable[[pa.Table, np.ndarray, tuple[int, int, int]], pa.Table],
+    schema: str, answer: type = np.uint64, shrink: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
+    """use(texts, answers, totals) for each chunk of docs, as a DataFrame of schema.
+
+    texts: the chunk's rows (_id, _text). ask(texts) gives the chunk's sorted distinct keys and its counts of them; use also gets the
+    corpus-wide counts in the same order, and what whole_answer says of all keys. Both must see the same keys for the same rows in any order.
+    """
+    texts = dealt(docs, id_col, text_col, chunks)
+
+    def asking(table: pa.Table) -> pa.Table:
         lean_memory()
-        places = answers.column("_range").to_numpy()
-        order = np.argsort(places)
-        got = answers.column("_answers").to_pylist()
-        whole = np.concatenate([unpacked(got[k], answer) for k in order if places[k] >= 0])
-        note = next((got[k] for k in order if places[k] < 0), None)
-        return use(texts, whole, (sum(answers.column("_distinct").to_pylist()), sum(answers.column("_total").to_pylist())), note)
-
-    asked = dealt.groupBy("_chunk").applyInArrow(asking, "_range int, _chunk int, _keys binary, _counts binary")
-    answered = asked.repartition(ranges, "_range").groupBy("_range").applyInArrow(answering, "_chunk int, _range int, _answers binary, _distinct long, _total long")
-    if between is not None:
-        return between(answered).repartition(chunks, "_chunk").groupBy("_chunk").applyInArrow(lambda answers: using(None, answers), schema)
-    return dealt.groupBy("_chunk").cogroup(answered.repartition(chunks, "_chunk").groupBy("_chunk")).applyInArrow(using, schema)
+        return question(table.column("_chunk")[0].as_py(), *ask(table), ranges_for(chunks))
+
+    def using(table: pa.Table, answers: pa.Table) -> pa.Table:
+        lean_memory()
+        return use(table, *whole_answer(answers, answer))
+
+    got = answered(texts.groupBy("_chunk").applyInArrow(asking, ASKED), chunks, answer, shrink)
+    return texts.groupBy("_chunk").cogroup(got.repartition(chunks, "_chunk").groupBy("_chunk")).applyInArrow(using, schema)

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kmerloom.llm.lm import Attention, classes_of, lm_score
+from kmerloom.llm.lm import Attention, Words, classes_by, hubs_of, lm_score, neighbours, round_of, sliced, summed
 
 
 def held(i):
@@ -61,7 +61,8 @@ def test_gradients():
 
     def loss():
         z, kept = m.forward(x)
-        return -z[np.arange(18), y.reshape(-1)].mean(), z, kept
+        logs = z - np.log(np.exp(z).sum(1, keepdims=True))
+        return -logs[np.arange(18), y.reshape(-1)].mean(), z, kept
 
     _, z, kept = loss()
     grads = m.backward(x, y, z, kept)
@@ -94,15 +95,75 @@ def test_each_token_once_and_causally():
             start = 0 if t < 6 else (t - 2) // 4 * 4
             x = np.concatenate([[40], row[:-1]])[start : start + 6]
             z, _ = m.forward(x[None])
-            assert all_[bounds[k] + t] == pytest.approx(z[t - start, m.class_of[row[t]]] / math.log(10), abs=1e-4)
+            want = z[t - start, m.class_of[row[t]]] - np.log(np.exp(z[t - start]).sum())
+            assert all_[bounds[k] + t] == pytest.approx(want / math.log(10), abs=1e-4)
     changed = ids.copy()
     changed[40:] = 0
     assert np.allclose(m.class_log10(changed, bounds, 4, 3)[:40], all_[:40], atol=1e-5)
 
 
 def test_classes():
-    of = classes_of(np.array([1, 2, 1, 3, 1, 2]), 10)
-    assert of[0] == 0 and (of[[1, 2, 3]] > 0).all() and classes_of(np.zeros(0, np.int64), 4).tolist() == [0] * 4
+    def classes(ids, n):
+        count = np.bincount(ids, minlength=n)
+        table = np.bincount(neighbours(ids[:-1], ids[1:], hubs_of(count)), minlength=n * 256).reshape(n, 256)
+        return classes_by(count, table.astype(np.float32))
+
+    of = classes(np.array([1, 2, 1, 3, 1, 2]), 10)
+    assert of[0] == 0 and (of[[1, 2, 3]] > 0).all() and classes(np.zeros(0, np.int64), 4).tolist() == [0] * 4
+
+
+def test_probabilities_of_all_words_add_up_to_one():
+    """A closed vocabulary: every word of one or two of four subwords, half of them seen, the end of the text, and what the tokenizer drops."""
+    n_ids = 5
+    rng = np.random.default_rng(3)
+    m = Attention(n_ids, 3, np.array([0, 1, 1, 2, 2]), width=8, window=8)
+    spell = [(a,) for a in range(4)] + [(a, b) for a in range(4) for b in range(4)]
+    times = rng.integers(0, 6, len(spell)) * rng.integers(0, 2, len(spell))
+    times[0] = 1
+    subword, heads, lasts = np.zeros((3, n_ids), np.int64)
+    for w, c in zip(spell, times, strict=True):
+        heads[w[0]] += c
+        lasts[w[-1]] += c
+        for x in w:
+            subword[x] += c
+    ends = 7
+    for x in (subword, heads, lasts):
+        x[-1] = ends
+    words = Words(m, subword, heads, lasts, int(times.sum()) + ends, int((times == 1).sum()))
+    before = [2, 0, 1]  # the words so far, one id each
+
+    def after(word, seen):
+        ids, size = np.array([*before, *word, 4]), np.array([1, 1, 1, len(word), 1])
+        return 10 ** words.log10(ids, size, np.array([0, 5]), np.array([0, 0, 0, seen, ends]))[3]
+
+    end = 10 ** words.log10(np.array([*before, 4]), np.array([1, 1, 1, 1]), np.array([0, 4]), np.array([0, 0, 0, ends]))[3]
+    listed = end + after((), 0) + sum(after(w, c) for w, c in zip(spell, times, strict=True))
+    # longer words: of every id that does not end the text, the probability of going on, squared and summed by two steps
+    longer = 0.0
+    deep = 7
+    paths = {(a,): None for a in range(4)}
+    for n in range(2, deep + 1):
+        paths = {(*w, b): None for w in paths for b in range(4)}
+        if n > 2 and n <= 5:
+            longer += sum(after(w, 0) for w in paths)
+        if n == 5:
+            break
+    assert listed + longer <= 1 + 1e-9
+    assert listed + longer > 0.93  # the rest: still longer words, ends inside words, ids that begin no word
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 65, 300])
+def test_sums_by_parts(spark, n):
+    from kmerloom.llm.lm import _PARTS
+
+    rows = [r for k in range(n) for r in sliced(k, [np.array([k, 1.0]), np.array([0.5])]).to_pylist()]
+    got = summed(spark.createDataFrame([(r["_slice"], r["_part"], bytearray(r["_sum"])) for r in rows], _PARTS), n)
+    assert [x.tolist() for x in got] == ([[n * (n - 1) / 2, n], [n / 2]] if n else [])
+
+
+def test_rounds_double():
+    sizes = np.bincount([round_of(k) for k in range(64)])
+    assert sizes.tolist() == [1, 7, 8, 16, 32]
 
 
 def test_windows_have_every_training_id_once():
