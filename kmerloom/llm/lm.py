@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import copy
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, lean_memory
 from .tally import ASKED, answered, chunk_count, dealt, packed, question, ranges_for, unpacked, whole_answer
 from .tokens import default_tokenizer, ragged, word_encoder
-from .words import hashed_words, new_seed
+from .words import grouped, hashed_words, new_seed
 
 #: Key of the end token in the tally of words.
 _END = np.uint64(0x5DEECE66D1CE4E5B)
@@ -51,64 +51,64 @@ class Attention:
 
         self.p = {
             "embed": rng.normal(0, 0.3, (n_ids + 1, width)).astype(np.float32), "place": rng.normal(0, 0.1, (window, width)).astype(np.float32),
-            "qkv": init(width, 3 * width), "out": init(width, width), "up": init(width, 2 * width), "down": init(2 * width, width),
-            "top": init(width, n_classes), "bias": np.zeros(n_classes, np.float32),
+            "qv": init(width, 2 * width), "up": init(width, 2 * width), "down": init(2 * width, width), "top": init(width, n_classes),
         }
+        self.ceiling = np.where(np.tri(window, dtype=bool), np.float32(60), np.float32(-1e9))  # exponents are held to 60, and none reaches ahead
 
-    def ceiling(self, t: int) -> np.ndarray:
-        """The most that a place's attention to a place may be: exponents are held to 60, and none reaches ahead."""
-        return np.where(np.tri(t, dtype=bool), np.float32(60), np.float32(-1e9))
+    def attend(self, x: np.ndarray) -> tuple:
+        """What stands at each place of windows x (n, window) after both layers, by row, and what it came from.
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Scores of the classes after each place of windows x (n, window), by row, and what backward needs.
-
-        Attention is divided by its sum after it is applied, and sums are taken by matrix products.
+        With one head, keys may be the inputs themselves and values need no second product. Attention is divided by
+        its sum after it is applied, and sums are taken by matrix products.
         """
         p, w = self.p, self.width
         n, t = x.shape
         e = p["embed"][x]
         e += p["place"][:t]
         flat = e.reshape(-1, w)
-        qkv = flat @ p["qkv"]
-        qkv[:, :w] *= e.dtype.type(w**-0.5)
-        qkv = qkv.reshape(n, t, 3 * w)
-        a = qkv[..., :w] @ qkv[..., w : 2 * w].transpose(0, 2, 1)
-        np.minimum(a, self.ceiling(t), out=a)
+        qv = (flat @ p["qv"]).reshape(n, t, 2 * w)
+        a = qv[..., :w] @ e.transpose(0, 2, 1)
+        np.minimum(a, self.ceiling[:t, :t], out=a)
         np.exp(a, out=a)
         with_one = np.ones((n, t, w + 1), e.dtype)
-        with_one[..., :w] = qkv[..., 2 * w :]
+        with_one[..., :w] = qv[..., w:]
         c = (a @ with_one).reshape(-1, w + 1)
         share = 1 / c[:, w:]
         c = c[:, :w] * share
-        h = flat + c @ p["out"]
+        h = flat + c
         u = h @ p["up"]
         np.maximum(u, 0, out=u)
         g = u @ p["down"]
         g += h
-        z = g @ p["top"]
-        z += p["bias"]
-        return np.minimum(z, 60, out=z), (flat, qkv, a, share, c, h, u, g)
+        return g, u, h, c, share, a, qv, flat
+
+    def odds(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the classes after each place: their odds, and the sum of these."""
+        with np.errstate(over="ignore"):
+            s = g @ self.p["top"]
+            np.exp(s, out=s)
+            total = s @ np.ones(s.shape[1], s.dtype)
+        if not np.isfinite(total).all():
+            s = np.exp(np.minimum(g @ self.p["top"], 60))
+            total = s @ np.ones(s.shape[1], s.dtype)
+        return s, total
 
     def log_of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Log probabilities of the classes y (n, window) after the places of x, by row."""
-        z, _ = self.forward(x)
-        got = z[np.arange(len(z)), y.reshape(-1)]
-        np.exp(z, out=z)
-        return got - np.log(z @ np.ones(z.shape[1], z.dtype))
+        s, total = self.odds(self.attend(x)[0])
+        return np.log(np.maximum(s[np.arange(len(s)), y.reshape(-1)], 1e-30) / total)
 
-    def backward(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, kept: tuple) -> dict:
-        """Gradients of the mean loss, by z and kept as of forward (z is spent); places whose class is below 0 have none."""
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict:
+        """Gradients of the mean loss; places whose class is below 0 have none."""
         p, w = self.p, self.width
-        flat, qkv, a, share, c, h, u, g = kept
+        g, u, h, c, share, a, qv, flat = self.attend(x)
         n, t = x.shape
         kind = flat.dtype.type
-        q, k, v = qkv[..., :w], qkv[..., w : 2 * w], qkv[..., 2 * w :]
         y = y.reshape(-1)
-        s = np.exp(z, out=z)
-        total = s @ np.ones(s.shape[1], kind)
+        s, total = self.odds(g)
         s[np.arange(len(s)), y] -= total
         part = ((y >= 0) / max(1, int((y >= 0).sum())) / total).astype(kind)  # by row, s times this is the gradient
-        grad: dict = {"top": (g * part[:, None]).T @ s, "bias": part @ s}
+        grad: dict = {"top": (g * part[:, None]).T @ s}
         dh = s @ np.ascontiguousarray(p["top"].T)
         dh *= part[:, None]
         grad["down"] = u.T @ dh
@@ -116,22 +116,19 @@ class Attention:
         du *= u > 0
         grad["up"] = h.T @ du
         dh += du @ p["up"].T
-        grad["out"] = c.T @ dh
-        dc = dh @ p["out"].T
-        dc *= share
+        dc = dh * share
         own = (dc * c) @ np.ones(w, kind)
         dc = dc.reshape(n, t, w)
-        dqkv = np.empty((n, t, 3 * w), kind)
-        np.matmul(a.transpose(0, 2, 1), dc, out=dqkv[..., 2 * w :])
-        da = dc @ v.transpose(0, 2, 1)
+        dqv = np.empty((n, t, 2 * w), kind)
+        np.matmul(a.transpose(0, 2, 1), dc, out=dqv[..., w:])
+        da = dc @ qv[..., w:].transpose(0, 2, 1)
         da -= own.reshape(n, t, 1)
         da *= a
-        np.matmul(da, k, out=dqkv[..., :w])
-        np.matmul(da.transpose(0, 2, 1), q, out=dqkv[..., w : 2 * w])
-        dqkv = dqkv.reshape(-1, 3 * w)
-        dqkv[:, :w] *= kind(w**-0.5)
-        grad["qkv"] = flat.T @ dqkv
-        dh += dqkv @ p["qkv"].T
+        np.matmul(da, flat.reshape(n, t, w), out=dqv[..., :w])
+        dh += (da.transpose(0, 2, 1) @ qv[..., :w]).reshape(-1, w)
+        dqv = dqv.reshape(-1, 2 * w)
+        grad["qv"] = flat.T @ dqv
+        dh += dqv @ p["qv"].T
         grad["place"] = np.zeros_like(p["place"])
         grad["place"][:t] = dh.reshape(n, t * w).sum(0).reshape(t, w)
         ids = x.reshape(-1).astype(np.uint16) if len(p["embed"]) <= 1 << 16 else x.reshape(-1)  # 16 bits sort in linear time
@@ -155,7 +152,7 @@ class Attention:
             inputs, ids = x[at], y[at]
             classes = np.where(ids < 0, -1, self.class_of[ids])
             now = rate * min(1.0, step / 30) * (1 - 0.9 * step / steps)
-            for name, g in self.backward(inputs, classes, *self.forward(inputs)).items():
+            for name, g in self.gradients(inputs, classes).items():
                 at = slice(None)
                 if name == "embed":
                     at, g = g
@@ -163,7 +160,7 @@ class Attention:
                 s[name][at] = square = 0.98 * s[name][at] + 0.02 * g * g
                 self.p[name][at] -= now * mean / (np.sqrt(square) + 1e-7)
 
-    def class_log10(self, ids: np.ndarray, bounds: np.ndarray, stride: int = 24, batch: int = 128) -> np.ndarray:
+    def class_log10(self, ids: np.ndarray, bounds: np.ndarray, stride: int = 28, batch: int = 96) -> np.ndarray:
         """log10 P(class) of every id, given the ids before it in its row (rows: bounds[k] to bounds[k + 1], none empty).
 
         A window of inputs starts at every stride-th place of a row; a place is scored in the last window in which
@@ -235,10 +232,11 @@ def hubs_of(count: np.ndarray) -> np.ndarray:
     return hub
 
 
-def neighbours(before: np.ndarray, after: np.ndarray, hub: np.ndarray) -> np.ndarray:
-    """A place in a table of 256 columns an id for each neighbour that is a hub: those after an id, then those before it."""
-    right, left = hub[after] >= 0, hub[before] >= 0
-    return np.concatenate([before[right] * 256 + hub[after[right]], after[left] * 256 + hub[before[left]] + 128])
+def neighbours(ids: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    """A place in a table of 256 columns an id for each neighbour in a row of ids that is a hub: those after an id, then those before it."""
+    of = hub[ids]
+    right, left = np.flatnonzero(of[1:] >= 0), np.flatnonzero(of[:-1] >= 0)
+    return np.concatenate([ids[right] * 256 + of[right + 1], ids[left + 1] * 256 + of[left] + 128])
 
 
 def classes_by(count: np.ndarray, table: np.ndarray, n_classes: int = 64, seed: int = 7) -> np.ndarray:
@@ -277,13 +275,15 @@ def parted(data: bytes) -> list[bytes]:
     return out
 
 
-def training_rows(note: bytes, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, bounds) of a chunk's training texts, whole, each with its end, in an order that follows from the texts alone."""
+def training_rows(note: bytes, end_id: int, ordered: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds) of a chunk's training texts, whole, each with its end; ordered: in an order that follows from the texts alone."""
     count, spread, place, n, train, *_ = parted(note)
     size = np.append(unpacked(count, np.uint32).astype(np.int64), 1)
     pool, n, train = np.append(unpacked(spread, np.uint16), np.uint16(end_id)), unpacked(n, np.uint32).astype(np.int64), np.frombuffer(train, bool)
     own = np.insert(unpacked(place, np.uint32).astype(np.int64), np.cumsum(n), len(size) - 1)[np.repeat(train, n + 1)]
     ids, bounds = ragged(pool, (np.cumsum(size) - size)[own], size[own], np.concatenate([[0], np.cumsum(n[train] + 1)]))
+    if not ordered:
+        return ids.astype(np.int64), bounds
     order = np.argsort([xxhash.xxh3_64_intdigest(ids[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], kind="stable")
     n = np.diff(bounds)[order]
     ids, bounds = ragged(ids, bounds[:-1][order], n, np.arange(len(n) + 1))
@@ -309,29 +309,32 @@ _SLICES, _AT_ONCE = 16, 64
 _PARTS = "_slice int, _part int, _sum binary"
 
 
-def sliced(part: int, vectors: list[np.ndarray]) -> pa.RecordBatch:
-    """A part of a sum, cut into vectors."""
+def sliced(part: int, vectors: list[np.ndarray], kind: type = np.float64) -> pa.RecordBatch:
+    """A part of a sum, cut into vectors, as numbers of a kind."""
     n = len(vectors)
-    columns = [pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([packed(v.astype(np.float64)) for v in vectors], pa.binary())]
+    columns = [pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([packed(v.astype(kind)) for v in vectors], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["_slice", "_part", "_sum"])
 
 
-def summed(parts: DataFrame, n_parts: int) -> list[np.ndarray]:
-    """Per slice, the sum of its parts (parts numbered below n_parts), always in the same order, some at a time; no parts: no slices."""
+def summed(parts: DataFrame, n_parts: int, kind: type = np.float64) -> list[np.ndarray]:
+    """Per slice, the sum of its parts (of a kind, numbered below n_parts), always in the same order, some at a time; no parts: no slices."""
 
-    def add(table: pa.Table) -> pa.Table:
-        lean_memory()
-        total: np.ndarray | float = 0.0
-        for k in np.argsort(table.column("_part").to_numpy()):
-            total = total + unpacked(table.column("_sum")[int(k)].as_py(), np.float64)
-        part = table.column("_part")[0].as_py() // _AT_ONCE
-        return pa.table([table.column("_slice")[:1], pa.array([part], pa.int32()), pa.array([packed(total)], pa.binary())], ["_slice", "_part", "_sum"])
+    def adder(kind: type) -> Callable[[pa.Table], pa.Table]:
+        def add(table: pa.Table) -> pa.Table:
+            lean_memory()
+            total: np.ndarray | float = np.float64(0)
+            for k in np.argsort(table.column("_part").to_numpy()):
+                total = total + unpacked(table.column("_sum")[int(k)].as_py(), kind)
+            part = table.column("_part")[0].as_py() // _AT_ONCE
+            return pa.table([table.column("_slice")[:1], pa.array([part], pa.int32()), pa.array([packed(total)], pa.binary())], ["_slice", "_part", "_sum"])
+
+        return add
 
     while True:
-        parts = parts.groupBy("_slice", F.floor(F.col("_part") / _AT_ONCE)).applyInArrow(add, _PARTS)
+        parts = parts.groupBy("_slice", F.floor(F.col("_part") / _AT_ONCE)).applyInArrow(adder(kind), _PARTS)
         if n_parts <= _AT_ONCE:
             break
-        n_parts = -(-n_parts // _AT_ONCE)
+        n_parts, kind = -(-n_parts // _AT_ONCE), np.float64
     return [unpacked(r["_sum"], np.float64) for r in sorted(parts.collect())]  # of the size of a model or a table of neighbours
 
 
@@ -356,14 +359,14 @@ def learned(asked: DataFrame, chunks: int, n_ids: int, steps: int, counts: np.nd
         total = np.zeros(n_ids * 256, np.uint32)
         for batch in batches:
             for note in batch.column(0):
-                ids, _ = training_rows(note.as_py(), end_id)
-                np.add.at(total, neighbours(np.append(end_id, ids)[:-1], ids, hub), np.uint32(1))
-        yield sliced(TaskContext.get().partitionId(), [total[a * 256 : b * 256] for a, b in zip(slices[:-1], slices[1:], strict=True)])
+                ids, _ = training_rows(note.as_py(), end_id, ordered=False)
+                np.add.at(total, neighbours(np.append(end_id, ids), hub), np.uint32(1))
+        yield sliced(TaskContext.get().partitionId(), [total[a * 256 : b * 256] for a, b in zip(slices[:-1], slices[1:], strict=True)], np.uint32)
 
     notes = [asked.where(F.col("_round") == r).select("_note") for r in range(round_of(chunks - 1) + 1)]
     every = asked.where("_round >= 0").select("_note")
     table = np.zeros((n_ids, 256), np.float32)
-    got = summed(every.mapInArrow(count, _PARTS), every.rdd.getNumPartitions())
+    got = summed(every.mapInArrow(count, _PARTS), every.rdd.getNumPartitions(), np.uint32)
     for a, b, part in zip(slices[:-1], slices[1:], got, strict=False):
         table[a:b] = part.reshape(-1, 256)
     model = Attention(n_ids, 64, classes_by(counts, table))
@@ -389,9 +392,9 @@ def learned(asked: DataFrame, chunks: int, n_ids: int, steps: int, counts: np.nd
                     ids[some, -1] += weight[some]
                     rest = rest + np.append(np.concatenate([(mine.p[k] - was.p[k]).reshape(-1) for k in dense]) * np.float64(len(x)), len(x))
             if np.ndim(rest):
-                yield sliced(TaskContext.get().partitionId(), [*(part.reshape(-1) for part in np.array_split(ids.astype(np.float32), _SLICES)), rest])
+                yield sliced(TaskContext.get().partitionId(), [*(part.reshape(-1) for part in np.array_split(ids, _SLICES)), rest], np.float32)
 
-        return summed(notes[r].mapInArrow(work, _PARTS), notes[r].rdd.getNumPartitions())
+        return summed(notes[r].mapInArrow(work, _PARTS), notes[r].rdd.getNumPartitions(), np.float32)
 
     for r in range(len(notes)):
         *ids, rest = learn(r) or (None,)
@@ -434,7 +437,7 @@ def lm_score(
     def asking(table: pa.Table) -> pa.Table:
         lean_memory()
         hashes, starts, ends, first, data = hashed_words(table.column("_text").combine_chunks(), seed=word_seed)
-        distinct, index, place = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, index, place = grouped(hashes)
         encoder = word_encoder(path)
         begin, count = encoder.look_up(distinct, starts[index], ends[index], data)
         train = ~is_held(table.column("_id"))

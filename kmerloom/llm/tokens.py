@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .words import Eights, hashed_words, same_words
+from .words import Eights, grouped, hashed_words, same_words
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -73,13 +73,13 @@ class WordEncoder:
 
     def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, how many each word has)."""
-        runs = np.array([1 if w.isalpha() else 2 if w[-1:] in ".,;:!?" and w[:-1].isalpha() else 0 for w in map(str.lower, words)], np.int64)
+        runs = np.array([1 if w.isalpha() else 2 if w[-1:] in ".,;:!?" and w[:-1].isalpha() else 0 for w in words], np.int64)
         if not self.ends.any():
             runs[:] = 0
         plain, count, parts = np.flatnonzero(runs), np.zeros(len(words), np.int64), {}
         joined = self.whole(" ".join([words[k] for k in plain.tolist()]))
         stops = np.flatnonzero(self.ends[joined])
-        if len(stops) != runs.sum():  # a letter that the tokenizer cuts otherwise
+        if len(stops) != runs.sum():  # it cuts the lower case of some letters; it never cuts less
             plain, joined, stops = plain[:0], joined[:0], stops[:0]
         upto = stops[np.cumsum(runs[plain]) - 1] + 1
         count[plain] = np.diff(upto, prepend=0)
@@ -98,7 +98,7 @@ class WordEncoder:
         return ids, count
 
     def look_up(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, count) in pool of each of some distinct words, given sorted by hash; unknown ones are encoded first."""
+        """(begin, count) in pool of each of some distinct words, given sorted by hash, in lower-case bytes; unknown ones are encoded first."""
         at = np.searchsorted(self.known, hashes)
         found = np.zeros(len(hashes), bool)
         inside = at < len(self.known)
@@ -116,10 +116,10 @@ class WordEncoder:
             if len(self.begin) + len(new) > self.most and len(self.begin):
                 self._forget()
                 return self.look_up(hashes, starts, ends, data)
-            raw = data.tobytes() if len(new) > 1000 else data
+            raw = memoryview(data)
             first = len(self.begin)
             for lo in range(0, len(new), 5_000):
-                words = [bytes(raw[starts[k] : ends[k]]).lower().decode() for k in new[lo : lo + 5_000].tolist()]
+                words = [str(raw[a:b], "utf-8") for a, b in zip(starts[new[lo : lo + 5_000]].tolist(), ends[new[lo : lo + 5_000]].tolist(), strict=True)]
                 ids, count = self._ids_of(words)
                 self.begin.add(len(self.pool) + np.cumsum(count) - count)
                 self.count.add(count)
@@ -148,7 +148,7 @@ class WordEncoder:
         apart = special.to_numpy(zero_copy_only=False).copy()
         plain = pc.if_else(special, "", column) if apart.any() else column
         hashes, starts, ends, first, data = hashed_words(plain)
-        distinct, index, place = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, index, place = grouped(hashes)
         begin, count = self.look_up(distinct, starts[index], ends[index], data)
         eights, sizes = Eights(data), ends - starts
         same = sizes == sizes[index][place]

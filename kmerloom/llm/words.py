@@ -97,8 +97,19 @@ def same_words(a: Eights, a_starts: np.ndarray, b: Eights, b_starts: np.ndarray,
     return same
 
 
-def hashed_words(column: pa.Array, fold: bool = True, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends, first, bytes) of the words of a text column, with their ASCII case folded if fold.
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, the place of one of each in keys, and for each key the place of its distinct one)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], place
+
+
+def hashed_words(column: pa.Array, fold: bool = True, seed: int = 0, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends, first, bytes) of the words of a text column, with their ASCII case folded if fold, so many words at a time.
 
     starts and ends are places in bytes; words first[k] to first[k + 1] are those of row k.
     """
@@ -119,14 +130,18 @@ def hashed_words(column: pa.Array, fold: bool = True, seed: int = 0) -> tuple[np
     ends = np.flatnonzero(inside & stop) + 1
     first = np.searchsorted(starts, bounds)
     sizes, eights = ends - starts, Eights(data)
+    hashes = np.empty(len(starts), np.uint64)
     with np.errstate(over="ignore"):
-        hashes = mix64(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        rest, done = np.flatnonzero(sizes <= _LONG), 0
-        while len(rest):
-            left = sizes[rest] - done
-            hashes[rest] = mix64((hashes[rest] ^ eights.at(starts[rest] + done, left)) * np.uint64(0xD6E8FEB86659FD93))
-            done += 8
-            rest = rest[left > 8]
+        for lo in range(0, len(starts), block):
+            at, size = starts[lo : lo + block], sizes[lo : lo + block]
+            h = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+            rest, done = np.flatnonzero(size <= _LONG), 0
+            while len(rest):
+                left = size[rest] - done
+                h[rest] = mix64((h[rest] ^ eights.at(at[rest] + done, left)) * np.uint64(0xD6E8FEB86659FD93))
+                done += 8
+                rest = rest[left > 8]
+            hashes[lo : lo + block] = h
     for k in np.flatnonzero(sizes > _LONG).tolist():
         hashes[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
     return hashes, starts, ends, first, data

@@ -1,8 +1,12 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from kmerloom.llm.ngram_join import ngram_join, one_of_each
+from kmerloom.llm.common import Scratch
+from kmerloom.llm.ngram_join import block_links, least_labels, ngram_join, one_of_each
 
 
 def shingles(text, w):
@@ -59,7 +63,7 @@ def corpus(seed, n=160):
 def test_against_all_pairs(frame, seed, w, percent, rounds, chunk):
     rows = corpus(seed)
     rows += [(2000 + k, t) for k, (_, t) in enumerate(rows[:10])]
-    got = ngram_join(frame(rows), width=w, percent=percent, rounds=max(1, rounds), chunk_bytes=chunk)
+    got = ngram_join(frame(rows), width=w, percent=percent, rounds=rounds, chunk_bytes=chunk, block=(7, 1000))
     assert result(got) == brute(rows, w, percent)
 
 
@@ -87,12 +91,82 @@ def test_one_of_each(frame):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute(rows, 5, 80)})
 
 
-@pytest.mark.parametrize(("seed", "w", "percent"), [(1, 4, 85), (4, 2, 60)])
-def test_every_link_is_counted(frame, odd_rows, seed, w, percent):
+def test_one_of_each_goes_by_rows_and_not_by_ids(frame):
+    base = [f"w{k}" for k in range(100)]
+    near, nearer = " ".join([*base[:99], "x"]), " ".join([*base[:98], "y", "z"])
+    rows = [(1, " ".join(base)), (5, near), (5, "another text that is like no other one"), (None, nearer), (None, near), (None, "a text without an id"), (5, ""), (5, None), (7, near)]
+    got = [(r["doc_id"], r["text"]) for r in one_of_each(frame(rows)).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[5], rows[6], rows[7]], key=str)
+    without = [(None, near), (None, nearer), (None, near)]
+    assert len(one_of_each(frame(without)).collect()) == 1
+    assert one_of_each(frame([])).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "w", "percent", "rounds"), [(1, 4, 85, 2), (4, 2, 60, 2), (6, 4, 85, 0)])
+def test_every_link_is_counted(frame, odd_rows, seed, w, percent, rounds):
     rows = corpus(seed)
     rows += [(2000 + k, t) for k, (_, t) in enumerate(rows[:10])] + [(3000 + k, t) for k, (_, t) in enumerate(odd_rows)]
-    got = ngram_join(frame(rows), width=w, percent=percent, chunk_bytes=3000, links=True)
+    got = ngram_join(frame(rows), width=w, percent=percent, rounds=rounds, chunk_bytes=3000, block=(20, 1 << 20))
     assert result(got) == brute(rows, w, percent)
     sets = {i: shingles(t, w) for i, t in rows}
     want = {i: sum(j != i and bool(a & b) and 100 * len(a & b) >= percent * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
     assert {r["doc_id"]: r["n_links"] for r in got.collect()} == want and max(want.values()) > 5
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6), st.integers(50, 95), st.integers(1, 30))
+def test_answers_of_blocks_follow_from_a_home(seed, percent, columns):
+    """Every answer is derived, whatever the home is, and skipping loses none."""
+    rng = random.Random(seed)
+    x = np.array(rng.sample(range(40), rng.randrange(1, 30)))
+
+    def some(n):
+        kept = [[t for t in x.tolist() if rng.random() < 0.9] + rng.sample(range(40, 60), rng.randrange(4)) for _ in range(n)]
+        return [np.array(k or [rng.randrange(40)]) for k in kept]
+
+    y, z = some(rng.randrange(1, 8)), some(rng.randrange(1, 8))
+    alone = lambda sets: np.array([len(s) + rng.randrange(3) for s in sets])
+    ny, nz = alone(y), alone(z)
+    links, added = block_links(x, y, ny, z, nz, percent, columns)
+    both = [[len(set(a.tolist()) & set(b.tolist())) for b in z] for a in y]
+    assert links.tolist() == [[(100 + percent) * o >= percent * int(p + q) for o, q in zip(row, nz)] for row, p in zip(both, ny)]
+    assert added.tolist() == [len(set(a.tolist()) - set(x.tolist())) for a in y]
+
+
+def test_labels_of_links():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        links = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < 0.2
+        row, col = least_labels(links)
+        for i, j in zip(*np.nonzero(links), strict=True):
+            assert row[i] == col[j] >= 0
+        assert (row[~links.any(1)] == -1).all() and (row <= np.arange(len(row))).all()
+
+
+def test_both_ways_of_skipping_are_taken(frame, monkeypatch):
+    """Groups of near copies are answered inside homes; homes meet in lists, some pairs are skipped for their distance and some compared."""
+    counted = {}
+    save = Scratch.save
+
+    def counting(self, df, name, by=None):
+        out = save(self, df, name, by)
+        counted[name] = out
+        if name in ("inside", "pairs", "near", "between"):
+            counted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counting)
+    rng = random.Random(3)
+    rows, i = [], 0
+    for _ in range(6):  # families whose bases share three quarters of their words: no links between most of their members
+        base = [f"b{rng.randrange(10**6)}" for _ in range(120)]
+        for v in range(3):
+            kin = base[: 120 - 9 * v] + [f"k{rng.randrange(10**6)}" for _ in range(9 * v)]
+            for _ in range(12):
+                t = list(kin)
+                for _ in range(rng.choice([1, 2])):
+                    t[rng.randrange(120)] = f"n{rng.randrange(50)}"
+                rows.append((i := i + 1, " ".join(t)))
+    got = ngram_join(frame(rows), width=2, percent=85, rounds=1)
+    assert result(got) == brute(rows, 2, 85)
+    assert counted["inside"] > len(rows) and counted["pairs"] > counted["near"] > 0
