@@ -1,8 +1,9 @@
 """Toxicity by weak supervision.
 
-Many weak voters (a fixed lexicon, lexicons of words and word beginnings learned from labelled rows, surface
-patterns, the labels themselves where they may be used) vote on a bounded sample of documents. A generative
-label model estimates each voter's accuracy by expectation-maximisation, and correlations between voters from
+Many weak voters vote on a bounded sample of documents: fixed lexicons of several languages, lexicons of words and word
+beginnings learned from labelled rows, patterns of whole texts, and the labels themselves where they may be used. What a learned voter knows
+comes from other parts of the sample than the row that it votes on, so that its accuracy can be estimated at all. A
+generative label model estimates each voter's accuracy by expectation-maximisation, and correlations between voters from
 what the latent class leaves unexplained; correlated voters are weighed down. A linear classifier is then
 trained on the posterior labels, and it alone scores all documents in one pass over whole texts.
 """
@@ -10,26 +11,38 @@ trained on the posterior labels, and it alone scores all documents in one pass o
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from heapq import nsmallest
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, first_by_hash
+from .common import Scratch, crc_bucket, first_by_hash, lean_memory
+from .words import parts_of
 
-# Plain insults that vote by themselves.
-LEXICON = frozenset(
+# Plain insults of some languages, each lexicon a voter by itself.
+LEXICONS = (
     "arsehole bastard bitch clown coward creep cretin degenerate dimwit disgusting dumb dumbass fool garbage idiot "
     "imbecile jerk liar loser lunatic maggot moron parasite pathetic pig scum scumbag shit slut stupid trash vermin "
-    "whore worthless".split()
+    "whore worthless",
+    "abschaum arschloch depp dreckskerl drecksau dummkopf hurensohn miststück missgeburt schlampe schwachkopf trottel vollidiot wichser",
+    "abruti connard connasse crétin débile enculé imbécile ordure pétasse pourriture salaud salope",
+    "cabrón capullo estúpido gilipollas hijoputa imbécil payaso pendejo subnormal zorra",
 )
+LEXICON = frozenset(" ".join(LEXICONS).split())
 #: Lengths of the word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5, 6, 7)
 _NOT_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+_MASKED = re.compile(r"(?<![\w*])[A-Za-z][*@#$]{2,}[A-Za-z]*(?![\w*])")
+_DRAWN = re.compile(r"([A-Za-z])\1{3,}")
+_ADDRESS = re.compile(r"(?i)\b(?:you|your|you're|u|ya)\s+(?:are\s+)?(?:an?\s+)?\w+|\b(?:du|ihr)\s+\w+|\btu es\b|\beres\s+un")
+#: Parts of the sample: what votes on one is learned from the others.
+_PARTS = 4
 
 
 def distinct_words(text: str) -> set[bytes]:
@@ -43,33 +56,52 @@ def word_features(word: bytes) -> list[str]:
     return [w, *(f"{w[:k]}*" for k in BEGINNINGS if len(w) > k)] if w else []
 
 
-def shout(text: str) -> int:
-    """A surface pattern's vote: 1 for many exclamation marks or capitals, -1 for none, else 0."""
-    marks = text.count("!")
-    return 1 if marks * 20 > len(text) else -1 if marks == 0 else 0
+def patterns(text: str) -> tuple[int, ...]:
+    """Votes of the patterns on a whole text: exclamation marks, capitals, masked letters, drawn-out letters, an address."""
+    marks, letters, high = text.count("!"), sum(map(str.isalpha, text)), sum(map(str.isupper, text))
+    return (
+        1 if marks * 20 > len(text) else -1 if not marks else 0,
+        1 if letters >= 20 and 2 * high > letters else -1 if 10 * high < letters else 0,
+        int(_MASKED.search(text) is not None), int(_DRAWN.search(text) is not None), int(_ADDRESS.search(text) is not None),
+    )
 
 
-def label_model(votes: np.ndarray, prior: float = 0.1, rounds: int = 60, sure: int | None = None, accuracy: float = 0.9995) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Example(NamedTuple):
+    """A row to learn from: its label, its distinct words joined by spaces, and the patterns' votes on its text."""
+
+    label: int
+    words: bytes
+    votes: tuple[int, ...]
+
+
+def example(label: int, text: str) -> Example:
+    return Example(label, b" ".join(sorted(distinct_words(text))), patterns(text))
+
+
+def label_model(votes: np.ndarray, prior: float = 0.1, rounds: int = 60, sure: int | None = None, accuracy: float = 0.9995, belief: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors of class 1 for vote rows (-1, 0, 1), the voters' tables p[class, voter, vote + 1], and their weights.
 
     EM; after each half the weights are set to 1 / (1 + the sum of positive correlations that a voter has with
     the others within the classes), so that several voters that repeat each other count about once. The voter
-    sure (the labels) keeps its given accuracy and full weight, which ties the latent class to what it marks.
+    sure (the labels) has full weight, which ties the latent class to what it marks, and begins at the given accuracy, in which there is
+    as much belief as that share of the rows would give.
     """
     n, k = votes.shape
     hot = np.eye(3)[votes + 1]
     p = np.tile(np.array([[[0.5, 0.45, 0.05]], [[0.15, 0.45, 0.4]]]), (1, k, 1))
     weight, share = np.ones(k), prior
     known = np.array([[accuracy, 1e-3, 1 - accuracy], [1 - accuracy, 1e-3, accuracy]])
+    if sure is not None:
+        p[:, sure] = known
     q = np.full(n, prior)
     for half in range(2):
         for _ in range(rounds):
-            if sure is not None:
-                p[:, sure] = known
             gap = np.einsum("ikv,kv->ik", hot, np.log(p[1]) - np.log(p[0])) @ weight + math.log(share / (1 - share))
             q = 1 / (1 + np.exp(-np.clip(gap, -50, 50)))
             for c, r in ((1, q), (0, 1 - q)):
                 p[c] = np.einsum("i,ikv->kv", r, hot) + np.array([0.5, 0.5, 0.5])
+                if sure is not None:
+                    p[c, sure] = np.einsum("i,iv->v", r, hot[:, sure]) + belief * r.sum() * known[c] + 1e-3
                 p[c] /= p[c].sum(1, keepdims=True)
             share = float(np.clip(q.mean(), 0.005, 0.6))
         if half == 0:
@@ -127,12 +159,66 @@ class Model:
         return score
 
 
-def train(sample: Iterable[tuple[int, str]], max_features: int = 20_000, least: int = 4) -> Model:
-    """A model from (label, text) rows; with no row, or none of a class, the fixed lexicon alone makes it up."""
-    labels, surface, words = [], [], []
-    copies: set[tuple] = set()
+def _evidence(a0: int, a1: int, n0: int, n1: int) -> float:
+    """Signed root of the likelihood-ratio statistic of a feature in a0 and a1 rows of two classes of n0 and n1."""
+    e1 = (a0 + a1) * n1 / (n0 + n1)
+    g = 2 * sum(a * math.log(a / e) for a, e in ((a1, e1), (a0, a0 + a1 - e1)) if a)
+    return math.copysign(math.sqrt(max(g, 0.0)), a1 - e1)
+
+
+def _precise(seen: dict[str, np.ndarray], n: np.ndarray, least: int) -> dict[str, float]:
+    """Features that speak for class 1 by themselves, with their evidence; seen: rows by class of each feature, n: of all."""
+    n0, n1 = int(n[0]), int(n[1])
+    if not n0 or not n1:
+        return {}
+    top: dict[str, int] = {}  # of a beginning: the rows of class 1 that its commonest word accounts for
+    for f, (_, a1) in seen.items():
+        if not f.endswith("*") and a1:
+            for k in BEGINNINGS:
+                if len(f) > k:
+                    top[f"{f[:k]}*"] = max(top.get(f"{f[:k]}*", 0), int(a1))
+    out = {}
+    for f, (a0, a1) in seen.items():
+        if a0 + a1 >= least and 10 * top.get(f, 0) <= 7 * a1 and a1 * n0 > 9 * (a0 + 0.5) * n1:  # a beginning that is one word says nothing about others
+            z = _evidence(int(a0), int(a1), n0, n1)
+            if z >= 5.5:
+                out[f] = z
+    return out
+
+
+def votes_of(found: list[dict[str, int]], part: np.ndarray, y: np.ndarray, surface: np.ndarray, seen: list[dict[str, np.ndarray]], least: int) -> np.ndarray:
+    """The votes of all voters but the labels on each row.
+
+    Learned voters hold the precise features of one kind (words, or beginnings of one length) and half, and vote or abstain; on a row they
+    use what the other parts of the sample taught them.
+    """
+    learned = np.zeros((len(y), 2 * (1 + len(BEGINNINGS))), np.int8)
+    kind = {0: 0} | {k: j for j, k in enumerate(BEGINNINGS, 1)}
+    for p in range(_PARTS):
+        others: dict[str, np.ndarray] = {}
+        for q in range(_PARTS):
+            if q != p:
+                for f, a in seen[q].items():
+                    others[f] = others.get(f, 0) + a
+        use = _precise(others, np.bincount(y[part != p], minlength=2), least)
+        voter = {f: 2 * kind[len(f) - 1 if f.endswith("*") else 0] + zlib.crc32(f.encode()) % 2 for f in use}
+        for k in np.flatnonzero(part == p).tolist():
+            hit = {voter[f] for f in found[k] if f in voter}
+            learned[k, list(hit)] = 1
+    fixed = np.array([[any(f in lexicon for f in of) for lexicon in map(frozenset, map(str.split, LEXICONS))] for of in found], np.int8).reshape(len(y), len(LEXICONS))
+    return np.hstack([fixed, learned, surface])
+
+
+def train(sample: Iterable[Example], max_features: int = 20_000, least: int = 4, with_model: bool = True) -> Model:
+    """A model from examples, read twice; with none, or none of a class, the fixed lexicons alone make it up.
+
+    Memory is bounded by the number of examples and not by the length of their texts. with_model: train on the label model's
+    posteriors; without, on the labels as they are (for comparison).
+    """
     buckets = np.zeros((2, 1 << 22), np.int32)  # rows by class of the features with each hash: a first, bounded count
     places: dict[bytes, np.ndarray] = {}
+    kept: list[bool] = []
+    copies: set[tuple] = set()
 
     def place_of(word: bytes) -> np.ndarray:
         if (got := places.get(word)) is None:
@@ -141,89 +227,92 @@ def train(sample: Iterable[tuple[int, str]], max_features: int = 20_000, least:
             places[word] = got = np.array([zlib.crc32(f.encode()) & 0x3FFFFF for f in word_features(word)], np.int32)
         return got
 
-    for label, text in sample:
-        own = distinct_words(text)
-        least_hashes = (label, *nsmallest(4, map(zlib.crc32, own)))
-        if own and least_hashes in copies:  # copies and near copies would pass off their chance words as evidence
-            continue
+    for x in sample:
+        own = x.words.split()
+        least_hashes = (x.label, *nsmallest(4, map(zlib.crc32, own)))
+        kept.append(not own or least_hashes not in copies)  # copies and near copies would pass off their chance words as evidence
         copies.add(least_hashes)
-        if own:
-            buckets[label][np.unique(np.concatenate([place_of(w) for w in own]))] += 1
-        labels.append(label)
-        surface.append(shout(text))
-        words.append(b" ".join(own))
-    y = np.array(labels, np.int64)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    if not n1 or not n0:
-        return Model(dict.fromkeys(LEXICON, 6.0), -3.0)
-
-    def evidence(a0: int, a1: int) -> float:
-        """Signed root of the likelihood-ratio statistic of a feature in a0 and a1 rows of the classes."""
-        e1 = (a0 + a1) * n1 / len(y)
-        g = 2 * sum(a * math.log(a / e) for a, e in ((a1, e1), (a0, a0 + a1 - e1)) if a)
-        return math.copysign(math.sqrt(max(g, 0.0)), a1 - e1)
-
-    strong = np.zeros(buckets.shape[1], bool)
-    for k in np.flatnonzero(buckets.sum(0) >= least):
-        strong[k] = abs(evidence(int(buckets[0][k]), int(buckets[1][k]))) >= 4
-    strong_words: dict[bytes, list[str]] = {}
-    seen: dict[str, list[int]] = {}
-    found_in: list[dict[str, int]] = []
-    for label, joined in zip(labels, words, strict=True):
+        if own and kept[-1]:
+            buckets[x.label][np.unique(np.concatenate([place_of(w) for w in own]))] += 1
+    del copies
+    labels, surface, found_in, parts = [], [], [], []
+    seen: list[dict[str, np.ndarray]] = [{} for _ in range(_PARTS)]
+    strong, decided = {}, {}
+    for x, keep in zip(sample, kept, strict=True):
+        if not keep:
+            continue
         found: dict[str, int] = {}
-        for w in joined.split():
-            if strong[place_of(w)].any():
-                if w not in strong_words:
-                    strong_words[w] = word_features(w)
-                for f in strong_words[w]:
+        for w in x.words.split():
+            some = place_of(w)
+            if len(decided) > 200_000:
+                decided.clear()
+            if w not in decided:  # a feature that is not in class 1 more than by chance is no use to any voter
+                decided[w] = any(buckets[1][k] * 2 >= least and buckets[1][k] * 9 > buckets[0][k] for k in some.tolist())
+            if decided[w]:
+                if w not in strong:
+                    strong[w] = word_features(w)
+                for f in strong[w]:
                     found[f] = found.get(f, 0) + 1
+        parts.append(len(labels) % _PARTS)
         for f in found:
-            seen.setdefault(f, [0, 0])[label] += 1
+            seen[parts[-1]].setdefault(f, np.zeros(2, np.int64))[x.label] += 1
+        labels.append(x.label)
+        surface.append(x.votes)
         found_in.append(found)
-    del words
-    top: dict[str, int] = {}  # of a beginning: the rows of class 1 that its commonest word accounts for
-    for f, (_, a1) in seen.items():
-        if not f.endswith("*") and a1:
-            for k in BEGINNINGS:
-                if len(f) > k:
-                    top[f"{f[:k]}*"] = max(top.get(f"{f[:k]}*", 0), a1)
-    # a beginning that is one word says nothing about others
-    strength = {f: evidence(*a) for f, a in seen.items() if sum(a) >= least and 10 * top.get(f, 0) <= 7 * a[1]}
-    precise = {f for f, z in strength.items() if z >= 5.5 and seen[f][1] * n0 > 9 * (seen[f][0] + 0.5) * n1}
-    chosen = sorted(precise, key=lambda f: (-strength[f], f))[:max_features]
+    y = np.array(labels, np.int64)
+    n = np.bincount(y, minlength=2)
+    if not n.all():
+        return Model(dict.fromkeys(LEXICON, 6.0), -3.0)
+    everywhere: dict[str, np.ndarray] = {}
+    for of in seen:
+        for f, a in of.items():
+            everywhere[f] = everywhere.get(f, 0) + a
+    strength = _precise(everywhere, n, least)
+    chosen = sorted(strength, key=lambda f: (-strength[f], f))[:max_features]
     place = {f: k for k, f in enumerate(chosen)}
-    # voters: the fixed lexicon; strong learned features dealt to voters by kind and parity; the surface pattern; the label
-    voter_of = {f: 1 + 2 * (len(f) - 4 if f.endswith("*") else 4) + place[f] % 2 for f in chosen}
-    votes = np.zeros((len(y), 3 + 2 * 8), np.int8)
-    rows = []
-    for k, found in enumerate(found_in):
-        if any(f in LEXICON for f in found):
-            votes[k, 0] = 1
-        hit = {voter_of[f] for f in found if f in voter_of}
-        votes[k, 1 : votes.shape[1] - 2] = -1 if not hit else 0
-        for v in hit:
-            votes[k, v] = 1
-        rows.append(np.array([place[f] for f, c in found.items() for _ in range(min(c, 3)) if f in place], np.int64))
-    votes[:, -2] = surface
-    votes[:, -1] = 2 * y - 1
-    used = [v for v in range(votes.shape[1]) if len(np.unique(votes[:, v])) > 1]
-    q, _, _ = label_model(votes[:, used], prior=n1 / len(y), sure=len(used) - 1)
-    weight = np.where(y == 1, 0.5 * len(y) / n1, 0.5 * len(y) / n0) ** 0.5
+    rows = [np.array([place[f] for f, c in found.items() for _ in range(min(c, 3)) if f in place], np.int64) for found in found_in]
+    q = y.astype(float)
+    if with_model:
+        votes = np.hstack([votes_of(found_in, np.array(parts), y, np.array(surface, np.int8), seen, least), (2 * y - 1)[:, None].astype(np.int8)])
+        used = [v for v in range(votes.shape[1]) if len(np.unique(votes[:, v])) > 1]
+        q, _, _ = label_model(votes[:, used], prior=n[1] / len(y), sure=len(used) - 1)
+    weight = np.where(y == 1, 0.5 * len(y) / n[1], 0.5 * len(y) / n[0]) ** 0.5
     theta, bias = _linear(rows, q, len(chosen), weight)
     weights = {f: float(t) for f, t in zip(chosen, theta, strict=True) if t > 0.05}
     return Model({f: weights.get(f, 0.0) + (4.0 if f in LEXICON and f not in place else 0.0) for f in {*weights, *LEXICON}}, bias)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, most: tuple[int, int]) -> list[tuple[int, str]]:
-    """At most most[c] rows of each class c, the first by a hash of the id, never of fold 0."""
+class Sample:
+    """Examples in a saved table, streamed a partition at a time whenever they are read."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def __iter__(self) -> Iterator[Example]:
+        for r in self.rows.toLocalIterator():
+            yield Example(r["_y"], bytes(r["_words"]), tuple(r["_votes"]))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, most: tuple[int, int]) -> Sample:
+    """At most most[c] rows of each class c, the first by a hash of the id, never of fold 0, with what their whole texts say."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (crc_bucket(id_col, folds) != 0)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     drawn = None
     for c in (0, 1):
         part = first_by_hash(usable.where(F.col("_y") == c).withColumn("_hash", F.xxhash64("_id", F.lit(11))), "_hash", most[c], "_id").drop("_hash")
         drawn = part if drawn is None else drawn.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), "_id")  # at most sum(most) rows
-    words = F.concat_ws(" ", F.array_distinct(F.split(F.lower(F.coalesce("_text", F.lit(""))), r"[\s]+")))
-    return [(r["_y"], r["_words"]) for r in rows.select("_y", words.alias("_words")).orderBy("_y", "_id").toLocalIterator()]
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(drawn), "_id")  # at most sum(most) rows
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        for batch in batches:
+            for some in parts_of(batch, 2):
+                all_ = [example(y, t) for y, t in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)]
+                columns = [some.column(0), some.column(1), pa.array([x.words for x in all_], pa.binary()), pa.array([x.votes for x in all_], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_y", "_words", "_votes"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    read_ = rows.select("_id", "_y", "_text").mapInArrow(read, f"_id {kind}, _y int, _words binary, _votes array<int>")
+    return Sample(Scratch(docs.sparkSession, "toxicity").save(read_.orderBy("_y", "_id", "_words"), "sample"))
 
 
 def toxicity(
@@ -240,6 +329,7 @@ def toxicity(
     model = train(labelled_sample(docs, labels, id_col, text_col, label_col, folds, most_labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         score = model.scorer()
         for batch in batches:
             scores = np.array([score(text.as_py() or "") for text in batch.column(1)], np.float64)
@@ -251,11 +341,16 @@ def toxicity(
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, most_labelled: tuple[int, int] = (6_000, 4_000), threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose toxicity score is under the threshold."""
+    """The rows of docs, with all their columns, whose toxicity score is under the threshold.
+
+    A null or empty text scores by the bias and stays; null ids and repeated rows are judged by their texts alone; an empty table gives an
+    empty result; without labels of both classes the fixed lexicons judge.
+    """
     model = train(labelled_sample(docs, labels, id_col, text_col, label_col, folds, most_labelled))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         score = model.scorer()
         for batch in batches:
             yield batch.filter(pa.array([score(text.as_py() or "") < threshold for text in batch.column(place)], pa.bool_()))

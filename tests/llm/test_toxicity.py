@@ -1,10 +1,12 @@
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from kmerloom.llm.toxicity import label_model, toxicity, train, without_toxic
+from kmerloom.llm.toxicity import example, label_model, patterns, toxicity, train, without_toxic
 
 
 def corpus(n=1500, seed=3):
@@ -63,5 +65,39 @@ def test_label_model_finds_accuracies():
     assert w[0] < 0.5 < w[4]
 
 
+def test_patterns_see_whole_texts():
+    assert patterns("") == (-1, 0, 0, 0, 0)
+    assert patterns("A QUIET TEXT IN CAPITAL LETTERS ONLY")[1] == 1 and patterns("x" * 10_000 + "!" * 1_000)[0] == 1
+    assert patterns("so f**k it")[2] == 1 and patterns("idioooot")[3] == 1 and patterns("you are a loser")[4] == 1 and patterns("the plain text")[2:] == (0, 0, 0)
+
+
+def test_labels_that_voters_do_not_contradict_stay():
+    """Votes come from other parts of the sample, so chance finds of a row's own label do not overturn others; the posteriors train as well as labels."""
+    rows = corpus(3000, 8)
+    train_on = [example(y, t) for i, t, y in rows if not held(i)]
+    out = {}
+    for with_model in (True, False):
+        score = train(train_on, with_model=with_model).scorer()
+        got = [(score(t) >= 0.5, y) for i, t, y in rows if held(i)]
+        out[with_model] = sum(p and y for p, y in got), sum(p and not y for p, y in got)
+    assert out[True][0] >= out[False][0] and out[True][1] <= out[False][1]
+
+
+def test_real_labels_held_out():
+    """The posteriors do no worse than the labels themselves on the rows that were never learned from."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{folder}/labels.parquet").to_pylist()}
+    rows = [(r["doc_id"], r["text"] or "", labels[r["doc_id"]]) for r in pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pylist() if r["doc_id"] in labels]
+    train_on = [example(y, t) for i, t, y in rows if not held(i)]
+    out = []
+    for with_model in (True, False):
+        score = train(train_on, with_model=with_model).scorer()
+        got = [(score(t) >= 0.5, y) for i, t, y in rows if held(i)]
+        out.append((sum(bool(p and y) for p, y in got), sum(bool(p and not y) for p, y in got)))
+    assert out[0][0] >= max(out[1][0], 89) and out[0][1] <= min(out[1][1], 1)
+
+
 def test_training_without_a_class():
-    assert train([(0, "a b"), (0, "c")]).scorer()("x") < 0.5 < train([]).scorer()("moron")
+    assert train([example(0, "a b"), example(0, "c")]).scorer()("x") < 0.5 < train([]).scorer()("moron")
