@@ -355,7 +355,7 @@ def _links(scratch: Scratch, index: DataFrame, sets: DataFrame, percent: int, ro
 
 def ngram_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 2,
-    chunk_bytes: int = 8 << 20, block: tuple[int, int] = (512, 1 << 20),
+    chunk_bytes: int = 8 << 20, block: tuple[int, int] = (256, 1 << 19),
 ) -> DataFrame:
     """A row per input row: id, n_shingles, component_id, class_id, n_links.
 
