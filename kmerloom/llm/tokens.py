@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,9 @@ import pyarrow.compute as pc
 
 from .words import Eights, grouped, hashed_words, same_words
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -57,6 +62,11 @@ class WordEncoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.size = self.tokenizer.get_vocab_size()
         assert self.size <= 1 << 16
+        # words of lower-case ASCII letters need neither its normalizers nor its pattern, which cuts at white space and around runs of letters
+        made = json.loads(self.tokenizer.to_str())
+        whole = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and "[\\p{L}]+|" in json.dumps(made["pre_tokenizer"]).replace("\\\\", "\\")
+        made["normalizer"], made["pre_tokenizer"] = None, {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.lean = Tokenizer.from_str(json.dumps(made)) if whole else self.tokenizer
         self.ends = np.zeros(self.size, bool)  # tokens that end a run of letters, a digit or a run of marks
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
@@ -71,30 +81,39 @@ class WordEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
+    def _joined(self, tokenizer: Tokenizer, words: list[str], runs: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids end to end, how many each word has) of words of one run of letters, or two with a mark at the end."""
+        text = " ".join([w if n == 1 else f"{w[:-1]} {w[-1]}" for w, n in zip(words, runs.tolist(), strict=True)])
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+        stops = np.flatnonzero(self.ends[ids])
+        if len(stops) != runs.sum():  # it cuts the lower case of some letters; it never cuts less
+            return None
+        return ids, np.diff(stops[np.cumsum(runs) - 1] + 1, prepend=0) if len(runs) else runs
+
     def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, how many each word has)."""
         runs = np.array([1 if w.isalpha() else 2 if w[-1:] in ".,;:!?" and w[:-1].isalpha() else 0 for w in words], np.int64)
         if not self.ends.any():
             runs[:] = 0
-        plain, count, parts = np.flatnonzero(runs), np.zeros(len(words), np.int64), {}
-        joined = self.whole(" ".join([words[k] for k in plain.tolist()]))
-        stops = np.flatnonzero(self.ends[joined])
-        if len(stops) != runs.sum():  # it cuts the lower case of some letters; it never cuts less
-            plain, joined, stops = plain[:0], joined[:0], stops[:0]
-        upto = stops[np.cumsum(runs[plain]) - 1] + 1
-        count[plain] = np.diff(upto, prepend=0)
-        single = np.ones(len(words), bool)
-        single[plain] = False
-        others = np.flatnonzero(single)
-        for k, e in zip(others.tolist(), self.tokenizer.encode_batch_fast([words[k] for k in others.tolist()], add_special_tokens=False), strict=True):
-            parts[k] = e.ids
-            count[k] = len(e.ids)
-        if not parts:
-            return joined, count
+        plain = np.array([w.isascii() for w in words], bool)
+        count, parts = np.zeros(len(words), np.int64), []
+        rest = runs == 0
+        for tokenizer, some in ((self.lean, (runs > 0) & plain), (self.tokenizer, (runs > 0) & ~plain)):
+            at = np.flatnonzero(some)
+            if len(at):
+                if got := self._joined(tokenizer, [words[k] for k in at.tolist()], runs[at]):
+                    parts.append((some, got[0]))
+                    count[at] = got[1]
+                else:
+                    rest |= some
+        if rest.any():
+            at = np.flatnonzero(rest)
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in at.tolist()], add_special_tokens=False)]
+            count[at] = list(map(len, got))
+            parts.append((rest, np.fromiter((x for ids in got for x in ids), np.uint16, int(count[at].sum()))))
         ids = np.empty(int(count.sum()), np.uint16)
-        own = np.repeat(single, count)
-        ids[~own] = joined
-        ids[own] = np.fromiter((x for k in others.tolist() for x in parts[k]), np.uint16, int(own.sum()))
+        for some, own in parts:
+            ids[np.repeat(some, count)] = own
         return ids, count
 
     def look_up(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
