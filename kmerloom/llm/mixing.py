@@ -1,164 +1,134 @@
 """Mixing sources to target weights, by DataFrame functions alone.
 
-The words of each source, in a fixed order of its documents, are packed into fixed-length blocks. The output
-is a row of slots dealt over shards; each shard draws how many slots each source has, multinomially without
-replacement, so that the sources' totals come out exact. Slot j of a source maps through the source's
-pseudorandom permutation of its block indices, and blocks join slots by index. A source that is larger in
-the mix than in the corpus goes through its permutation several times.
+The words of each source, in a fixed order of its documents, are packed into fixed-length blocks. A source's part of the mix is a
+row of slots, whole passes over its blocks and a last, partial one; each slot draws its output shard, so that the counts of sources
+in a shard are multinomial draws, while each source's total is exact. Slot j of a pass maps through the source's
+pseudorandom permutation of its full block indices (its shorter last block comes last), and blocks join slots by index.
+Sources stay in tables; the driver sees only a few sums over all of them.
 """
 
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, whole_row
+from .common import Scratch, dense_names, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slots are made in runs of so many, so that no row carries more at once.
+#: Slots are made in runs of so many, and runs in rows of so many, so that no row carries more at once.
 _RUN = 8192
+#: Slots that a task makes, about.
+_SLOTS_A_TASK = 250_000
+# Primes above any number of blocks, so each is a step that reaches all of them.
+_STEPS = (1099511627791, 1099511627803, 1099511627831, 1099511628161, 1099511628391, 1099511628401)
 
 
-def targets_of(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> list[tuple[str | None, int, float]]:
-    """(source, size, target) in code-point order, null last.
+def with_targets(scratch: Scratch, sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
+    """(_source, source_size, _k, target) from (_source, source_size): _k counts the sources in code-point order, null last.
 
     The weights repeat over the sources and share the sum of all sizes; a target stops at most times its
-    source's size, and the excess is shared again by weight among the others until none is above.
+    source's size, and the excess is shared again by weight among the others until none is above. Each round of sharing is one sum
+    over the sources.
     """
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = [weights[k % len(weights)] for k in range(len(order))]
-    target = [0.0] * len(order)
-    free = set(range(len(order)))
-    rest = float(sum(n for _, n in order))
-    while free:
-        total = sum(weight[k] for k in free)
-        over = {k for k in free if rest * weight[k] / total > most * order[k][1]}
-        for k in over or free:
-            target[k] = float(most * order[k][1]) if over else rest * weight[k] / total
-        if not over:
+    keyed = scratch.save(sizes.select(F.col("_source").isNull().alias("_last"), F.coalesce("_source", F.lit("")).alias("_name"), "_source", "source_size"), "sizes")
+    ranks = dense_names(scratch, keyed, ["_last", "_name"], "_k", "ranks")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("_k") % len(weights) + 1).cast("int"))
+    ranked = scratch.save(keyed.join(ranks, ["_last", "_name"]).select("_source", "source_size", F.col("_k").cast("int").alias("_k"), weight.alias("_weight")), "ranked")
+    ceiling = most * F.col("source_size")
+    total = float(ranked.agg(F.sum("source_size")).first()[0] or 0)
+    rest, share, free = total, ranked.agg(F.sum("_weight")).first()[0] or 1.0, None
+    while True:  # who is above with little to share stays above with more
+        above = rest * F.col("_weight") / share > ceiling
+        held, left, n = ranked.agg(F.sum(F.when(above, ceiling)), F.sum(F.when(~above, F.col("_weight"))), F.count(F.when(~above, 1))).first()
+        if n == free or not left:
             break
-        free -= over
-        rest -= sum(target[k] for k in over)
-    return [(s, n, t) for (s, n), t in zip(order, target, strict=True)]
-
-
-def _plan(sizes: list[tuple[str | None, int]], block: int, shards: int, weights: Sequence[float], most: float, seed: int) -> tuple[list, list]:
-    """A row per source (with its permutation) and a row per shard and source that draws slots."""
-    sources, left = [], []
-    for k, (source, size, target) in enumerate(targets_of(sizes, weights, most)):
-        rng = random.Random(f"{seed}:{source is None}:{source}")
-        n = -(-size // block)
-        step = rng.randrange(1, n + 1) if n else 1
-        while n and math.gcd(step, n) != 1:
-            step = rng.randrange(1, n + 1)
-        shift = rng.randrange(n) if n else 0
-        words = min(math.floor(target + 0.5), int(most * size))
-        rounds, rest = divmod(words, size) if size else (0, 0)
-        # the slots of the last, partial round: blocks in permuted order until the rest is reached; the last may be cut
-        ragged = size - (n - 1) * block if n else 0
-        at = ((n - 1 - shift) * pow(step, -1, n)) % n if n > 1 else 0  # the slot of the source's last, shorter block
-        slots = -(-rest // block)
-        if rest and slots > at:
-            slots = -(-(rest + block - ragged) // block)
-        before = (slots - 1) * block - ((block - ragged) if slots - 1 > at else 0) if slots else 0
-        sources.append((k, source, size, target, n, step, shift, rounds, slots, rest - before if slots else 0))
-        left.append(rounds * n + slots)
-    rng, drawn, begun = random.Random(seed), [], [0] * len(left)
-    for shard in range(shards):
-        room = -(-sum(left) // (shards - shard))
-        for k in range(len(left)):
-            pool = sum(left[k:])
-            take = left[k] if room >= pool else min(left[k], _hypergeometric(rng, left[k], pool, room))
-            take = max(take, room - (pool - left[k]))
-            if take:
-                drawn.append((shard, k, begun[k], take))
-            begun[k] += take
-            left[k] -= take
-            room -= take
-    return sources, drawn
-
-
-def _hypergeometric(rng: random.Random, good: int, pool: int, draws: int) -> int:
-    """How many of draws out of pool are good: exact for few draws, else the rounded normal of the same moments."""
-    if not (good and draws):
-        return 0
-    if draws <= 64:
-        got = 0
-        for _ in range(draws):
-            hit = rng.random() * pool < good
-            got, good, pool = got + hit, good - hit, pool - 1
-        return got
-    share = good / pool
-    spread = math.sqrt(max(0.0, draws * share * (1 - share) * (pool - draws) / max(pool - 1, 1)))
-    return max(0, min(good, draws, round(rng.gauss(draws * share, spread))))
+        rest, share, free = total - (held or 0.0), left, n
+    target = F.least(rest * F.col("_weight") / share, ceiling)
+    return ranked.select("_source", "source_size", "_k", target.alias("target"))
+
+
+def _passes(sources: DataFrame, block: int, most: float, seed: int) -> DataFrame:
+    """Adds to sources what their slots need: _full (blocks), _blocks (with the shorter last one), _step and _shift of the permutation, _slots in
+    all, and _cut, the words that the last slot takes of its block (null: all)."""
+    size = F.col("source_size")
+    words = F.least(F.floor(F.col("target") + 0.5), F.floor(size * most)).cast("long")
+    rows = sources.withColumn("_words", words).withColumn("_full", F.floor(size / block).cast("long")).withColumn("_blocks", F.ceil(size / block).cast("long"))
+    chance = F.xxhash64(F.lit(seed), F.col("_source").isNull(), "_source")
+    step = F.element_at(F.array(*map(F.lit, _STEPS)), (F.pmod(chance, F.lit(len(_STEPS))) + 1).cast("int"))
+    over = F.when(size > 0, F.col("_words") % size).otherwise(0)
+    rounds = F.when(size > 0, F.floor(F.col("_words") / size)).otherwise(0)
+    some = F.ceil(over / block)
+    return rows.select(
+        "_source", "source_size", "_k", "target", "_full", "_blocks", F.pmod(step, F.greatest("_full", F.lit(1))).alias("_step"), F.pmod(F.xxhash64(chance), F.greatest("_full", F.lit(1))).alias("_shift"),
+        (rounds * F.col("_blocks") + some).cast("long").alias("_slots"), F.when(over > 0, over - (some - 1) * block).cast("long").alias("_cut"),
+    )
+
+
+def _permuted(slot: Column) -> Column:
+    """The block of a pass's slot: full blocks in the order of their source's permutation, then the last."""
+    wide = "decimal(38,0)"
+    place = (slot.cast("decimal(18,0)") * F.col("_step").cast("decimal(18,0)") + F.col("_shift").cast("decimal(18,0)")).cast(wide) % F.greatest("_full", F.lit(1)).cast(wide)
+    return F.when(slot < F.col("_full"), place.cast("long")).otherwise(slot)
 
 
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    block: int = 64, shards: int = 64, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 17, rows_a_bucket: int = 1_000, whole: bool = False,
+    block: int = 64, shards: int | None = None, shard_slots: int = 32_768, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 17, rows_a_bucket: int = 1_000, whole: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces). documents has a row per input row: _row, id, _k (its source), size, source_size, target, taken, and with whole
-    _all, its columns. pieces has a row per document and taken block part: _row, _round, _from, _upto, _shard, _slot (word places in the
-    document).
+    _all, its columns, in place of source_size and target. pieces has a row per document and taken block part: _row, _round, _from, _upto, _shard, _slot (word
+    places in the document). shards: how many there are, by default as many as make shard_slots slots each, about.
 
     A null text has no words, a null source is a source of its own that comes last, a null id sorts first, repeated
     rows are documents each, and an empty table gives empty results. The order of words within a source is by
     bucket (a hash of id and text) and then id; sums per bucket give each bucket's place, so no source meets in one
-    task. Only a row per source and the draws (shards times sources) pass through the driver.
+    task.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
+    scratch = Scratch(docs.sparkSession, "mixing")
     n_rows = docs.count()
     buckets = max(1, -(-n_rows // max(rows_a_bucket, math.isqrt(n_rows))))  # a bucket and a source's row of buckets both grow as the root at most
+    hashed = F.xxhash64(F.col(id_col), F.col(text_col))
     sized = scratch.save(
         docs.select(
             F.monotonically_increasing_id().alias("_row"),
             F.col(id_col).alias("_id"),
-            F.col(source_col).alias("_source"),
+            F.col(source_col).cast("string").alias("_source"),
             F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(buckets)).cast("int").alias("_bucket"),
+            hashed.alias("_hash"),
+            F.pmod(hashed, F.lit(buckets)).cast("int").alias("_bucket"),
             *([whole_row(docs)] if whole else []),
         ),
         "sized",
     )
-    sums = sized.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
-    sources, drawn = _plan(
-        [(r["_source"], r["s"]) for r in sums.groupBy("_source").agg(F.sum("_sum").alias("s")).collect()], block, shards, weights, most, seed
-    )
-    source = spark.createDataFrame(
-        sources, "_k int, _source string, source_size long, target double, _n long, _step long, _shift long, _rounds long, _slots long, _last long"
-    )
-    draws = spark.createDataFrame(drawn, "_shard int, _k int, _begin long, _count long")
-    source = F.broadcast(source)  # a row per source
+    sums = scratch.save(sized.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum")), "sums")
+    targets = with_targets(scratch, sums.groupBy("_source").agg(F.sum("_sum").alias("source_size")), weights, most)
+    sources = scratch.save(_passes(targets, block, most, seed), "sources")
+    n_slots = sources.agg(F.sum("_slots")).first()[0] or 0
+    shards = shards or max(1, -(-n_slots // shard_slots))
+    name = sources.select(F.col("_source").alias("_s"), "_k")
+    of_source = lambda df: df.join(name, df["_source"].eqNullSafe(name["_s"])).drop("_source", "_s")
     places = (
-        sums.join(source.select("_source", "_k"), sums["_source"].eqNullSafe(source["_source"]))
-        .select("_k", "_bucket", "_sum")
+        of_source(sums)
         .withColumn("_base", F.sum("_sum").over(Window.partitionBy("_k").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
         .select("_k", "_bucket", F.coalesce("_base", F.lit(0)).alias("_base"))
     )
-    keyed = sized.join(source, sized["_source"].eqNullSafe(source["_source"])).drop(source["_source"])
-    upto = Window.partitionBy("_k", "_bucket").orderBy("_id", "size", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("_k", "_bucket").orderBy("_id", "size", "_hash", "_row").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        keyed.withColumn("_end", F.sum("size").over(upto))
+        of_source(sized.select("_row", "_id", "_source", "size", "_hash", "_bucket"))
+        .withColumn("_end", F.sum("size").over(upto))
         .join(places, ["_k", "_bucket"])
         .withColumn("_at", F.col("_base") + F.col("_end") - F.col("size"))
     )
-    wide = "decimal(38,0)"
-    slot = F.col("_j") % F.col("_n")
-    index = ((slot.cast("decimal(18,0)") * F.col("_step").cast("decimal(18,0)") + F.col("_shift").cast("decimal(18,0)")).cast(wide) % F.col("_n").cast(wide)).cast("long")
-    slots = (
-        draws.select("_shard", "_k", (F.col("_begin") + F.col("_count") - 1).alias("_end"), F.explode(F.sequence(F.col("_begin"), F.col("_begin") + F.col("_count") - 1, F.lit(_RUN).cast("long"))).alias("_lo"))
-        .repartition("_shard", "_k", "_lo")
-        .select("_shard", "_k", F.explode(F.sequence("_lo", F.least(F.col("_lo") + (_RUN - 1), F.col("_end")))).alias("_j"))
-        .join(source, "_k")
-        .select(
-            "_shard", "_k", F.col("_j").alias("_slot"), F.floor(F.col("_j") / F.col("_n")).cast("long").alias("_round"), index.alias("_index"),
-            F.when(F.col("_j") == F.col("_rounds") * F.col("_n") + F.col("_slots") - 1, F.when(F.col("_slots") > 0, F.col("_last"))).alias("_cut"),
-        )
+    run = F.lit(_RUN).cast("long")
+    rows = sources.where("_slots > 0").withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots") - 1, run * run)))
+    rows = rows.withColumn("_lo", F.explode(F.sequence("_lo", F.least(F.col("_lo") + run * run, F.col("_slots")) - 1, run)))
+    rows = rows.repartition(max(1, -(-n_slots // _SLOTS_A_TASK)), "_k", "_lo").withColumn("_slot", F.explode(F.sequence("_lo", F.least(F.col("_lo") + run, F.col("_slots")) - 1)))
+    slots = rows.select(
+        "_k", "_slot", F.floor(F.col("_slot") / F.col("_blocks")).cast("long").alias("_round"), _permuted(F.col("_slot") % F.col("_blocks")).alias("_index"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), "_k", "_slot"), F.lit(shards)).cast("int").alias("_shard"), F.when(F.col("_slot") == F.col("_slots") - 1, F.col("_cut")).alias("_cut"),
     )
     parts = placed.where("size > 0").select(
         "_row", "_k", "_at", "size",
@@ -172,8 +142,11 @@ def mixed(
         .where("_from < _upto")
     )
     pieces = scratch.save(pieces, "pieces")
+    if whole:
+        return sized.select("_row", F.col("_id").alias(id_col), "_all", "size"), pieces
     taken = pieces.groupBy("_row").agg(F.sum(F.col("_upto") - F.col("_from")).alias("taken"))
-    documents = sized.join(source, sized["_source"].eqNullSafe(source["_source"])).select("_row", F.col("_id").alias(id_col), *(["_all"] if whole else []), "_k", "size", "source_size", "target")
+    of = sources.select(F.col("_source").alias("_s"), "_k", "source_size", "target")
+    documents = sized.join(of, sized["_source"].eqNullSafe(of["_s"])).select("_row", F.col("_id").alias(id_col), "_k", "size", "source_size", "target")
     return documents.join(taken, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0))), pieces
 
 
@@ -187,7 +160,8 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """The mixed corpus, with the columns of docs: a row per document and round that takes words of it.
 
     A round that takes a whole document repeats its text as it stands; a part is its taken words in order,
-    joined by spaces. Documents of which nothing is taken go. length_col, where docs has it, is the new length.
+    joined by spaces. Documents of which nothing is taken go, those without words among them. length_col, where docs has it, is the new
+    length. Null ids and sources stay null, repeated rows are documents each, an empty table gives an empty result.
     """
     documents, pieces = mixed(docs, id_col, text_col, source_col, whole=True, **options)
     rounds = pieces.groupBy("_row", "_round").agg(

@@ -3,14 +3,37 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from kmerloom.llm.mixing import apply_mix, mix, mixed, targets_of
+from kmerloom.llm.common import Scratch
+from kmerloom.llm.mixing import apply_mix, mix, mixed, with_targets
+
+
+def targets_of(sizes, weights=(5, 2, 1), most=3):
+    """min(most * size, level * weight), at the level at which they add up to all sizes, found by halving."""
+    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    total, low, high = sum(n for _, n in order), 0.0, 1e12
+    at = lambda level: [min(most * n, level * weights[k % len(weights)]) for k, (_, n) in enumerate(order)]
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(at(level)) < total else (low, level)
+    return [(s, n, t) for (s, n), t in zip(order, at(high), strict=True)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_by_rounds(spark, seed):
+    rng = random.Random(seed)
+    sizes = [(s, int(10 ** rng.uniform(0, 6)) if rng.random() < 0.9 else 0) for s in (None, "", "é", "z", "Z", "\U0001f642", "\uffee", *(f"s{k}" for k in range(40)))]
+    rng.shuffle(sizes)
+    got = with_targets(Scratch(spark, "test"), spark.createDataFrame(sizes, "_source string, source_size long")).orderBy("_k").collect()
+    want = targets_of(sizes)
+    assert [(r["_source"], r["source_size"]) for r in got] == [w[:2] for w in want] and [r["_k"] for r in got] == list(range(len(want)))
+    assert [r["target"] for r in got] == pytest.approx([w[2] for w in want], rel=1e-6)
 
 
 def test_targets():
     got = targets_of([("b", 100), (None, 1000), ("a", 10), ("c", 0)])
     assert [(s, n) for s, n, _ in got] == [("a", 10), ("b", 100), ("c", 0), (None, 1000)]
     assert [t for _, _, t in got] == pytest.approx([30, 300, 0, 780])
-    assert targets_of([]) == [] and targets_of([("x", 5)]) == [("x", 5, 5.0)]
+    assert targets_of([("x", 5)])[0][2] == pytest.approx(5)
 
 
 def rows_of(seed, n=300):
@@ -29,11 +52,12 @@ def test_sums_and_limits(frame, block, shards):
     for _, t, s in rows:
         size[s] += len((t or "").split())
     target = {s: t for s, _, t in targets_of(list(size.items()))}
-    assert Counter((r["doc_id"], r["size"], r["source_size"], r["target"]) for r in got) == Counter((i, len((t or "").split()), size[s], target[s]) for i, t, s in rows)
+    target = {s: round(t, 6) for s, t in target.items()}
+    assert Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6)) for r in got) == Counter((i, len((t or "").split()), size[s], target[s]) for i, t, s in rows)
     taken = defaultdict(int)
     for r in got:
         assert 0 <= r["taken"] <= 3 * r["size"]
-        taken[r["target"], r["source_size"]] += r["taken"]
+        taken[round(r["target"], 6), r["source_size"]] += r["taken"]
     for s in size:
         assert abs(taken[target[s], size[s]] - target[s]) <= 1
     again = mix(df.repartition(3), block=block, shards=shards, rows_a_bucket=40).collect()
