@@ -36,7 +36,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(documents(spark, sf_dir))
+    return replace_pii(documents(spark, sf_dir), key="a key for these tables")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
