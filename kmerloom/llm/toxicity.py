@@ -14,7 +14,6 @@ import math
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from heapq import nsmallest
 from typing import NamedTuple
 
 import numpy as np
@@ -67,15 +66,33 @@ def patterns(text: str) -> tuple[int, ...]:
 
 
 class Example(NamedTuple):
-    """A row to learn from: its label, its distinct words joined by spaces, and the patterns' votes on its text."""
+    """A row to learn from: its label, its distinct words joined by spaces, the patterns' votes on its text, and a bounded hash of each
+    feature of each word, so many a word."""
 
     label: int
     words: bytes
     votes: tuple[int, ...]
+    places: np.ndarray
+
+
+_PER_WORD = 1 + len(BEGINNINGS)
+_BUCKETS = 1 << 22
+_places: dict[bytes, list[int]] = {}
+
+
+def _places_of(word: bytes) -> list[int]:
+    """Hashes of a word's features; a word with fewer features repeats one."""
+    if (got := _places.get(word)) is None:
+        if len(_places) > 100_000:
+            _places.clear()
+        got = [zlib.crc32(f.encode()) % _BUCKETS for f in word_features(word)] or [zlib.crc32(word) % _BUCKETS]
+        _places[word] = got = got + got[:1] * (_PER_WORD - len(got))
+    return got
 
 
 def example(label: int, text: str) -> Example:
-    return Example(label, b" ".join(sorted(distinct_words(text))), patterns(text))
+    words = sorted(distinct_words(text))
+    return Example(label, b" ".join(words), patterns(text), np.array([x for w in words for x in _places_of(w)], np.int32))
 
 
 def label_model(votes: np.ndarray, prior: float = 0.1, rounds: int = 60, sure: int | None = None, accuracy: float = 0.9995, belief: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +183,18 @@ def _evidence(a0: int, a1: int, n0: int, n1: int) -> float:
     return math.copysign(math.sqrt(max(g, 0.0)), a1 - e1)
 
 
-def _precise(seen: dict[str, np.ndarray], n: np.ndarray, least: int) -> dict[str, float]:
+def _together(parts: Iterable[dict[str, list[int]]]) -> dict[str, list[int]]:
+    """Rows by class of each feature, in all parts."""
+    out: dict[str, list[int]] = {}
+    for part in parts:
+        for f, (a0, a1) in part.items():
+            have = out.setdefault(f, [0, 0])
+            have[0] += a0
+            have[1] += a1
+    return out
+
+
+def _precise(seen: dict[str, list[int]], n: np.ndarray, least: int) -> dict[str, float]:
     """Features that speak for class 1 by themselves, with their evidence; seen: rows by class of each feature, n: of all."""
     n0, n1 = int(n[0]), int(n[1])
     if not n0 or not n1:
@@ -186,7 +214,7 @@ def _precise(seen: dict[str, np.ndarray], n: np.ndarray, least: int) -> dict[str
     return out
 
 
-def votes_of(found: list[dict[str, int]], part: np.ndarray, y: np.ndarray, surface: np.ndarray, seen: list[dict[str, np.ndarray]], least: int) -> np.ndarray:
+def votes_of(found: list[dict[str, int]], part: np.ndarray, y: np.ndarray, surface: np.ndarray, seen: list[dict[str, list[int]]], least: int) -> np.ndarray:
     """The votes of all voters but the labels on each row.
 
     Learned voters hold the precise features of one kind (words, or beginnings of one length) and half, and vote or abstain; on a row they
@@ -195,12 +223,7 @@ def votes_of(found: list[dict[str, int]], part: np.ndarray, y: np.ndarray, surfa
     learned = np.zeros((len(y), 2 * (1 + len(BEGINNINGS))), np.int8)
     kind = {0: 0} | {k: j for j, k in enumerate(BEGINNINGS, 1)}
     for p in range(_PARTS):
-        others: dict[str, np.ndarray] = {}
-        for q in range(_PARTS):
-            if q != p:
-                for f, a in seen[q].items():
-                    others[f] = others.get(f, 0) + a
-        use = _precise(others, np.bincount(y[part != p], minlength=2), least)
+        use = _precise(_together([x for q, x in enumerate(seen) if q != p]), np.bincount(y[part != p], minlength=2), least)
         voter = {f: 2 * kind[len(f) - 1 if f.endswith("*") else 0] + zlib.crc32(f.encode()) % 2 for f in use}
         for k in np.flatnonzero(part == p).tolist():
             hit = {voter[f] for f in found[k] if f in voter}
@@ -215,47 +238,43 @@ def train(sample: Iterable[Example], max_features: int = 20_000, least: int = 4,
     Memory is bounded by the number of examples and not by the length of their texts. with_model: train on the label model's
     posteriors; without, on the labels as they are (for comparison).
     """
-    buckets = np.zeros((2, 1 << 22), np.int32)  # rows by class of the features with each hash: a first, bounded count
-    places: dict[bytes, np.ndarray] = {}
+    buckets = np.zeros((2, _BUCKETS), np.int32)  # rows by class of the features with each hash: a first, bounded count
     kept: list[bool] = []
+    classes: list[int] = []
     copies: set[tuple] = set()
-
-    def place_of(word: bytes) -> np.ndarray:
-        if (got := places.get(word)) is None:
-            if len(places) > 100_000:
-                places.clear()
-            places[word] = got = np.array([zlib.crc32(f.encode()) & 0x3FFFFF for f in word_features(word)], np.int32)
-        return got
-
     for x in sample:
-        own = x.words.split()
-        least_hashes = (x.label, *nsmallest(4, map(zlib.crc32, own)))
-        kept.append(not own or least_hashes not in copies)  # copies and near copies would pass off their chance words as evidence
+        classes.append(x.label)
+        least_hashes = (x.label, *np.sort(x.places)[: 4 * _PER_WORD].tolist())
+        kept.append(not len(x.places) or least_hashes not in copies)  # copies and near copies would pass off their chance words as evidence
         copies.add(least_hashes)
-        if own and kept[-1]:
-            buckets[x.label][np.unique(np.concatenate([place_of(w) for w in own]))] += 1
+        if kept[-1]:
+            buckets[x.label][np.unique(x.places)] += 1
     del copies
+    # what no part of the sample could teach a voter is not looked at again
+    strong = (buckets.sum(0) >= least) & (buckets[1] > 0)
+    n0, n1 = (int(sum(k for k, c in zip(kept, classes, strict=True) if c == of)) for of in (0, 1))
+    if n0 and n1:
+        for k in np.flatnonzero(strong).tolist():
+            strong[k] = _evidence(int(buckets[0][k]), int(buckets[1][k]), n0, n1) >= 4
+    del buckets
     labels, surface, found_in, parts = [], [], [], []
-    seen: list[dict[str, np.ndarray]] = [{} for _ in range(_PARTS)]
-    strong, decided = {}, {}
+    seen: list[dict[str, list[int]]] = [{} for _ in range(_PARTS)]
+    features: dict[bytes, list[str]] = {}
     for x, keep in zip(sample, kept, strict=True):
         if not keep:
             continue
+        words = x.words.split()
         found: dict[str, int] = {}
-        for w in x.words.split():
-            some = place_of(w)
-            if len(decided) > 200_000:
-                decided.clear()
-            if w not in decided:  # a feature that is not in class 1 more than by chance is no use to any voter
-                decided[w] = any(buckets[1][k] * 2 >= least and buckets[1][k] * 9 > buckets[0][k] for k in some.tolist())
-            if decided[w]:
-                if w not in strong:
-                    strong[w] = word_features(w)
-                for f in strong[w]:
-                    found[f] = found.get(f, 0) + 1
+        for k in np.flatnonzero(strong[x.places.reshape(-1, _PER_WORD)].any(1)).tolist():
+            if words[k] not in features:
+                features[words[k]] = word_features(words[k])
+            for f in features[words[k]]:
+                found[f] = found.get(f, 0) + 1
+        for f in [f for f in found if not strong[zlib.crc32(f.encode()) % _BUCKETS]]:
+            del found[f]
         parts.append(len(labels) % _PARTS)
         for f in found:
-            seen[parts[-1]].setdefault(f, np.zeros(2, np.int64))[x.label] += 1
+            seen[parts[-1]].setdefault(f, [0, 0])[x.label] += 1
         labels.append(x.label)
         surface.append(x.votes)
         found_in.append(found)
@@ -263,11 +282,7 @@ def train(sample: Iterable[Example], max_features: int = 20_000, least: int = 4,
     n = np.bincount(y, minlength=2)
     if not n.all():
         return Model(dict.fromkeys(LEXICON, 6.0), -3.0)
-    everywhere: dict[str, np.ndarray] = {}
-    for of in seen:
-        for f, a in of.items():
-            everywhere[f] = everywhere.get(f, 0) + a
-    strength = _precise(everywhere, n, least)
+    strength = _precise(_together(seen), n, least)
     chosen = sorted(strength, key=lambda f: (-strength[f], f))[:max_features]
     place = {f: k for k, f in enumerate(chosen)}
     rows = [np.array([place[f] for f, c in found.items() for _ in range(min(c, 3)) if f in place], np.int64) for found in found_in]
@@ -290,7 +305,7 @@ class Sample:
 
     def __iter__(self) -> Iterator[Example]:
         for r in self.rows.toLocalIterator():
-            yield Example(r["_y"], bytes(r["_words"]), tuple(r["_votes"]))
+            yield Example(r["_y"], bytes(r["_words"]), tuple(r["_votes"]), np.frombuffer(r["_places"], np.int32))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, most: tuple[int, int]) -> Sample:
@@ -307,11 +322,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         for batch in batches:
             for some in parts_of(batch, 2):
                 all_ = [example(y, t) for y, t in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)]
-                columns = [some.column(0), some.column(1), pa.array([x.words for x in all_], pa.binary()), pa.array([x.votes for x in all_], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_y", "_words", "_votes"])
+                columns = [some.column(0), some.column(1), pa.array([x.words for x in all_], pa.binary()), pa.array([x.votes for x in all_], pa.list_(pa.int32())), pa.array([x.places.tobytes() for x in all_], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_y", "_words", "_votes", "_places"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    read_ = rows.select("_id", "_y", "_text").mapInArrow(read, f"_id {kind}, _y int, _words binary, _votes array<int>")
+    read_ = rows.select("_id", "_y", "_text").mapInArrow(read, f"_id {kind}, _y int, _words binary, _votes array<int>, _places binary")
     return Sample(Scratch(docs.sparkSession, "toxicity").save(read_.orderBy("_y", "_id", "_words"), "sample"))
 
 
