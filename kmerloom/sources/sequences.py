@@ -1,20 +1,20 @@
 """FASTA and FASTQ, plain or gzip by content, as DataFrames of records.
 
-The reader is a state machine over bytes, so it follows the format where line splitting cannot: markers inside
-quality lines, several lines per record, carriage returns, junk before the first record. Files are read by
-Spark (any store), one file a task; long records are cut into windows later, so that hashing spreads over tasks.
-For large FASTA files without gzip, read_fasta_lines splits inside files.
+The reader is a state machine over a stream of bytes, so it follows the format where line splitting cannot: markers inside
+quality lines, several lines per record, carriage returns, junk before the first record. Files of usual size are read by
+Spark (any store), one file a task; larger ones are streamed in the task through Arrow's file systems, a few megabytes at a time, so a file
+may be of any size and only a record has to fit in memory. Long records are cut into windows later, so that hashing spreads over
+tasks. For large FASTA files without gzip, read_fasta_lines splits inside files.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 SEQUENCE_ENDINGS = tuple(f".{x}{z}" for x in ("fa", "fasta", "fq", "fastq") for z in ("", ".gz"))
 SCHEMA = "path string, rec_idx long, name string, comment string, seq string, qual string"
 _SPACE = re.compile(rb"[ \t\n\v\f\r]")
+_STEP = 4 << 20
 
 
 class BadRecord(ValueError):
@@ -32,91 +33,159 @@ def is_sequence_file(path: str) -> bool:
     return path.lower().endswith(SEQUENCE_ENDINGS)
 
 
+def unpacked(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """A stream's bytes, unpacked if they are gzip whatever the name says, member after member; of a damaged gzip, what can be read."""
+    chunks = iter(chunks)
+    first = b""
+    while len(first) < 2 and (more := next(chunks, None)) is not None:
+        first += more
+    if first[:2] != b"\x1f\x8b":
+        yield first
+        yield from chunks
+        return
+    member, data = zlib.decompressobj(31), first
+    while True:
+        try:
+            while data:
+                out = member.decompress(data, _STEP)
+                if out:
+                    yield out
+                data = member.unused_data if member.eof else member.unconsumed_tail
+                if member.eof:
+                    data = data.lstrip(b"\0")
+                    if data:
+                        member = zlib.decompressobj(31)
+                    else:
+                        break
+        except zlib.error:
+            return
+        if (more := next(chunks, None)) is None:
+            return
+        if member.eof:
+            member = zlib.decompressobj(31)
+        data = more
+
+
 def opened(content: bytes) -> bytes:
-    """Bytes of a file, unpacked if they are gzip whatever the name says; of a damaged gzip, what can be read."""
-    if content[:2] != b"\x1f\x8b":
-        return content
-    out = io.BytesIO()
-    try:
-        with gzip.open(io.BytesIO(content)) as f:
-            while part := f.read(1 << 20):
-                out.write(part)
-    except (EOFError, OSError, zlib.error):
-        pass
-    return out.getvalue()
-
-
-def _line(data: bytes, at: int) -> tuple[bytes, int]:
-    """The line at a place, without its line end, and the place after it."""
-    end = data.find(b"\n", at)
-    if end < 0:
-        end = len(data)
-    line = data[at:end]
-    return (line[:-1] if len(line) > 1 and line.endswith(b"\r") else line), min(end + 1, len(data))
-
-
-def parse(data: bytes, strict: bool = False) -> Iterator[tuple[str, str, str, str | None]]:
-    """(name, comment, sequence, quality) of each record.
+    """All of a file's bytes, unpacked."""
+    return b"".join(unpacked([content]))
+
+
+class _Stream:
+    """Lines and markers of a stream of bytes, of which no more is held than what is being read."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.data, self.at = chunks, b"", 0
+
+    def _more(self) -> bool:
+        """Goes on to the next bytes; all that is held has been read."""
+        for data in self.chunks:
+            if data:
+                self.data, self.at = data, 0
+                return True
+        self.data, self.at = b"", 0
+        return False
+
+    def peek(self) -> bytes:
+        """The next byte, or none at the end."""
+        return self.data[self.at : self.at + 1] if self.at < len(self.data) or self._more() else b""
+
+    def line(self) -> bytes:
+        """The next line, without its line end."""
+        parts = []
+        while True:
+            end = self.data.find(b"\n", self.at)
+            if end >= 0:
+                parts.append(self.data[self.at : end])
+                self.at = end + 1
+                break
+            parts.append(self.data[self.at :])
+            if not self._more():
+                break
+        line = b"".join(parts)
+        return line[:-1] if len(line) > 1 and line.endswith(b"\r") else line
+
+    def marker(self) -> bool:
+        """Goes to the next > or @ anywhere; False if there is none."""
+        while True:
+            found = [x for x in (self.data.find(b">", self.at), self.data.find(b"@", self.at)) if x >= 0]
+            if found:
+                self.at = min(found)
+                return True
+            if not self._more():
+                return False
+
+
+def parse(data: bytes | Iterable[bytes], strict: bool = False) -> Iterator[tuple[str, str, str, str | None]]:
+    """(name, comment, sequence, quality) of each record of some bytes, or of a stream of them.
 
     A record begins at the first > or @ anywhere, at the start and after a record with quality; after one without,
     at a line that starts so. Its name ends at white space, the rest of the line is the comment. Sequence lines go on to a line
     that starts with >, + or @; blank lines are passed over and inner spaces stay. After a + line, quality lines are read until they are as
     long as the sequence; if they end short or run over, reading stops with the records so far (strict: BadRecord).
     """
-    at, marked = 0, False  # marked: data[at] is known to be a marker
-    while True:
-        if not marked:
-            found = [x for x in (data.find(b">", at), data.find(b"@", at)) if x >= 0]
-            if not found:
-                return
-            at = min(found)
-        header, after = _line(data, at + 1)
+    stream, marked = _Stream(iter([data] if isinstance(data, bytes) else data)), False  # marked: it stands at a marker
+    while marked or stream.marker():
+        header = stream.line()[1:]
         space = _SPACE.search(header)
         name, comment = (header[: space.start()], header[space.end() :]) if space else (header, b"")
         parts: list[bytes] = []
-        at, marked = after, False
-        while at < len(data) and data[at : at + 1] not in (b">", b"+", b"@"):
-            line, at = _line(data, at)
+        while (next_ := stream.peek()) and next_ not in b">+@":
+            line = stream.line()
             if line and line != b"\r":
                 parts.append(line)
         seq = b"".join(parts)
         text = tuple(x.decode("latin-1") for x in (name, comment, seq))
-        if at >= len(data) or data[at : at + 1] != b"+":
-            marked = at < len(data)
+        if next_ != b"+":
+            marked = bool(next_)
             yield *text, None
             if not marked:
                 return
             continue
-        _, at = _line(data, at)
-        quality = b""
-        while len(quality) < len(seq) and at < len(data):
-            line, at = _line(data, at)
-            quality += line
-        if len(quality) != len(seq):
+        marked = False
+        stream.line()
+        lines, have = [], 0
+        while have < len(seq) and stream.peek():
+            lines.append(stream.line())
+            have += len(lines[-1])
+        if have != len(seq):
             if strict:
-                raise BadRecord(f"quality of {text[0]} has {len(quality)} of {len(seq)} characters")
+                raise BadRecord(f"quality of {text[0]} has {have} of {len(seq)} characters")
             return
-        yield *text, quality.decode("latin-1")
+        yield *text, b"".join(lines).decode("latin-1")
 
 
-def _records(batches: Iterator[pa.RecordBatch], strict: bool, bases: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+def _rows(path: str, chunks: Iterable[bytes], strict: bool, bases: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+    """A file's records, a batch at a time."""
     names = ["path", "rec_idx", "name", "comment", "seq", "qual"]
     kinds = [pa.string(), pa.int64()] + [pa.string()] * 4
+    rows, size = [], 0
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
+    def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+    for k, record in enumerate(parse(unpacked(chunks), strict)):
+        rows.append((path, k, *record))
+        size += len(record[2])
+        if size > bases or len(rows) >= 10_000:
+            yield batch()
+            rows, size = [], 0
+    if rows:
+        yield batch()
+
+
+def _records(batches: Iterator[pa.RecordBatch], strict: bool) -> Iterator[pa.RecordBatch]:
     for files in batches:
         for path, content in zip(files.column(0), files.column(1), strict=True):
-            rows, size = [], 0
-            for k, record in enumerate(parse(opened(content.as_py() or b""), strict)):
-                rows.append((path.as_py(), k, *record))
-                size += len(record[2])
-                if size > bases:
-                    yield batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield batch(rows)
+            yield from _rows(path.as_py(), [content.as_py() or b""], strict)
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], strict: bool, step: int) -> Iterator[pa.RecordBatch]:
+    for files in batches:
+        for path in files.column(0).to_pylist():
+            system, inner = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+            with system.open_input_stream(inner, compression=None) as f:
+                yield from _rows(path, iter(lambda: f.read(step), b""), strict)
 
 
 def parse_texts(files: DataFrame, path_col: str = "path", content_col: str = "content", mode: str = "PERMISSIVE") -> DataFrame:
@@ -126,12 +195,17 @@ def parse_texts(files: DataFrame, path_col: str = "path", content_col: str = "co
     return rows.mapInArrow(lambda batches: _records(batches, strict), SCHEMA)
 
 
-def read_sequences(spark: SparkSession, *paths: str, mode: str = "PERMISSIVE") -> DataFrame:
+def read_sequences(spark: SparkSession, *paths: str, mode: str = "PERMISSIVE", whole_up_to: int = 256 << 20, step: int = _STEP) -> DataFrame:
     """Records of FASTA or FASTQ files or globs; a missing path is an error. mode FAILFAST raises on a bad record, else reading that
-    file stops there and keeps what came before."""
+    file stops there and keeps what came before. Files of more than whole_up_to bytes are streamed, step bytes at a time, by tasks of their own;
+    the tasks must then reach them through one of Arrow's file systems (file, hdfs, s3, gs)."""
     if mode.upper() not in ("PERMISSIVE", "FAILFAST"):
         raise ValueError("mode must be PERMISSIVE or FAILFAST")
-    return parse_texts(spark.read.format("binaryFile").load(list(paths)).select("path", "content"), mode=mode)
+    strict = mode.upper() == "FAILFAST"
+    files = spark.read.format("binaryFile").load(list(paths))
+    whole = parse_texts(files.where(F.col("length") <= whole_up_to).select("path", "content"), mode=mode)
+    large = files.where(F.col("length") > whole_up_to).select("path")  # without the contents, which Spark then does not read
+    return whole.unionByName(large.repartition("path").mapInArrow(lambda batches: _streamed(batches, strict, step), SCHEMA))
 
 
 def read_fasta_lines(spark: SparkSession, *paths: str) -> DataFrame:
