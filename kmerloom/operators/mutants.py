@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A record becomes bases in pieces of so many.
+_PIECE = 1 << 16
+
+
 def mutate(records: DataFrame, rate: float, seed: int = 42, indels: bool = True, name_col: str = "name", seq_col: str = "seq", block: int = 4096) -> DataFrame:
     """(name, seq, n_changed, true_d): floor(length * rate) distinct positions of each sequence changed.
 
@@ -17,7 +21,10 @@ def mutate(records: DataFrame, rate: float, seed: int = 42, indels: bool = True,
     buckets of digests, and counts per bucket say which buckets are in, so a long sequence spreads over tasks until it is put together again.
     """
     base = records.select(F.col(name_col).alias("name"), F.translate(seq_col, string.ascii_lowercase, string.ascii_uppercase).alias("seq"))  # ASCII alone, so that no letter becomes two
-    each = base.select("name", F.length("seq").alias("n"), F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("pos", "base"))
+    pieces = base.select("name", F.length("seq").alias("n"), "seq", F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(_PIECE))).alias("first"))
+    pieces = pieces.select("name", "n", "first", F.substring("seq", F.col("first") + 1, F.lit(_PIECE)).alias("seq"))
+    dealt = pieces.repartition(F.xxhash64("name", "first"))  # a record's pieces become bases in many tasks
+    each = dealt.select("name", "n", "first", F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("pos", "base")).withColumn("pos", F.col("pos") + F.col("first")).drop("first")
     each = each.withColumn("digest", F.md5(F.concat_ws(":", "name", "pos", F.lit(seed)).cast("binary"))).withColumn("bucket", F.substring("digest", 1, 3))
     sums = each.groupBy("name", "n", "bucket").agg(F.count(F.lit(1)).alias("c"))  # at most 4096 buckets a name
     before = F.coalesce(F.sum("c").over(Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

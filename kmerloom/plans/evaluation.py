@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The timing table's columns, the order in which tools are shown, and the endings that names lose.
+# The tables' columns, the order in which tools are shown, tools that are shown by their plain name (as it is written), and the
+# endings that names lose.
 TIMES = "Tool string, Threads int, `K-mer` string, Scale double, Sketch double, Runtime double, Memory bigint"
+TREES = "Tool string, Taxon string, K int, RF double, nRF double"
+TREE_OPTIONS = "Scale double, Sketch double"
+ACCURACY_KEYS = ("Genome", "k", "Tool", "C_rate", "Mode")
+RUN_COLUMNS = ("Tool", "Threads", "K-mer", "SketchSize", "Elapsed_Time(s)", "MaxResident_Memory(KB)")
 TOOL_ORDER = ("fastani", "skani", "mash")
+PLAIN_TOOLS = {"fastani": "FastANI", "mash": "Mash"}
 NAME_ENDINGS = (".sketch", ".msh", ".fa", ".fasta")
 #: Distances from here on are taken as not measured.
 CENSORED_FROM = 0.3
@@ -21,6 +27,57 @@ def read_times(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("K-mer", F.when(F.col("K-mer") != "-", F.col("K-mer")))
 
 
+def _number(col: str) -> Column:
+    """A column of numbers; what is none is missing, nan among it."""
+    value = F.expr(f"try_cast(`{col}` AS DOUBLE)")
+    return F.when(~F.isnan(value), value).alias(col)
+
+
+def read_accuracy(spark: SparkSession, path: str) -> DataFrame:
+    """An accuracy table from CSV: Genome, k, Tool, C_rate, Mode, and a Time_N= and an ERR_d= column for each number and distance; values that are no
+    numbers (- or nan) are missing. A dot in a column's name becomes _, as melt() takes it."""
+    rows = spark.read.csv(path, header=True)
+    rows = rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns))
+    text = {"Genome", "Tool", "Mode"}
+    rows = rows.select(*(F.col(f"`{c}`") if c in text else _number(c) for c in rows.columns))
+    return rows.toDF(*(c.replace(".", "_") for c in rows.columns))
+
+
+def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    """A table of tree distances from CSV: Tool, Taxon, K, RF, nRF, and Scale and Sketch, which are missing where the file has none."""
+    rows = spark.read.csv(path, header=True)
+    rows = rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns))
+    rows = rows.select(*(F.col(c) if c in ("Tool", "Taxon") else _number(c).cast("int").alias(c) if c == "K" else _number(c) for c in rows.columns))
+    return rows.select(*(rows[c] if c in rows.columns else F.lit(None).cast("double").alias(c) for c in ("Tool", "Taxon", "K", "RF", "nRF", "Scale", "Sketch")))
+
+
+def accuracy_table(rows: DataFrame, times: Sequence[int], distances: Sequence[float]) -> DataFrame:
+    """The rows of read_accuracy's table, as text to write: Genome, k, Tool, C_rate, Mode, then a time for each number (columns t1, t2, ...) and an
+    error for each distance (columns e1, e2, ...); a missing k is -, a missing number nan."""
+    number = lambda c: F.when(F.col(c).isNull() | F.isnan(c), "nan").otherwise(F.col(c).cast("string"))
+    heads = [F.coalesce(F.col("k").cast("string"), F.lit("-")).alias("k") if c == "k" else F.col(c).cast("string").alias(c) for c in ACCURACY_KEYS]
+    columns = [number(f"t{k}").alias(f"Time_N={n}") for k, n in enumerate(times, 1)] + [number(f"e{k}").alias(f"ERR_d={d:.3f}") for k, d in enumerate(distances, 1)]
+    return rows.select(*heads, *columns)
+
+
+def tree_table(rows: DataFrame) -> DataFrame:
+    """Tool (in lower case), Taxon, K, RF, nRF as text to write; a missing distance is NaN."""
+    number = lambda c: F.when(F.col(c).isNull() | F.isnan(c), "NaN").otherwise(F.col(c).cast("string")).alias(c)
+    return rows.select(F.lower("Tool").alias("Tool"), "Taxon", F.col("K").cast("string").alias("K"), number("RF"), number("nRF"))
+
+
+def run_table(rows: DataFrame) -> DataFrame:
+    """Tool (in lower case), threads, k, size, seconds and kilobytes (columns in this order) as the table of single runs; a missing k or size is -."""
+    tool, threads, k, size, seconds, memory = rows.columns
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-"))
+    return rows.select(F.lower(F.col(f"`{tool}`")), text(threads), text(k), text(size), F.format_string("%.2f", F.col(f"`{seconds}`").cast("double")), text(memory)).toDF(*RUN_COLUMNS)
+
+
+def write_table(table: DataFrame, path: str, files: int = 1) -> None:
+    """A table as CSV with a header in each of so many files; result tables are small, and one file is what other tools read."""
+    table.coalesce(files).write.mode("overwrite").csv(path, header=True, emptyValue="")
+
+
 def name_stem(path: Column, endings: Sequence[str] = NAME_ENDINGS) -> Column:
     """The last part of a path without each of the endings, taken off in that order, each at most once."""
     out = F.element_at(F.split(path, "/"), -1)
@@ -29,6 +86,13 @@ def name_stem(path: Column, endings: Sequence[str] = NAME_ENDINGS) -> Column:
     return out
 
 
+def file_length(content: Column) -> Column:
+    """The bases of a sequence file's text as its length is taken here: of every line but the first, what is left without white space at its ends
+    (later headers count as bases)."""
+    trimmed = F.transform(F.slice(F.split(content, "\n", -1), 2, 1 << 30), lambda line: F.length(F.regexp_replace(line, r"^[ \t-\r]+|[ \t-\r]+$", "")))
+    return F.aggregate(trimmed, F.lit(0).cast("long"), lambda n, x: n + x)
+
+
 def short_stem(path: Column) -> Column:
     """The last part of a path up to its first dot."""
     return F.substring_index(F.element_at(F.split(path, "/"), -1), ".", 1)
@@ -48,10 +112,14 @@ def row_mean(columns: Sequence[str]) -> Column:
     return F.when(n > 0, sum((F.coalesce(p, F.lit(0.0)) for p in present), F.lit(0.0)) / n)
 
 
-def label(tool: Column, k: Column, plain: Sequence[str] = ("fastani", "mash")) -> Column:
-    """A tool's label: its name, with k in brackets unless the tool is shown plainly or k is missing."""
+def label(tool: Column, k: Column, plain: Mapping[str, str] = PLAIN_TOOLS) -> Column:
+    """A tool's label: a plain tool's one spelling, whatever the case it is given in and whatever k; else its name, with k in brackets unless that is
+    missing. plain: lower-case names and how they are written."""
     bare = F.trim(F.coalesce(tool, F.lit("Unknown")))
-    return F.when(F.lower(bare).isin(*plain) | k.isNull(), bare).otherwise(F.concat(bare, F.lit(" (k="), k.cast("int").cast("string"), F.lit(")")))
+    out = F.when(k.isNull(), bare).otherwise(F.concat(bare, F.lit(" (k="), k.cast("int").cast("string"), F.lit(")")))
+    for low, written in plain.items():
+        out = F.when(F.lower(bare) == low, F.lit(written)).otherwise(out)
+    return out
 
 
 def sort_keys(label_col: Column, order: Sequence[str] = TOOL_ORDER) -> list[Column]:
@@ -70,12 +138,17 @@ def derived(times: DataFrame) -> DataFrame:
     )
 
 
-def ani_symm(directed: DataFrame, a: str = "a", b: str = "b", ani: str = "ani") -> DataFrame:
-    """(a, b, dist) from directed identities in percent: the mean of both directions where there are two, as 1 - identity."""
+def ani_symm(directed: DataFrame, a: str = "a", b: str = "b", ani: str = "ani", names: DataFrame | None = None) -> DataFrame:
+    """(a, b, dist) from directed identities in percent, in both directions of every pair that has one: 1 - the mean identity of both directions, or
+    that of the one there is; and 0 for each name with itself, those in names (name) among them."""
     one = directed.select(F.col(a).alias("a"), F.col(b).alias("b"), F.least(F.greatest(F.col(ani) / 100, F.lit(0.0)), F.lit(1.0)).alias("v"))
-    back = one.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("v").alias("w"))
-    both = one.join(back, ["a", "b"], "left").withColumn("m", F.coalesce((F.col("v") + F.col("w")) / 2, F.col("v")))
-    return both.select("a", "b", F.when(F.col("a") == F.col("b"), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.col("m"))).alias("dist"))
+    other = one.where("a != b")
+    turned = F.explode(F.array(F.struct("a", "b", "v"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "v")))
+    both = other.select(turned.alias("x")).select("x.*").groupBy("a", "b").agg(F.greatest(F.lit(0.0), 1 - F.avg("v")).alias("dist"))
+    every = one.select(F.explode(F.array("a", "b")).alias("a"))
+    if names is not None:
+        every = every.union(names.select("name"))
+    return both.unionByName(every.distinct().select("a", F.col("a").alias("b"), F.lit(0.0).alias("dist")))
 
 
 def symmetric_closure(pairs: DataFrame) -> DataFrame:
