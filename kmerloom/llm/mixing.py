@@ -137,7 +137,7 @@ def mixed(
     start = F.greatest(F.col("_at"), F.col("_index") * block)
     end = F.least(F.col("_at") + F.col("size"), F.col("_index") * block + F.coalesce(F.col("_cut"), F.lit(block)))
     pieces = (
-        parts.join(slots, ["_k", "_index"])
+        parts.join(slots.hint("merge"), ["_k", "_index"])  # made of a few runs, slots look small to the optimizer
         .select("_row", "_round", "_shard", "_slot", (start - F.col("_at")).alias("_from"), (end - F.col("_at")).alias("_upto"))
         .where("_from < _upto")
     )
