@@ -15,6 +15,10 @@ from .sketch import Sketches, named
 MOMENTS = ("inter", "uni", "sum_su", "sum_su2", "sum_si", "sum_si2")
 
 
+#: Sketches that share a hash meet in parts of so many, and so do names of which all pairs are asked.
+_PART = 2048
+
+
 class MixedSketches(ValueError):
     """Sketches of different scales or seeds under strict=True."""
 
@@ -26,13 +30,16 @@ def _meta(side: str, meta: DataFrame) -> DataFrame:
 def shared_moments(hashes: DataFrame) -> DataFrame:
     """(hi, lo, inter and sums of least and largest simplicities) of pairs of names, hi > lo, that share a hash.
 
-    Names are ordered as such and not as inputs, so that hashes need no join with the names before they meet.
+    Names are ordered as such and not as inputs, so that hashes need no join with the names before they meet. A hash that very many
+    sketches have is dealt out by parts of them, each of which meets all.
     """
-    hashes = named(hashes)
-    a = hashes.select("hash", F.col("name").alias("hi"), F.col("s").alias("s_a"))
-    b = hashes.select("hash", F.col("name").alias("lo"), F.col("s").alias("s_b"))
+    hashes = named(hashes).select("hash", "name", "s")
+    common = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > _PART).select("hash", F.ceil(F.col("c") / _PART).cast("int").alias("parts"))
+    hashes = hashes.join(common, "hash", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = hashes.select("hash", F.pmod(F.xxhash64("name"), "parts").cast("int").alias("part"), F.col("name").alias("hi"), F.col("s").alias("s_a"))
+    b = hashes.select("hash", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("lo"), F.col("s").alias("s_b"))
     low, high = F.least("s_a", "s_b").cast("long"), F.greatest("s_a", "s_b").cast("long")
-    return a.join(b, "hash").where("hi > lo").groupBy("hi", "lo").agg(
+    return a.join(b, ["hash", "part"]).where("hi > lo").groupBy("hi", "lo").agg(
         F.count(F.lit(1)).alias("inter"), F.sum(low).alias("low"), F.sum(low * low).alias("low2"), F.sum(high).alias("sum_si"), F.sum(high * high).alias("sum_si2")
     )
 
@@ -70,10 +77,23 @@ def _checked(sketches: Sketches, strict: bool) -> None:
         raise MixedSketches("the sketches differ in scale or seed")
 
 
+def grid(a: DataFrame, b: DataFrame, key_a: str, key_b: str, n: int, part: int = _PART) -> DataFrame:
+    """Every row of a with every row of b, where both have the same n keys: keys are dealt to blocks, and pairs of blocks meet."""
+    blocks = max(1, -(-n // part))
+
+    def dealt(df: DataFrame, key: str, own: str) -> DataFrame:
+        rows = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return rows.select("*", F.greatest(own, "_other").alias("_i"), F.least(own, "_other").alias("_j")).drop("_other")
+
+    met = dealt(a, key_a, "_of_a").join(dealt(b, key_b, "_of_b"), ["_i", "_j"])
+    return met.where((F.greatest("_of_a", "_of_b") == F.col("_i")) & (F.least("_of_a", "_of_b") == F.col("_j"))).drop("_i", "_j", "_of_a", "_of_b")
+
+
 def all_pairs(sketches: Sketches, strict: bool = False) -> DataFrame:
-    """Moments of every pair with a.idx > b.idx, also of pairs that share nothing. Its size is the square of the number of names."""
+    """Moments of every pair with a.idx > b.idx, also of pairs that share nothing. Its size is the square of the number of names; linked_pairs grows
+    with what is shared."""
     _checked(sketches, strict)
-    pairs = _meta("a", sketches.meta).join(_meta("b", sketches.meta), F.col("idx_a") > F.col("idx_b"))
+    pairs = grid(_meta("a", sketches.meta), _meta("b", sketches.meta), "name_a", "name_b", sketches.meta.count()).where("idx_a > idx_b")
     pairs = pairs.withColumns({"hi": F.greatest("name_a", "name_b"), "lo": F.least("name_a", "name_b")})
     return with_union(pairs.join(shared_moments(sketches.hashes), ["hi", "lo"], "left"))
 

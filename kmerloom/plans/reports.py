@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.distance import grid
+
 
 def dist_report(pairs: DataFrame) -> DataFrame:
     """(i, j, report): the block of text of each compared pair (reference, query, shared, total, jaccard, distance)."""
@@ -37,10 +39,10 @@ def matrix_symm(triangle: DataFrame) -> DataFrame:
 
 def phylip_text(names: DataFrame, matrix: DataFrame) -> DataFrame:
     """(line_no, line): the square matrix for tree builders; names is (idx, name), matrix (a, b, distance), gaps are nan."""
-    grid = names.select(F.col("idx").alias("i"), F.col("name").alias("a")).crossJoin(names.select(F.col("idx").alias("j"), F.col("name").alias("b")))
+    cells = grid(names.select(F.col("idx").alias("i"), F.col("name").alias("a")), names.select(F.col("idx").alias("j"), F.col("name").alias("b")), "i", "j", names.count())
     cell = F.when(F.col("i") == F.col("j"), "0.000000").otherwise(F.coalesce(F.format_string("%.6f", "distance"), F.lit("nan")))
     cell = F.when((F.col("i") != F.col("j")) & F.col("distance").isNull(), "nan").otherwise(cell)
-    rows = grid.join(matrix, ["a", "b"], "left").groupBy("i", "a").agg(F.array_sort(F.collect_list(F.struct("j", cell.alias("c")))).alias("d"))
+    rows = cells.join(matrix, ["a", "b"], "left").groupBy("i", "a").agg(F.array_sort(F.collect_list(F.struct("j", cell.alias("c")))).alias("d"))
     lines = rows.select(F.col("i").cast("long").alias("line_no"), F.concat(F.col("a").cast("string"), F.lit(" "), F.array_join(F.transform("d", lambda x: x["c"]), " ")).alias("line"))
     first = names.agg(F.lit(-1).cast("long").alias("line_no"), F.count(F.lit(1)).cast("string").alias("line"))
     return first.unionByName(lines)

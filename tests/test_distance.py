@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from kmerloom.functions.params import SketchParams
 from kmerloom.operators import distance as D
@@ -70,6 +71,61 @@ def test_triangle_against_the_formula(spark, seqs, jc):
     assert linked == {(r["a"], r["b"]) for r in got if r["shared"]}
 
 
+@pytest.mark.parametrize("part", [1, 2, 100])
+def test_parts_of_common_hashes_and_names(spark, seqs, part, monkeypatch):
+    monkeypatch.setattr(D, "_PART", part)
+    s = made(spark, [*seqs, seqs[0]])
+    want = {(r["i"], r["j"]): (r["shared"], r["total"], r["distance"]) for r in D.triangle(made(spark, [*seqs, seqs[0]])).collect()}
+    monkeypatch.undo()
+    assert want == {(r["i"], r["j"]): (r["shared"], r["total"], r["distance"]) for r in D.triangle(s).collect()} and len(want) == 21
+    names = spark.createDataFrame([(i,) for i in range(9)], "k int")
+    met = D.grid(names.select(F.col("k").alias("a")), names.select(F.col("k").alias("b")), "a", "b", 9, part)
+    assert sorted(map(tuple, met.select("a", "b").collect())) == [(a, b) for a in range(9) for b in range(9)]
+    assert "CartesianProduct" not in met._jdf.queryExecution().toString()
+
+
+def plain_sketch(seq, k, scale):
+    """{hash: least simplicity} by the definitions, base by base, in whole numbers."""
+    from collections import Counter
+
+    code, pair, word = {"A": 1, "C": 6, "G": 3, "T": 4}, str.maketrans("ACGT", "TGCA"), (1 << 64) - 1
+    out = {}
+    for at in range(len(seq) - k + 1):
+        mer = seq[at : at + k].upper()
+        if set(mer) <= set("ACGT"):
+            number = min(int("".join(oct(code[c])[2:] for c in m), 8) for m in (mer, mer.translate(pair)[::-1]))
+            p = ((number & word) ^ 0xFF51AFD7ED558CCD) * (0xFF51AFD7ED558CCD ^ 0xC4CEB9FE1A85EC53) if number <= word else None
+            h = (p & word) ^ (p >> 64)
+            if h < word // scale:
+                s = sum(n * n for n in Counter(mer).values())
+                out[h] = min(out.get(h, s), s)
+    return out
+
+
+def test_command_line_against_the_definitions(spark, tmp_path, capsys):
+    """Files of our own, in the forms that files come in, and every number that is printed worked out by hand."""
+    rng = random.Random(11)
+    base = "".join(rng.choices("ACGT", k=4000)) + "AC" * 150
+    seqs = [base, "".join(rng.choice("ACGT") if rng.random() < 0.02 else c for c in base), "".join(rng.choice("ACGT") if rng.random() < 0.08 else c for c in base)]
+    ends = ("\r\n", "\n", "\r\n")
+    for k, (seq, end, width) in enumerate(zip(seqs, ends, (80, 60, 80))):
+        body = end.join(seq[i : i + width].lower() if i % 3 else seq[i : i + width] for i in range(0, len(seq), width))
+        (tmp_path / f"{k}.fa").write_bytes(f">s{k} x{end}{body}{end}".encode())
+    at = [str(tmp_path / f"{k}.fa") for k in range(3)]
+    tables = [plain_sketch(s, 21, 20) for s in seqs]
+    of = {(a, b): brute(tables[a], tables[b], 21, False) for a in range(3) for b in range(a)}
+    assert run(spark, ["sketch", "-k", "21", "-s", "20", *at]) == 0
+    at = [f"{x}.sketch" for x in at]
+    capsys.readouterr()
+    assert run(spark, ["dist", *at[:2]]) == 0
+    out = capsys.readouterr().out
+    d, j, n, u = of[1, 0]
+    assert n > 20 and f"{n} / {u}" in out and f"{j:.6f}" in out and f"{d:.6f}" in out
+    assert run(spark, ["triangle", *at]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0] == "3" and lines[2].endswith(f"\t{of[1, 0][0]:.6f}") and lines[3].endswith(f"\t{of[2, 0][0]:.6f}\t{of[2, 1][0]:.6f}")
+
+
 def test_three_is_three_times_dist(spark, seqs):
     s = made(spark, seqs)
     rows = D.three(s).orderBy("i", "j").collect()
