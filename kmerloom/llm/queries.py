@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_dedup
 from .lm import lm_score
 from .mixing import mix
 from .ngram_join import ngram_join
+from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import pack
 from .pii import replace_pii
 from .quality import quality_rules
@@ -59,18 +61,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed patterns' part of op2, which SQL can say."""
+    return op2_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the add-one score of op8, which SQL can say."""
+    return op8_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base rule of op9, which SQL can say."""
+    return op9_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of op10, which SQL can say."""
+    return op10_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_secret_scan, op3_ngram_jaccard_join, op4_packing, op5_pii_surrogates,
         op6_toxicity, op7_token_counts, op8_lm_scoring, op9_quality_rules, op10_mixing,
+        secret_base, lm_base, quality_base, mixing_targets,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op1_exact_dedup": r"""
-        WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[ \t-\r]+', '', 'g')) AS text_sha256 FROM documents),
-        g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY text_sha256) AS group_size
-              FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id))
-        SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g""",
-}
