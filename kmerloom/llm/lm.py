@@ -518,6 +518,10 @@ def lm_score(
 
 
 def sums_of(of_distinct: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per row, the sum of of_distinct over its words."""
-    total = np.concatenate([[0], np.cumsum(of_distinct[place])])
-    return total[first[1:]] - total[first[:-1]]
+    """Per row, the sum of of_distinct over its words; each row is added up by itself, so that long chunks cost no digits."""
+    n = np.diff(first)
+    out = np.zeros(len(n), np.result_type(of_distinct, np.int64))
+    some = np.flatnonzero(n)
+    if len(some):
+        out[some] = np.add.reduceat(of_distinct[place].astype(out.dtype), first[some])
+    return out
