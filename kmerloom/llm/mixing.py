@@ -169,9 +169,16 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     )
     rows = rounds.join(documents.select("_row", "_all", "size"), "_row")
     old = F.col("_all").getField(text_col)
+    cut = F.col("_words") != F.col("size")
+
+    def part(words: Column) -> Column:
+        spans = F.transform("_spans", lambda s: F.slice(words, (s["_from"] + 1).cast("int"), (s["_upto"] - s["_from"]).cast("int")))
+        return F.array_join(F.flatten(spans), " ")
+
     words = F.regexp_extract_all(old, F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["_from"] + 1).cast("int"), (s["_upto"] - s["_from"]).cast("int")))), " ")
-    new = {text_col: F.when(F.col("_words") == F.col("size"), old).otherwise(part)}
+    parts = F.transform(F.array(words), part)  # an array of one, so that a text is cut into words once and not for each span
+    rows = rows.select("_all", F.when(cut, F.element_at(parts, 1)).otherwise(old).alias("_new"))
+    new = {text_col: F.col("_new")}
     if length_col in docs.columns:
-        new[length_col] = F.length(new[text_col]).cast(docs.schema[length_col].dataType)
+        new[length_col] = F.length("_new").cast(docs.schema[length_col].dataType)
     return rows.select(*(new.get(c, F.col("_all").getField(c)).alias(c) for c in docs.columns))
