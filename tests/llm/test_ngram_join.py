@@ -167,6 +167,11 @@ def test_both_ways_of_skipping_are_taken(frame, monkeypatch):
                 for _ in range(rng.choice([1, 2])):
                     t[rng.randrange(120)] = f"n{rng.randrange(50)}"
                 rows.append((i := i + 1, " ".join(t)))
+    line = [f"c{k}" for k in range(460)]  # a long chain of neighbours, whose ends have nothing in common: no home has all, and some link across homes
+    rows += [(1000 + k, " ".join(line[k : k + 120])) for k in range(0, 340, 4)]
+    for f in range(8):  # three texts of which any two have a half in common: too little for a home, and they meet in lists without a link
+        half = [[f"h{f}.{part}.{k}" for k in range(60)] for part in range(3)]
+        rows += [(2000 + 3 * f + part, " ".join(half[part] + half[(part + 1) % 3])) for part in range(3)]
     got = ngram_join(frame(rows), width=2, percent=85, rounds=1)
     assert result(got) == brute(rows, 2, 85)
     assert counted["inside"] > len(rows) and counted["pairs"] > counted["near"] > 0
