@@ -5,6 +5,9 @@ exact dedup    of equal texts one stays
 n-gram join    of each component of near copies the one with the smallest id stays
 mixing         sources are brought to their target weights: documents are repeated, cut or left out
 packing        what is left becomes sequences of 2048 tokens
+
+Every stage takes an empty table to an empty one, reads null texts as empty ones, works on rows and not on ids where ids are null or
+repeat, and hands columns that it does not know through as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,23 +25,27 @@ from kmerloom.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the classifier does not call toxic; it learns from labels outside the held-out fold, and rejects no empty text for being so."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal without white space, the longest; null and empty texts are one group."""
     return deduplicated(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles and a similarity of 0.8, as near-duplicate stages take unless told otherwise."""
+    """Five-word shingles and a similarity of 0.8, as near-duplicate stages take unless told otherwise; rows without words stay."""
     return one_of_each(docs, width=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated, cut or left out so that each source has its target's words; rows without words go, a null source is one of its own."""
     return apply_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document in a sequence; a text without tokens is a piece of its end alone, and null ids stay null."""
     return pack(docs)
 
 

@@ -86,6 +86,25 @@ def test_applied_texts(frame):
     assert {i: n for i, n in want.items() if n} == dict(got)
 
 
+def test_long_text(frame):
+    """One document of megabytes has most of its source; its words are taken to the word, and texts are cut from the whole of it."""
+    long = " ".join(f"w{k}" for k in range(400_000))
+    df = frame([(1, long, "a"), (2, "x y z", "a"), (3, "p q " * 50_000, "b")])
+    sizes = [("a", 400_003), ("b", 100_000)]
+    got = {r["doc_id"]: r for r in mix(df).collect()}
+    for s, n, t in targets_of(sizes):
+        own = [r for r in got.values() if r["source_size"] == n]
+        assert abs(sum(r["taken"] for r in own) - t) <= 1 and all(r["taken"] <= 3 * r["size"] for r in own), s
+    taken, places = Counter(), {w: k for k, w in enumerate(long.split())}
+    for r in apply_mix(df).collect():
+        words = r["text"].split()
+        taken[r["doc_id"]] += len(words)
+        if r["doc_id"] == 1:
+            at = [places[w] for w in words]
+            assert at == sorted(set(at))
+    assert taken == {i: r["taken"] for i, r in got.items() if r["taken"]}
+
+
 def test_odd_rows(frame, odd_rows):
     got = mix(frame(odd_rows, clash=True)).collect()
     assert len(got) == len(odd_rows) and sum(r["taken"] for r in got) == sum(r["size"] for r in got)

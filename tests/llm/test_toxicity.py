@@ -53,6 +53,17 @@ def test_odd_rows(spark, frame, odd_rows, labels):
     assert toxicity(frame([]), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
 
 
+def test_long_texts_are_read_whole(spark, frame):
+    """What is toxic at the end of a text of megabytes counts, and length alone does not."""
+    rows = corpus(600)
+    plain = " ".join(t for _, t, y in rows if not y)
+    plain = " ".join([plain] * (3_000_000 // len(plain)))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = [r[:2] for r in rows] + [(9000, plain), (9001, plain + " you idiot scum" * (len(plain) // 60))]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity(frame(docs), labels).where("doc_id >= 9000").collect()}
+    assert got == {9000: 0, 9001: 1}
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.2
