@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -19,18 +20,35 @@ WHITESPACE = " \t\n\x0b\x0c\r"
 
 _own_roots: dict[str, str] = {}
 _lean = False
+_kept: dict[str, dict] = {}
 
 
-def lean_memory() -> None:
-    """In a worker: hand large freed blocks back to the system at once, so that its size is what it uses and not what it once used."""
+def kept(name: str) -> dict:
+    """In a worker: a cache that outlives a task, until the kernel of an operator that does not use it lets it go."""
+    return _kept.setdefault(name, {})
+
+
+def lean_memory(uses: str | None = None) -> None:
+    """In a worker: hand large freed blocks back to the system at once, so that its size is what it uses and not what it once used.
+
+    uses: the cache that the caller keeps between tasks ("" for none); those that operators before it left behind go. By default all stay.
+    """
     global _lean
+    left = [cache for name, cache in _kept.items() if cache and uses is not None and name != uses]
+    for cache in left:
+        cache.clear()
+    if left:
+        gc.collect()
     if not _lean:
-        _lean = True
         pa.set_memory_pool(pa.system_memory_pool())
-        with contextlib.suppress(OSError, AttributeError):
-            libc = ctypes.CDLL("libc.so.6")
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        if not _lean:
             libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: chunk-sized arrays go back at once, a batch's are used again
             libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+        if left:
+            libc.malloc_trim(0)
+    _lean = True
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,7 +281,7 @@ def _block_answers(tasks: DataFrame, members: DataFrame, sets: DataFrame, percen
     home = tasks.join(sets.select(F.col("cls").alias("hx"), F.col("cls"), "n", "tokens"), "hx").withColumn("side", F.lit(2)).withColumn("members", F.lit(0).cast("long")).select(columns)
 
     def compare(table: pa.Table) -> pa.Table:
-        lean_memory()
+        lean_memory("")
         table = table.combine_chunks()
         which = table.column("side").to_numpy()
         n, weight = table.column("n").to_numpy(), table.column("members").to_numpy()
@@ -374,7 +374,7 @@ def ngram_join(
     sets = scratch.save(one.join(classes.select("cls", "members"), "cls"), "sets")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean_memory()
+        lean_memory("")
         for batch in batches:
             n, alone = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             lists = batch.column(4)

@@ -26,7 +26,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
     """A row per input row: id, _part, _at (ids before it in its partition), ids (binary, 16 bits each, the end included), n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean_memory()
+        lean_memory("encoders")
         encoder, part, at = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in parts_of(batch, 1):

@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import kept
+
 RULES = ("first", "last", "most")
-_encodings: dict[str, tuple] = {}
+_encodings: dict[str, tuple] = kept("encodings")
 
 
 def default_ranks() -> tuple[str, str]:

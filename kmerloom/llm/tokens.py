@@ -10,12 +10,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
 from .words import Eights, grouped, hashed_words, same_words
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = kept("encoders")
 
 
 def default_tokenizer() -> str:

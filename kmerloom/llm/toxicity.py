@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_bucket, first_by_hash, lean_memory
+from .common import Scratch, crc_bucket, first_by_hash, kept, lean_memory
 from .words import parts_of
 
 # Plain insults of some languages, each lexicon a voter by itself.
@@ -77,7 +77,7 @@ class Example(NamedTuple):
 
 _PER_WORD = 1 + len(BEGINNINGS)
 _BUCKETS = 1 << 22
-_places: dict[bytes, list[int]] = {}
+_places: dict[bytes, list[int]] = kept("places")
 
 
 def _places_of(word: bytes) -> list[int]:
@@ -318,7 +318,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(drawn), "_id")  # at most sum(most) rows
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean_memory()
+        lean_memory("places")
         for batch in batches:
             for some in parts_of(batch, 2):
                 all_ = [example(y, t) for y, t in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)]
@@ -344,7 +344,7 @@ def toxicity(
     model = train(labelled_sample(docs, labels, id_col, text_col, label_col, folds, most_labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean_memory()
+        lean_memory("places")
         score = model.scorer()
         for batch in batches:
             scores = np.array([score(text.as_py() or "") for text in batch.column(1)], np.float64)
@@ -365,7 +365,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean_memory()
+        lean_memory("places")
         score = model.scorer()
         for batch in batches:
             yield batch.filter(pa.array([score(text.as_py() or "") < threshold for text in batch.column(place)], pa.bool_()))

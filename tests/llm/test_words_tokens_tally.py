@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from kmerloom.llm.common import kept, lean_memory
 from kmerloom.llm.tally import packed, packed_keys, ranges_of, tallied, unpacked, unpacked_keys
 from kmerloom.llm.tokens import WordEncoder, default_tokenizer
 from kmerloom.llm.words import hashed_words, parts_of
@@ -118,3 +119,14 @@ def test_tally_counts_beyond_32_bits(frame):
     rows = [(i, f"text {i}") for i in range(40)]
     got = tallied(frame(rows), "doc_id", "text", 5, lambda table: (np.array([7], np.uint64), np.array([most])), use, "c long, t long").collect()
     assert len(got) > 1 and {(r["c"], r["t"]) for r in got} == {(most * len(got),) * 2}
+
+
+def test_workers_keep_only_what_the_present_operator_uses():
+    own, other = kept("own"), kept("other")
+    own["a"], other["b"] = 1, 2
+    lean_memory()
+    assert own and other
+    lean_memory("own")
+    assert own == {"a": 1} and other == {}
+    lean_memory("")
+    assert own == {} and kept("own") is own
