@@ -87,9 +87,34 @@ _TARGETS = rf"""
     v AS (SELECT arg_min(level, place) AS level FROM q WHERE level * weight <= most)
     SELECT t.doc_id, t.size, q.source_size, round(least(q.most, q.weight * coalesce(v.level, 1e300)), 6) AS target FROM t JOIN q ON q.source IS NOT DISTINCT FROM t.source CROSS JOIN v"""
 
+#: crc32 is linear: each byte adds what it leaves after the bytes behind it, and the start value, here byte 256, what it leaves after all.
+_IMPORTANCE = rf"""
+    WITH RECURSIVE b AS (SELECT i::INTEGER AS byte, list_reduce(list_concat([i], range(8)), lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) r(i)),
+    t AS MATERIALIZED (SELECT 'd' AS kind, doc_id AS k, {_FOLDED} AS text FROM documents UNION ALL SELECT 'b', item_id, {_FOLDED} FROM benchmark),
+    w AS (SELECT kind, k, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM t),
+    p AS (SELECT kind, k, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM w),
+    q AS (SELECT *, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY kind, k ORDER BY i)),
+    f AS (SELECT kind, k, a AS f, count(*) AS n FROM q GROUP BY ALL UNION ALL SELECT kind, k, a || ' ' || b, count(*) FROM q WHERE b IS NOT NULL GROUP BY ALL
+          UNION ALL SELECT kind, k, a || ' ' || b || ' ' || c, count(*) FROM q WHERE c IS NOT NULL GROUP BY ALL),
+    u AS MATERIALIZED (SELECT f, hex(f) AS h, octet_length(encode(f)) AS size FROM (SELECT DISTINCT f FROM f)),
+    z AS (SELECT 0 AS behind, byte, v FROM b UNION ALL SELECT 0, 256, 4294967295
+          UNION ALL SELECT behind + 1, z.byte, xor(b.v, z.v >> 8) FROM z JOIN b ON b.byte = z.v & 255 WHERE behind < (SELECT max(size) FROM u)),
+    l AS (SELECT f, size - i - 1 AS behind, ('0x' || substring(h, 2 * i + 1, 2))::INTEGER AS byte FROM (SELECT *, unnest(range(size)) AS i FROM u) UNION ALL SELECT f, size, 256 FROM u),
+    c AS (SELECT f, xor(bit_xor(v), 4294967295) % 10000 AS bucket FROM l JOIN z USING (behind, byte) GROUP BY f),
+    g AS MATERIALIZED (SELECT kind, k, bucket, n FROM f JOIN c USING (f)),
+    s AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 'b'), 0)::DOUBLE AS t FROM g GROUP BY bucket),
+    m AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM s),
+    e AS (SELECT k, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM g JOIN m USING (bucket) WHERE kind = 'd' GROUP BY k),
+    r AS (SELECT w.k AS doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substring(sha256('42:' || w.k), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+          FROM w LEFT JOIN e ON e.k = w.k WHERE kind = 'd'),
+    o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM r WHERE n_words >= 20)
+    SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM r LEFT JOIN o ON o.doc_id = r.doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": _DEDUP,
     "op3_ngram_jaccard_join": _JOIN,
+    "op11_importance": _IMPORTANCE,
     "secret_base": _SECRETS,
     "lm_base": _UNIGRAMS,
     "quality_base": _QUALITY,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .importance import resample
 from .lm import lm_score
 from .mixing import mix
 from .ngram_join import ngram_join
@@ -61,6 +62,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed patterns' part of op2, which SQL can say."""
     return op2_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_exact_dedup, op2_secret_scan, op3_ngram_jaccard_join, op4_packing, op5_pii_surrogates,
         op6_toxicity, op7_token_counts, op8_lm_scoring, op9_quality_rules, op10_mixing,
+        op11_importance,
         secret_base, lm_base, quality_base, mixing_targets,
     )
 }
