@@ -86,6 +86,11 @@ class Scratch:
         (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, *names: str) -> DataFrame:
+        """Tables of the same columns that were saved, as one."""
+        first = self.spark.read.parquet(f"{self.root}/{names[0]}")
+        return self.spark.read.schema(first.schema).parquet(*(f"{self.root}/{name}" for name in names))
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._remove(f"{self.root}/{name}")

@@ -111,10 +111,28 @@ _IMPORTANCE = rf"""
     o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM r WHERE n_words >= 20)
     SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM r LEFT JOIN o ON o.doc_id = r.doc_id"""
 
+_TRIE = rf"""
+    WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p
+               FROM conversations WHERE conv_id IS NOT NULL),
+    k AS (SELECT c, c::VARCHAR AS d, count(*) AS n FROM t GROUP BY c),
+    v AS MATERIALIZED (SELECT k.c, k.n, {_CRC} % 4 AS h, least({_CRC} % 4, coalesce(o.n, 0)) AS got FROM (SELECT c, d, n FROM k) k LEFT JOIN (SELECT c AS donor, n FROM k) o ON o.donor = k.c - k.c % 20),
+    r AS MATERIALIZED (SELECT v.c, p + 1 AS depth, role, text FROM v JOIN t ON t.c = v.c - v.c % 20 AND p < h UNION ALL SELECT v.c, got + p - h + 1, role, text FROM v JOIN t ON t.c = v.c AND p >= h),
+    s AS MATERIALIZED (SELECT c, depth, md5(string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY depth)) AS path, len(regexp_extract_all(text, '{_WORD}')) AS w FROM r
+                       UNION ALL SELECT c, 0, '', 0 FROM v),
+    l AS (SELECT c, max(depth) AS stop FROM s GROUP BY c),
+    n AS MATERIALIZED (SELECT depth, path, min(c) AS conv_id, count(*) AS n_convs, max(w) AS w, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = stop) AS ends FROM s JOIN l USING (c) GROUP BY depth, path),
+    u AS MATERIALIZED (SELECT n.*, a.path AS above FROM n LEFT JOIN s a ON a.c = n.conv_id AND a.depth = n.depth - 1),
+    g AS (SELECT depth - 1 AS depth, above AS path, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY ALL),
+    f AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN g ON g.depth = u.depth AND g.path = u.path),
+    z AS (SELECT a.depth, a.path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * f.w)::BIGINT AS saved_tokens FROM f JOIN s a ON a.c = f.conv_id AND a.depth <= f.depth GROUP BY ALL)
+    SELECT f.conv_id, f.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+    FROM f JOIN z ON z.depth = f.depth AND z.path = f.path LEFT JOIN n o ON o.depth = f.depth - 1 AND o.path = f.above"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": _DEDUP,
     "op3_ngram_jaccard_join": _JOIN,
     "op11_importance": _IMPORTANCE,
+    "op13_prefix_trie": _TRIE,
     "secret_base": _SECRETS,
     "lm_base": _UNIGRAMS,
     "quality_base": _QUALITY,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe
 from .common import documents
 from .exact_dedup import exact_dedup
 from .importance import resample
@@ -20,6 +21,7 @@ from .quality import quality_rules
 from .secrets import secret_scan
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .trie import prefix_trie
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,16 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    digests = [F.sha2(x.cast("binary"), 256).alias(name) for x, name in ((ids, "ids_sha256"), (F.col("text"), "decoded_sha256"))]
+    return bpe(documents(spark, sf_dir)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed patterns' part of op2, which SQL can say."""
     return op2_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -91,7 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_exact_dedup, op2_secret_scan, op3_ngram_jaccard_join, op4_packing, op5_pii_surrogates,
         op6_toxicity, op7_token_counts, op8_lm_scoring, op9_quality_rules, op10_mixing,
-        op11_importance,
+        op11_importance, op12_bpe, op13_prefix_trie,
         secret_base, lm_base, quality_base, mixing_targets,
     )
 }
