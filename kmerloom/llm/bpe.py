@@ -1,9 +1,10 @@
 """BPE encoding and decoding by a table of the corpus's distinct words.
 
 Texts are split at white space where they are read. A run of documents (a chunk) becomes places in a list of its own distinct words, so a
-word travels once a chunk and never once an occurrence. The lists of all chunks make the table of distinct words; each is encoded once, and
-decoded by a join of its ids with the vocabulary's pieces. The table's rows are joined back to the lists, and each chunk puts
-its documents together by the places of their words.
+word travels once a chunk and never once an occurrence. The lists of all chunks, cut into ranges by a hash of the word, make the table of
+distinct words: a range encodes each of its words once and answers every chunk in the order in which it asked. So a chunk's
+answers, end to end, are the ids of its words by place, and its documents follow from their places. They stay where they were written,
+in a table bucketed by chunk, and only answers go to them. Decoding joins ids with the vocabulary's pieces.
 
 That the ids of a text are those of its words in a row holds for tokenizers that drop white space; others are refused.
 """
@@ -11,14 +12,17 @@ That the ids of a text are those of its words in a row holds for tokenizers that
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import Scratch, kept, lean_memory
 from .tally import packed, unpacked
@@ -78,107 +82,110 @@ class _Words:
         return out, first
 
 
-def in_places(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """(chunk, id, places, place, word): for each document its words' places in the list of its chunk (packed), and for each place of a list its word.
+def in_places(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, ranges: int) -> DataFrame:
+    """(chunk, id, places, range, words): for each document its words' places in the list of its chunk (packed), and for each chunk and range the words
+    of that range in order (packed); a list goes by range, then by word.
 
     A chunk is so many bytes of text of one partition, or one longer text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory("")
-        part, chunk, size, words = TaskContext.get().partitionId() << 32, 0, 0, _Words()
+        part, chunk, size, words, held = TaskContext.get().partitionId() << 32, 0, 0, _Words(), []
 
-        def rows(n: int, ids: pa.Array | None, codes: list[bytes] | None, at: np.ndarray | None, text: list[bytes] | None) -> pa.RecordBatch:
-            columns = [
-                pa.array(np.full(n, part + chunk)), pa.nulls(n, kind) if ids is None else ids, pa.nulls(n, pa.binary()) if codes is None else pa.array(codes, pa.binary()),
-                pa.nulls(n, pa.int32()) if at is None else pa.array(at, pa.int32()), pa.nulls(n, pa.string()) if text is None else pa.array(text, pa.binary()).cast(pa.string()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "id", "places", "place", "word"])
+        def rows(n: int, **found: pa.Array) -> pa.RecordBatch:
+            kinds = {"id": kind, "places": pa.binary(), "range": pa.int32(), "words": pa.binary()}
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part + chunk)), *(found.get(c, pa.nulls(n, k)) for c, k in kinds.items())], names=["chunk", *kinds])
 
         def listed() -> Iterator[pa.RecordBatch]:
             known = list(words.places)
-            for lo in range(0, len(known), 50_000):
-                some = known[lo : lo + 50_000]
-                yield rows(len(some), None, None, np.arange(lo, lo + len(some), dtype=np.int32), some)
+            of = [xxhash.xxh3_64_intdigest(w) % ranges for w in known]
+            order = sorted(range(len(known)), key=lambda k: (of[k], known[k]))
+            final = np.empty(len(known), np.uint32)
+            final[order] = np.arange(len(known), dtype=np.uint32)
+            for ids, codes, first in held:
+                moved = final[codes]
+                yield rows(len(ids), id=ids, places=pa.array([packed(moved[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary()))
+            own = np.array(of)[order] if order else np.zeros(0, np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(order)] if order else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                some = zstandard.compress(b"\n".join([known[k] for k in order[a:b]]), 3)
+                yield rows(1, range=pa.array([int(own[a])], pa.int32()), words=pa.array([some], pa.binary()))
 
         kind = pa.int64()
         for batch in batches:
             kind = batch.column(0).type
             for some in parts_of(batch, 1):
-                codes, first = words.of(some.column(1))
-                yield rows(some.num_rows, some.column(0), [packed(codes[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], None, None)
+                held.append((some.column(0), *words.of(some.column(1))))
                 size += some.column(1).nbytes
                 if size >= chunk_bytes:
                     yield from listed()
-                    chunk, size, words = chunk + 1, 0, _Words()
+                    chunk, size, words, held = chunk + 1, 0, _Words(), []
         yield from listed()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"chunk long, id {kind}, places binary, place int, word string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"chunk long, id {kind}, places binary, range int, words binary")
 
 
-def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, ids) of distinct words."""
+def encoded_words(asked: DataFrame, tokenizer: str, ranges: int) -> DataFrame:
+    """(chunk, range, ids, counts) for (chunk, range, words): the ids of the words in a row and how many each has (packed). Each distinct word is encoded once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answering(table: pa.Table) -> pa.Table:
         lean_memory("tokenizers")
         if tokenizer not in _tokenizers:
             _tokenizers[tokenizer] = whole_tokenizer(tokenizer)
-        for batch in batches:
-            for some in parts_of(batch, 0):
-                found = _tokenizers[tokenizer].encode_batch_fast(some.column(0).to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([e.ids for e in found], pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
-
-
-def word_table(scratch: Scratch, words: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, ids, text) of the distinct words in words: ids by the tokenizer, text by a join of the ids with the vocabulary's pieces."""
-    own = whole_tokenizer(tokenizer)
-    between = separator(own)
-    ids = scratch.save(encoded_words(words.select("word").distinct(), tokenizer), "ids")
-    vocabulary = own.get_vocab()  # its order changes with each call
-    pieces = scratch.spark.createDataFrame(pa.table({"id": pa.array(vocabulary.values(), pa.int32()), "piece": pa.array(vocabulary.keys(), pa.string())}))
-    each = ids.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces), "id")  # as many rows as the vocabulary
-    text = F.array_join(F.array_sort(F.collect_list(F.struct("at", "piece"))).getField("piece"), between)
-    return ids.join(each.groupBy("word").agg(text.alias("text")), "word", "left")  # a word of nothing that the tokenizer keeps has no ids
-
-
-def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, chunk_bytes: int = 16 << 20) -> DataFrame:
+        known: dict[bytes, int] = {}
+        lists = [
+            np.fromiter((known.setdefault(w, len(known)) for w in zstandard.decompress(x.as_py()).split(b"\n")), np.int64) for x in table.column("words")
+        ]
+        words, parts, count = list(known), [np.zeros(0, np.uint32)], np.zeros(len(known), np.int64)
+        for lo in range(0, len(words), 5_000):
+            found = [e.ids for e in _tokenizers[tokenizer].encode_batch_fast([w.decode() for w in words[lo : lo + 5_000]], add_special_tokens=False)]
+            count[lo : lo + len(found)] = list(map(len, found))
+            parts.append(np.fromiter((i for ids in found for i in ids), np.uint32))
+        pool, begin = np.concatenate(parts), np.cumsum(count) - count
+        ids = [packed(ragged(pool, begin[at], count[at], np.array([0, len(at)]))[0]) for at in lists]
+        columns = [table.column("chunk"), table.column("range"), pa.array(ids, pa.binary()), pa.array([packed(count[at].astype(np.uint32)) for at in lists], pa.binary())]
+        return pa.table(columns, ["chunk", "range", "ids", "counts"])
+
+    return asked.repartition(ranges, "range").groupBy("range").applyInArrow(answering, "chunk long, range int, ids binary, counts binary")
+
+
+def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, chunk_bytes: int = 32 << 20) -> DataFrame:
     """A row per input row: id, ids (array<int>), text (what they decode to, special tokens included).
 
     ids are those of the tokenizers library for the whole text without added special tokens, truncation or padding; a special token that a text
     spells out is found as the library finds it. A null text is empty and gives no ids and an empty text; null ids stay null, repeated rows stay, an empty table gives an
     empty result. Other columns are not read. A worker holds one chunk; a text must fit in memory.
     """
-    scratch = Scratch(docs.sparkSession, "bpe")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "bpe")
     path = tokenizer or default_tokenizer()
-    between = separator(whole_tokenizer(path))
-    parts = scratch.save(in_places(docs, id_col, text_col, chunk_bytes), "places")
-    lists = parts.where("word is not null").select("chunk", "place", "word")
-    table = scratch.save(word_table(scratch, lists, path), "words")
-    coded = lists.join(table, "word").select(F.col("chunk").alias("of_chunk"), "place", "ids", "text")
-    texts = parts.where("places is not null").select("chunk", "id", "places")
-    chunks = max(1, texts.select("chunk").distinct().count())
-
-    def assembled(texts: pa.Table, coded: pa.Table) -> pa.Table:
+    own = whole_tokenizer(path)
+    between = separator(own)
+    vocabulary = own.get_vocab()
+    pieces = spark.sparkContext.broadcast([piece for piece, _ in sorted(vocabulary.items(), key=lambda x: x[1])])  # as many as the vocabulary has
+    numbers = spark.sparkContext.broadcast(np.array(sorted(vocabulary.values())))
+    parts = max(1, docs.rdd.getNumPartitions())
+    ranges = max(1, parts // 2)
+    written = scratch.bucketed(in_places(docs, id_col, text_col, chunk_bytes, ranges), "chunks", min(parts, 100_000), "chunk", f"bpe_{uuid.uuid4().hex}")
+    answers = encoded_words(written.where("words is not null").select("chunk", "range", "words"), path, ranges)
+    answers = answers.withColumnRenamed("chunk", "of_chunk").repartition(min(parts, 100_000), "of_chunk")
+
+    def assembled(texts: pa.Table, answers: pa.Table) -> pa.Table:
         lean_memory("")
-        order = np.argsort(coded.column("place").to_numpy())
-        lists = coded.column("ids").combine_chunks()
-        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        pool, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
-        begin, count = bounds[:-1][order].astype(np.int64), np.diff(bounds)[order].astype(np.int64)
-        words = coded.column("text").to_pylist()
-        words = [words[k] for k in order.tolist()]
-        ids, decoded = [], []
-        for row in texts.column("places"):
-            at = unpacked(row.as_py(), np.uint32)
-            at = at[count[at] > 0]
-            ids.append(ragged(pool, begin[at], count[at], np.array([0, len(at)]))[0])
-            decoded.append(between.join(map(words.__getitem__, at.tolist())))
-        sizes = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int32)
-        whole = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)))
-        return pa.table([texts.column("id"), whole, pa.array(decoded, pa.string())], ["id", "ids", "text"])
+        order = np.argsort(answers.column("range").to_numpy()).tolist()
+        pool, count = (np.concatenate([np.zeros(0, np.uint32), *(unpacked(x[k].as_py(), np.uint32) for k in order)]) for x in (answers.column("ids"), answers.column("counts")))
+        count = count.astype(np.int64)
+        begin = np.cumsum(count) - count
+        places = [unpacked(x.as_py(), np.uint32) for x in texts.column("places")]
+        first = np.concatenate([[0], np.cumsum(list(map(len, places)))]).astype(np.int64)
+        at = np.concatenate([np.zeros(0, np.uint32), *places]).astype(np.int64)
+        ids, bounds = ragged(pool, begin[at], count[at], first)
+        ids, bounds = ids.astype(np.int32), pa.array(bounds.astype(np.int32))
+        decoded = pa.array(pieces.value, pa.string()).take(pa.array(np.searchsorted(numbers.value, ids)))
+        text = pc.binary_join(pa.ListArray.from_arrays(bounds, decoded), between)
+        return pa.table([texts.column("id"), pa.ListArray.from_arrays(bounds, pa.array(ids)), text], ["id", "ids", "text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    met = texts.repartition(chunks, "chunk").groupBy("chunk").cogroup(coded.repartition(chunks, "of_chunk").groupBy("of_chunk"))
+    met = written.where("places is not null").select("chunk", "id", "places").groupBy("chunk").cogroup(answers.groupBy("of_chunk"))
     return met.applyInArrow(assembled, f"id {kind}, ids array<int>, text string").withColumnRenamed("id", id_col)

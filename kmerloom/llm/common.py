@@ -86,6 +86,13 @@ class Scratch:
         (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, buckets: int, by: str, table: str) -> DataFrame:
+        """df, written in buckets of by and read again as a table that knows them, so that joins and groups by that column move only the other side."""
+        path = f"{self.root}/{name}"
+        atexit.register(self._forget, table)
+        df.write.bucketBy(buckets, by).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+        return self.spark.table(table)
+
     def read(self, *names: str) -> DataFrame:
         """Tables of the same columns that were saved, as one."""
         first = self.spark.read.parquet(f"{self.root}/{names[0]}")
@@ -95,6 +102,10 @@ class Scratch:
         for name in names:
             self._remove(f"{self.root}/{name}")
 
+    def _forget(self, table: str) -> None:
+        with contextlib.suppress(Exception):  # the session has ended, and its catalogue with it
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
     def _remove(self, path: str) -> None:
         try:
             jvm = self.spark._jvm
