@@ -3,9 +3,9 @@
 Source and configuration syntax is lexed into pairs of a name and an expression: ``name = "x"``, ``name: type = "x"``, ``"name": "x"``, ``d["name"] = "x"``,
 ``NAME := x``, ``name => x``, ``put("name", "x")``, ``<name>x</name>``, ``--name x``, with the names of the braces, indented keys or
 section that a pair stands in. Expressions are literals (with escapes, triple quotes, prefixes) and references, alone, joined by an operator or
-passed through a call. Constants are propagated to a fixed point: a name is as sensitive as the most sensitive name
+passed through calls, however deep. Constants are propagated to a fixed point: a name is as sensitive as the most sensitive name
 whose expression refers to it, wherever in the text either stands. A literal is scored by the names that it
-reaches, and where they say little by its own make-up. Fixed patterns for assignments, access keys and hexadecimal
+reaches, and where they say little by its own make-up; what a name stands for in the end is scored as one. Fixed patterns for assignments, access keys and hexadecimal
 runs make up the base; what the lexer adds is reported beside them under the kind ``lexed``.
 """
 
@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -56,8 +57,12 @@ _QUOTED = {q: re.compile(rf"{q}((?:[^{q}\\\n]|\\.)*+){q}") for q in "\"'`"}
 _PREFIX = re.compile(r"[rRbBuUfF]{1,2}(?=[\"'])")
 _REFERENCE = re.compile(r"\$\{?([A-Za-z_]\w*+)\}?|%\(([A-Za-z_]\w*+)\)s|\{\{[\x20\t]*+([A-Za-z_][\w.]*+)[\x20\t]*+\}\}", re.ASCII)
 _IN_BRACES = re.compile(r"\{[\x20\t]*([A-Za-z_][\w.]*)[^{}\n]*\}", re.ASCII)
-_BARE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: A bare word has at most two = within; in a longer run each name = begins a word of its own, which the one before it refers to.
+_BARE = re.compile(r"[A-Za-z0-9+/_.-]*+(?:=++[A-Za-z0-9+/_.-]++){0,2}+=*+")
+_CHAINED = re.compile(r"=*+([A-Za-z_$][\w$.-]*+)=")
 _CALL = re.compile(r"([A-Za-z_$][\w$.]*+)\(\s*+", re.ASCII)
+_COMMA = re.compile(r"\s*+,\s*+")
+_BLANK = re.compile(r"\s*+")
 _JOINER = re.compile(r"[\x20\t]*+(?:\+|\.\.|\|\||&|\x20\.(?=\x20))[\x20\t]*+(?:\r?\n[\x20\t]*+)?")
 _SPACE = re.compile(r"[\x20\t]*+(?:\\\r?\n[\x20\t]*+)?")
 _INDENT = re.compile(r"[\x20\t]*(?:-[\x20\t]+)?")
@@ -77,6 +82,46 @@ def name_score(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(part.lower(), 0.0) for part in _WORD.findall(name)))
 
 
+class Make(NamedTuple):
+    """What of a value its score rests on: its length, how often it has each character (those beyond ASCII by their last seven bits), its spaces, its first
+    characters and its last ones, and whether all of it is quoted."""
+
+    size: int
+    counts: np.ndarray
+    spaces: int
+    begin: str
+    end: str
+    quoted: bool
+
+    @classmethod
+    def of(cls, value: str, quoted: bool) -> Make:
+        codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4")
+        return cls(len(value), np.bincount(codes & 127, minlength=128).astype(float), value.count(" "), value[:64], value[-64:], quoted)
+
+    def then(self, more: Make) -> Make:
+        size = min(self.size + more.size, 1 << 40)  # a name that doubles itself again and again
+        counts = self.counts + more.counts
+        return Make(size, counts if size < 1 << 40 else counts * 0.5, min(self.spaces + more.spaces, size), (self.begin + more.begin)[:64], (self.end + more.end)[-64:], self.quoted and more.quoted)
+
+
+_NOTHING = Make(0, np.zeros(128), 0, "", "", True)
+_DIGITS, _LETTERS = (np.array([f(chr(k)) for k in range(128)]) for f in (str.isdigit, str.isalpha))
+
+
+def make_score(make: Make, sensitivity: float = 0.0) -> float:
+    """literal_score of a value by its make-up."""
+    some = make.counts > 0
+    if make.size < 8 or some.sum() < 4 or _PLACEHOLDER.match(make.begin if make.size <= 64 else make.begin + make.end):
+        return 0.0
+    if make.quoted and sensitivity >= SURE:
+        return 1.0 if make.spaces <= make.size // 4 else 0.0
+    if make.spaces:
+        return 0.0
+    share = make.counts[some] / make.counts.sum()
+    mixed = int((some & _DIGITS).any()) + int((some & _LETTERS).any()) + int((some & ~_DIGITS & ~_LETTERS).any())
+    return min(1.0, float(-(share * np.log2(share)).sum()) / 4) * (0.6 + 0.2 * mixed if mixed > 1 else 0.5)
+
+
 def literal_score(value: str, quoted: bool = False, sensitivity: float = 0.0) -> float:
     """0 to 1: a quoted literal under a name that is sure to be sensitive needs length alone, others are judged by
     their length, character entropy and mix; placeholders score 0, and so does prose, unless it is quoted for such a name."""
@@ -105,6 +150,7 @@ class Lexer:
 
     def __init__(self, text: str):
         self.text = text
+        self.inner: dict[int, int | None] = {}
         self.triples = {q: [m.start() for m in re.finditer(q * 3, text)] for q in "\"'" if q * 3 in text}
 
     def _string(self, at: int) -> tuple[int, int, int, str] | None:
@@ -122,24 +168,44 @@ class Lexer:
         m = _QUOTED[q].match(self.text, at)
         return (*m.span(1), m.end(), prefix) if m else None
 
-    def expression(self, at: int, known_tag: str | None = None) -> tuple[list[tuple[int, int, str, bool]], list[str]]:
-        """Literals and references of the expression at a place."""
-        text, literals, references, wrapped = self.text, [], [], 0
-        while wrapped < 4:
+    def _unwrapped(self, at: int) -> int | None:
+        """Where what is passed through the calls and brackets at a place begins; None if they look something up without saying what stands for it.
+
+        However many there are, a place is looked at once for all expressions that come by it."""
+        text, passed = self.text, []
+        while at not in self.inner:
+            passed.append(at)
             if text.startswith("(", at):
-                at += 1
+                at = _BLANK.match(text, at + 1).end()
             elif m := _CALL.match(text, at):
                 at = m.end()
                 if m[1].rpartition(".")[2].lower() in ("getenv", "get", "env") and (s := self._string(at)):  # a name, and then what stands for it
-                    rest = re.compile(r"\s*,\s*").match(text, s[2])
-                    if not rest:
-                        return [], []
+                    if not (rest := _COMMA.match(text, s[2])):
+                        self.inner[passed[-1]] = None
+                        at = passed.pop()
+                        break
                     at = rest.end()
             else:
-                break
-            wrapped += 1
-        gap = re.compile(r"\s*+") if wrapped else _SPACE
-        joined = False
+                self.inner[at] = at
+                passed.pop()
+        for place in passed:
+            self.inner[place] = self.inner[at]
+        return self.inner[at]
+
+    def expression(self, start: int, known_tag: str | None = None) -> tuple[list[tuple[int, int, str, bool]], list[str]]:
+        """Literals and references of the expression at a place."""
+        text, references = self.text, []
+        literals: list[tuple[int, int, list[str], bool]] = []
+
+        def done() -> tuple[list[tuple[int, int, str, bool]], list[str]]:
+            return [(a, b, "".join(parts), quoted) for a, b, parts, quoted in literals], references
+
+        at = self._unwrapped(start)
+        if at is None:
+            return [], []
+        wrapped = at > start
+        gap = _BLANK if wrapped else _SPACE
+        joined = further = False
         while True:
             if wrapped:
                 at = gap.match(text, at).end()
@@ -153,36 +219,44 @@ class Lexer:
                     left = holes.sub("", raw)
                 if left and joined and literals:  # parts in a row are one literal, from the first's start to the last's end
                     first = literals.pop()
-                    literals.append((first[0], b, first[2] + left, True))
+                    first[2].append(left)
+                    literals.append((first[0], b, first[2], True))
                 elif left:
-                    literals.append((a, b, left, True))
+                    literals.append((a, b, [left], True))
                 joined = True
                 at = after
             elif m := _REFERENCE.match(text, at):
                 references.append(next(filter(None, m.groups())))
                 at, joined = m.end(), False
-            elif m := _BARE.match(text, at):
+            elif (m := _BARE.match(text, at)) and m[0]:
                 a, b = m.span()
+                if further and "=" in m[0]:  # a pair of its own
+                    return done()
                 if known_tag and text.startswith("</", b):
-                    literals.append((a, b, m[0], True))
-                    return literals, references
+                    literals.append((a, b, [m[0]], True))
+                    return done()
+                if m[0].count("=") > 1 and (chained := _CHAINED.match(text, b)):  # no literal, but pairs in a row
+                    references.append(chained[1])
+                    return done()
                 b -= m[0].endswith(".")
-                literals.append((a, b, text[a:b], False))
+                literals.append((a, b, [text[a:b]], False))
                 references.append(text[a:b])
                 at, joined = m.end(), False
             else:
-                return literals, references
+                return done()
+            further = True
             if joiner := _JOINER.match(text, at):
                 at = joiner.end()
             elif not ((near := gap.match(text, at)) and text[near.end() : near.end() + 1] in ('"', "'") and s and self._string(near.end())):
-                return literals, references
+                return done()
             else:
                 at = near.end()
 
     def pairs(self) -> Iterator[Pair]:
         text = self.text
-        section, opened, nested, line_start = 0.0, [], [], -1
-        last_score = 0.0
+        section, opened, last_score, last = 0.0, [], 0.0, None
+        nested: list[tuple[int, float]] = []  # outer keys: their indent, and the most that they and those around them say
+        line, line_end, indent, keyed = 0, text.find("\n"), -1, -1
         for m in _HEAD.finditer(text):
             if brace := m["brace"]:
                 if brace == "{":
@@ -198,27 +272,60 @@ class Lexer:
             own = name_score(name)
             around = max(opened[-1] if opened else 0.0, section)
             if m["name"]:
-                start = text.rfind("\n", 0, m.start()) + 1 if "\n" in text[max(0, m.start() - 200) : m.start()] or m.start() < 200 else -1
-                begins = start >= 0 and (indent := _INDENT.match(text, start).end()) >= m.start() - 1 - (text[m.start() - 1 : m.start()] in "\"'")
-                if begins and start != line_start:  # a key at the start of its line stands in those before it with less indent
-                    line_start, depth = start, indent - start
+                while 0 <= line_end < m.start():
+                    line, line_end, indent = line_end + 1, text.find("\n", line_end + 1), -1
+                if indent < 0:
+                    indent = _INDENT.match(text, line).end()
+                begins = indent >= m.start() - 1 - (text[m.start() - 1 : m.start()] in "\"'")
+                if begins and line != keyed:  # a key at the start of its line stands in those before it with less indent
+                    keyed, depth = line, indent - line
                     while nested and nested[-1][0] >= depth:
                         nested.pop()
-                    around = max([around, *(x for _, x in nested[-3:])])
+                    outer = nested[-1][1] if nested else 0.0
+                    around = max(around, outer)
                     if m["op"] == ":" and text[m.end() : m.end() + 1] in ("", "\n", "\r", "{"):
-                        nested.append((depth, max(own, around if name.lower() in NEUTRAL else 0.0)))
+                        nested.append((depth, max(outer, own, around if name.lower() in NEUTRAL else 0.0)))
             last_score = own
             literals, references = self.expression(m.end(), m["tag"])
-            if literals or references:
+            if literals or (references and (name, references) != last):  # the same again says nothing new
+                last = None if literals else (name, references)
                 yield Pair(name, around if name.lower() in NEUTRAL else 0.0, literals, references)
 
 
+def _values(own: list[list[tuple[int, int, str, bool]]], refers: list[list[str]], by_name: dict[str, list[int]], roots: list[int]) -> dict[int, Make]:
+    """What the pairs roots stand for in the end: their own literals, then for each name they refer to the longest of that name's values; nothing where that comes back
+    to itself. Each name on the way is looked at once."""
+    longest: dict[str, Make] = {}
+    opened: set[str] = set()
+
+    def value(k: int) -> Make:
+        made = _NOTHING
+        for _, _, text, quoted in own[k]:
+            made = made.then(Make.of(text, quoted))
+        for r in refers[k]:
+            made = made.then(longest.get(r, _NOTHING))
+        return made
+
+    for root in roots:
+        todo = list(refers[root])
+        while todo:
+            r = todo[-1]
+            if r not in opened:
+                opened.add(r)
+                todo += {x for j in by_name[r] for x in refers[j] if x not in opened}
+                continue
+            todo.pop()
+            if r not in longest:
+                longest[r] = max((value(j) for j in by_name[r]), key=lambda x: x.size)
+    return {k: value(k) for k in roots}
+
+
 def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals that reach a sensitive name, directly or through other names, sorted.
 
     A pair is as sensitive as its name, as the names that it stands in if its own is neutral, and as the names whose
-    expressions refer to it, directly or through others. Its literals are scored as one, with those of at most 64 pairs that it refers to, the last 8 of a name;
-    they are reported if that reaches threshold, or if their own score does.
+    expressions refer to it, directly or through others. What it stands for is scored as one; if that reaches threshold, so do all literals that
+    it is made of, here and under the names that it refers to. Else each literal is scored by itself.
     """
     low = text.lower()
     if not any(w in low for w in SENSITIVE) or not any(c in text for c in "=:(<-"):
@@ -242,22 +349,28 @@ def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int, int]]
                         if score[j] < score[k]:
                             score[j] = score[k]
                             todo.append(j)
+    own = [[x for x in p.literals if x[3] or x[2] not in by_name] for p in pairs]  # a bare word that names a pair is a reference
+    fired = [False] * len(pairs)
+    if roots := [k for k in range(len(pairs)) if score[k] and refers[k]]:
+        values = _values(own, refers, by_name, roots)
+        told: set[str] = set()
+        for k in roots:
+            if not fired[k] and score[k] * make_score(values[k], score[k]) >= threshold:
+                fired[k], todo = True, [k]
+                while todo:
+                    for r in refers[todo.pop()]:
+                        if r not in told:
+                            told.add(r)
+                            for j in by_name[r]:
+                                if not fired[j]:
+                                    fired[j] = True
+                                    todo.append(j)
     found: set[tuple[int, int, int]] = set()
-    for k, p in enumerate(pairs):
-        if not score[k]:
-            continue
-        own = [x for x in p.literals if x[3] or x[2] not in by_name]  # a bare word that names a pair is a reference
-        parts, reached = list(own), [k]
-        if refers[k]:
-            for i in reached:
-                for j in (j for r in refers[i] for j in by_name[r][-8:]):
-                    if len(reached) < 64 and j not in reached:
-                        reached.append(j)
-                        parts += [x for x in pairs[j].literals if x[3] or x[2] not in by_name]
-        if not parts:
+    for k in range(len(pairs)):
+        if not score[k] or not own[k]:
             continue
-        whole = score[k] * literal_score("".join(x[2] for x in parts), all(x[3] for x in parts), score[k]) >= threshold
-        for a, b, value, quoted in parts if whole else own:
+        whole = fired[k] or (len(own[k]) > 1 and score[k] * literal_score("".join(x[2] for x in own[k]), all(x[3] for x in own[k]), score[k]) >= threshold)
+        for a, b, value, quoted in own[k]:
             if b > a and (whole or score[k] * literal_score(value, quoted, score[k]) >= threshold):
                 found.add((a, 3, b))
     return sorted(found)

@@ -97,6 +97,55 @@ def test_many_pairs_take_linear_time():
     assert time.monotonic() - began < 30
 
 
+def test_nothing_is_too_deep_or_too_far():
+    for n in (1, 3, 4, 5, 50, 3000):
+        assert added("client_pwd = " + "f(" * n + f'"{S}"' + ")" * n) == [S], n
+    assert added('pwd_x = getenv("A", ' * 60 + f'"{S}"' + ")" * 60) == [S]
+    deep = "".join("  " * k + f"k{k}:\n" for k in range(40))
+    assert added("credentials:\n" + "".join("  " * (k + 1) + "value:\n" for k in range(9)) + "  " * 10 + f"value: {S}") == [S]
+    assert added(deep + "  " * 41 + f"value: {S}") == []
+    assert added(" " * 5000 + "credentials:\n" + " " * 5001 + f"value: {S}\n") == [S]
+    many = "\n".join(f'p{k} = "{S[k % 13]}"' for k in range(200))
+    assert len(added(many + "\npwd = " + " + ".join(f"p{k}" for k in range(200)))) == 200  # parts of one letter each
+    several = "\n".join(f'k = "{S}{k:03}"' for k in range(90))
+    assert len(added(f"{several}\ndb_pwd = k")) == 90
+    assert added(f"pwd=token={S}=") and added(f"client_pwd=a=b=c=d={S}") == [S]
+
+
+def test_what_refers_to_itself_ends():
+    assert added(f'a = b + a\nb = a + b\npwd = a + b\nb = "{S}"') == [S]
+    double = "\n".join(f"v{k + 1} = v{k} + v{k}" for k in range(200)) + f'\nv0 = "{S[:5]}"\npwd = v200'
+    assert added(double) == [S[:5]]
+
+
+def test_adversarial_texts_take_linear_time_and_little_memory():
+    import time
+    import tracemalloc
+
+    def fan(n):
+        return "\n".join(f'token_{k} = "{S}{k}" + r{k}' for k in range(n)) + '\nall_pwd = f"' + "".join(f"{{token_{k}}}" for k in range(n)) + '"\n' + "\n".join(f"r{k} = all_pwd" for k in range(n))
+
+    made = {
+        5000: (lambda n: "password=" * n, lambda n: "pwd = a & " + "k=a & " * n, lambda n: 'x_pwd = getenv("a", ' * n, lambda n: "k=(" * n + "pwd", lambda n: " " * n + "pwd: a: a: " * n, lambda n: "pwd k: " + "'k=' " * n, fan),
+        50_000: (lambda n: "pwd = " + "f(" * n + '"x"', lambda n: "pwd = " + '"ab" + ' * n + '"c"'),
+    }
+    for least, texts in made.items():
+        for text in texts:
+            sized = []
+            for n in (least, 4 * least):
+                began = time.process_time()
+                lexed_spans(text(n))
+                sized.append(time.process_time() - began)
+            assert sized[1] < 1 + 8 * sized[0], (text(2), sized)
+    began = time.process_time()
+    assert len(lexed_spans(fan(15_000))) == 15_000 and time.process_time() - began < 60
+    tracemalloc.start()
+    got = added("key=" * 100_000 + S)
+    assert len(got) <= 3 and S in got[-1]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_long_words_take_linear_time():
     import time
 
