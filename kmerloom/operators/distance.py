@@ -6,7 +6,7 @@ join is needed, sums are exact integers, and results do not depend on the order
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formula
@@ -38,8 +38,13 @@ def shared_moments(hashes: DataFrame) -> DataFrame:
     hashes = hashes.join(common, "hash", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     a = hashes.select("hash", F.pmod(F.xxhash64("name"), "parts").cast("int").alias("part"), F.col("name").alias("hi"), F.col("s").alias("s_a"))
     b = hashes.select("hash", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("lo"), F.col("s").alias("s_b"))
+    return _summed(a.join(b, ["hash", "part"]).where("hi > lo"))
+
+
+def _summed(met: DataFrame, by: tuple[str, str] = ("hi", "lo")) -> DataFrame:
+    """The sums over the hashes that two names share, of rows with both simplicities."""
     low, high = F.least("s_a", "s_b").cast("long"), F.greatest("s_a", "s_b").cast("long")
-    return a.join(b, ["hash", "part"]).where("hi > lo").groupBy("hi", "lo").agg(
+    return met.groupBy(*by).agg(
         F.count(F.lit(1)).alias("inter"), F.sum(low).alias("low"), F.sum(low * low).alias("low2"), F.sum(high).alias("sum_si"), F.sum(high * high).alias("sum_si2")
     )
 
@@ -101,15 +106,67 @@ def all_pairs(sketches: Sketches, strict: bool = False) -> DataFrame:
 def linked_pairs(sketches: Sketches, strict: bool = False) -> DataFrame:
     """Moments of the pairs with a.idx > b.idx that share a hash; grows with what is shared, not with the square of the names."""
     _checked(sketches, strict)
-    names = [f.name for f in sketches.meta.schema if f.name in ("idx", "name", "k", "n", "sum_s", "sum_s2")]
-    meta = sketches.meta.select("name", F.struct(*names).alias("m"))
-    found = shared_moments(sketches.hashes)
+    return _sided(shared_moments(sketches.hashes), sketches.meta)
+
+
+def _sided(found: DataFrame, meta: DataFrame) -> DataFrame:
+    """Moments of shared_moments' rows, the later input being a."""
+    names = [f.name for f in meta.schema if f.name in ("idx", "name", "k", "n", "sum_s", "sum_s2")]
+    meta = meta.select("name", F.struct(*names).alias("m"))
     found = found.join(meta.select(F.col("name").alias("hi"), F.col("m").alias("x")), "hi").join(meta.select(F.col("name").alias("lo"), F.col("m").alias("y")), "lo")
     first = F.col("x.idx") > F.col("y.idx")
     sides = found.select("*", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
     return with_union(sides.select("inter", "low", "low2", "sum_si", "sum_si2", *(F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in names)))
 
 
+def least_jaccard(limit: float, k: Column) -> Column:
+    """What the Jaccard index must exceed for a distance below limit. Homoplasy and Jukes-Cantor only raise the naive distance 1 - (2j / (1 + j))^(1 / k)."""
+    q = F.pow(F.lit(1.0 - limit), k.cast("double"))
+    return q / (2 - q)
+
+
+def near_candidates(sketches: Sketches, limit: float) -> DataFrame:
+    """(hi, lo) of names, hi > lo: all pairs whose distance may be below limit, and as few others as sizes and rare hashes can tell.
+
+    A pair of such a distance shares more than a share j of the larger sketch, j being least_jaccard. So of a sketch with n hashes any n - floor(j n) have one that the
+    other has, and has among as many of its own, if all leave out those that most sketches have. The hashes that make the most pairs are so the ones that
+    make no candidate. A rounding error is left to the safe side.
+    """
+    hashes = named(sketches.hashes).select("hash", "name")
+    spread = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = sketches.meta.select("name", "n", (least_jaccard(limit, F.col("k")) * (1 - 1e-9)).alias("_j"))
+    common = Window.partitionBy("name").orderBy(F.desc("_c"), "hash")
+    ranked = hashes.join(spread, "hash").join(sizes, "name").withColumn("_place", F.row_number().over(common)).where(F.col("_place") > F.floor(F.col("_j") * F.col("n")))
+    ranked = ranked.select("hash", "name", "n", "_j", F.ceil(F.col("_c") / _PART).cast("int").alias("parts"))
+    a = ranked.select("hash", F.pmod(F.xxhash64("name"), "parts").cast("int").alias("part"), F.col("name").alias("hi"), F.col("n").alias("n_a"), F.col("_j").alias("j_a"))
+    b = ranked.select("hash", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("lo"), F.col("n").alias("n_b"), F.col("_j").alias("j_b"))
+    sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.least("j_a", "j_b")
+    return a.join(b, ["hash", "part"]).where((F.col("hi") > F.col("lo")) & sized).select("hi", "lo").distinct()
+
+
+def near_pairs(sketches: Sketches, limit: float, jukes_cantor: bool = False, strict: bool = False) -> DataFrame:
+    """The measured pairs, as linked_pairs gives them, whose distance is below limit (up to 1). Only candidates' hashes meet, so a small limit costs
+    little even where nearly all sketches share something."""
+    if not 0 < limit <= 1:
+        raise ValueError(f"a limit must be above 0 and at most 1, not {limit}")
+    _checked(sketches, strict)
+    hashes = named(sketches.hashes).select("name", "hash", "s")
+    first = near_candidates(sketches, limit).join(hashes.select(F.col("name").alias("hi"), "hash", F.col("s").alias("s_a")), "hi")
+    met = first.join(hashes.select(F.col("name").alias("lo"), "hash", F.col("s").alias("s_b")), ["lo", "hash"])
+    return measured(_sided(_summed(met), sketches.meta), jukes_cantor).where(F.col("distance") < limit)
+
+
+def pairs_between(left: Sketches, right: Sketches) -> DataFrame:
+    """Moments of the pairs (a of left, b of right) that share a hash, whatever their places among inputs.
+
+    Hashes meet by hash alone: where both sides are stores of as many buckets, nothing is moved before they have met.
+    """
+    a = named(left.hashes).select("hash", F.col("name").alias("name_a"), F.col("s").alias("s_a"))
+    b = named(right.hashes).select("hash", F.col("name").alias("name_b"), F.col("s").alias("s_b"))
+    found = _summed(a.join(b, "hash"), ("name_a", "name_b"))
+    return with_union(found.join(_meta("a", left.meta), "name_a").join(_meta("b", right.meta), "name_b"))
+
+
 def triangle(sketches: Sketches, jukes_cantor: bool = False, strict: bool = False) -> DataFrame:
     """(i, j, a, b, distance, jaccard, shared, total) for all j before i in the order of input."""
     return measured(all_pairs(sketches, strict), jukes_cantor).select(

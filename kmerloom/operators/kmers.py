@@ -1,4 +1,4 @@
-"""K-mers of sequences: a vectorised Arrow kernel for any k, and the same as plain columns for k up to 21."""
+"""K-mers of sequences: a vectorised Arrow kernel, and the same as plain columns."""
 
 from __future__ import annotations
 
@@ -129,17 +129,21 @@ def kmers(seqs: DataFrame, params: SketchParams, name_col: str = "name", seq_col
     return chunked(seqs, name_col, seq_col, k).mapInArrow(run, schema)
 
 
-def windows(seqs: DataFrame, k: int, name_col: str = "name", seq_col: str = "seq") -> DataFrame:
-    """(name, kmer) of every window of valid bases, in upper case, as plain columns: runs of bases first, then windows in each."""
-    runs = seqs.select(F.col(name_col).alias("name"), F.explode(F.regexp_extract_all(F.upper(F.translate(seq_col, "ıſ", "")), F.lit("[ACGT]+"), F.lit(0))).alias("run"))
-    runs = runs.where(F.length("run") >= k)
+def windows(seqs: DataFrame, k: int, name_col: str = "name", seq_col: str = "seq", chunk: int = 1 << 14) -> DataFrame:
+    """(name, kmer) of every window of valid bases, in upper case, as plain columns: pieces of so many windows first, then runs of bases in each, then their windows."""
+    text = F.upper(F.translate(seq_col, "ıſ", ""))
+    data = seqs.select(F.col(name_col).alias("name"), text.alias("_text")).where(F.length("_text") >= k)
+    cut = data.select("name", "_text", F.explode(F.sequence(F.lit(1), F.length("_text") - k + 1, F.lit(chunk))).alias("_at"))
+    runs = cut.select("name", F.explode(F.regexp_extract_all(F.substring("_text", F.col("_at"), F.lit(chunk + k - 1)), F.lit("[ACGT]+"), F.lit(0))).alias("run")).where(F.length("run") >= k)
     return runs.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - k + 1), lambda i: F.substring(F.col("run"), i, F.lit(k)))).alias("kmer"))
 
 
 def kmers_by_columns(seqs: DataFrame, params: SketchParams, name_col: str = "name", seq_col: str = "seq") -> DataFrame:
-    """The same as kmers() without Python, for k up to 21."""
-    C.check_k(params.k)
-    hashed = windows(seqs, params.k, name_col, seq_col).select("name", C.mix_hash(C.canonical(F.col("kmer")), params.multiplier).alias("hash"), C.simplicity(F.col("kmer")).alias("s"))
+    """The same as kmers() without Python, for any k."""
+    found = windows(seqs, params.k, name_col, seq_col).select("name", C.canonical_digits(F.col("kmer")).alias("_digits"), C.simplicity(F.col("kmer")).alias("s"))
+    high, low = C.code_limbs(F.col("_digits"), params.k)
+    hashed = found.select("name", high.alias("_high"), low.alias("_low"), "s")
+    hashed = hashed.select("name", C.mix_hash(F.col("_low"), params.multiplier, F.col("_high") if params.k > ONE_LIMB_K else None).alias("hash"), "s")
     if params.signed:
         low = params.threshold - (1 << 64) if params.threshold >> 63 else params.threshold
         kept = hashed.where(F.col("hash").bitwiseXOR(F.lit(-(1 << 63))) < F.lit(low).bitwiseXOR(F.lit(-(1 << 63))))

@@ -13,7 +13,8 @@ from ..functions.params import SketchParams
 from ..operators import distance
 from ..operators.sketch import pooled_sketch, sketch
 from ..sources.sequences import read_sequences
-from ..sources.store import ENDING, BadSketch, encoded, read_sketches, resolve_inputs, shown
+from ..sources.sketchfiles import write_sketch_files
+from ..sources.store import BadSketch, read_sketches, resolve_inputs, shown
 from . import reports
 
 _LEAST = {"sketch": 1, "dist": 2, "three": 3, "triangle": 1, "info": 1}
@@ -50,17 +51,6 @@ def usage() -> str:
     return "usage: kmerloom {sketch,dist,three,triangle,info,help} [options] inputs\n" + "".join(p.format_usage() for p in parsers().values())
 
 
-def _write(spark: SparkSession, found: Sequence, folder: str | None) -> None:
-    """Sketch files by the file system of their paths."""
-    jvm = spark._jvm
-    for name, content in found:
-        path = f"{folder.rstrip('/')}/{name.rsplit('/', 1)[-1]}{ENDING}" if folder else f"{name}{ENDING}"
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
-        out.write(bytearray(content))
-        out.close()
-
-
 def run(spark: SparkSession, argv: Sequence[str]) -> int:
     """The exit code; reports go to standard output."""
     if not argv or argv[0] not in (*_LEAST, "help"):
@@ -90,7 +80,7 @@ def run(spark: SparkSession, argv: Sequence[str]) -> int:
                 names = spark.createDataFrame(list(enumerate(args.inputs)), "idx int, name string")
                 stem = F.regexp_replace("path", "^file:/*", "/")
                 made = sketch(records.withColumn("path", stem), params, "path", "seq", names.withColumn("name", F.regexp_replace("name", "^file:/*", "/")))
-            _write(spark, ((r["name"], r["content"]) for r in encoded(made).toLocalIterator()), args.o)
+            write_sketch_files(spark, made, args.o)
             return 0
         if args.command == "info":
             for r in read_sketches(spark, *args.inputs).select("name", "k", F.size("hashes").alias("size")).toLocalIterator():

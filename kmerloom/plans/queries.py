@@ -18,7 +18,11 @@ from ..operators import distance as D
 from ..operators import kmers as K
 from ..operators.mutants import mutate
 from ..operators.sketch import Sketches, distinct_hashes, nested, pooled_sketch, sketch
-from ..sources.sequences import fasta_text, parse_texts
+from ..operators.trees import robinson_foulds
+from ..sources import datasource
+from ..sources.sequences import fasta_text
+from ..sources.shared import shared_folder
+from ..sources.store import read_store, write_store
 from . import evaluation as E
 from . import reports as R
 
@@ -104,12 +108,18 @@ def _sql_simplicity(k: int) -> str:
 
 def _sql_hashed(table: str, key: str, p: SketchParams) -> str:
     """CTEs up to f(name, hash, s), a row per kept window."""
-    word = "CAST(18446744073709551616 AS UHUGEINT)"
+    word, rest = "CAST(18446744073709551616 AS UHUGEINT)", p.k - 21
+    if p.k <= 21:
+        code, high = f"CAST({_sql_code('digits', p.k)} AS UHUGEINT)", "CAST(0 AS UHUGEINT)"
+    else:  # the last 21 digits are the low 63 bits
+        above, below = _sql_code(f"substring(digits, 1, {rest})", rest), _sql_code(f"substring(digits, {rest + 1}, 21)", 21)
+        whole = f"(CAST({above} AS UHUGEINT) * CAST({1 << 63} AS UHUGEINT) + CAST({below} AS UHUGEINT))"
+        code, high = f"({whole} % {word})", f"({whole} // {word})"
     return f"""{_sql_windows(table, key, p.k)},
         c AS (SELECT name, kmer, least({_FORWARD}, {_REVERSE}) AS digits FROM w),
-        n AS (SELECT name, xor(CAST({_sql_code('digits', p.k)} AS UBIGINT), CAST({MIX_1} AS UBIGINT)) AS h, {_sql_simplicity(p.k)} AS s FROM c),
-        m AS (SELECT name, s, CAST(h AS UHUGEINT) * CAST({MIX_1 ^ MIX_2} AS UHUGEINT) AS p FROM n),
-        x AS (SELECT name, s, xor(p % {word}, p // {word}) AS h FROM m),
+        n AS (SELECT name, xor({code}, CAST({MIX_1} AS UHUGEINT)) AS h, {high} AS top, {_sql_simplicity(p.k)} AS s FROM c),
+        m AS (SELECT name, s, h * CAST({MIX_1 ^ MIX_2} AS UHUGEINT) AS p, top * CAST({MIX_1 ^ MIX_2} AS UHUGEINT) % {word} AS t FROM n),
+        x AS (SELECT name, s, xor(p % {word}, (p // {word} + t) % {word}) AS h FROM m),
         f AS (SELECT name, CAST(h AS BIGINT) AS hash, s FROM x WHERE h < CAST({p.threshold} AS UHUGEINT))"""
 
 
@@ -124,7 +134,6 @@ def _sql_sketch(table: str, key: str, p: SketchParams) -> str:
 def _sql_pairs(table: str, key: str, p: SketchParams, everything: bool) -> str:
     """CTEs up to d, the measured pairs."""
     kind = "LEFT JOIN" if everything else "JOIN"
-    k2 = f"{p.k * p.k}.0"
     return f"""{_sql_sketch(table, key, p)},
         i AS (SELECT ta.name AS na, tb.name AS nb, count(*) AS inter, sum(least(x.s, y.s)) AS lo, sum(least(x.s, y.s) * least(x.s, y.s)) AS lo2,
                      sum(greatest(x.s, y.s)) AS si, sum(greatest(x.s, y.s) * greatest(x.s, y.s)) AS si2
@@ -132,13 +141,19 @@ def _sql_pairs(table: str, key: str, p: SketchParams, everything: bool) -> str:
         g AS (SELECT ta.idx AS ia, tb.idx AS ib, ta.name AS name_a, tb.name AS name_b, coalesce(inter, 0) AS inter, ta.n + tb.n - coalesce(inter, 0) AS uni,
                      ta.a + tb.a - coalesce(lo, 0) AS su, ta.b + tb.b - coalesce(lo2, 0) AS su2, coalesce(si, 0) AS si, coalesce(si2, 0) AS si2
               FROM t ta JOIN t tb ON ta.idx > tb.idx {kind} i ON i.na = ta.name AND i.nb = tb.name),
-        h AS (SELECT *, CAST(inter AS DOUBLE) / uni AS j, su / {k2} / uni AS mu, si / {k2} / inter AS mi FROM g WHERE inter > 0 AND uni > 0),
+        {_sql_measured(p.k)}"""
+
+
+def _sql_measured(k: int) -> str:
+    """CTEs from g, the moments of pairs (ia, ib), to d, the measured pairs."""
+    k2 = f"{k * k}.0"
+    return f"""h AS (SELECT *, CAST(inter AS DOUBLE) / uni AS j, su / {k2} / uni AS mu, si / {k2} / inter AS mi FROM g WHERE inter > 0 AND uni > 0),
         v AS (SELECT *, greatest(su2 / ({k2} * {k2}) / uni - mu * mu, 0.0) AS vu, greatest(si2 / ({k2} * {k2}) / inter - mi * mi, 0.0) AS vi FROM h),
         b AS (SELECT *, vi - vu + (mi - mu) * (mi - mu) AS bb, (mi - mu) * (mi - mu) AS dm FROM v),
         o AS (SELECT *, CASE WHEN CAST(si AS HUGEINT) * uni > CAST(su AS HUGEINT) * inter AND vu > 1e-12 THEN
                      least(greatest(CASE WHEN bb > 0 THEN 2 * dm / (bb + sqrt(bb * bb + 4 * vu * dm)) ELSE (sqrt(bb * bb + 4 * vu * dm) - bb) / (2 * vu) END, 0.0), 0.999999) ELSE 0.0 END AS ho,
-                     1 - pow(2 * j / (1 + j), 1.0 / {p.k}) AS naive FROM b),
-        e AS (SELECT *, naive - ln(1 - ho) / {p.k} AS raw FROM o),
+                     1 - pow(2 * j / (1 + j), 1.0 / {k}) AS naive FROM b),
+        e AS (SELECT *, naive - ln(1 - ho) / {k} AS raw FROM o),
         d AS (SELECT g.*, coalesce(e.j, 0.0) AS jaccard, coalesce(e.naive, 1.0) AS naive, coalesce(e.ho, 0.0) AS homoplasy, CASE WHEN raw IS NULL THEN 1.0 ELSE least(greatest(raw, 0.0), 1.0) END AS distance,
                      CASE WHEN raw IS NULL OR raw >= 0.75 THEN 1.0 ELSE least(greatest(-0.75 * ln(1 - 4 * raw / 3), 0.0), 1.0) END AS jc
               FROM g LEFT JOIN e ON e.ia = g.ia AND e.ib = g.ib)"""
@@ -157,17 +172,36 @@ def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_PLAIN = f"SELECT CAST(doc_id AS VARCHAR) AS name, lang, regexp_replace(translate(text, '{SOURCE}', '{BASES}'), '[^ACGT\\n]', 'N', 'g') AS seq FROM documents"
 
 
+def _files(rows: DataFrame, text: Column, what: str) -> str:
+    """A shared folder with the text of all rows in files."""
+    folder = shared_folder(rows.sparkSession, what)
+    rows.select(text.alias("value")).write.text(folder)
+    datasource.register(rows.sparkSession)
+    return folder
+
+
 @query(f"SELECT name, lang AS comment, CAST(length(replace(seq, chr(10), '')) AS BIGINT) AS n, md5(replace(seq, chr(10), '')) AS digest FROM ({_SQL_PLAIN})")
 def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _plain(spark, sf_dir).select(F.col("name").alias("path"), F.concat(F.lit("; junk\r\n>"), "name", F.lit(" "), "lang", F.lit("\r\n"), "seq", F.lit("\n\n")).alias("content"))
-    return parse_texts(files).select("name", "comment", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("digest"))
+    folder = _files(_plain(spark, sf_dir), F.concat(F.lit(">"), "name", F.lit(" "), "lang", F.lit("\r\n"), "seq", F.lit("\n")), "fasta")
+    records = spark.read.format("fasta").schema("name string, comment string, seq string, length long").load(folder)
+    return records.select("name", "comment", F.col("length").alias("n"), F.md5("seq").alias("digest"))
 
 
 @query(f"SELECT name, CAST(length(seq) AS BIGINT) AS n, CAST(length(seq) AS BIGINT) AS n_qual, md5(replace(seq, chr(10), 'N')) AS digest FROM ({_SQL_PLAIN})")
 def scan_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = _plain(spark, sf_dir).withColumn("seq", F.replace("seq", F.lit("\n"), F.lit("N"))).withColumn("qual", F.rpad(F.lit("@"), F.length("seq"), F.lit("+@I>")))
-    files = one.select(F.col("name").alias("path"), F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("content"))
-    return parse_texts(files).select("name", F.length("seq").cast("long").alias("n"), F.length("qual").cast("long").alias("n_qual"), F.md5("seq").alias("digest"))
+    folder = _files(one, F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual"), "fastq")
+    records = spark.read.format("fastq").schema("name string, seq string, qual string, length long").load(folder)
+    return records.select("name", F.col("length").alias("n"), F.length("qual").cast("long").alias("n_qual"), F.md5("seq").alias("digest"))
+
+
+@query(f"SELECT name, CAST(length(seq) AS BIGINT) AS n FROM ({_SQL_PLAIN}) WHERE length(seq) >= 5000")
+def scan_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in ranges, of which only names and lengths are made, and only of long records."""
+    one = _plain(spark, sf_dir).withColumn("seq", F.replace("seq", F.lit("\n"), F.lit("N")))
+    folder = _files(one, F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), F.rpad(F.lit("@"), F.length("seq"), F.lit("+@I>"))), "fastq")
+    records = spark.read.format("fastq").option("split", 1 << 20).schema("name string, length long").load(folder)
+    return records.where("length >= 5000").select("name", F.col("length").alias("n"))
 
 
 @query(f"SELECT name, CAST(length(seq) AS BIGINT) AS n FROM ({_sql_seq(*_DOC)}) WHERE length(seq) >= 21")
@@ -225,33 +259,53 @@ def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return letters.groupBy("base", C.encode_base(F.col("base")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _item_windows(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return K.windows(_items(spark, sf_dir), k)
+def _windows(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return K.windows(_documents(spark, sf_dir), k)
 
 
-@query(f"WITH {_sql_windows(*_ITEM, 11)} SELECT name, kmer, {_sql_code(_FORWARD, 11)} AS code FROM w")
+@query(f"WITH {_sql_windows(*_DOC, 7)} SELECT kmer, {_sql_code(_FORWARD, 7)} AS code, count(*) AS n FROM w GROUP BY kmer")
 def kmer_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _item_windows(spark, sf_dir, 11).select("name", "kmer", C.kmer_code(F.col("kmer")).alias("code"))
+    return _windows(spark, sf_dir, 7).groupBy("kmer", C.kmer_code(F.col("kmer")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_sql_windows(*_ITEM, 11)} SELECT name, kmer, reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc FROM w")
+@query(f"WITH {_sql_windows(*_DOC, 7)} SELECT kmer, reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc, count(*) AS n FROM w GROUP BY kmer")
 def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _item_windows(spark, sf_dir, 11).select("name", "kmer", C.revcomp(F.col("kmer")).alias("rc"))
+    return _windows(spark, sf_dir, 7).groupBy("kmer", C.revcomp(F.col("kmer")).alias("rc")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_sql_windows(*_ITEM, 21)}, c AS (SELECT name, kmer, least({_FORWARD}, {_REVERSE}) AS g FROM w) SELECT name, kmer, {_sql_code('g', 21)} AS code FROM c")
+@query(f"""WITH {_sql_windows(*_DOC, 21)}, c AS (SELECT name, least({_FORWARD}, {_REVERSE}) AS g FROM w), d AS (SELECT name, {_sql_code('g', 21)} AS code FROM c)
+    SELECT name, count(*) AS n, min(code) AS low, max(code) AS high, CAST(sum(code % 1000003) AS BIGINT) AS total FROM d GROUP BY name""")
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _item_windows(spark, sf_dir, 21).select("name", "kmer", C.canonical(F.col("kmer")).alias("code"))
+    codes = _windows(spark, sf_dir, 21).select("name", C.canonical(F.col("kmer")).alias("code"))
+    return codes.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("low"), F.max("code").alias("high"), F.sum(F.col("code") % 1000003).alias("total"))
 
 
-@query(f"WITH {_sql_windows(*_ITEM, 21)} SELECT name, kmer, {_sql_simplicity(21)} AS s FROM w")
+@query(f"WITH {_sql_windows(*_DOC, 21)}, c AS (SELECT name, {_sql_simplicity(21)} AS s FROM w) SELECT name, s, count(*) AS n FROM c GROUP BY name, s")
 def simplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _item_windows(spark, sf_dir, 21).select("name", "kmer", C.simplicity(F.col("kmer")).alias("s"))
+    return _windows(spark, sf_dir, 21).groupBy("name", C.simplicity(F.col("kmer")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_sql_hashed(*_ITEM, SketchParams(21, 2))} SELECT name, hash, s FROM f")
+@query(f"WITH {_sql_hashed(*_DOC, LONG)} SELECT name, hash, s FROM f")
 def mix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.kmers_by_columns(_items(spark, sf_dir), SketchParams(21, 2))
+    return K.kmers_by_columns(_documents(spark, sf_dir), LONG)
+
+
+def _of_long_kmers(k: int) -> None:
+    """Queries of k-mers whose codes need two limbs: windows hashed by columns alone, and sketches by the kernel."""
+    p = SketchParams(k, 50)
+
+    def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return K.kmers_by_columns(_documents(spark, sf_dir), p)
+
+    def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sketch(_documents(spark, sf_dir), p).hashes
+
+    QUERIES[f"mix_hash_k{k}"], ORACLE_SQL[f"mix_hash_k{k}"] = hashes, f"WITH {_sql_hashed(*_DOC, p)} SELECT name, hash, s FROM f"
+    QUERIES[f"sketch_k{k}"], ORACLE_SQL[f"sketch_k{k}"] = sketches, f"WITH {_sql_hashed(*_DOC, p)} SELECT name, hash, min(s) AS s FROM f GROUP BY name, hash"
+
+
+_of_long_kmers(31)
+_of_long_kmers(42)
 
 
 @query(f"WITH {_sql_windows(*_DOC, 21)} SELECT name, count(*) AS n, count(DISTINCT least({_FORWARD}, {_REVERSE})) AS n_distinct FROM w GROUP BY name")
@@ -279,9 +333,9 @@ def sketch_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch(_documents(spark, sf_dir), LONG).hashes
 
 
-@query(f"WITH {_sql_hashed(*_ITEM, SHORT)} SELECT name, hash, min(s) AS s FROM f GROUP BY name, hash")
+@query(f"WITH {_sql_hashed(*_DOC, LONG)} SELECT name, hash, min(s) AS s FROM f GROUP BY name, hash")
 def dedup_min_s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_hashes(K.kmers_by_columns(_items(spark, sf_dir), SHORT))
+    return distinct_hashes(K.kmers_by_columns(_documents(spark, sf_dir), LONG))
 
 
 @query(f"WITH {_sql_hashed(*_DOC, LONG)} SELECT name, hash, min(s) AS s FROM f GROUP BY name, hash HAVING count(*) >= 2")
@@ -289,6 +343,11 @@ def min_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch(_documents(spark, sf_dir), SketchParams(21, 50, min_count=2)).hashes
 
 
+@query(f"WITH {_sql_hashed(*_DOC, LONG)} SELECT name, hash, min(s) AS s FROM f GROUP BY name, hash HAVING count(*) >= 2")
+def min_count_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch(_documents(spark, sf_dir), SketchParams(21, 50, min_count=2), prefilter=16 << 20).hashes
+
+
 @query(f"WITH {_sql_hashed(*_DOC, LONG)} SELECT 'pool' AS name, hash, min(s) AS s FROM f GROUP BY hash HAVING count(*) >= 2")
 def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled_sketch(_documents(spark, sf_dir), SketchParams(21, 50, min_count=2)).hashes
@@ -333,6 +392,30 @@ _of_pairs("dist", "round(distance, 6) AS distance", "round(distance, 6) AS dista
 _of_pairs("dist_jc", "round(distance, 6) AS distance", "round(jc, 6) AS distance")
 
 
+@query(f"WITH {_sql_pairs(*_DOC, LONG, False)} SELECT name_a, name_b, CAST(inter AS BIGINT) AS shared, CAST(uni AS BIGINT) AS total, round(distance, 6) AS distance FROM d WHERE distance < 0.1")
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.near_pairs(_document_sketches(spark, sf_dir), 0.1).select("name_a", "name_b", "shared", "total", F.round("distance", 6).alias("distance"))
+
+
+_STORED = SketchParams(21, 10)
+
+
+@query(f"""WITH kd AS MATERIALIZED (WITH {_sql_hashed(*_DOC, _STORED)} SELECT name, hash, min(s) AS s FROM f GROUP BY name, hash), kb AS MATERIALIZED (WITH {_sql_hashed(*_ITEM, _STORED)} SELECT name, hash, min(s) AS s FROM f GROUP BY name, hash),
+        td AS (SELECT name, count(*) AS n, sum(s) AS a, sum(s * s) AS b FROM kd GROUP BY name), tb AS (SELECT name, count(*) AS n, sum(s) AS a, sum(s * s) AS b FROM kb GROUP BY name),
+        i AS (SELECT x.name AS na, y.name AS nb, count(*) AS inter, sum(least(x.s, y.s)) AS lo, sum(least(x.s, y.s) * least(x.s, y.s)) AS lo2, sum(greatest(x.s, y.s)) AS si, sum(greatest(x.s, y.s) * greatest(x.s, y.s)) AS si2
+              FROM kd x JOIN kb y USING (hash) GROUP BY 1, 2),
+        g AS (SELECT na AS ia, nb AS ib, na AS name_a, nb AS name_b, inter, td.n + tb.n - inter AS uni, td.a + tb.a - lo AS su, td.b + tb.b - lo2 AS su2, si, si2 FROM i JOIN td ON td.name = na JOIN tb ON tb.name = nb),
+        {_sql_measured(21)} SELECT name_a, name_b, CAST(inter AS BIGINT) AS shared, CAST(uni AS BIGINT) AS total, round(distance, 6) AS distance FROM d""")
+def store_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against benchmark items, both from stores in as many buckets."""
+    folder, items = shared_folder(spark, "stores"), _items(spark, sf_dir)
+    made = {"documents": _document_sketches(spark, sf_dir, _STORED), "items": sketch(items, _STORED, names=items.select(F.col("item_id").alias("idx"), "name"))}
+    for name, sketches in made.items():
+        write_store(sketches, f"{folder}/{name}", spark.sparkContext.defaultParallelism)
+    pairs = D.pairs_between(*(read_store(spark, f"{folder}/{name}") for name in made))
+    return D.measured(pairs).select("name_a", "name_b", "shared", "total", F.round("distance", 6).alias("distance"))
+
+
 @query(f"WITH {_sql_pairs(*_ITEM, SHORT, True)} SELECT ia AS i, ib AS j, name_a AS a, name_b AS b, round(distance, 6) AS distance, round(jaccard, 6) AS jaccard, CAST(inter AS BIGINT) AS shared, CAST(uni AS BIGINT) AS total FROM d")
 def triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.triangle(_item_sketches(spark, sf_dir)).withColumns({"distance": F.round("distance", 6), "jaccard": F.round("jaccard", 6)})
@@ -512,6 +595,30 @@ def clade_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.clade_subset(clades, available).select("clade", F.array_join("taxa", ",").alias("taxa"))
 
 
+_SQL_SIDES = {"a": ("g", "g, h"), "b": ("h", "g, h")}
+
+
+@query(f"""WITH c AS (SELECT c_nationkey AS nation, 'c' || c_custkey AS leaf, c_mktsegment AS g, c_custkey % 4 AS h FROM customer),
+    w AS (SELECT nation, list_sort(list(leaf)) AS whole FROM c GROUP BY nation),
+    s AS ({' UNION ALL '.join(f"SELECT nation, '{t}' AS t, list_sort(list(leaf)) AS side FROM c GROUP BY nation, {by}" for t, all_by in _SQL_SIDES.items() for by in all_by)}),
+    d AS (SELECT DISTINCT nation, t, least(array_to_string(side, ','), array_to_string(list_filter(whole, lambda x: NOT list_contains(side, x)), ',')) AS split FROM s JOIN w USING (nation) WHERE len(side) BETWEEN 2 AND len(whole) - 2),
+    r AS (SELECT nation, count(*) FILTER (n = 1) AS rf FROM (SELECT nation, split, count(*) AS n FROM d GROUP BY nation, split) GROUP BY nation)
+    SELECT nation, coalesce(rf, 0) AS rf, CASE WHEN len(whole) > 3 THEN round(coalesce(rf, 0) / (2.0 * (len(whole) - 3)), 9)::DOUBLE END AS nrf, len(whole) AS n_taxa FROM w LEFT JOIN r USING (nation)""")
+def tree_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two trees of each nation's customers, by segment and then by a key's remainder, and the other way round."""
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("part"), F.col("c_mktsegment").alias("g"), (F.col("c_custkey") % 4).cast("string").alias("h"))
+
+    def tree(first: str, then: str) -> DataFrame:
+        rows = customers
+        for by in (["nation", first, then], ["nation", first], ["nation"]):
+            rows = rows.groupBy(*by).agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list("part")), ","), F.lit(")")).alias("part"))
+        return rows.select(F.concat(F.col("nation").cast("string"), F.lit(first)).alias("tree"), F.concat("part", F.lit(";")).alias("newick"))
+
+    pairs = customers.select("nation").distinct().select("nation", *(F.concat(F.col("nation").cast("string"), F.lit(x)).alias(y) for x, y in (("g", "a"), ("h", "b"))))
+    found = robinson_foulds(tree("g", "h").unionByName(tree("h", "g")), pairs)
+    return pairs.join(found, ["a", "b"]).select("nation", "rf", F.round("nrf", 9).alias("nrf"), "n_taxa")
+
+
 QUERIES["sketch"], ORACLE_SQL["sketch"] = QUERIES.pop("sketch_hashes"), ORACLE_SQL.pop("sketch_hashes")
 QUERIES["pooled_sketch"], ORACLE_SQL["pooled_sketch"] = QUERIES.pop("pooled"), ORACLE_SQL.pop("pooled")
 QUERIES["fasta_text"], ORACLE_SQL["fasta_text"] = QUERIES.pop("fasta_text_lines"), ORACLE_SQL.pop("fasta_text_lines")

@@ -6,11 +6,15 @@ simplicities u32.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,14 +105,52 @@ def from_nested(rows: DataFrame) -> Sketches:
 
 
 def write_store(sketches: Sketches, path: str, buckets: int | None = None) -> None:
-    """Parquet: path/meta, and path/hashes ranged by hash, so that stores of the same ranges join with narrow reads."""
+    """Parquet: path/meta, and path/hashes, in order of hash within each file.
+
+    With buckets, hashes are dealt by hash into so many files, which path/layout remembers: stores of as many buckets join, and group by hash, where
+    they lie. Without, they are ranged by hash, so that few of a file's blocks hold a given hash, but joins move them.
+    """
+    spark = sketches.meta.sparkSession
+    own = str(_files(spark, path)[1].toUri().getPath())
+    if any(f"{own}/hashes/" in f for f in sketches.hashes.inputFiles()):
+        raise ValueError(f"{path} can't be written from itself")
     sketches.meta.write.mode("overwrite").parquet(f"{path}/meta")
-    hashes = sketches.hashes.repartitionByRange(buckets, "hash") if buckets else sketches.hashes.repartitionByRange("hash")
-    hashes.sortWithinPartitions("hash", "name").write.mode("overwrite").parquet(f"{path}/hashes")
+    hashes = sketches.hashes.select("name", "hash", "s")
+    for part in ("layout", "hashes"):
+        files, at = _files(spark, f"{path}/{part}")
+        files.delete(at, True)
+    if not buckets:
+        hashes.repartitionByRange("hash").sortWithinPartitions("hash", "name").write.mode("overwrite").parquet(f"{path}/hashes")
+        return
+    table = f"store_{uuid.uuid4().hex}"
+    hashes.repartition(buckets, "hash").write.mode("overwrite").format("parquet").bucketBy(buckets, "hash").sortBy("hash", "name").option("path", f"{path}/hashes").saveAsTable(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay
+    spark.createDataFrame([(buckets, hashes.schema.simpleString().removeprefix("struct<").removesuffix(">"))], "buckets int, columns string").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
 
 
 def read_store(spark: SparkSession, path: str) -> Sketches:
-    return Sketches(spark.read.parquet(f"{path}/hashes"), spark.read.parquet(f"{path}/meta"))
+    """The sketches of a store; those of a store in buckets come as a table of the session that knows them, until the process ends."""
+    meta = spark.read.parquet(f"{path}/meta")
+    files, at = _files(spark, f"{path}/layout")
+    if not files.exists(at):
+        return Sketches(spark.read.parquet(f"{path}/hashes"), meta)
+    layout = spark.read.parquet(f"{path}/layout").first()
+    table = f"store_{uuid.uuid4().hex}"
+    columns = ", ".join(c.replace(":", " ") for c in layout["columns"].split(","))
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (hash) SORTED BY (hash, name) INTO {layout['buckets']} BUCKETS LOCATION '{path}/hashes'")
+    atexit.register(_forget, spark, table)
+    return Sketches(spark.table(table), meta)
+
+
+def _files(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """The file system of a path, and the path there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _forget(spark: SparkSession, table: str) -> None:
+    with contextlib.suppress(Exception):  # the session has ended, and its catalogue with it
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def read_sketches(spark: SparkSession, *paths: str, mode: str = "FAILFAST") -> DataFrame:

@@ -49,7 +49,7 @@ def rows(df):
 def test_columns_agree_with_the_kernel(spark):
     text = "".join(random.Random(2).choices("ACGTacgtN", weights=[9] * 8 + [1], k=900))
     df = spark.createDataFrame([("a", text), ("b", "ACGT"), ("c", None), ("d", "")], "name string, seq string")
-    for p in (SketchParams(11, 4), SketchParams(21, 1), SketchParams(21, 3), SketchParams(7, "2/3"), SketchParams(21, 2, seed=12345, max_simplicity=120)):
+    for p in (SketchParams(11, 4), SketchParams(21, 1), SketchParams(21, 3), SketchParams(7, "2/3"), SketchParams(21, 2, seed=12345, max_simplicity=120), SketchParams(22, 1), SketchParams(31, 2), SketchParams(41, 3), SketchParams(42, 1, seed=987654321987654321)):
         got = rows(kmers(df, p).select("name", "hash", "s"))
         assert got == rows(kmers_by_columns(df, p).select("name", "hash", "s"))
         limit = p.max_simplicity or 10**9
