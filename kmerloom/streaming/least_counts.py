@@ -45,7 +45,7 @@ def stream_min_count(reads: DataFrame, params: SketchParams, name_col: str = "na
     All that has left after any batches is what sketch() gives for all their rows (s as far as it was seen; windows of one hash are
     one k-mer, and so have one s, but for collisions of 64-bit hashes). The state is a row of two small integers per kept hash, about one in scale of
     all distinct windows, in RocksDB, which this sets for the session. expire_ms drops a hash that was not seen for so long, with its count and with the
-    memory that it has left; without it all are kept. Rows without a name are a name of their own, those without a sequence have no windows.
+    memory that it has left, and needs a trigger that goes on, as expiry takes batches without data (availableNow would not end); without it all are kept. Rows without a name are a name of their own, those without a sequence have no windows.
     """
     reads.sparkSession.conf.set(_PROVIDER, _ROCKS)
     found = kmers(reads, params, name_col, seq_col)
