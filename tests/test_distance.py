@@ -189,3 +189,17 @@ def test_published_examples(spark, capsys):
     assert run(spark, ["triangle", *EXAMPLES]) == 0
     lines = capsys.readouterr().out.splitlines()
     assert lines[0] == "3" and lines[2].endswith("\t0.197915") and lines[3].endswith("\t0.180695\t0.183343")
+
+
+def test_values_that_can_be_worked_out_by_hand(spark):
+    """k = 3, every hash kept. ACGG has ACG and CGG; ACGT has ACG alone, as CGT is its reverse complement; AAAC and AAAG share AAA of three."""
+    rows = [(0, "acgg", "ACGG"), (1, "acgt", "ACGT"), (2, "aaac", "AAAC"), (3, "aaag", "AAAG"), (4, "ttt", "ttt")]
+    df = spark.createDataFrame(rows, "idx int, name string, seq string")
+    made = sketch(df, SketchParams(3, 1), names=df.select("idx", "name"))
+    assert {r["name"]: (r["n"], r["sum_s"]) for r in made.meta.collect()} == {"acgg": (2, 8), "acgt": (1, 3), "aaac": (2, 14), "aaag": (2, 14), "ttt": (1, 9)}
+    found = {(r["a"], r["b"]): (r["shared"], r["total"], round(r["jaccard"], 6), round(r["distance"], 6)) for r in D.triangle(made).collect()}
+    assert found["acgt", "acgg"] == (1, 2, 0.5, 0.12642)  # 1 - (2/3)^(1/3): what is shared is less simple than the rest, so nothing is corrected
+    assert found["aaag", "aaac"] == (1, 3, 0.333333, 1.0)  # all of the intersection may be chance: x = 1, and the distance is held at 1
+    assert found["ttt", "aaac"] == (1, 2, 0.5, 1.0) and found["aaac", "acgt"] == (0, 3, 0.0, 1.0)
+    corrected = {(r["a"], r["b"]): round(r["distance"], 6) for r in D.triangle(made, jukes_cantor=True).collect()}
+    assert corrected["acgt", "acgg"] == 0.138447  # -3/4 ln(1 - 4/3 * 0.12642)
