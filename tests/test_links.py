@@ -60,3 +60,10 @@ def test_strips(monkeypatch, strip, same):
                     w[i] += int(v)
     got = {(int(p[0]), int(p[1])): [int(v) for v in p[2:]] for part in L._met(a, b, same) for p in zip(*part, strict=True)}
     assert got == want and want
+
+
+def test_kept_hashes_are_read_back(spark):
+    """With keep the totals, and whatever else reads the sketch, come from a table and not from the kernel."""
+    made = sketch(spark.createDataFrame(texts(6), "name string, seq string"), SketchParams(11, 3), keep=True)
+    plan = made.meta._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and made.hashes.inputFiles() and made.meta.agg(F.sum("n")).first()[0] == made.hashes.count() > 0
