@@ -67,3 +67,9 @@ def test_kept_hashes_are_read_back(spark):
     made = sketch(spark.createDataFrame(texts(6), "name string, seq string"), SketchParams(11, 3), keep=True)
     plan = made.meta._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and made.hashes.inputFiles() and made.meta.agg(F.sum("n")).first()[0] == made.hashes.count() > 0
+
+
+def test_copies_of_a_class_follow_memory():
+    """Each class is sent once for every block: classes with few shared hashes, as of 1 GB of documents, make no more blocks than the cores ask for."""
+    assert L.block_count(421_350, 10_819_363, 8) == 6
+    assert L.block_count(10, 30, 8) == 1 and L.block_count(10, L._ROWS * 9, 8) == 9 and L.block_count(L._CLASSES * 11, 30, 8) == 11
