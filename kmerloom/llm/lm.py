@@ -412,9 +412,9 @@ def learned(asked: DataFrame, chunks: int, n_ids: int, steps: int, counts: np.nd
 
 def lm_score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, tokenizer: str | None = None,
-    steps: int = 1500, chunk_bytes: int = 8 << 20,
+    steps: int = 1500, chunk_bytes: int = 8 << 20, learn: bool = True,
 ) -> DataFrame:
-    """A row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """A row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (the last only if learn: the others need no model).
 
     Training rows are those whose crc32(id as text) mod folds is not fold; the attention layers and the classes of subwords learn
     from all of them, whole (steps: the least training steps on the first chunk), as word and subword counts do. n_tokens counts words (ASCII case folded) and
@@ -424,7 +424,7 @@ def lm_score(
     result. Texts are scored whole.
     """
     path = tokenizer or default_tokenizer()
-    n_ids = word_encoder(path).size
+    n_ids = word_encoder(path).size if learn else 1
     end_id, word_seed = n_ids - 1, new_seed()
     chunks = chunk_count(docs, text_col, chunk_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -438,16 +438,18 @@ def lm_score(
         lean_memory()
         hashes, starts, ends, first, data = hashed_words(table.column("_text").combine_chunks(), seed=word_seed)
         distinct, index, place = grouped(hashes)
-        encoder = word_encoder(path)
-        begin, count = encoder.look_up(distinct, starts[index], ends[index], data)
         train = ~is_held(table.column("_id"))
         own = np.bincount(place[np.repeat(train, np.diff(first))], minlength=len(distinct))
-        spread, at = ragged(encoder.pool.part(), begin, count, np.arange(len(distinct) + 1))
-        some = at[1:] > at[:-1]
         texts = int(train.sum())
-        ids = [np.bincount(x, y.astype(float), n_ids) for x, y in ((spread, np.repeat(own, np.diff(at))), (spread[at[:-1][some]], own[some]), (spread[at[1:][some] - 1], own[some]))]
-        for x in ids:
-            x[end_id] += texts
+        count, spread, ids = np.zeros(0, np.int64), np.zeros(0, np.uint16), [np.zeros(0)]
+        if learn:
+            encoder = word_encoder(path)
+            begin, count = encoder.look_up(distinct, starts[index], ends[index], data)
+            spread, at = ragged(encoder.pool.part(), begin, count, np.arange(len(distinct) + 1))
+            some = at[1:] > at[:-1]
+            ids = [np.bincount(x, y.astype(float), n_ids) for x, y in ((spread, np.repeat(own, np.diff(at))), (spread[at[:-1][some]], own[some]), (spread[at[1:][some] - 1], own[some]))]
+            for x in ids:
+                x[end_id] += texts
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, pa.schema([("_id", table.schema.field("_id").type)])) as writer:
             writer.write_table(table.select(["_id"]))
@@ -473,10 +475,12 @@ def lm_score(
         if np.ndim(total):
             yield sliced(TaskContext.get().partitionId(), [total])
 
-    of_chunks = asked.where("_round >= 0").select("_ids")
-    sums = summed(of_chunks.mapInArrow(add_up, _PARTS), of_chunks.rdd.getNumPartitions())
-    counts = sums[0].astype(np.int64).reshape(3, n_ids) if sums else np.zeros((3, n_ids), np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((learned(asked, chunks, n_ids, steps, counts[0]), counts))  # a model and a few counts an id
+    shared = None
+    if learn:
+        of_chunks = asked.where("_round >= 0").select("_ids")
+        sums = summed(of_chunks.mapInArrow(add_up, _PARTS), of_chunks.rdd.getNumPartitions())
+        counts = sums[0].astype(np.int64).reshape(3, n_ids) if sums else np.zeros((3, n_ids), np.int64)
+        shared = docs.sparkSession.sparkContext.broadcast((learned(asked, chunks, n_ids, steps, counts[0]), counts))  # a model and a few counts an id
 
     def use(notes: pa.Table, answers: pa.Table) -> pa.Table:
         lean_memory()
@@ -488,13 +492,16 @@ def lm_score(
         first = np.concatenate([[0], np.cumsum(unpacked(n, np.uint32), dtype=np.int64)])
         at_end = int.from_bytes(at_end, "little")
         end, word = int(whole[at_end]), np.delete(whole, at_end)
-        attention, (subword, heads, lasts) = shared.value
-        words = Words(attention, subword, heads, lasts, tokens, once)
         n = np.diff(first)
         known = sums_of(word > 0, place, first) + (end > 0)
         base = sums_of(np.log10(word + 1.0), place, first) + np.log10(end + 1.0) - (n + 1) * np.log10(tokens + n_words + 1)
         pool = np.append(pool, np.uint16(end_id))
         size, times = np.append(count, 1), np.append(word, end)  # the last stands for an end
+        columns = [pa.array(~np.frombuffer(train, bool)), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base)]
+        if shared is None:
+            return pa.table([table.column("_id"), *columns], [id_col, *names])
+        attention, (subword, heads, lasts) = shared.value
+        words = Words(attention, subword, heads, lasts, tokens, once)
         begin = np.cumsum(size) - size
         score = np.empty(len(n))
         rows = np.arange(len(n))
@@ -508,11 +515,10 @@ def lm_score(
             ids, _ = ragged(pool, begin[own], size[own], at)
             sure = np.concatenate([[0], np.cumsum(words.log10(ids.astype(np.int64), size[own], at, times[own]))])
             score[some] = sure[at[1:]] - sure[at[:-1]]
-        columns = [pa.array(~np.frombuffer(train, bool)), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)]
-        return pa.table([table.column("_id"), *columns], [id_col, *names])
+        return pa.table([table.column("_id"), *columns, pa.array(score)], [id_col, *names])
 
-    names = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    names = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", *["score"] * learn)
+    schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double" + ", score double" * learn
     notes = asked.where("_round >= 0").select("_chunk", "_note").repartition(chunks, "_chunk")
     return notes.groupBy("_chunk").cogroup(got.repartition(chunks, "_chunk").groupBy("_chunk")).applyInArrow(use, schema)
 

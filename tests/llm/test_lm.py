@@ -190,3 +190,19 @@ def test_long_and_late_texts_are_learned(frame, chunk):
     ids = [k for k in range(5000, 5200) if not held(k)][:12] + [k for k in range(5000, 5200) if held(k)][:2]
     out = [r for r in lm_score(frame(many + [(k, long(4000)) for k in ids]), steps=400, chunk_bytes=chunk).collect() if r["held_out"] and r["doc_id"] >= 5000]
     assert len(out) == 2 and sum(r["score"] - r["base_score"] for r in out) > 0.5 * sum(r["n_tokens"] for r in out)
+
+
+def test_base_columns_need_no_model(frame, odd_rows, monkeypatch):
+    """lm_base learns nothing and has the same columns as op8."""
+    from kmerloom.llm import lm, queries
+
+    def fails(*_):
+        raise AssertionError("a model was learned")
+
+    want = lm_score(frame(odd_rows), steps=5).drop("score").collect()
+    monkeypatch.setattr(lm, "learned", fails)
+    monkeypatch.setattr(lm, "word_encoder", fails)
+    got = lm_score(frame(odd_rows), learn=False)
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"] and sorted(map(repr, got.collect())) == sorted(map(repr, want))
+    assert lm_score(frame([]), learn=False).count() == 0
+    assert queries.lm_base(got.sparkSession, "/root/testdata/sf0.001").count() == got.sparkSession.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
