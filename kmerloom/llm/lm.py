@@ -55,8 +55,8 @@ class Attention:
         }
         self.ceiling = np.where(np.tri(window, dtype=bool), np.float32(60), np.float32(-1e9))  # exponents are held to 60, and none reaches ahead
 
-    def attend(self, x: np.ndarray) -> tuple:
-        """What stands at each place of windows x (n, window) after both layers, by row, and what it came from.
+    def attend(self, x: np.ndarray, skip: int = 0) -> tuple:
+        """What stands at each place of windows x (n, window) from skip on after both layers, by row, and what it came from.
 
         With one head, keys may be the inputs themselves and values need no second product. Attention is divided by
         its sum after it is applied, and sums are taken by matrix products.
@@ -67,15 +67,15 @@ class Attention:
         e += p["place"][:t]
         flat = e.reshape(-1, w)
         qv = (flat @ p["qv"]).reshape(n, t, 2 * w)
-        a = qv[..., :w] @ e.transpose(0, 2, 1)
-        np.minimum(a, self.ceiling[:t, :t], out=a)
+        a = qv[:, skip:, :w] @ e.transpose(0, 2, 1)
+        np.minimum(a, self.ceiling[skip:t, :t], out=a)
         np.exp(a, out=a)
         with_one = np.ones((n, t, w + 1), e.dtype)
         with_one[..., :w] = qv[..., w:]
         c = (a @ with_one).reshape(-1, w + 1)
         share = 1 / c[:, w:]
         c = c[:, :w] * share
-        h = flat + c
+        h = (e[:, skip:].reshape(-1, w) if skip else flat) + c
         u = h @ p["up"]
         np.maximum(u, 0, out=u)
         g = u @ p["down"]
@@ -93,9 +93,9 @@ class Attention:
             total = s @ np.ones(s.shape[1], s.dtype)
         return s, total
 
-    def log_of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Log probabilities of the classes y (n, window) after the places of x, by row."""
-        s, total = self.odds(self.attend(x)[0])
+    def log_of(self, x: np.ndarray, y: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Log probabilities of the classes y (n, window - skip) after the places of x from skip on, by row."""
+        s, total = self.odds(self.attend(x, skip)[0])
         return np.log(np.maximum(s[np.arange(len(s)), y.reshape(-1)], 1e-30) / total)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict:
@@ -176,13 +176,15 @@ class Attention:
         k = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
         start, stop = bounds[row] + k * stride, bounds[row + 1]
         classes, out, spots = self.class_of[ids], np.empty(len(ids), np.float32), np.arange(w)
-        for lo in range(0, len(row), batch):
-            at = start[lo : lo + batch, None] + spots
-            upto = stop[lo : lo + batch, None]
-            inside = np.minimum(at, len(ids) - 1)
-            z = self.log_of(inputs[inside], classes[inside])
-            use = (at < upto) & ((spots >= back) | (k[lo : lo + batch, None] == 0))
-            out[at[use]] = z[use.reshape(-1)]
+        for which, skip in ((np.flatnonzero(k == 0), 0), (np.flatnonzero(k), back)):  # only the places that are used
+            for lo in range(0, len(which), batch):
+                some = which[lo : lo + batch]
+                at = start[some, None] + spots
+                inside = np.minimum(at, len(ids) - 1)
+                z = self.log_of(inputs[inside], classes[inside[:, skip:]], skip)
+                at = at[:, skip:]
+                use = at < stop[some, None]
+                out[at[use]] = z[use.reshape(-1)]
         return out / np.float32(np.log(10))
 
 
@@ -495,13 +497,13 @@ def lm_score(
         n = np.diff(first)
         known = sums_of(word > 0, place, first) + (end > 0)
         base = sums_of(np.log10(word + 1.0), place, first) + np.log10(end + 1.0) - (n + 1) * np.log10(tokens + n_words + 1)
-        pool = np.append(pool, np.uint16(end_id))
-        size, times = np.append(count, 1), np.append(word, end)  # the last stands for an end
         columns = [pa.array(~np.frombuffer(train, bool)), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base)]
         if shared is None:
             return pa.table([table.column("_id"), *columns], [id_col, *names])
         attention, (subword, heads, lasts) = shared.value
         words = Words(attention, subword, heads, lasts, tokens, once)
+        pool = np.append(pool, np.uint16(end_id))
+        size, times = np.append(count, 1), np.append(word, end)  # the last stands for an end
         begin = np.cumsum(size) - size
         score = np.empty(len(n))
         rows = np.arange(len(n))

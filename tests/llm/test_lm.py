@@ -206,3 +206,14 @@ def test_base_columns_need_no_model(frame, odd_rows, monkeypatch):
     assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"] and sorted(map(repr, got.collect())) == sorted(map(repr, want))
     assert lm_score(frame([]), learn=False).count() == 0
     assert queries.lm_base(got.sparkSession, "/root/testdata/sf0.001").count() == got.sparkSession.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_places_are_scored_once(monkeypatch):
+    """Of windows after a row's first only the places that are used go through the layers, with the same result as in a whole window."""
+    m, rng = model()
+    ids, bounds = rng.integers(0, 40, 6 + 4 * 10), np.array([0, 46])
+    whole = m.log_of(np.append(40, ids[:-1])[np.arange(0, 41, 4)[:, None] + np.arange(6)], m.class_of[ids][np.arange(0, 41, 4)[:, None] + np.arange(6)]).reshape(-1, 6) / np.log(10)
+    rows = []
+    monkeypatch.setattr(m, "odds", lambda g, f=m.odds: rows.append(len(g)) or f(g))
+    got = m.class_log10(ids, bounds, stride=4, batch=3)
+    assert np.allclose(got, np.concatenate([whole[0], whole[1:, 2:].reshape(-1)]), atol=1e-5) and sum(rows) == len(ids)
