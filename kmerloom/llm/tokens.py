@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .common import kept
+from .merges import Merges
 from .words import Eights, grouped, hashed_words, same_words
 
 if TYPE_CHECKING:
@@ -66,6 +67,7 @@ class WordEncoder:
         # words of lower-case ASCII letters need neither its normalizers nor its pattern, which cuts at white space and around runs of letters
         made = json.loads(self.tokenizer.to_str())
         whole = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and "[\\p{L}]+|" in json.dumps(made["pre_tokenizer"]).replace("\\\\", "\\")
+        self.merges = Merges(made) if whole and Merges.fit(made) else None
         made["normalizer"], made["pre_tokenizer"] = None, {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.lean = Tokenizer.from_str(json.dumps(made)) if whole else self.tokenizer
         self.ends = np.zeros(self.size, bool)  # tokens that end a run of letters, a digit or a run of marks
@@ -138,12 +140,29 @@ class WordEncoder:
                 return self.look_up(hashes, starts, ends, data)
             raw = memoryview(data)
             first = len(self.begin)
-            for lo in range(0, len(new), 5_000):
-                words = [str(raw[a:b], "utf-8") for a, b in zip(starts[new[lo : lo + 5_000]].tolist(), ends[new[lo : lo + 5_000]].tolist(), strict=True)]
-                ids, count = self._ids_of(words)
-                self.begin.add(len(self.pool) + np.cumsum(count) - count)
-                self.count.add(count)
+            begin, count = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+
+            def put(places: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+                begin[places], count[places] = len(self.pool) + np.cumsum(own) - own, own
                 self.pool.add(ids)
+
+            rest = np.ones(len(new), bool)
+            if self.merges and self.ends.any():
+                order = np.argsort(sizes[new], kind="stable")
+                order = order[np.searchsorted(sizes[new][order], 1) : np.searchsorted(sizes[new][order], self.merges.longest, "right")]
+                for lo in range(0, len(order), 8_000):
+                    block = order[lo : lo + 8_000]
+                    size = sizes[new[block]]
+                    letters = data[np.minimum(starts[new[block]][:, None] + np.arange(size[-1]), len(data) - 1)]
+                    some, ids, own = self.merges.merged(letters, size)
+                    put(block[some], ids, own)
+                    rest[block[some]] = False
+            rest = np.flatnonzero(rest)
+            for lo in range(0, len(rest), 5_000):
+                some = new[rest[lo : lo + 5_000]]
+                put(rest[lo : lo + 5_000], *self._ids_of([str(raw[a:b], "utf-8") for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]))
+            self.begin.add(begin)
+            self.count.add(count)
             size = sizes[new]
             eight = (size + 7) >> 3
             self.letters_at.add(len(self.letters) + np.cumsum(eight) - eight)
