@@ -18,6 +18,7 @@ the network follows the corpus.
 from __future__ import annotations
 
 import copy
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -39,6 +40,17 @@ _END = np.uint64(0x5DEECE66D1CE4E5B)
 SHARES = (0.35, 0.45, 0.2)
 
 
+def turned(a: np.ndarray) -> np.ndarray:
+    """A copy with the last two axes exchanged: products of small matrices are faster with it than with a view."""
+    return np.ascontiguousarray(a.swapaxes(-1, -2))
+
+
+def over_windows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum over all rows of all windows of the outer products of a's and b's."""
+    k = math.gcd(len(a) * a.shape[1], 256)
+    return (a.reshape(-1, k, a.shape[2]).transpose(0, 2, 1) @ b.reshape(-1, k, b.shape[2])).sum(0)
+
+
 class Attention:
     """Parameters and both passes of the model; x are windows of input ids, y the classes that follow."""
 
@@ -59,33 +71,36 @@ class Attention:
         """What stands at each place of windows x (n, window) from skip on after both layers, by row, and what it came from.
 
         With one head, keys may be the inputs themselves and values need no second product. Attention is divided by
-        its sum after it is applied, and sums are taken by matrix products.
+        its sum after it is applied, and sums are taken by matrix products. Products are taken window by window, which small
+        matrices are faster in, and what is above 0 is told by the sign bit.
         """
         p, w = self.p, self.width
         n, t = x.shape
-        e = p["embed"][x]
+        e = p["embed"].take(x, 0)
         e += p["place"][:t]
-        flat = e.reshape(-1, w)
-        qv = (flat @ p["qv"]).reshape(n, t, 2 * w)
-        a = qv[:, skip:, :w] @ e.transpose(0, 2, 1)
+        qv = e @ p["qv"]
+        a = qv[:, skip:, :w] @ turned(e)
         np.minimum(a, self.ceiling[skip:t, :t], out=a)
         np.exp(a, out=a)
-        with_one = np.ones((n, t, w + 1), e.dtype)
+        with_one = np.empty((n, t, w + 1), e.dtype)
+        with_one[..., w] = 1
         with_one[..., :w] = qv[..., w:]
-        c = (a @ with_one).reshape(-1, w + 1)
-        share = 1 / c[:, w:]
-        c = c[:, :w] * share
-        h = (e[:, skip:].reshape(-1, w) if skip else flat) + c
+        c = a @ with_one
+        share = 1 / c[..., w:]
+        c = c[..., :w] * share
+        h = e[:, skip:] + c
         u = h @ p["up"]
-        np.maximum(u, 0, out=u)
+        bits = u.view(f"i{u.itemsize}")
+        above = ~(bits >> (8 * u.itemsize - 1))
+        bits &= above
         g = u @ p["down"]
         g += h
-        return g, u, h, c, share, a, qv, flat
+        return g.reshape(-1, w), u, h, c, share, a, qv, e, above
 
     def odds(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the classes after each place: their odds, and the sum of these."""
         with np.errstate(over="ignore"):
-            s = g @ self.p["top"]
+            s = (g.reshape(-1, math.gcd(len(g), 128), self.width) @ self.p["top"]).reshape(len(g), -1)
             np.exp(s, out=s)
             total = s @ np.ones(s.shape[1], s.dtype)
         if not np.isfinite(total).all():
@@ -96,69 +111,79 @@ class Attention:
     def log_of(self, x: np.ndarray, y: np.ndarray, skip: int = 0) -> np.ndarray:
         """Log probabilities of the classes y (n, window - skip) after the places of x from skip on, by row."""
         s, total = self.odds(self.attend(x, skip)[0])
-        return np.log(np.maximum(s[np.arange(len(s)), y.reshape(-1)], 1e-30) / total)
+        return np.log(np.maximum(s.reshape(-1).take(np.arange(0, s.size, s.shape[1]) + y.reshape(-1)), 1e-30) / total)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict:
         """Gradients of the mean loss; places whose class is below 0 have none."""
         p, w = self.p, self.width
-        g, u, h, c, share, a, qv, flat = self.attend(x)
+        g, u, h, c, share, a, qv, e, above = self.attend(x)
         n, t = x.shape
-        kind = flat.dtype.type
+        kind = e.dtype.type
         y = y.reshape(-1)
         s, total = self.odds(g)
-        s[np.arange(len(s)), y] -= total
-        part = ((y >= 0) / max(1, int((y >= 0).sum())) / total).astype(kind)  # by row, s times this is the gradient
-        grad: dict = {"top": (g * part[:, None]).T @ s}
-        dh = s @ np.ascontiguousarray(p["top"].T)
-        dh *= part[:, None]
-        grad["down"] = u.T @ dh
-        du = dh @ p["down"].T
-        du *= u > 0
-        grad["up"] = h.T @ du
-        dh += du @ p["up"].T
+        s.reshape(-1)[np.arange(0, s.size, s.shape[1]) + np.maximum(y, 0)] -= total
+        part = ((y >= 0) / max(1, int((y >= 0).sum())) / total).astype(kind).reshape(n, t, 1)  # by row, s times this is the gradient
+        s = s.reshape(n, t, -1)
+        grad: dict = {"top": over_windows(g.reshape(n, t, w) * part, s)}
+        dh = s @ turned(p["top"])
+        dh *= part
+        grad["down"] = over_windows(u, dh)
+        du = dh @ turned(p["down"])
+        du.view(above.dtype)[...] &= above
+        grad["up"] = over_windows(h, du)
+        dh += du @ turned(p["up"])
         dc = dh * share
-        own = (dc * c) @ np.ones(w, kind)
-        dc = dc.reshape(n, t, w)
         dqv = np.empty((n, t, 2 * w), kind)
         np.matmul(a.transpose(0, 2, 1), dc, out=dqv[..., w:])
-        da = dc @ qv[..., w:].transpose(0, 2, 1)
-        da -= own.reshape(n, t, 1)
+        da = dc @ turned(qv[..., w:])
+        da -= np.einsum("ijk,ijk->ij", dc, c)[..., None]
         da *= a
-        np.matmul(da, flat.reshape(n, t, w), out=dqv[..., :w])
-        dh += (da.transpose(0, 2, 1) @ qv[..., :w]).reshape(-1, w)
-        dqv = dqv.reshape(-1, 2 * w)
-        grad["qv"] = flat.T @ dqv
-        dh += dqv @ p["qv"].T
+        np.matmul(da, e, out=dqv[..., :w])
+        dh += da.transpose(0, 2, 1) @ qv[..., :w]
+        grad["qv"] = over_windows(e, dqv)
+        dh += dqv @ turned(p["qv"])
         grad["place"] = np.zeros_like(p["place"])
         grad["place"][:t] = dh.reshape(n, t * w).sum(0).reshape(t, w)
         ids = x.reshape(-1).astype(np.uint16) if len(p["embed"]) <= 1 << 16 else x.reshape(-1)  # 16 bits sort in linear time
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        grad["embed"] = (x.reshape(-1)[order[at]], np.add.reduceat(dh[order], at))
+        rows = dh.reshape(-1, w).take(order, 0)
+        rows = rows if w % 2 else rows.view(np.result_type(kind, np.complex64))  # two numbers are added up at once
+        grad["embed"] = (ids[at].astype(np.int64), np.add.reduceat(rows, at).view(kind))
         return grad
 
     def train(self, x: np.ndarray, y: np.ndarray, least_steps: int = 1, rate: float = 4e-3, batch: int = 96, seed: int = 6) -> None:
         """Adam over all windows x and the ids y that follow (below 0: none), in random order, as often as least_steps need, once at least."""
         rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        embed, names = self.p["embed"], [k for k in self.p if k != "embed"]
+        dense = np.concatenate([self.p[k].reshape(-1) for k in names])
+        for k, part in zip(names, np.split(dense, np.cumsum([self.p[k].size for k in names])), strict=False):
+            self.p[k] = part.reshape(self.p[k].shape)  # a view: all but ids' vectors are moved as one
+        (m, s), (m_ids, s_ids) = np.zeros((2, *dense.shape), dense.dtype), np.zeros((2, *embed.shape), embed.dtype)
+
+        def move(m: np.ndarray, s: np.ndarray, g: np.ndarray) -> np.ndarray:
+            m *= 0.9
+            m += 0.1 * g
+            s *= 0.98
+            s += 0.02 * g * g
+            return now * m / (np.sqrt(s) + 1e-7)
+
         a_pass = -(-len(x) // batch)
         steps = a_pass * max(1, -(-least_steps // max(1, a_pass)))
         for step in range(1, steps + 1):
             if (step - 1) % a_pass == 0:
                 order = rng.permutation(len(x))
             at = order[(step - 1) % a_pass * batch :][:batch]
-            inputs, ids = x[at], y[at]
+            inputs, ids = x.take(at, 0), y.take(at, 0)
             classes = np.where(ids < 0, -1, self.class_of[ids])
             now = rate * min(1.0, step / 30) * (1 - 0.9 * step / steps)
-            for name, g in self.gradients(inputs, classes).items():
-                at = slice(None)
-                if name == "embed":
-                    at, g = g
-                m[name][at] = mean = 0.9 * m[name][at] + 0.1 * g
-                s[name][at] = square = 0.98 * s[name][at] + 0.02 * g * g
-                self.p[name][at] -= now * mean / (np.sqrt(square) + 1e-7)
+            grad = self.gradients(inputs, classes)
+            at, g = grad["embed"]
+            mean, square = m_ids.take(at, 0), s_ids.take(at, 0)
+            embed[at] = embed.take(at, 0) - move(mean, square, g)
+            m_ids[at], s_ids[at] = mean, square
+            dense -= move(m, s, np.concatenate([grad[k].reshape(-1) for k in names]))
 
     def class_log10(self, ids: np.ndarray, bounds: np.ndarray, stride: int = 28, batch: int = 96) -> np.ndarray:
         """log10 P(class) of every id, given the ids before it in its row (rows: bounds[k] to bounds[k + 1], none empty).
@@ -176,15 +201,19 @@ class Attention:
         k = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
         start, stop = bounds[row] + k * stride, bounds[row + 1]
         classes, out, spots = self.class_of[ids], np.empty(len(ids), np.float32), np.arange(w)
-        for which, skip in ((np.flatnonzero(k == 0), 0), (np.flatnonzero(k), back)):  # only the places that are used
+        ends = start + w > stop
+        for which, skip, ends in ((k == 0) & ~ends, 0, False), ((k == 0) & ends, 0, True), ((k > 0) & ~ends, back, False), ((k > 0) & ends, back, True):  # only the places that are used
+            which = np.flatnonzero(which)
             for lo in range(0, len(which), batch):
                 some = which[lo : lo + batch]
                 at = start[some, None] + spots
-                inside = np.minimum(at, len(ids) - 1)
-                z = self.log_of(inputs[inside], classes[inside[:, skip:]], skip)
+                inside = np.minimum(at, len(ids) - 1) if ends else at
+                z = self.log_of(inputs.take(inside), classes.take(inside[:, skip:]), skip)
                 at = at[:, skip:]
-                use = at < stop[some, None]
-                out[at[use]] = z[use.reshape(-1)]
+                if ends:
+                    use = at < stop[some, None]
+                    at, z = at[use], z[use.reshape(-1)]
+                out[at.reshape(-1)] = z
         return out / np.float32(np.log(10))
 
 
